@@ -15,15 +15,15 @@ from pyspark.sql import functions as F
 BLOCK = 1 << 18
 
 
-def running_index(df: DataFrame, seq: str, name: str = "idx", keys: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
-    """1-based running number of rows by ``seq``, per key or over the whole table."""
+def running_index(df: DataFrame, seq: str, name: str = "idx", keys: tuple[str, ...] = (), block: int = BLOCK, ties: tuple[str, ...] = ()) -> DataFrame:
+    """1-based running number of rows by ``seq`` (then ``ties``), per key or over the whole table."""
     keyed = df.withColumn("_block", F.floor(F.col(seq) / block))
     at = [*keys, "_block"]
     sizes = keyed.groupBy(*at).agg(F.count(F.lit(1)).alias("_n"))
     # one row per key and block, not per row
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*at, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy(*at).orderBy(seq)
+    inside = Window.partitionBy(*at).orderBy(seq, *ties)
     return (
         keyed.withColumn("_at", F.row_number().over(inside))
         .join(offsets, at)
@@ -46,3 +46,19 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], limit: int,
     to ``limit`` per key before the shuffle (WindowGroupLimit)."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= limit)
+
+
+HASH_BLOCK = 1 << 44
+
+
+def permuted(df: DataFrame, kinds: list[str], unique: str, seed: str) -> DataFrame:
+    """Seeded random order of each kind's rows: ``rank`` from 1 and the kind's ``size``.
+
+    Rows are ordered by 60 bits of a keyed digest. Its top bits are evenly spread, so
+    the blocks the running number is built from are even as well, for a kind of any size.
+    """
+    digest = F.substring(F.md5(F.concat(F.lit(seed), F.col(unique).cast("string"))), 1, 15)
+    hashed = df.withColumn("_hash", F.conv(digest, 16, 10).cast("bigint"))
+    sizes = df.groupBy(*kinds).agg(F.count(F.lit(1)).alias("size"))  # one row per kind
+    ranked = running_index(hashed, "_hash", "rank", tuple(kinds), HASH_BLOCK, (unique,)).drop("_hash")
+    return ranked.join(sizes, kinds)

@@ -145,3 +145,71 @@ def with_views(*names: str, body: str, **extra: str) -> str:
     """``WITH`` the named stand-ins and any extra CTEs in front of a body."""
     parts = [f"{n} AS ({VIEWS[n]})" for n in names] + [f"{n} AS ({q})" for n, q in extra.items()]
     return "WITH " + ",\n".join(parts) + "\n" + body
+
+
+# Question texts. {n} number, {c} character, {e} element, {h} reading, {p} five digits.
+QUESTIONS = (
+    "김씨({n}획) 성에 어울리는 吉수 획수 조합과 밝은 뜻의 木오행 한자를 추천해줘",
+    "木火土 오행 조합이 상생인지 알려줘",
+    "밝고 아름다운 뜻의 순우리말 이름 {n}개 추천해줘",
+    "인명용 한자에 관한 법령을 찾아줘",
+    "최근 한국 이름 트렌드와 음절 특성 연구 결과 표를 알려줘",
+    "{e} 오행 상생 상극 관계를 그래프로 알려줘",
+    "성씨 획수 8, 이름 첫째 {n}획 둘째 6획일 때 81수리 4격을 계산해줘",
+    "최씨 성에 {e}오행이고 吉수이며 지혜로운 뜻의 한자 이름을 추천해줘",
+    "순우리말 외자 이름 {n}개 추천해줘",
+    "임씨({c}) 성에 어울리는 순우리말 외자 이름 2개 추천해줘",
+    "박씨 성을 가진 여자아이 한자 이름 2개 추천해줘 {c}",
+    "그래프 상태 확인해줘",
+    "ohe-{p} 한자 조회해줘",
+    "{c} 한자는 인명용으로 허용되나요?",
+    "{e} 오행이고 밝은 뜻 한자 추천해줘",
+    "발음 {h} 인 글자 후보를 보여줘",
+    "{c} 알려줘",
+    "음은 {h} 이다",
+    "오늘 날씨 어때",
+    "인명용으로 쓸 수 있는 글자는?",
+    "{n}획 {h}음 강한 의미 글자 찾아줘",
+    "'가람' 실제 단어인지 검증해줘. '나래'도, '다솜'도, '라온'도",
+    "하늘이 존재하는 말인가, 바다는 어떤가, 검증",
+    "윤({c})씨 남자 이름 {n}개 본문 내용만",
+    "정씨 성에 {c}오행 말고 {c}{c}{c}, 또 {c}{c} 이름 지어줘",
+    "획수 {n} 에 맞는 길한 획수",
+    "성에 火오행 이름, 여아 외자",
+)
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One question per event, numbers and characters filled in from the row."""
+    key = F.col("event_id")
+    k = F.get_json_object("props", "$.k")
+    text = picked(QUESTIONS, key % len(QUESTIONS))
+    fills = (
+        ("{n}", k), ("{c}", char_of(F.lit(FIRST_CHAR) + F.col("user_id") * 31 % 2500)), ("{e}", E.label_of(F.col("user_id") % 5)),
+        ("{h}", picked(SYLLABLES, F.col("user_id") % 8)), ("{p}", F.lpad(k, 5, "0")),
+    )
+    for mark, value in fills:
+        text = F.replace(text, F.lit(mark), value)
+    return table(spark, sf_dir, "events").select(key.alias("question_id"), text.alias("query"))
+
+
+def _questions_sql() -> str:
+    text = f"{sql_list(QUESTIONS)}[CAST(event_id % {len(QUESTIONS)} AS INT) + 1]"
+    fills = (
+        ("{n}", "k"), ("{c}", f"chr(CAST({FIRST_CHAR} + user_id * 31 % 2500 AS INT))"), ("{e}", label_sql("user_id % 5")),
+        ("{h}", f"{sql_list(SYLLABLES)}[CAST(user_id % 8 AS INT) + 1]"), ("{p}", "lpad(k, 5, '0')"),
+    )
+    for mark, value in fills:
+        text = f"replace({text}, '{mark}', {value})"
+    return (
+        f"SELECT event_id AS question_id, {text} AS query "
+        "FROM (SELECT *, json_extract_string(props, '$.k') AS k FROM events)"
+    )
+
+
+VIEWS["questions"] = _questions_sql()
+
+
+def tag_sql(text: str, words: tuple[str, ...] | list[str]) -> str:
+    """True where any word occurs."""
+    return "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
