@@ -36,8 +36,9 @@ VERB_FIXES = (
 RESTORES = (("엿기를 올", "엿기름을"), ("엿기를", "엿기름"), ("시름시를", "시름시름"), ("업시를", "업시름"))
 
 POS_TAG = r"['\[「『]?\s*(명의|의존명사|접사|명|동|형|부|관|수|대|감)\s*[」\]!_,\.;\-\)~]"
-PARTICLE = rf"(?<={CLOSED})[올흘](?=[ \t\n.,;:!?」』)>'가-힣]|\z)"
-ENDING = rf"({CLOSED})없다"
+# the rare syllable is matched first, the costly class is only tried behind it
+PARTICLE = rf"[올흘](?<={CLOSED}[올흘])(?=[ \t\n.,;:!?」』)>'가-힣]|\z)"
+ENDING = rf"없(?<={CLOSED}없)(?=다)"
 EXAMPLE = r"(?<!\d)끼(?=[가-힣\s])"
 EXAMPLE_NINE = r"(^|\s)9(\s+[가-힣])"
 AFTER_QUOTE = r"(?<=['\"‘’])\s*[논눈](?=\s)"
@@ -62,7 +63,10 @@ def _replaced(pairs: tuple[tuple[str, str], ...], line: Column, per_line: bool)
         n = F.contains(state["line"], pair["wrong"]).cast("int") if per_line else hits.cast("int")
         return F.struct(F.replace(state["line"], pair["wrong"], pair["right"]).alias("line"), (state["n"] + n).alias("n"))
 
-    return F.aggregate(steps, F.struct(line.alias("line"), F.lit(0).alias("n")), step)
+    start = F.struct(line.alias("line"), F.lit(0).alias("n"))
+    # one syllable all the wrong forms share decides whether to look at all
+    shared = next(c for c in pairs[0][0] if all(c in w for w, _ in pairs))
+    return F.when(line.contains(shared), F.aggregate(steps, start, step)).otherwise(start)
 
 
 @dataclass(frozen=True)
@@ -101,7 +105,7 @@ RULES = (
     Rule("nohta_fixed", lambda c: _replaced(VERB_FIXES, c, True)["line"], lambda c: _replaced(VERB_FIXES, c, True)["n"]),
     _pattern("pos_fixed", POS_TAG, "[$1]"),
     _pattern("particle_fixed", PARTICLE, "을"),
-    _pattern("eotda_fixed", ENDING, "$1었다", "lines"),
+    _pattern("eotda_fixed", ENDING, "었", "lines"),
     Rule("marker_fixed", _markers, lambda c: (_markers(c) != c).cast("int")),
     _pattern("quote_particle_fixed", AFTER_QUOTE, "는"),
     Rule("space_particle_fixed", _space_particles, _space_count),
@@ -145,7 +149,10 @@ def with_rules(lines: DataFrame, line: str) -> DataFrame:
     done = squeezed(F.col("_l"))
     emptied = (done == "") & (strip(F.col(line)) != "")
     cleaned = F.when(F.col("_keep"), F.col(line)).when((F.col(HEADER_RULE) == 1) | emptied, F.lit(None)).otherwise(done)
-    return df.withColumn("cleaned", cleaned).drop("_keep", "_l")
+    # A filter on the result would be pushed below the chain with every rule written out
+    # again; a one-element explode keeps it above, so each line is rewritten once.
+    kept = [c for c in df.columns if c not in ("_keep", "_l")]
+    return df.select(*kept, F.explode(F.array(cleaned)).alias("cleaned"))
 
 
 def clean_lines(lines: DataFrame, line: str) -> DataFrame:

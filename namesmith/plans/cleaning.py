@@ -201,8 +201,8 @@ def c12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @AREA.add(
     "c13_rule_counts",
-    S.with_views("ocr_lines", **_chain(), body="SELECT 'header_removed' AS rule, CAST(sum(CAST(head AS INT)) AS BIGINT) AS n FROM t0 "
-      + " ".join(f"UNION ALL SELECT '{r}', CAST(sum({r}) AS BIGINT) FROM t{len(SQL_RULES)}" for r in SQL_RULES)),
+    S.with_views("ocr_lines", **_chain(), body=f"""SELECT unnest({S.sql_list(['header_removed', *SQL_RULES])}) AS rule,
+      unnest([CAST(sum(CAST(head AS INT)) AS BIGINT), {', '.join(f'CAST(sum({r}) AS BIGINT)' for r in SQL_RULES)}]) AS n FROM t{len(SQL_RULES)}"""),
 )
 def c13_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.rule_counts(ocr_lines(spark, sf_dir), "line")
