@@ -1,5 +1,141 @@
-"""Placeholder."""
+"""Vector search over the embeddings and upkeep of the text collections."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from namesmith.functions import elements as E
+from namesmith.functions.text import char_of
+from namesmith.operators import vectors as V
 from namesmith.plans import Registry
+from namesmith.plans import standins as S
 
 AREA = Registry()
+
+# Each label is a collection; the element is metadata. The first vector of each
+# (label, element) asks, so there are fifty queries at any scale.
+_E = S.label_sql("(vec_id + vec_id // 7) % 5")
+S.VIEWS["vectors"] = f"SELECT vec_id AS id, label AS collection, {_E} AS resource_ohaeng, CAST(embedding AS DOUBLE[]) AS v FROM embeddings"
+S.VIEWS["vector_queries"] = """SELECT CAST(collection AS VARCHAR) || '/' || resource_ohaeng AS query_id, collection, CASE WHEN strpos('목화토', resource_ohaeng) > 0 THEN resource_ohaeng END AS cond,
+    resource_ohaeng AS own, CAST(3 + collection * 4 AS INT) AS n_results, v FROM vectors WHERE id IN (SELECT min(id) FROM vectors GROUP BY collection, resource_ohaeng)"""
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("vec_id")
+    return S.table(spark, sf_dir, "embeddings").select(
+        key.alias("id"), F.col("label").alias("collection"), E.label_of((key + F.floor(key / 7)) % 5).alias("resource_ohaeng"), "embedding"
+    )
+
+
+def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = vectors(spark, sf_dir).groupBy("collection", "resource_ohaeng").agg(F.min_by("embedding", "id").alias("vector"))
+    return first.select(
+        F.concat_ws("/", F.col("collection").cast("string"), "resource_ohaeng").alias("query_id"), "collection", F.col("resource_ohaeng").alias("own"),
+        F.when(F.col("resource_ohaeng").isin("목", "화", "토"), F.col("resource_ohaeng")).alias("resource_ohaeng"), (F.col("collection") * 4 + 3).cast("int").alias("n_results"), "vector",
+    )
+
+
+_COS = "round(1 - list_dot_product(q.v, d.v) / sqrt(list_dot_product(q.v, q.v) * list_dot_product(d.v, d.v)), 6)"
+_L2 = "round(list_sum(list_transform(list_zip(q.v, d.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 6)"
+
+
+def _search_sql(dist: str) -> str:
+    return S.with_views(
+        "vectors", "vector_queries",
+        r=f"""SELECT q.query_id, n_results, d.id, {dist} AS distance FROM vector_queries q JOIN vectors d ON d.collection = q.collection AND (q.cond IS NULL OR d.resource_ohaeng = q.cond)""",
+        k="SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM r",
+        body="SELECT query_id, CAST(rank AS INT) AS rank, id, distance FROM k WHERE rank <= greatest(1, least(n_results, 30))",
+    )
+
+
+@AREA.add("v1_filtered_search", _search_sql(_COS))
+def v1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.search(vector_queries(spark, sf_dir), vectors(spark, sf_dir), ["resource_ohaeng"]).select("query_id", "rank", "id", "distance")
+
+
+@AREA.add("v2_euclidean_search", _search_sql(_L2))
+def v2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.search(vector_queries(spark, sf_dir), vectors(spark, sf_dir), ["resource_ohaeng"], metric="l2").select("query_id", "rank", "id", "distance")
+
+
+@AREA.add(
+    "g8_chain_search",
+    S.with_views("vectors", "vector_queries",
+      r=f"""SELECT q.query_id, s, n_results, d.id, {_COS} AS distance FROM vector_queries q, (VALUES (1), (2)) AS t(s) JOIN vectors d ON d.collection = q.collection
+        AND strpos('목화토금수', d.resource_ohaeng) - 1 = (strpos('목화토금수', q.own) - 1 + s) % 5""",
+      k="SELECT *, row_number() OVER (PARTITION BY query_id, s ORDER BY distance, id) AS rank FROM r",
+      body="SELECT query_id, CASE s WHEN 1 THEN 'first' ELSE 'second' END AS part, CAST(rank AS INT) AS rank, id, distance FROM k WHERE rank <= greatest(1, least(n_results // 2, 30))"),
+)
+def g8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.searched_by_chain(vector_queries(spark, sf_dir), vectors(spark, sf_dir), "own", "n_results")
+
+
+# The text collections: one row per document, page, benchmark item and character.
+S.VIEWS["collections"] = """SELECT 'doc' AS collection, 'doc_' || doc_id AS id, md5(text) AS body FROM documents UNION ALL SELECT 'page', 'page_' || page_id, md5(html) FROM pages
+    UNION ALL SELECT 'bench', 'bench_' || item_id, md5(text) FROM benchmark UNION ALL SELECT 'char', 'hanja_' || profile_id, md5(sound_meaning) FROM chars"""
+
+
+def collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def part(name: str, prefix: str, df: DataFrame, key: str, text: str) -> DataFrame:
+        return df.select(F.lit(name).alias("collection"), F.concat(F.lit(prefix), F.col(key)).alias("id"), F.md5(text).alias("body"))
+
+    return (
+        part("doc", "doc_", S.table(spark, sf_dir, "documents"), "doc_id", "text")
+        .unionByName(part("page", "page_", S.table(spark, sf_dir, "pages"), "page_id", "html"))
+        .unionByName(part("bench", "bench_", S.table(spark, sf_dir, "benchmark"), "item_id", "text"))
+        .unionByName(part("char", "hanja_", S.chars(spark, sf_dir), "profile_id", "sound_meaning"))
+    )
+
+
+# A second load of documents: half of the ids are known, half are new, bodies differ.
+S.VIEWS["second_load"] = "SELECT 'doc' AS collection, 'doc_' || doc_id * 2 AS id, md5(text || 'x') AS body FROM documents"
+
+
+def second_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.table(spark, sf_dir, "documents").select(
+        F.lit("doc").alias("collection"), F.concat(F.lit("doc_"), F.col("doc_id") * 2).alias("id"), F.md5(F.concat("text", F.lit("x"))).alias("body")
+    )
+
+
+@AREA.add("v3_collections", S.with_views("chars", "collections", body="SELECT * FROM collections"))
+def v3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collections(spark, sf_dir)
+
+
+@AREA.add(
+    "v4_appended_rows",
+    S.with_views("chars", "collections", "second_load", body="SELECT * FROM collections UNION ALL SELECT * FROM second_load WHERE id NOT IN (SELECT id FROM collections)"),
+)
+def v4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    there = collections(spark, sf_dir)
+    return there.unionByName(V.new_rows(there, second_load(spark, sf_dir), ["collection", "id"]))
+
+
+@AREA.add(
+    "v5_upserted_rows",
+    S.with_views("chars", "collections", "second_load", body="SELECT * FROM collections WHERE id NOT IN (SELECT id FROM second_load) UNION ALL SELECT * FROM second_load"),
+)
+def v5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.upserted(collections(spark, sf_dir), second_load(spark, sf_dir), ["collection", "id"])
+
+
+@AREA.add(
+    "v6_collection_counts",
+    S.with_views("chars", "collections", body="""SELECT e.collection, count(c.id) AS n, CASE WHEN count(c.id) = 0 THEN '미생성' ELSE 'ok' END AS status
+      FROM (VALUES ('doc'), ('page'), ('char'), ('paper')) AS e(collection) LEFT JOIN collections c USING (collection) GROUP BY 1"""),
+)
+def v6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    expected = spark.createDataFrame([("doc",), ("page",), ("char",), ("paper",)], "collection string")
+    return V.collection_counts(collections(spark, sf_dir), expected)
+
+
+@AREA.add(
+    "v7_metadata_of",
+    S.with_views("chars", f="SELECT hanja, min_by(resource_ohaeng, seq) AS e, min_by(strokes, seq) AS s FROM chars GROUP BY 1",
+      q=f"SELECT o_orderkey, chr(CAST({S.FIRST_CHAR} + o_custkey * 2 AS INT)) AS asked FROM orders",
+      body="SELECT o_orderkey, asked, coalesce(e, '') AS resource_ohaeng, coalesce(s, 0) AS strokes FROM q LEFT JOIN f ON f.hanja = asked"),
+)
+def v7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = S.table(spark, sf_dir, "orders").select("o_orderkey", char_of(F.lit(S.FIRST_CHAR) + F.col("o_custkey") * 2).alias("asked"))
+    return V.metadata_of(asked, "asked", S.chars(spark, sf_dir), "seq")
