@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from namesmith.functions.once import computed_once
 from namesmith.functions.text import strip
 
 MARK = "\u0001"
@@ -69,7 +70,8 @@ def packed_chunks(df: DataFrame, paragraphs: Column, keep: list[str], size: int
     whole and so does a longer single sentence."""
     paras = df.select(*keep, F.posexplode(paragraphs).alias("paragraph_no", "_p"))
     sentences = F.when(F.length("_p") > size, F.split("_p", r"(?<=[.?!])\s+")).otherwise(F.array("_p"))
-    cut = paras.select(*keep, "paragraph_no", sentences.alias("_s")).withColumn("_starts", F.explode(F.array(_chunk_starts(F.col("_s"), size))))
+    cut = paras.select(*keep, "paragraph_no", sentences.alias("_s"))
+    cut = computed_once(cut, {"_starts": _chunk_starts(F.col("_s"), size)})
     chunks = F.transform(
         "_starts",
         lambda s, i: F.array_join(F.slice("_s", s, F.coalesce(F.get("_starts", i + 1), F.size("_s") + 1) - s), " "),

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from namesmith.functions.once import computed_once
 from namesmith.functions.text import strip
 
 Lines = Callable[[Column], Column]
@@ -149,10 +150,7 @@ def with_rules(lines: DataFrame, line: str) -> DataFrame:
     done = squeezed(F.col("_l"))
     emptied = (done == "") & (strip(F.col(line)) != "")
     cleaned = F.when(F.col("_keep"), F.col(line)).when((F.col(HEADER_RULE) == 1) | emptied, F.lit(None)).otherwise(done)
-    # A filter on the result would be pushed below the chain with every rule written out
-    # again; a one-element explode keeps it above, so each line is rewritten once.
-    kept = [c for c in df.columns if c not in ("_keep", "_l")]
-    return df.select(*kept, F.explode(F.array(cleaned)).alias("cleaned"))
+    return computed_once(df, {"cleaned": cleaned}).drop("_keep", "_l")
 
 
 def clean_lines(lines: DataFrame, line: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from namesmith.functions import elements as E
 from namesmith.functions import frames as FR
+from namesmith.functions.once import computed_once
 from namesmith.functions.order import first_per_key, top_per_key
 from namesmith.functions.text import HANGUL, HANJA, contains_any, extract, first_contained, strip
 
@@ -40,15 +41,17 @@ def optional_match(
     """First rows of each request under those of its conditions that are not null.
 
     ``p IS NULL OR column = p`` for every p would be a nested loop. Instead each row is
-    keyed once per subset of conditions that some request uses, and requests look up the
-    one key they stand for. Rows are ranked per key before the join and cut to the
-    largest limit there can be, so neither a frequent value nor a frequent request is
-    expanded. ``contains`` names a (request column, row column) substring condition;
-    it is answered once per distinct (key, keyword).
+    keyed once per subset of conditions, and requests look up the one key they stand for.
+    Rows are ranked per key before the join and cut to the largest limit there can be, so
+    neither a frequent value nor a frequent request is expanded. ``contains`` names a
+    (request column, row column) substring condition; it is answered once per distinct
+    (key, keyword).
 
     Requests without any condition get no rows. Conditions have equal names on both sides.
     """
-    keyed_requests = requests.withColumn("_mask", _mask([F.col(c) for c in conditions])).withColumn("_key", _key([F.col(c) for c in conditions]))
+    asked = [F.col(c) for c in conditions]
+    word = F.lit("") if contains is None else F.coalesce(contains[0], F.lit(""))
+    keyed_requests = computed_once(requests, {"_mask": _mask(asked), "_key": _key(asked), "_word": word})
     subsets = F.array(
         *[
             F.struct(
@@ -58,46 +61,38 @@ def optional_match(
             for m in range(1 << len(conditions))
         ]
     )
-    # at most 2^conditions rows
-    used = F.broadcast(keyed_requests.select("_mask").distinct())
     keyed_rows = rows.select(F.struct(*rows.columns).alias("_row"), F.col(order).alias("_order"), F.explode(subsets).alias("_s")).select(
         "_row", "_order", "_s.*"
-    ).join(used, "_mask", "left_semi")
-    bounded = safe_limit(F.col(limit))
-    by = [F.col("_order")]
-    word = F.lit(None).cast("string") if contains is None else F.col(contains[0])
-    keyed_requests = keyed_requests.withColumn("_word", word)
-    plain = top_per_key(keyed_rows, ["_mask", "_key"], by, MAX_LIMIT, "rank")
-    hits = (
-        keyed_requests.filter("_word IS NULL AND _mask > 0")
-        .join(plain, ["_mask", "_key"]).filter(F.col("rank") <= bounded)
     )
+    by = [F.col("_order")]
+    # '' stands for no keyword; the subset without conditions needs one
+    answers = top_per_key(keyed_rows.filter("_mask > 0"), ["_mask", "_key"], by, MAX_LIMIT, "rank").withColumn("_word", F.lit(""))
     if contains is not None:
-        words = keyed_requests.filter("_word IS NOT NULL").select("_mask", "_key", "_word").distinct()
+        words = keyed_requests.filter("_word <> ''").select("_mask", "_key", "_word").distinct()
         found = words.join(keyed_rows, ["_mask", "_key"]).filter(F.col(f"_row.{contains[1]}").contains(F.col("_word")))
         ranked = top_per_key(found, ["_mask", "_key", "_word"], by, MAX_LIMIT, "rank")
-        hits = hits.unionByName(
-            keyed_requests.join(ranked, ["_mask", "_key", "_word"]).filter(F.col("rank") <= bounded)
-        )
+        answers = answers.unionByName(ranked.select(*answers.columns))
     own = [F.col(c) for c in requests.columns if c not in conditions and (contains is None or c != contains[0])]
+    hits = keyed_requests.join(answers, ["_mask", "_key", "_word"]).filter(F.col("rank") <= safe_limit(F.col(limit)))
     return hits.select(*own, "rank", "_row.*")
 
 
 def lookup_characters(requests: DataFrame, profiles: DataFrame) -> DataFrame:
     """Profiles by character, reading and/or profile id, in id order."""
-    clean = requests.withColumns({c: blank_to_null(F.col(c)) for c in ("hanja", "hangul", "profile_id")})
+    clean = computed_once(requests, {c: blank_to_null(F.col(c)) for c in ("hanja", "hangul", "profile_id")})
     return optional_match(clean, profiles, ["hanja", "hangul", "profile_id"], "profile_id", "limit")
 
 
 def recommend_characters(requests: DataFrame, permitted: DataFrame) -> DataFrame:
     """Permitted profiles by elements, reading, strokes and a meaning keyword, in id order."""
-    clean = requests.withColumns(
+    clean = computed_once(
+        requests,
         {
             "sound_ohaeng": E.normalized(F.col("sound_ohaeng")), "resource_ohaeng": E.normalized(F.col("resource_ohaeng")),
             "hangul": blank_to_null(F.col("hangul")), "meaning_keyword": blank_to_null(F.col("meaning_keyword")),
             # 0 is no condition on its own, but as a condition it matches nothing
             "strokes": F.col("strokes"),
-        }
+        },
     )
     return optional_match(
         clean, permitted, ["sound_ohaeng", "resource_ohaeng", "hangul", "strokes"], "profile_id", "limit", ("meaning_keyword", "sound_meaning")
