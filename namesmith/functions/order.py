@@ -62,3 +62,41 @@ def permuted(df: DataFrame, kinds: list[str], unique: str, seed: str) -> DataFra
     sizes = df.groupBy(*kinds).agg(F.count(F.lit(1)).alias("size"))  # one row per kind
     ranked = running_index(hashed, "_hash", "rank", tuple(kinds), HASH_BLOCK, (unique,)).drop("_hash")
     return ranked.join(sizes, kinds)
+
+
+def carried(
+    df: DataFrame, keys: list[str], pos: str, firsts: dict[str, tuple[Column, Column]], lasts: dict[str, tuple[Column, Column]],
+    lists: dict[str, Column] | None = None, block: int = 1 << 12,
+) -> DataFrame:
+    """Per row: first/last value with a condition among the rows *before* it, per key.
+
+    ``firsts``/``lasts`` map a name to (condition, value); ``lists`` map a name to an array
+    column, and the row gets the arrays before it, joined. A window per key would put a
+    long group into one task; here a task sees at most ``block`` rows of a key, and the
+    blocks of a key are chained by one summary row each.
+    """
+    lists = lists or {}
+    blocked = df.withColumn("_b", F.floor(F.col(pos) / block))
+    order = F.col(pos)
+    sums = [F.min_by(v, F.when(c, order)).alias(n) for n, (c, v) in firsts.items()]
+    sums += [F.max_by(v, F.when(c, order)).alias(n) for n, (c, v) in lasts.items()]
+    for n, items in lists.items():
+        pieces = F.array_sort(F.collect_list(F.when(F.size(items) > 0, F.struct(order.alias("p"), items.alias("items")))))
+        sums.append(F.flatten(F.transform(pieces, lambda x: x["items"])).alias(n))
+    per_block = blocked.groupBy(*keys, "_b").agg(*sums)
+    chain = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = per_block.select(
+        *keys, "_b", *[F.first(n, ignorenulls=True).over(chain).alias(f"_e_{n}") for n in firsts],
+        *[F.last(n, ignorenulls=True).over(chain).alias(f"_e_{n}") for n in lasts],
+        *[F.flatten(F.collect_list(n).over(chain)).alias(f"_e_{n}") for n in lists],
+    )
+    inside = Window.partitionBy(*keys, "_b").orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
+    rows = blocked.select(
+        "*", *[F.first(F.when(c, v), ignorenulls=True).over(inside).alias(f"_i_{n}") for n, (c, v) in firsts.items()],
+        *[F.last(F.when(c, v), ignorenulls=True).over(inside).alias(f"_i_{n}") for n, (c, v) in lasts.items()],
+        *[F.flatten(F.collect_list(items).over(inside)).alias(f"_i_{n}") for n, items in lists.items()],
+    ).join(earlier, [*keys, "_b"])
+    out = {n: F.coalesce(f"_e_{n}", f"_i_{n}") for n in firsts}
+    out |= {n: F.coalesce(f"_i_{n}", f"_e_{n}") for n in lasts}
+    out |= {n: F.concat(f"_e_{n}", f"_i_{n}") for n in lists}
+    return rows.select(*df.columns, *[c.alias(n) for n, c in out.items()])

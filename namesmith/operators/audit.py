@@ -189,22 +189,22 @@ def surname_sounds_dropped(answers: DataFrame, text: str, surname: str) -> DataF
     return _dropped(answers, text, lambda all_: F.filter(all_, keep))
 
 
-def poor_frames_dropped(text: Column) -> Column:
+def poor_frames_dropped(answers: DataFrame, text: str) -> DataFrame:
     """Sections with the worst grade on hyung, yi or won go; the text stays if all would."""
-    parts = F.split(text, _BLOCKS)
-    blocks = F.filter(parts, lambda p: p.startswith("## [이름"))
+    df = computed_once(answers, {text: F.col(text)})
+    df = computed_once(df, {"_parts": F.split(text, _BLOCKS)})
 
     def keep(b: Column) -> Column:
         line = F.regexp_extract(b, r"\*\*수리\*\*:(.+)", 1)
         worst = F.lit(False)
         for frame in ("형격", "이격", "원격"):
             worst = worst | (F.regexp_extract(line, rf"{frame}\d+\(([^)]+)\)", 1) == FR.WORST)
-        return ~worst
+        return b.startswith("## [이름") & ~worst
 
-    kept = F.filter(blocks, keep)
-    head = F.get(parts, F.lit(0))
-    new = F.concat(F.when(head.startswith("## [이름"), F.lit("")).otherwise(head), F.array_join(_numbered(kept), ""))
-    return F.when(F.size(kept) == 0, text).otherwise(new)
+    df = computed_once(df, {"_kept": F.filter("_parts", keep)})
+    head = F.get("_parts", F.lit(0))
+    new = F.concat(F.when(head.startswith("## [이름"), F.lit("")).otherwise(head), F.array_join(_numbered(F.col("_kept")), ""))
+    return df.withColumn(text, F.when(F.size("_kept") == 0, F.col(text)).otherwise(new)).drop("_parts", "_kept")
 
 
 # -- repairs --------------------------------------------------------------------------------

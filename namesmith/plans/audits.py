@@ -120,14 +120,20 @@ _SURI = "regexp_extract(section, '\\*\\*수리\\*\\*:(.+)', 1)"
 _WORST = " OR ".join(f"regexp_extract({_SURI}, '{f}\\d+\\(([^)]+)\\)', 1) = '大凶'" for f in ("형격", "이격", "원격"))
 
 
+# here a block ends with the line break before the next header
+S.VIEWS["blocks"] = f"""SELECT answer_id, section_no, CASE section_no WHEN 0 THEN section ELSE substr(section, 2) END || CASE WHEN section_no < max(section_no) OVER (PARTITION BY answer_id) THEN {_NL} ELSE '' END AS section FROM framed"""
+
+
 @AREA.add(
     "f6_without_poor_frames",
-    S.with_views("answers", "answer_sections", "framed", body="").rstrip() + ",\n" + _drop_sql(f"NOT ({_WORST})", source="framed", always=True).replace(
-        "THEN a.text ELSE", "THEN (SELECT string_agg(section, '' ORDER BY section_no) FROM framed f WHERE f.answer_id = a.answer_id) ELSE"
-    ),
+    S.with_views("answers", "answer_sections", "framed", "blocks", body="").rstrip() + f""",
+    k AS (SELECT *, NOT ({_WORST}) AS keep FROM blocks WHERE section_no > 0),
+    c AS (SELECT answer_id, count_if(keep) AS kept, string_agg(CASE WHEN keep THEN regexp_replace(section, '^## \\[이름 \\d+\\]', '## [이름 ' || rn || ']') END, '' ORDER BY section_no) AS body,
+      string_agg(section, '' ORDER BY section_no) AS whole FROM (SELECT *, sum(CAST(keep AS INT)) OVER (PARTITION BY answer_id ORDER BY section_no) AS rn FROM k) GROUP BY 1)
+    SELECT p.answer_id, p.section || CASE WHEN c.answer_id IS NULL THEN '' WHEN kept = 0 THEN whole ELSE body END AS text FROM blocks p LEFT JOIN c USING (answer_id) WHERE p.section_no = 0""",
 )
 def f6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r3(spark, sf_dir).select("answer_id", A.poor_frames_dropped(F.col("text")).alias("text"))
+    return A.poor_frames_dropped(r3(spark, sf_dir), "text").select("answer_id", "text")
 
 
 _FIX = "['화', '토', '금', '수', '목']"
