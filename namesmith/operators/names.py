@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from namesmith.functions import elements as E
 from namesmith.functions import frames as FR
 from namesmith.functions.order import top_per_key
+from namesmith.session import checkpointed
 
 PER_POOL = 5
 PER_SURNAME = 10
@@ -56,7 +57,8 @@ def best_two_character_names(
     No clash between neighbouring elements, no reading equal to the surname's, never
     the same character twice, no worst grade on the first three frames.
     """
-    pool = character_pool(chars, per_pool)
+    # a few rows per reading and element; six steps below read it
+    pool = checkpointed(character_pool(chars, per_pool))
     kinds = surnames.select(
         F.col("hangul").alias("r"), E.code_of(F.col("resource_ohaeng")).alias("se"), F.col("strokes").alias("ss")
     ).distinct()
@@ -67,7 +69,7 @@ def best_two_character_names(
     by_reading = pool.groupBy("e", "strokes", F.col("hangul").alias("r")).agg(F.count(F.lit(1)).alias("x"))
     x1 = by_reading.select(F.col("e").alias("e1"), F.col("strokes").alias("s1"), "r", F.col("x").alias("x1"))
     x2 = by_reading.select(F.col("e").alias("e2"), F.col("strokes").alias("s2"), "r", F.col("x").alias("x2"))
-    sure = (
+    sure = checkpointed(
         kinds.join(pairs, ["se", "ss"])
         .join(x1, ["e1", "s1", "r"], "left")
         .join(x2, ["e2", "s2", "r"], "left")

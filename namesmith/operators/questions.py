@@ -10,6 +10,7 @@ from namesmith.functions.once import computed_once
 from namesmith.functions.text import contains_any, extract, first_contained, strip
 from namesmith.operators import graph as G
 from namesmith.operators import lookups as L
+from namesmith.session import checkpointed
 
 WORD_CHAR = r"[\p{L}\p{N}_]"
 PROFILE = rf"(?i)(?<!{WORD_CHAR})(OHE-[0-9]{{5}})(?!{WORD_CHAR})"
@@ -117,9 +118,11 @@ def answered(
 ) -> DataFrame:
     """Each question answered by its route: (question, tool, rank, key, value).
 
-    Every route is one join over its own questions. ``status`` is one row (value).
+    Every route is one join over its own questions. ``status`` is one row (value). The
+    classified questions are checkpointed: the rules read each text once, not per route.
     """
-    routed = classified(questions, query)
+    kept = [question_id, query, "tool", "profile_id", "characters", "element", "strokes", "sound", "meaning"]
+    routed = checkpointed(classified(questions, query).select(*kept))
     first_char = F.get("characters", F.lit(0))
 
     def route(name: str) -> DataFrame:
