@@ -26,16 +26,23 @@ def character_pool(chars: DataFrame, per_pool: int = PER_POOL) -> DataFrame:
     return top_per_key(permitted, ["hangul", "e"], [F.col("profile_id")], per_pool, "_r").drop("_r")
 
 
-def _class_pairs(surnames: DataFrame, pool: DataFrame, grades: DataFrame) -> DataFrame:
-    """Scored (surname class, first class, second class) triples without a clash or a worst grade."""
+def _class_pairs(surnames: DataFrame, pool: DataFrame, grades: DataFrame, limit: int) -> DataFrame:
+    """Scored (surname class, first class, second class) triples without a clash or a worst
+    grade, as far down the ranking as any surname reading can need.
+
+    ``m`` is the most members of a class that share a reading and ``d`` the most that share
+    a character, so a pair surely yields (n1 - m1) * (n2 - m2 - d2) names for any reading.
+    """
     spark = pool.sparkSession
     classes = pool.groupBy("e", "strokes").agg(F.count(F.lit(1)).alias("n"))
     repeats = pool.groupBy("e", "strokes", "hanja").agg(F.count(F.lit(1)).alias("k"))
-    classes = classes.join(repeats.groupBy("e", "strokes").agg(F.max("k").alias("d")), ["e", "strokes"])
+    readings = pool.groupBy("e", "strokes", "hangul").agg(F.count(F.lit(1)).alias("k"))
+    for df, name in ((repeats, "d"), (readings, "m")):
+        classes = classes.join(df.groupBy("e", "strokes").agg(F.max("k").alias(name)), ["e", "strokes"])
     allowed = F.broadcast(E.relation_table(spark).filter("relation <> '상극'").select("src", "dst"))
-    first = classes.select(F.col("e").alias("e1"), F.col("strokes").alias("s1"), F.col("n").alias("n1"))
+    first = classes.select(F.col("e").alias("e1"), F.col("strokes").alias("s1"), F.col("n").alias("n1"), F.col("m").alias("m1"))
     second = classes.select(
-        F.col("e").alias("e2"), F.col("strokes").alias("s2"), F.col("n").alias("n2"), F.col("d").alias("d2")
+        F.col("e").alias("e2"), F.col("strokes").alias("s2"), F.col("n").alias("n2"), F.col("d").alias("d2"), F.col("m").alias("m2")
     )
     triples = (
         surnames.select("se", "ss").distinct()
@@ -46,7 +53,19 @@ def _class_pairs(surnames: DataFrame, pool: DataFrame, grades: DataFrame) -> Dat
     )
     graded = FR.with_grades(triples, grades, FR.four_frames(F.col("ss"), F.col("s1"), F.col("s2")))
     worst = F.array(F.col("won_g"), F.col("hyung_g"), F.col("yi_g"))
-    return graded.filter(~F.array_contains(worst, FR.WORST)).withColumn("good", FR.count_in(FR.FRAMES, FR.GOOD_STRICT))
+    scored = graded.filter(~F.array_contains(worst, FR.WORST)).withColumn("good", FR.count_in(FR.FRAMES, FR.GOOD_STRICT))
+    least = (F.col("n1") - F.col("m1")) * F.greatest(F.col("n2") - F.col("m2") - F.col("d2"), F.lit(0))
+    return _needed(scored.withColumn("sure", least), ["se", "ss"], limit)
+
+
+def _needed(pairs: DataFrame, kind: list[str], limit: int) -> DataFrame:
+    """Class pairs before which fewer than ``limit`` names are sure. One row per stroke pair
+    and kind enters the window."""
+    rank = ["good", "s1", "s2"]
+    groups = pairs.groupBy(*kind, *rank).agg(F.sum("sure").alias("_sure"))
+    before = Window.partitionBy(*kind).orderBy(F.desc("good"), "s1", "s2").rowsBetween(Window.unboundedPreceding, -1)
+    kept = groups.withColumn("_before", F.coalesce(F.sum("_sure").over(before), F.lit(0))).filter(F.col("_before") < limit)
+    return pairs.join(kept.select(*kind, *rank), [*kind, *rank])
 
 
 def best_two_character_names(
@@ -62,15 +81,15 @@ def best_two_character_names(
     kinds = surnames.select(
         F.col("hangul").alias("r"), E.code_of(F.col("resource_ohaeng")).alias("se"), F.col("strokes").alias("ss")
     ).distinct()
-    pairs = _class_pairs(kinds, pool, grades)
+    pairs = checkpointed(_class_pairs(kinds, pool, grades, limit))
 
     # How many names each class pair surely yields for a surname reading: members with
     # that reading are out, and a first character meets at most d2 copies of itself.
     by_reading = pool.groupBy("e", "strokes", F.col("hangul").alias("r")).agg(F.count(F.lit(1)).alias("x"))
     x1 = by_reading.select(F.col("e").alias("e1"), F.col("strokes").alias("s1"), "r", F.col("x").alias("x1"))
     x2 = by_reading.select(F.col("e").alias("e2"), F.col("strokes").alias("s2"), "r", F.col("x").alias("x2"))
-    sure = checkpointed(
-        kinds.join(pairs, ["se", "ss"])
+    sure = (
+        kinds.join(pairs.drop("sure"), ["se", "ss"])
         .join(x1, ["e1", "s1", "r"], "left")
         .join(x2, ["e2", "s2", "r"], "left")
         .withColumn("left1", F.col("n1") - F.coalesce("x1", F.lit(0)))
@@ -79,14 +98,7 @@ def best_two_character_names(
         .withColumn("sure", F.col("left1") * F.greatest(F.col("left2") - F.col("d2"), F.lit(0)))
     )
     kind = ["r", "se", "ss"]
-    ordered = sure.groupBy(*kind, "good", "s1", "s2").agg(F.sum("sure").alias("sure"))
-    before = Window.partitionBy(*kind).orderBy(F.desc("good"), "s1", "s2").rowsBetween(Window.unboundedPreceding, -1)
-    needed = (
-        ordered.withColumn("_before", F.coalesce(F.sum("sure").over(before), F.lit(0)))
-        .filter(F.col("_before") < limit)
-        .select(*kind, "good", "s1", "s2")
-    )
-    kept = sure.join(needed, [*kind, "good", "s1", "s2"]).select(
+    kept = _needed(sure, kind, limit).select(
         *kind, "e1", "s1", "e2", "s2", "good", "d2", "won", "won_g", "hyung", "hyung_g", "yi", "yi_g", "jung", "jung_g"
     )
 

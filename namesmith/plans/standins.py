@@ -20,8 +20,22 @@ FIRST_CHAR = 0x4E00
 CHAR_SPAN = 20992
 
 
+# Tables whose rows are costly to work on, and the size per core below which they are spread.
+TEXT_TABLES = ("documents", "pages", "conversations", "events")
+SMALL_PER_CORE = 16 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. A text table that is small beside the cores usually sits in one row
+    group, which one task would read and process alone, so it is dealt out first; larger
+    ones keep the partitions of the scan."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in TEXT_TABLES:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        if size < cores * SMALL_PER_CORE:
+            return df.repartition(cores)
+    return df
 
 
 def picked(values: tuple[str, ...], index: Column) -> Column:
