@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+from namesmith.functions.once import computed_once
 from namesmith.functions.text import strip
 
 ERROR_MARK = "[오류]"
@@ -62,14 +63,12 @@ def _ngrams(words: Column, n: int) -> Column:
 
 def ngram_overlap(pairs: DataFrame, pair_id: str, prediction: str, reference: str, max_n: int) -> DataFrame:
     """Clipped matches and totals per pair and n: one count per (pair, gram), then a sum."""
-    def side(text: str, p: int) -> DataFrame:
-        words = pairs.select(pair_id, tokens(F.col(text)).alias("_w"))
-        grams = F.concat(*[_ngrams(F.col("_w"), n) for n in range(1, max_n + 1)])
-        return words.select(pair_id, F.explode(grams).alias("_g")).select(
-            pair_id, "_g.n", "_g.gram", F.lit(p).alias("in_prediction"), F.lit(1 - p).alias("in_reference")
-        )
-
-    grams = side(prediction, 1).unionByName(side(reference, 0))
+    def side(words: str, p: int) -> Column:
+        grams = F.concat(*[_ngrams(F.col(words), n) for n in range(1, max_n + 1)])
+        return F.transform(grams, lambda g: F.struct(g["n"].alias("n"), g["gram"].alias("gram"), F.lit(p).alias("in_prediction"), F.lit(1 - p).alias("in_reference")))
+
+    words = computed_once(pairs.select(pair_id, prediction, reference), {"_p": tokens(F.col(prediction)), "_r": tokens(F.col(reference))})
+    grams = words.select(pair_id, F.explode(F.concat(side("_p", 1), side("_r", 0))).alias("_g")).select(pair_id, "_g.*")
     counts = grams.groupBy(pair_id, "n", "gram").agg(F.sum("in_prediction").alias("p"), F.sum("in_reference").alias("r"))
     return counts.groupBy(pair_id, "n").agg(F.sum(F.least("p", "r")).alias("matches"), F.sum("p").alias("predicted"), F.sum("r").alias("referred"))
 
