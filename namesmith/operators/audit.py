@@ -18,6 +18,7 @@ from namesmith.functions.order import first_per_key, top_per_key
 from namesmith.functions.text import HANGUL, HANJA, extract, strip
 from namesmith.operators.chunk import sections_of
 
+# Patterns of the answer format.
 HEADER_NAME = rf"##\s*\[이름\s*\d+\]\s*([{HANGUL}]{{2,5}})"
 HEADER_CHARS = rf"##\s*\[이름\s*\d+\]\s*[{HANGUL}]+\s*\(([{HANJA}]+)\)"
 CHAR_LINE = rf"글자\(([{HANJA}])\)"
@@ -290,6 +291,7 @@ def broken_headers_fixed(text: Column) -> Column:
     return rewritten(text, pattern, fix)
 
 
+# The closing notice.
 DISCLAIMER = "\n\n---\n\n⚠️ 면책 고지: 추천 이름의 출생신고 가능 여부를 100% 보장하지 않습니다. 최종 확인은 관할 기관을 통해 진행하세요."
 
 

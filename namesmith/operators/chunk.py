@@ -13,6 +13,7 @@ from namesmith.functions.once import computed_once
 from namesmith.functions.text import strip
 
 MARK = "\u0001"
+# Header patterns and size limits.
 ARTICLE = r"(제\d+조의?\d*\([^)]+\))"
 MIN_ARTICLE = 20
 SHORT_PARAGRAPH = 50

@@ -36,6 +36,7 @@ VERB_FIXES = (
 # Words the particle rule turns wrong, restored in order.
 RESTORES = (("엿기를 올", "엿기름을"), ("엿기를", "엿기름"), ("시름시를", "시름시름"), ("업시를", "업시름"))
 
+# The patterns of the rules.
 POS_TAG = r"['\[「『]?\s*(명의|의존명사|접사|명|동|형|부|관|수|대|감)\s*[」\]!_,\.;\-\)~]"
 # the rare syllable is matched first, the costly class is only tried behind it
 PARTICLE = rf"[올흘](?<={CLOSED}[올흘])(?=[ \t\n.,;:!?」』)>'가-힣]|\z)"

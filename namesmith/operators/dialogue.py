@@ -9,6 +9,7 @@ from namesmith.functions.once import computed_once
 from namesmith.functions.order import carried, first_per_key
 from namesmith.functions.text import HANGUL, HANJA, contains_any, extract, first_contained, strip
 
+# The header of a recommended name and the line that asks back.
 RECOMMENDED = rf"##\s*\[이름\s*\d+\]\s*([{HANGUL}]{{2,5}})"
 ASKED_BACK = "아래 정보를 알려주세요"
 

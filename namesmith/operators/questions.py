@@ -12,6 +12,7 @@ from namesmith.operators import graph as G
 from namesmith.operators import lookups as L
 from namesmith.session import checkpointed
 
+# The patterns that find terms in a question.
 WORD_CHAR = r"[\p{L}\p{N}_]"
 PROFILE = rf"(?i)(?<!{WORD_CHAR})(OHE-[0-9]{{5}})(?!{WORD_CHAR})"
 IDEOGRAPH = r"([\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}])"
@@ -256,6 +257,7 @@ def routing_reply(raw: Column, used_tools: Column) -> Column:
     return F.coalesce(read(r"(?s)```json\s*(\{.*?\})\s*```"), read(r"(?s)(\{[^{}]*\})"), default)
 
 
+# Words that ask whether a word exists.
 VERIFY_WORDS = ("검증", "실제 단어", "존재하는")
 
 
