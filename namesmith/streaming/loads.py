@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -35,7 +36,9 @@ def load_new(
 def existing(spark: SparkSession, target: str, schema: StructType) -> DataFrame:
     """What has been loaded so far, with the batch that wrote it; empty at first."""
     whole = StructType(schema.fields).add("batch", "long")
-    path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    try:
+        return spark.read.schema(whole).option("basePath", target).parquet(target)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], whole)
-    return spark.read.schema(whole).option("basePath", target).parquet(target)
