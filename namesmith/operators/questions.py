@@ -120,7 +120,7 @@ def answered(
     """Each question answered by its route: (question, tool, rank, key, value).
 
     Every route is one join over its own questions. ``status`` is one row (value). The
-    classified questions are checkpointed: the rules read each text once, not per route.
+    classified questions are written once: the rules read each text once, not per route.
     """
     kept = [question_id, query, "tool", "profile_id", "characters", "element", "strokes", "sound", "meaning"]
     routed = checkpointed(classified(questions, query).select(*kept))

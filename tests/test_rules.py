@@ -137,7 +137,7 @@ def test_touching_boxes_do_not_overlap(spark):
 @pytest.mark.parametrize(
     "query, tool",
     [
-        ("Neo4j 상태 확인해줘", "check_graph_status"), ("OHE-00730 한자 조회해줘", "lookup_hanja"), ("牧 한자는 인명용으로 허용되나요?", "check_person_name_hanja"),
+        ("그래프 상태 확인해줘", "check_graph_status"), ("OHE-00730 한자 조회해줘", "lookup_hanja"), ("牧 한자는 인명용으로 허용되나요?", "check_person_name_hanja"),
         ("목 오행 상생 상극 관계 알려줘", "get_ohaeng_relations"), ("목 오행이고 밝은 뜻 한자 추천해줘", "recommend_hanja_by_ohaeng"), ("오늘 날씨", "unsupported"),
     ],
 )
