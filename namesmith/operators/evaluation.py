@@ -17,10 +17,14 @@ def judged(replies: DataFrame, raw: str, metrics: tuple[str, str, str]) -> DataF
     """Three integer scores and the reason of each judge reply; zeros if it cannot be read."""
     body = strip(F.regexp_replace(raw, r"```json\s*|\s*```", ""))
     value = F.from_json(body, "MAP<STRING,STRING>")
-    scores = [F.coalesce(F.element_at("_v", m), F.lit("0")) for m in metrics]
+    scores = [F.element_at("_v", m) for m in metrics]
     numeric = F.lit(True)
-    for s in scores:
-        numeric = numeric & s.rlike(r"^\s*-?\d+(\.\d+)?\s*$")
+    for m, s in zip(metrics, scores):
+        # a number may have decimals, a quoted one may not; an explicit null is no score
+        quoted = F.col(raw).rlike(rf'"{m}"\s*:\s*"')
+        fits = s.rlike(r"^\s*-?\d+\s*$") | (~quoted & s.rlike(r"^-?\d+(\.\d+)?$"))
+        numeric = numeric & (~F.map_contains_key("_v", m) | F.coalesce(fits, F.lit(False)))
+    scores = [F.coalesce(s, F.lit("0")) for s in scores]
     good = F.col("_v").isNotNull() & numeric
     return replies.withColumn("_v", value).select(
         *replies.columns, *[F.when(good, s.cast("double").cast("int")).otherwise(0).alias(m) for m, s in zip(metrics, scores)],

@@ -243,3 +243,15 @@ def test_common_subsequence_against_brute_force(spark):
 def test_bleu_of_equal_texts(spark):
     df = spark.createDataFrame([(1, "a b c d e", "a b c d e")], "id long, p string, r string")
     assert V.bleu(V.ngram_overlap(df, "id", "p", "r", 4)).first()["bleu"] == pytest.approx(1.0)
+
+
+@pytest.mark.parametrize(
+    "reply, want",
+    [
+        ('{"a": 4.0, "b": "2", "c": 5, "reason": "r"}', (4, 2, 5, "r")), ('```json\n{"a": 1, "b": 2}\n```', (1, 2, 0, "")), ('{"a": "3.0", "b": 1, "c": 1}', (0, 0, 0, "[평가 오류]")),
+        ('{"a": null, "b": 1, "c": 1}', (0, 0, 0, "[평가 오류]")), ("none", (0, 0, 0, "[평가 오류]")),
+    ],
+)
+def test_judge_replies(spark, reply, want):
+    df = V.judged(spark.createDataFrame([(reply,)], "raw string"), "raw", ("a", "b", "c"))
+    assert tuple(df.select("a", "b", "c", "reason").first()) == want
