@@ -16,26 +16,29 @@ from namesmith.functions.once import computed_once
 from namesmith.llm.common import SPACE, row_key, table, text_of, words_of
 from namesmith.session import checkpointed
 
-FEATURES = ("log_words", "mean_chars", "symbols", "dup_lines", "repeats", "distinct", "upper")
+FEATURES = ("log_words", "mean_chars", "symbols", "dup_lines", "repeats", "upper")
 # Least standard deviations: what is no sign of poor text, however alike a group's texts are.
-FLOOR = (0.8, 0.5, 0.04, 0.12, 0.12, 0.12, 0.08)
+FLOOR = (0.8, 0.5, 0.04, 0.12, 0.12, 0.08)
 STEPS = 3
 SHARE = 0.5
+FEW = 16
 LEAST = 30  # rows a group needs for an estimate of its own; smaller ones share one a language
-CUT = 45.0  # squared distance; beyond all but about one in ten million rows of a normal cloud in seven dimensions
+CUT = 45.0  # squared distance; beyond all but about one in ten million rows of a normal cloud in six dimensions
 
 
-def counts(text: Column) -> list[dict[str, Column]]:
-    """Counts of a text, in layers that each read the one before."""
+def counts(text: Column) -> list[tuple[dict[str, Column], list[str]]]:
+    """Counts of a text, in layers that each read the one before, and the older columns that later ones read."""
     has_word = lambda line: line.rlike(f"[^{SPACE}]")
     words = F.col("_words")
     windows = F.when(
         F.size(words) >= 3,
         F.transform(F.sequence(F.lit(1), F.size(words) - 2), lambda i: F.xxhash64(F.get(words, i - 1), F.get(words, i), F.get(words, i + 1))),
     ).otherwise(F.array().cast("array<bigint>"))
-    # positions of windows found twice, then the words that these cover
+    # positions of windows found twice, then the words that these cover; a sort of all positions only where many windows repeat
+    dups = F.array_distinct(F.filter(F.col("_sorted"), lambda x, i: F.coalesce(x == F.get(F.col("_sorted"), i - 1), F.lit(False))))
     order = F.array_sort(F.transform(F.col("_windows"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
-    twice = F.array_sort(F.transform(
+    few = F.array_compact(F.transform(F.col("_windows"), lambda x, i: F.when(F.array_contains(F.col("_dups"), x), i)))
+    many = F.array_sort(F.transform(
         F.filter(F.transform(F.col("_order"), lambda a, i: F.struct(a["i"].alias("i"), (
             (F.get(F.col("_order"), i - 1)["x"] == a["x"]) | F.coalesce(F.get(F.col("_order"), i + 1)["x"] == a["x"], F.lit(False))
         ).alias("again"))), lambda a: F.coalesce(a["again"], F.lit(False))),
@@ -45,34 +48,34 @@ def counts(text: Column) -> list[dict[str, Column]]:
         F.transform(F.col("_twice"), lambda p, i: F.least(F.lit(3), F.coalesce(F.get(F.col("_twice"), i + 1) - p, F.lit(3)))),
         F.lit(0).cast("bigint"), lambda a, x: a + x,
     )
+    again = F.size(F.array_distinct("_windows")) < F.size("_windows")
     return [
-        {"_words": words_of(text), "_lines": F.filter(F.split(text, "\n"), has_word)},
-        {
+        ({"_words": words_of(text), "_lines": F.filter(F.split(text, "\n"), has_word)}, ["_text"]),
+        ({
             "n_words": F.size("_words").cast("long"),
             "word_chars": F.length(F.array_join("_words", "")).cast("long"),
             "n_symbols": (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]", ""))).cast("long"),
             "n_upper": (F.length(text) - F.length(F.regexp_replace(text, r"\p{Lu}", ""))).cast("long"),
             "n_lines": F.size("_lines").cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_distinct": F.size(F.array_distinct("_words")).cast("long"),
             "_windows": windows,
-        },
-        {"_order": F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), order)},
-        {"_twice": twice},
-        {"n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long")},
+        }, []),
+        ({"_sorted": F.when(again, F.sort_array("_windows"))}, ["_windows"]),
+        ({"_dups": dups}, ["_windows"]),
+        ({"_order": F.when(F.size("_dups") > FEW, order)}, ["_windows", "_dups"]),
+        ({"_twice": F.when(F.size("_dups") > FEW, many).when(F.size("_dups") > 0, few)}, []),
+        ({"n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long")}, []),
     ]
 
 
-BASE = ("n_words", "word_chars", "n_symbols", "n_upper", "n_lines", "n_dup_lines", "n_distinct", "n_repeat_words")
+BASE = ("n_words", "word_chars", "n_symbols", "n_upper", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
 def measured(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Count columns of every whole text beside the columns of ``keep``; null and empty texts count nothing."""
-    out = df.select(*keep, text_of(text).alias("_text"))
-    have = [*keep]
-    for layer in counts(F.col("_text")):
-        need = ["_text", *[c for c in ("_words", "_lines", "_windows", "_order", "_twice") if c in out.columns and c not in layer]]
-        out = computed_once(out.select(*have, *need), layer)
+    out, have = df.select(*keep, text_of(text).alias("_text")), [*keep]
+    for layer, later in counts(F.col("_text")):
+        out = computed_once(out, layer).select(*have, *layer, *later)
         have += [c for c in layer if not c.startswith("_")]
     return out.select(*keep, *BASE)
 
@@ -89,7 +92,6 @@ def vector() -> list[Column]:
         F.sqrt(F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1))),
         F.sqrt(F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))),
         F.sqrt(F.col("n_repeat_words") / n),
-        F.sqrt(F.col("n_distinct") / n) + F.log1p(n) / 16,  # the share falls with length
         F.sqrt(F.col("n_upper") / F.greatest(F.col("word_chars"), F.lit(1))),
     ]
 
