@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from namesmith.llm import bpe, langid, packing, parsing, quality, urls
+from namesmith.llm import bpe, langid, lines, packing, parsing, private, quality, urls
 from namesmith.plans import Registry
 
 AREA = Registry()
 AREA.add("op2_language")(langid.op2_language)
 AREA.add("op3_packing")(packing.op3_packing)
+AREA.add("op4_lines")(lines.op4_lines)
+AREA.add("op6_private")(private.op6_private)
 AREA.add("op7_fingerprints")(parsing.op7_fingerprints)
 AREA.add("op8_bpe")(bpe.op8_bpe)
 AREA.add("op9_quality")(quality.op9_quality)
