@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from namesmith.llm import bpe, langid, lines, packing, parsing, private, quality, urls
+import corpus_pipeline
+from namesmith.llm import bpe, langid, lines, neardup, packing, parsing, private, quality, scoring, urls
 from namesmith.plans import Registry
 
 AREA = Registry()
+AREA.add("op1_neardup")(neardup.op1_neardup)
 AREA.add("op2_language")(langid.op2_language)
 AREA.add("op3_packing")(packing.op3_packing)
 AREA.add("op4_lines")(lines.op4_lines)
+AREA.add("op5_scores")(scoring.op5_scores)
 AREA.add("op6_private")(private.op6_private)
 AREA.add("op7_fingerprints")(parsing.op7_fingerprints)
 AREA.add("op8_bpe")(bpe.op8_bpe)
 AREA.add("op9_quality")(quality.op9_quality)
 AREA.add("op10_urls", urls.SQL)(urls.op10_urls)
+AREA.add("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
