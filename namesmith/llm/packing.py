@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from struct import pack as pack_ids
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -20,7 +21,7 @@ from pyspark.sql import types as T
 from namesmith.llm.common import table
 
 SIZE, OPEN, EOS = 1024, 1024, 2
-KNOWN = 300_000  # words whose ids a worker remembers; more are encoded again
+KNOWN = 1_000_000  # words whose ids a worker remembers; more are encoded again
 STEP = 256
 _coders: dict[str, "Coder"] = {}
 
@@ -51,9 +52,7 @@ class Coder:
         self.known: dict[str, bytes] = {}
 
     def fresh(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [pack_ids(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.split is None:
