@@ -9,7 +9,7 @@ similarity, and only about k log k darts are thrown, however many elements there
 Equal signatures in a band put documents into a bucket. Within a bucket pairs are not
 enumerated: all are compared with one hub, exactly, on their shingle sets; then, in buckets
 whose documents are not in one group yet, with a second hub; then those of different groups
-with each other. So a large group of near copies costs a multiple of its size, and no link
+with each other, unless the shingles that they share with any other are too few for a pair. So a large group of near copies costs a multiple of its size, and no link
 between groups is left out. Exact copies are one node from the start.
 """
 
@@ -152,8 +152,14 @@ def node_of(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, similar: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets are alike enough. Only texts of such nodes move."""
+def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of the given nodes. The same sort-merge join at every size; the texts move once."""
+    rows = docs.select(node_of(F.col("_text")).alias("node"), "_text").join(nodes.hint("merge"), "node", "left_semi")
+    return checkpointed(rows.groupBy("node").agg(F.first("_text").alias("text")))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets are alike enough."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -164,18 +170,38 @@ def verified(pairs: DataFrame, docs: DataFrame, similar: float) -> DataFrame:
             alike = [jaccard(sets[a], sets[b]) >= similar for a, b in zip(pdf["a"], pdf["b"])]
             yield pdf.loc[alike, ["a", "b"]]
 
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = docs.select(node_of(F.col("_text")).alias("node"), "_text").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("_text").alias("text"))
-    texts = checkpointed(texts)
     side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
     rows = pairs.join(side("b"), "b").join(side("a"), "a")
     return checkpointed(rows.mapInPandas(run, "a binary, b binary"))
 
 
+def common(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, size, common): a node's shingles, and those that another of ``nodes`` has too.
+    No pair of two nodes can have more shingles in common than either has with all others."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for k in range(0, len(pdf), 64):
+                part = pdf.iloc[k : k + 64]
+                sets = [shingles(t)[0] for t in part["text"]]
+                n = [len(s) for s in sets]
+                yield pd.DataFrame({"node": np.repeat(part["node"].to_numpy(), n), "size": np.repeat(n, n), "shingle": np.concatenate(sets).view(np.int64)})
+
+    cells = texts.join(nodes, "node", "left_semi").mapInPandas(run, "node binary, size int, shingle long")
+    often = cells.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("shingle")
+    return checkpointed(cells.join(often, "shingle").groupBy("node", "size").agg(F.count(F.lit(1)).cast("int").alias("common")))
+
+
 def ordered(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def torn(named: DataFrame) -> DataFrame:
+    """Rows of the buckets whose nodes have several labels, with another hub of the bucket."""
+    ends = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by("node", F.xxhash64("node", "bucket")).alias("hub"))
+    return named.join(ends.filter(F.col("lo") != F.col("hi")).select("bucket", "hub"), "bucket")
+
+
 def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
     """(_id, node, label) for all rows: the id (null as the least), the text's digest, and the group's least digest.
 
@@ -188,23 +214,29 @@ def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: f
     ends = seats.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("far")).filter(F.col("hub") != F.col("far"))
     shared = checkpointed(seats.join(ends.select("bucket", "hub"), "bucket"))
     tested = checkpointed(shared.filter(F.col("node") != F.col("hub")).select(*ordered("node", "hub")).distinct())
-    edges = verified(tested, docs, similar)
+    texts = texts_of(docs, shared.select("node").distinct())
+    edges = verified(tested, texts, similar)
     labels = components(edges)
     for last in (False, True):
         named = shared.drop("hub").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        torn = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by("node", F.xxhash64("node", "bucket")).alias("hub"))
-        torn = torn.filter(F.col("lo") != F.col("hi")).select("bucket", "hub")
-        named = checkpointed(named.join(torn, "bucket"))
+        if last:  # a node with too few shingles that any other has is in no pair
+            may = common(checkpointed(torn(named)).select("node").distinct(), texts)
+            named = named.join(may.filter(F.col("common") >= similar * F.col("size")), "node")
+        named = checkpointed(torn(named))
         if named.isEmpty():
             break
-        x = named.select("bucket", F.col("node").alias("x"), F.col("label").alias("lx"))
-        y = named.select("bucket", F.col("node").alias("y"), F.col("label").alias("ly"))
-        y = y if last else named.filter(F.col("node") == F.col("hub")).select("bucket", F.col("node").alias("y"), F.col("label").alias("ly"))
-        other = (F.col("lx") < F.col("ly")) if last else (F.col("lx") != F.col("ly"))
-        pairs = x.join(y, (x["bucket"] == y["bucket"]) & other).select(*ordered("x", "y")).distinct()
+        x = named.select("bucket", *[F.col(c).alias(f"x_{c}") for c in named.columns if c != "bucket"])
+        y = named.select("bucket", *[F.col(c).alias(f"y_{c}") for c in named.columns if c != "bucket"])
+        if last:
+            least = similar / (1 + similar) * (F.col("x_size") + F.col("y_size"))
+            other = (F.col("x_label") < F.col("y_label")) & (F.least("x_common", "y_common") >= least)
+        else:
+            y = y.filter(F.col("y_node") == F.col("y_hub"))
+            other = F.col("x_label") != F.col("y_label")
+        pairs = x.join(y, (x["bucket"] == y["bucket"]) & other).select(*ordered("x_node", "y_node")).distinct()
         pairs = checkpointed(pairs.join(tested, ["a", "b"], "left_anti"))
         tested = tested.unionByName(pairs)
-        edges = checkpointed(edges.unionByName(verified(pairs, docs, similar)))
+        edges = checkpointed(edges.unionByName(verified(pairs, texts, similar)))
         labels = components(edges)
     keys = docs.select("_id", node_of(F.col("_text")).alias("node"))
     return keys.join(labels, "node", "left").select("_id", "node", F.coalesce("label", "node").alias("label"))
