@@ -221,14 +221,14 @@ def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: f
         named = shared.drop("hub").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         if last:  # a node with too few shingles that any other has is in no pair
             may = common(checkpointed(torn(named)).select("node").distinct(), texts)
-            named = named.join(may.filter(F.col("common") >= similar * F.col("size")), "node")
+            named = named.join(may.filter(F.col("common") >= similar * F.col("size") - 1e-6), "node")
         named = checkpointed(torn(named))
         if named.isEmpty():
             break
         x = named.select("bucket", *[F.col(c).alias(f"x_{c}") for c in named.columns if c != "bucket"])
         y = named.select("bucket", *[F.col(c).alias(f"y_{c}") for c in named.columns if c != "bucket"])
         if last:
-            least = similar / (1 + similar) * (F.col("x_size") + F.col("y_size"))
+            least = similar / (1 + similar) * (F.col("x_size") + F.col("y_size")) - 1e-6
             other = (F.col("x_label") < F.col("y_label")) & (F.least("x_common", "y_common") >= least)
         else:
             y = y.filter(F.col("y_node") == F.col("y_hub"))
