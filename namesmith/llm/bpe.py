@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from namesmith.llm.common import table
 
 WORDS = 1 << 15  # distinct words in a query
-KNOWN = 300_000  # words a worker remembers; more are encoded again
+KNOWN = 600_000  # words a worker remembers; more are encoded again
 STEP = 512
 _coders: dict[str, "Coder"] = {}
 
@@ -26,15 +26,18 @@ ENCODE = """
 WITH RECURSIVE state(word, step, pos, token) AS (
   SELECT word, 0, pos, token FROM start
   UNION ALL
-  SELECT c.word, c.step + 1, c.pos, CASE WHEN c.pos = b.pos THEN b.merged ELSE c.token END
-  FROM (SELECT *, lag(pos) OVER (PARTITION BY word ORDER BY pos) AS before FROM state) c
+  SELECT c.word, c.step + 1, c.pos, CASE WHEN c.pos = b.best % 4294967296 THEN b.best // 4294967296 ELSE c.token END
+  FROM state c
   JOIN (
-    SELECT p.word, arg_min(p.pos, m.merged * 4294967296 + p.pos) AS pos, min(m.merged) AS merged
-    FROM (SELECT word, pos, token, lead(token) OVER (PARTITION BY word ORDER BY pos) AS follows FROM state) p
+    SELECT p.word, min(m.merged * 4294967296 + p.pos) AS best, arg_min(p.after, m.merged * 4294967296 + p.pos) AS gone
+    FROM (
+      SELECT word, pos, token, lead(token) OVER w AS follows, lead(pos) OVER w AS after
+      FROM state WINDOW w AS (PARTITION BY word ORDER BY pos)
+    ) p
     JOIN merges m ON m.a = p.token AND m.b = p.follows
     GROUP BY p.word
   ) b ON b.word = c.word
-  WHERE c.before IS NULL OR c.before <> b.pos
+  WHERE c.pos <> b.gone
 ),
 ends AS (SELECT word, max(step) AS step FROM state GROUP BY word)
 SELECT s.word, count(*) AS n, string_agg(s.token::VARCHAR, ' ' ORDER BY s.pos) AS ids, string_agg(v.hex, '' ORDER BY s.pos) AS hex
