@@ -130,7 +130,8 @@ def find(
     no span. Rows that repeat id and text are one document; a column named ``spans`` is replaced.
     """
     own = [c for c in df.columns if c != "spans"]
-    keyed = df.select(F.struct(*own).alias("_row"), *row_key(doc_id, text_of(text)), text_of(text).alias("_text"))
+    rest = [c for c in own if c != text]  # the text is written once
+    keyed = df.select(F.struct(F.lit(0).alias("_"), *rest).alias("_row"), *row_key(doc_id, text_of(text)), text_of(text).alias("_text"), F.col(text).isNull().alias("_null"))
     docs = checkpointed(base_spans(keyed, "_text"))
     distinct = docs.select("_id", "_h", "_text", "_base")
     terms = revealing(distinct, support, generalise)
@@ -146,17 +147,18 @@ def find(
     free = F.filter(F.col("_found"), lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     more = F.transform(free, lambda s: F.struct(F.when(gone(s), 5).otherwise(4).alias("k"), s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match")))
     more = F.array_sort(F.coalesce(more, F.array().cast(NO_SPANS)))
-    return _with_spans(docs, flagged.select("_id", "_h", more.alias("_more")), own)
+    return _with_spans(docs, flagged.select("_id", "_h", more.alias("_more")), own, text)
 
 
-def _with_spans(docs: DataFrame, more: DataFrame, own: list[str]) -> DataFrame:
+def _with_spans(docs: DataFrame, more: DataFrame, own: list[str], text: str) -> DataFrame:
     """Documents without a base span pass by; the others meet the spans of their terms."""
     hit = docs.filter(F.size("_base") > 0).join(more.dropDuplicates(["_id", "_h"]), ["_id", "_h"], "left")
     hit = hit.withColumn("_base", F.concat("_base", F.coalesce("_more", F.array().cast(NO_SPANS)))).select(*docs.columns)
     out = docs.filter(F.size("_base") == 0).unionByName(hit)
     names = F.array(*[F.lit(k) for k in (*KINDS, "term", "removed")])
     spans = F.transform("_base", lambda s: F.struct(F.get(names, s["k"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match")))
-    return out.select(*[F.col("_row")[c].alias(c) for c in own], spans.alias("spans"))
+    whole = F.when(~F.col("_null"), F.col("_text")).alias(text)
+    return out.select(*[whole if c == text else F.col("_row")[c].alias(c) for c in own], spans.alias("spans"))
 
 
 def sanitise(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
