@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from namesmith.llm.common import LOWEST, table, text_of
+from namesmith.session import checkpointed
 
 LEVELS = 3
 SIZE = 64
@@ -121,65 +122,87 @@ def fingerprint(df: DataFrame, text: str = "text", levels: int = LEVELS, size: i
     return df.withColumn("fingerprint", run(F.col(text)))
 
 
-def with_next(df: DataFrame, doc_id: str, text: str, rows: int = ROWS) -> DataFrame:
-    """Rows in blocks of consecutive ids, each block closed by a copy of the first row after it.
+SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
-    Columns ``_block``, ``_last`` (0, or 1 for such a copy), ``_id``, ``_text``. The text is
-    shuffled once. Blocks are ranges of ids as wide as holds ``rows`` ids on average; per block
-    there is one row in the steps that chain the blocks, and the block after the last is the first.
-    """
+
+def compared(rows: list[tuple[int, str]]) -> list[tuple]:
+    """A result row for each (id, text) but the last, which is only the next one of the row before."""
+    import hashlib
+
+    texts = [t for _, t in rows]
+    edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for t, n in zip(texts, texts[1:])]
+    own, other = fingerprints(texts), fingerprints(edited)
+    return [
+        (i, len(t), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), written(a), written(b), likeness(a, b), likeness(a, n))
+        for (i, t), e, a, b, n in zip(rows, edited, own, other, own[1:])
+    ]
+
+
+def blocks(df: DataFrame, doc_id: str, text: str, rows: int = ROWS) -> DataFrame:
+    """``_block``, ``_id`` and ``_text``: blocks are ranges of ids as wide as holds ``rows`` ids on average."""
     docs = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LOWEST)).alias("_id"), text_of(text).alias("_text"))
     n, low, high = docs.agg(F.count(F.lit(1)), F.min("_id"), F.max("_id")).first()
     width = max(1, (high - low + 1) * rows // n) if n else 1
-    docs = docs.withColumn("_block", F.floor((F.col("_id") - F.lit(low or 0).cast("decimal(20,0)")) / width).cast("long"))
-    firsts = docs.groupBy("_block").agg(F.min(F.struct("_id", F.xxhash64("_text").alias("h"))).alias("_first"))
-    # one row a block, in ranges of blocks so that no task holds them all
-    coarse = firsts.withColumn("_range", F.floor(F.col("_block") / 4096))
-    inside = Window.partitionBy("_range").orderBy("_block")
-    ranges = coarse.groupBy("_range").agg(F.max("_block").alias("_end"))
-    chain = Window.orderBy("_range")
-    ranges = ranges.select(F.col("_range").alias("_own"), F.coalesce(F.lag("_end").over(chain), F.lit(-1)).alias("_before"))
-    chained = coarse.withColumn("_to", F.lag("_block").over(inside)).join(ranges, F.col("_range") == F.col("_own"))
-    to = F.coalesce("_to", "_before")
-    last = firsts.agg(F.max("_block").alias("m")).first()["m"]
-    copies = chained.select(F.when(to < 0, F.lit(last)).otherwise(to).alias("_to"), "_first._id", F.col("_first.h").alias("_h"))
-    closing = docs.drop("_block").withColumn("_h", F.xxhash64("_text")).join(copies, ["_id", "_h"]).dropDuplicates(["_to"])
-    return docs.select("_block", F.lit(0).alias("_last"), "_id", "_text").unionByName(
-        closing.select(F.col("_to").alias("_block"), F.lit(1).alias("_last"), "_id", "_text")
-    )
+    place = F.floor((F.col("_id").cast("decimal(20,0)") - F.lit(low or 0)) / F.lit(width).cast("decimal(20,0)"))
+    return docs.withColumn("_block", place.cast("long"))
 
 
-SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+def next_block(found: DataFrame) -> DataFrame:
+    """(_block, _to): the block after each, the first after the last. Chained in ranges of blocks,
+    so that no task holds all; there is one row for every 4096 block numbers in the last step."""
+    coarse = found.withColumn("_range", F.floor(F.col("_block") / 4096))
+    ranges = coarse.groupBy("_range").agg(F.min("_block").alias("_first"))
+    after = ranges.select("_range", F.lead("_first").over(Window.orderBy("_range")).alias("_after"))
+    low = coarse.agg(F.min("_block").alias("_low"))  # one row
+    inside = F.lead("_block").over(Window.partitionBy("_range").orderBy("_block"))
+    chained = coarse.withColumn("_in", inside).join(after, "_range").crossJoin(F.broadcast(low))
+    return chained.select("_block", F.coalesce("_in", "_after", "_low").alias("_to"))
 
 
-def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprint of every document and of its edited text, whose second half is the start of the next document.
+def with_edits(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Each row's fingerprint, that of its edited text (second half from the next row's start), and likenesses.
 
-    Rows that repeat an id follow each other by a hash of their text. Null ids come first.
+    Rows follow each other by id, null first, then by a hash of the text; the first follows the
+    last. Texts are shuffled once, into blocks of consecutive ids; the first and last row of
+    each block are written out, and the last ones meet the first ones of the blocks after.
     """
-    import hashlib
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: list[tuple] = []  # the last row waits for its next one
-
-        def pairs(rows: list[tuple]) -> pd.DataFrame:
-            out = []
-            mine = [i for i in range(len(rows) - 1) if rows[i][1] == 0]  # the row after is of the same block
-            edited = [t[: len(t) - len(t) // 2] + rows[i + 1][3][: len(t) // 2] for i in mine for t in (rows[i][3],)]
-            own, other = fingerprints([r[3] for r in rows]), fingerprints(edited)
-            for i, text, e in zip(mine, edited, other):
-                sha = hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
-                out.append((rows[i][2], len(rows[i][3]), sha, written(own[i]), written(e), likeness(own[i], e), likeness(own[i], own[i + 1])))
-            return pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
-
+        names = [c.split()[0] for c in f"{SCHEMA}, _block long, _edge int, _text string".split(", ")]
+        kept: list[tuple[int, str]] = []
+        block = None
+        edge = lambda kind: (kept[0 if kind == 1 else -1][0], *[None] * 6, block, kind, kept[0 if kind == 1 else -1][1])
         for pdf in batches:
             for k in range(0, len(pdf), 256):
-                part = pdf.iloc[k : k + 256]
-                kept += zip(part["_block"], part["_last"], part["_id"], part["_text"])
-                yield pairs(kept)
-                kept = kept[-1:]
-
-    docs = with_next(table(spark, sf_dir, "documents"), "doc_id", "text")
-    order = docs.withColumn("_h", F.xxhash64("_text")).repartition("_block").sortWithinPartitions("_block", "_last", "_id", "_h").drop("_h")
-    out = order.mapInPandas(run, SCHEMA)
+                part, out = pdf.iloc[k : k + 256], []
+                for b, group in part.groupby("_block", sort=True):
+                    if b != block:
+                        out += [edge(2)] if kept else []
+                        block, kept = b, []
+                    fresh = not kept
+                    kept += zip(group["_id"], group["_text"])
+                    out += [edge(1)] if fresh else []
+                    out += [(*r, b, 0, None) for r in compared(kept)]
+                    kept = kept[-1:]
+                yield pd.DataFrame(out, columns=names)
+        if kept:
+            yield pd.DataFrame([edge(2)], columns=names)
+
+    def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [compared([(i, t), (0, n)])[0] for i, t, n in zip(pdf["doc_id"], pdf["_text"], pdf["_next"])]
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+
+    docs = blocks(df, doc_id, text).withColumn("_h", F.xxhash64("_text"))
+    order = docs.repartition("_block").sortWithinPartitions("_block", "_id", "_h").drop("_h")
+    found = checkpointed(order.mapInPandas(run, f"{SCHEMA}, _block long, _edge int, _text string"))
+    first = found.filter("_edge = 1")
+    starts = first.select(F.col("_block").alias("_to"), F.col("_text").alias("_next"))
+    ends = found.filter("_edge = 2").select("doc_id", "_block", "_text").join(next_block(first.select("_block")), "_block").join(starts, "_to")
+    out = found.filter("_edge = 0").drop("_block", "_edge", "_text").unionByName(ends.select("doc_id", "_text", "_next").mapInPandas(close, SCHEMA))
     return out.withColumn("doc_id", F.when(F.col("doc_id") != LOWEST, F.col("doc_id")))
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and of its edited text."""
+    return with_edits(table(spark, sf_dir, "documents"))
