@@ -139,12 +139,12 @@ def compared(rows: list[tuple[int, str]]) -> list[tuple]:
 
 
 def blocks(df: DataFrame, doc_id: str, text: str, rows: int = ROWS) -> DataFrame:
-    """``_block``, ``_id`` and ``_text``: blocks are ranges of ids as wide as holds ``rows`` ids on average."""
-    docs = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LOWEST)).alias("_id"), text_of(text).alias("_text"))
-    n, low, high = docs.agg(F.count(F.lit(1)), F.min("_id"), F.max("_id")).first()
-    width = max(1, (high - low + 1) * rows // n) if n else 1
-    place = F.floor((F.col("_id").cast("decimal(20,0)") - F.lit(low or 0)) / F.lit(width).cast("decimal(20,0)"))
-    return docs.withColumn("_block", place.cast("long"))
+    """``_block``, ``_id`` and ``_text``: blocks are ranges of ids as wide as holds ``rows`` ids on average; null ids have one of their own."""
+    docs = df.select(F.col(doc_id).cast("long").alias("_id"), text_of(text).alias("_text"))
+    n, low, high = docs.agg(F.count("_id"), F.min("_id"), F.max("_id")).first()
+    width = F.lit(str(max(1, (high - low + 1) * rows // n) if n else 1)).cast("decimal(38,0)")
+    place = F.floor((F.col("_id").cast("decimal(20,0)") - F.lit(low or 0)) / width).cast("long")
+    return docs.select(F.coalesce("_id", F.lit(LOWEST)).alias("_id"), "_text", F.coalesce(place, F.lit(-1)).alias("_block"))
 
 
 def next_block(found: DataFrame) -> DataFrame:
