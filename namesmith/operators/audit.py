@@ -97,7 +97,7 @@ _BLOCKS = r"(?=## \[이름 \d+\])"
 def frames_injected(text: Column, surname_strokes: Column, grade_map: Column) -> Column:
     """Computed frames per section, replacing the printed line or put after the flow line."""
     def number(block: Column, label: str) -> Column:
-        return extract(block, rf"{label} 글자\([^)]+\)[^,\n]+,\s*(\d+)획").cast("int")
+        return extract(block, rf"{label} 글자\([^)]+\)[^,\n]+,\s*(\d+)획").try_cast("int")
 
     def shown(name: str, n: Column) -> Column:
         grade = F.coalesce(F.try_element_at(grade_map, FR.wrapped(n).cast("int")), F.lit("?"))
@@ -297,7 +297,7 @@ DISCLAIMER = "\n\n---\n\n⚠️ 면책 고지: 추천 이름의 출생신고 가
 
 def finished(text: Column, query: Column) -> Column:
     """A note where fewer names came than were asked for, and the disclaimer once."""
-    asked = extract(query, r"(\d+)\s*개").cast("int")
+    asked = extract(query, r"(\d+)\s*개").try_cast("int")
     given = F.regexp_count(text, F.lit(r"## \[이름 \d+\]"))
     note = F.concat(F.lit("요청하신 "), asked, F.lit("개 중 수리·오행 조건에 부합하는 이름 "), given, F.lit("개를 추천드립니다.\n\n"))
     out = F.when((given > 0) & (given < asked), F.concat(note, text)).otherwise(text)

@@ -186,7 +186,7 @@ def verified_single_pools(sounds: DataFrame, pools: DataFrame) -> DataFrame:
 # -- samples ---------------------------------------------------------------------------------
 
 def requested_count(query: Column, default: int = 3) -> Column:
-    return F.coalesce(extract(query, r"(\d+)\s*개").cast("int"), F.lit(default))
+    return F.coalesce(extract(query, r"(\d+)\s*개").try_cast("int"), F.lit(default))
 
 
 def character_sample_size(query: Column) -> Column:

@@ -27,7 +27,7 @@ def judged(replies: DataFrame, raw: str, metrics: tuple[str, str, str]) -> DataF
     scores = [F.coalesce(s, F.lit("0")) for s in scores]
     good = F.col("_v").isNotNull() & numeric
     return replies.withColumn("_v", value).select(
-        *replies.columns, *[F.when(good, s.cast("double").cast("int")).otherwise(0).alias(m) for m, s in zip(metrics, scores)],
+        *replies.columns, *[F.when(good, s.cast("double").try_cast("int")).otherwise(0).alias(m) for m, s in zip(metrics, scores)],
         F.when(good, F.coalesce(F.element_at("_v", "reason"), F.lit(""))).otherwise("[평가 오류]").alias("reason"),
     )
 

@@ -217,7 +217,7 @@ def resolve_surnames(questions: DataFrame, dictionary: DataFrame, question_id: s
 
 def character_conditions(query: Column) -> tuple[Column, Column]:
     """(strokes, element) a question asks for, null where it does not."""
-    strokes = extract(query, r"(\d+)\s*획").cast("int")
+    strokes = extract(query, r"(\d+)\s*획").try_cast("int")
     element = E.normalized(extract(query, rf"([{E.LABELS_HANJA}{E.LABELS}])오행"))
     return strokes, element
 

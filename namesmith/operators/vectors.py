@@ -21,9 +21,9 @@ def _doubles(c: Column) -> Column:
 
 
 def distance(a: Column, b: Column, metric: str = "cosine") -> Column:
-    """1 - cosine, or the squared Euclidean distance."""
+    """1 - cosine (1 where a vector is zero), or the squared Euclidean distance."""
     if metric == "cosine":
-        return 1 - dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+        return 1 - F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b))), F.lit(0.0))
     if metric == "l2":
         return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
     raise ValueError(f"metric must be one of {METRICS}")

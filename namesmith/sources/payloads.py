@@ -63,7 +63,7 @@ def article_lookup(articles: DataFrame, keep: list[str], number: Column) -> Data
 
 def word_senses(df: DataFrame, payload: str, word: str, keep: list[str]) -> DataFrame:
     """Dictionary payload to one row per sense; no entry gives one failed row."""
-    total = F.coalesce(F.get_json_object(payload, "$.channel.total").cast("int"), F.lit(0))
+    total = F.coalesce(F.get_json_object(payload, "$.channel.total").try_cast("int"), F.lit(0))
     items = F.from_json(ensured_list(F.get_json_object(payload, "$.channel.item")), "ARRAY<MAP<STRING,STRING>>")
     code = F.get_json_object(payload, "$.error.error_code")
     status = F.when(F.get_json_object(payload, "$.error").isNotNull(), "api_error").when(total == 0, "failed").otherwise("ok")

@@ -87,7 +87,7 @@ def people_rows(df: DataFrame, raw: str, seq: str) -> DataFrame:
         .select(
             seq,
             nfkc(F.get("_c", F.lit(0))).alias("hanja"),
-            F.when(strokes.rlike(r"^-?[0-9]+(\.[0-9]+)?$"), strokes.cast("double").cast("int")).otherwise(0).alias("strokes"),
+            F.when(strokes.rlike(r"^-?[0-9]+(\.[0-9]+)?$"), strokes.cast("double").try_cast("int")).otherwise(0).alias("strokes"),
             F.coalesce(F.get(named, F.lit(0)), F.get(parts, F.lit(0)), F.lit("")).alias("sound_meaning"),
             F.coalesce(F.get("_c", F.lit(2)), F.lit("")).alias("resource_raw"),
             F.coalesce(F.get("_c", F.lit(5)), F.lit("")).alias("radical"),
@@ -126,7 +126,7 @@ def page_lines(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
             lambda b: F.transform(
                 F.split(F.regexp_replace(b, "\n$", ""), "\n"),
                 lambda line: F.struct(
-                    F.coalesce(extract(F.get(F.split(b, "\n"), F.lit(0)), mark, 1), F.lit("0")).cast("int").alias("page"),
+                    F.coalesce(extract(F.get(F.split(b, "\n"), F.lit(0)), mark, 1), F.lit("0")).try_cast("int").alias("page"),
                     F.coalesce(extract(F.get(F.split(b, "\n"), F.lit(0)), mark, 2), F.lit("")).alias("section"),
                     line.alias("line"),
                 ),

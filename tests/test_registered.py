@@ -3,11 +3,13 @@
 import pytest
 
 import __spark_entry__ as entry
+from namesmith.plans import all_areas
 from tests.compare import difference, duck
 
 SF = "/root/testdata/sf0.001"
-QUERIES = entry.queries()
-SQL = entry.oracle_sql()
+AREAS = all_areas()
+QUERIES = {n: f for a in AREAS for n, f in a.queries.items()}
+SQL = {n: q for a in AREAS for n, q in a.sql.items()}
 
 
 @pytest.fixture(scope="module")
