@@ -11,11 +11,16 @@ enumerated: all are compared with one hub, exactly, on their shingle sets; then,
 whose documents are not in one group yet, with a second hub; then those of different groups
 with each other, unless the shingles that they share with any other are too few for a pair. So a large group of near copies costs a multiple of its size, and no link
 between groups is left out. Exact copies are one node from the start.
+
+Four bits of every coordinate are kept beside the bands. Candidates that agree in so few
+coordinates that a pair at the threshold would do so once in ``RARE`` are not fetched. A pair
+meets in the least of the buckets that both have, and only there.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -32,6 +37,8 @@ WORDS = 5
 SIMILAR = 0.8
 BANDS, ROWS = 25, 5
 COORDINATES = BANDS * ROWS
+PLANES = 4  # bits kept of a coordinate
+RARE = 1e-7
 KNOWN = 300_000
 CELLS = 1 << 19
 POISSON = np.cumsum([np.exp(-1.0) / f for f in (1, 1, 2, 6, 24, 120, 720, 5040, 40320, 362880, 3628800, 39916800)])
@@ -116,26 +123,58 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], k: int = COORDINATES)
     return sig.reshape(-1, k)
 
 
-def bands(texts: list[str], weighted: bool = False) -> list[list[int]]:
-    """Bucket of each band; none for a wordless text. Without ``weighted`` each shingle weighs one."""
+def planes(sig: np.ndarray) -> np.ndarray:
+    """The lowest bits of the coordinates: two longs for each of ``PLANES`` bits."""
+    bits = sig[:, :, None] >> np.arange(PLANES, dtype=np.uint64) & np.uint64(1)
+    bits = np.pad(bits.transpose(0, 2, 1).astype(np.uint8), ((0, 0), (0, 0), (0, 128 - sig.shape[1])))
+    return np.packbits(bits, axis=2).reshape(len(sig), -1).view(np.int64)
+
+
+def least_agreeing(similar: float) -> int:
+    """Coordinates in which all but ``RARE`` of the pairs of similarity ``similar`` agree, as far as their planes show."""
+    p = similar + (1 - similar) / 2**PLANES
+    t, below = 0, (1 - p) ** COORDINATES
+    while below <= RARE and t < COORDINATES:
+        t += 1
+        below += comb(COORDINATES, t) * p**t * (1 - p) ** (COORDINATES - t)
+    return t
+
+
+def agreeing(x: Column, y: Column) -> Column:
+    """Number of coordinates whose planes are equal."""
+    differ = []
+    for half in (0, 1):
+        d = F.get(x, F.lit(half)).bitwiseXOR(F.get(y, F.lit(half)))
+        for p in range(1, PLANES):
+            d = d.bitwiseOR(F.get(x, F.lit(2 * p + half)).bitwiseXOR(F.get(y, F.lit(2 * p + half))))
+        differ.append(F.bit_count(d))
+    return F.lit(COORDINATES) - differ[0] - differ[1]
+
+
+def bands(texts: list[str], weighted: bool = False) -> tuple[list[list[int]], list[list[int]]]:
+    """Bucket of each band, and the planes; none for a wordless text. Without ``weighted`` each shingle weighs one."""
     sets = [shingles(t) for t in texts]
     sets = [(s, n if weighted else np.ones(len(s))) for s, n in sets]
     full = [i for i, (s, _) in enumerate(sets) if len(s)]
     out: list[list[int]] = [[] for _ in texts]
+    kept: list[list[int]] = [[] for _ in texts]
     lo = 0
     while lo < len(full):
         hi, cells = lo, 0
         while hi < len(full) and (hi == lo or cells < CELLS):
             cells += 1024 + 2 * len(sets[full[hi]][0])
             hi += 1
-        sig = signatures([sets[i] for i in full[lo:hi]]).reshape(hi - lo, BANDS, ROWS)
+        sig = signatures([sets[i] for i in full[lo:hi]])
+        for i, row in zip(full[lo:hi], planes(sig).tolist()):
+            kept[i] = row
+        sig = sig.reshape(hi - lo, BANDS, ROWS)
         b = np.tile(np.arange(BANDS, dtype=np.uint64), (hi - lo, 1))
         for r in range(ROWS):
             b = mix(b * M3 + sig[:, :, r])
         for i, row in zip(full[lo:hi], b.view(np.int64).tolist()):
             out[i] = row
         lo = hi
-    return out
+    return out, kept
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -143,9 +182,10 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if both else 0.0
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def bands_of(texts: pd.Series) -> pd.Series:
-    return pd.Series([b for k in range(0, len(texts), 512) for b in bands(list(texts[k : k + 512]))])
+@F.pandas_udf(T.StructType([T.StructField(c, T.ArrayType(T.LongType())) for c in ("bands", "planes")]))
+def bands_of(texts: pd.Series) -> pd.DataFrame:
+    parts = [bands(list(texts[k : k + 512])) for k in range(0, len(texts), 512)]
+    return pd.DataFrame({name: [x for part in parts for x in part[k]] for k, name in enumerate(("bands", "planes"))})
 
 
 def node_of(text: Column) -> Column:
@@ -192,6 +232,13 @@ def common(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     return checkpointed(cells.join(often, "shingle").groupBy("node", "size").agg(F.count(F.lit(1)).cast("int").alias("common")))
 
 
+def likely(pairs: DataFrame, signs: DataFrame, enough: int) -> DataFrame:
+    """The pairs (a, b) that agree in enough coordinates."""
+    side = lambda x: signs.select(F.col("node").alias(x), F.col("planes").alias(f"planes_{x}"))
+    rows = pairs.join(side("b"), "b").join(side("a"), "a")
+    return checkpointed(rows.filter(agreeing(F.col("planes_a"), F.col("planes_b")) >= enough).select("a", "b"))
+
+
 def ordered(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
@@ -208,12 +255,15 @@ def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: f
     Wordless texts have only exact copies. Repeated rows are copies of each other.
     """
     docs = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LOWEST)).alias("_id"), text_of(text).alias("_text"))
-    hashed = docs.select(node_of(F.col("_text")).alias("node"), bands_of("_text").alias("bands"))
-    seats = hashed.select("node", F.explode("bands").alias("bucket")).groupBy("bucket", "node").agg(F.count(F.lit(1)).alias("n"))
-    seats = checkpointed(seats.select("bucket", "node"))
+    hashed = docs.select(node_of(F.col("_text")).alias("node"), bands_of("_text").alias("s"))
+    hashed = hashed.groupBy("node").agg(F.first("s").alias("s")).select("node", "s.*")
+    hashed = checkpointed(hashed.filter(F.size("bands") > 0))
+    seats = hashed.select("node", F.explode(F.array_distinct("bands")).alias("bucket"))
     ends = seats.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("far")).filter(F.col("hub") != F.col("far"))
     shared = checkpointed(seats.join(ends.select("bucket", "hub"), "bucket"))
-    tested = checkpointed(shared.filter(F.col("node") != F.col("hub")).select(*ordered("node", "hub")).distinct())
+    signs = checkpointed(hashed.join(shared.select("node").distinct(), "node"))
+    enough = least_agreeing(similar)
+    tested = likely(shared.filter(F.col("node") != F.col("hub")).select(*ordered("node", "hub")).distinct(), signs, enough)
     texts = texts_of(docs, shared.select("node").distinct())
     edges = verified(tested, texts, similar)
     labels = components(edges)
@@ -225,15 +275,20 @@ def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: f
         named = checkpointed(torn(named))
         if named.isEmpty():
             break
+        if last:
+            named = named.join(signs, "node")
         x = named.select("bucket", *[F.col(c).alias(f"x_{c}") for c in named.columns if c != "bucket"])
         y = named.select("bucket", *[F.col(c).alias(f"y_{c}") for c in named.columns if c != "bucket"])
         if last:
             least = similar / (1 + similar) * (F.col("x_size") + F.col("y_size")) - 1e-6
             other = (F.col("x_label") < F.col("y_label")) & (F.least("x_common", "y_common") >= least)
+            other = other & (agreeing(x["x_planes"], y["y_planes"]) >= enough)
+            other = other & (x["bucket"] == F.array_min(F.array_intersect("x_bands", "y_bands")))
         else:
             y = y.filter(F.col("y_node") == F.col("y_hub"))
             other = F.col("x_label") != F.col("y_label")
-        pairs = x.join(y, (x["bucket"] == y["bucket"]) & other).select(*ordered("x_node", "y_node")).distinct()
+        pairs = x.join(y, (x["bucket"] == y["bucket"]) & other).select(*ordered("x_node", "y_node"))
+        pairs = pairs if last else likely(pairs.distinct(), signs, enough)
         pairs = checkpointed(pairs.join(tested, ["a", "b"], "left_anti"))
         tested = tested.unionByName(pairs)
         edges = checkpointed(edges.unionByName(verified(pairs, texts, similar)))

@@ -125,6 +125,20 @@ def test_weighted_signatures_follow_weighted_jaccard():
     assert abs((sig[0] == sig[1]).mean() - np.minimum(a, b).sum() / np.maximum(a, b).sum()) < 0.05
 
 
+def test_planes_count_equal_coordinates(spark):
+    from pyspark.sql import functions as F
+
+    words = [f"w{i}" for i in range(400)]
+    near = [w if i % 45 else "x" for i, w in enumerate(words)]
+    _, kept = neardup.bands([" ".join(words), " ".join(near), "", " ".join(words)])
+    row = spark.createDataFrame([tuple(kept)], "a array<long>, b array<long>, c array<long>, d array<long>")
+    got = row.select(neardup.agreeing(F.col("a"), F.col("b")), neardup.agreeing(F.col("a"), F.col("d"))).first()
+    sets = [neardup.shingles(" ".join(t))[0] for t in (words, near)]
+    assert kept[2] == [] and got[1] == neardup.COORDINATES
+    assert abs(got[0] / neardup.COORDINATES - neardup.jaccard(*sets)) < 0.15
+    assert 70 <= neardup.least_agreeing(0.8) <= 85 and neardup.least_agreeing(1.0) == neardup.COORDINATES
+
+
 def test_lines_match_brute_force(spark):
     seen, found, whole = {}, [], {}
     for i, t in texts(spark):
