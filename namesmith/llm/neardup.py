@@ -9,7 +9,8 @@ similarity, and only about k log k darts are thrown, however many elements there
 Equal signatures in a band put documents into a bucket. Within a bucket pairs are not
 enumerated: all are compared with one hub, exactly, on their shingle sets; then, in buckets
 whose documents are not in one group yet, with a second hub; then those of different groups
-with each other, unless the shingles that they share with any other are too few for a pair. So a large group of near copies costs a multiple of its size, and no link
+with each other, unless the shingles that they share with any other are too few for a pair or
+their rarest shingles are disjoint (both exact bounds). So a large group of near copies costs a multiple of its size, and no link
 between groups is left out. Exact copies are one node from the start.
 
 Four bits of every coordinate are kept beside the bands. Candidates that agree in so few
@@ -215,9 +216,14 @@ def verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
     return checkpointed(rows.mapInPandas(run, "a binary, b binary"))
 
 
-def common(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, size, common): a node's shingles, and those that another of ``nodes`` has too.
-    No pair of two nodes can have more shingles in common than either has with all others."""
+def prefixes(nodes: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+    """(node, size, common, prefix) of the nodes that can be in a pair with another of ``nodes``.
+
+    ``common`` counts the shingles that another node has too: no pair has more in common. With
+    shingles in order of rarity, two sets that are alike enough meet in the first
+    size - least + 1 of both, where ``least`` is what a partner of any size must share; ``prefix``
+    holds those of them that another node has. A document's shingles come together, as its text does.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -228,8 +234,12 @@ def common(nodes: DataFrame, texts: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"node": np.repeat(part["node"].to_numpy(), n), "size": np.repeat(n, n), "shingle": np.concatenate(sets).view(np.int64)})
 
     cells = texts.join(nodes, "node", "left_semi").mapInPandas(run, "node binary, size int, shingle long")
-    often = cells.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("shingle")
-    return checkpointed(cells.join(often, "shingle").groupBy("node", "size").agg(F.count(F.lit(1)).cast("int").alias("common")))
+    often = cells.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    rows = cells.join(often, "shingle").groupBy("node", "size").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("c"))
+    least = F.ceil(similar * F.col("size") - 1e-6).cast("int")
+    first = F.slice("c", F.lit(1), F.size("c") - least + 1)
+    rows = rows.filter(F.size("c") >= least).select("node", "size", F.size("c").alias("common"), F.transform(first, lambda x: x["shingle"]).alias("prefix"))
+    return checkpointed(rows)
 
 
 def likely(pairs: DataFrame, signs: DataFrame, enough: int) -> DataFrame:
@@ -270,19 +280,20 @@ def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: f
     for last in (False, True):
         named = shared.drop("hub").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         if last:  # a node with too few shingles that any other has is in no pair
-            may = common(checkpointed(torn(named)).select("node").distinct(), texts)
-            named = named.join(may.filter(F.col("common") >= similar * F.col("size") - 1e-6), "node")
+            may = prefixes(checkpointed(torn(named)).select("node").distinct(), texts, similar)
+            named = named.join(may.select("node"), "node", "left_semi")
         named = checkpointed(torn(named))
         if named.isEmpty():
             break
         if last:
-            named = named.join(signs, "node")
+            named = named.join(signs.join(may, "node"), "node")
         x = named.select("bucket", *[F.col(c).alias(f"x_{c}") for c in named.columns if c != "bucket"])
         y = named.select("bucket", *[F.col(c).alias(f"y_{c}") for c in named.columns if c != "bucket"])
         if last:
             least = similar / (1 + similar) * (F.col("x_size") + F.col("y_size")) - 1e-6
             other = (F.col("x_label") < F.col("y_label")) & (F.least("x_common", "y_common") >= least)
             other = other & (agreeing(x["x_planes"], y["y_planes"]) >= enough)
+            other = other & F.arrays_overlap("x_prefix", "y_prefix")
             other = other & (x["bucket"] == F.array_min(F.array_intersect("x_bands", "y_bands")))
         else:
             y = y.filter(F.col("y_node") == F.col("y_hub"))
