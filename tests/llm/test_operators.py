@@ -125,6 +125,29 @@ def test_weighted_signatures_follow_weighted_jaccard():
     assert abs((sig[0] == sig[1]).mean() - np.minimum(a, b).sum() / np.maximum(a, b).sum()) < 0.05
 
 
+def test_neardup_in_a_group_of_unequal_copies(spark):
+    """Copies with few to many edits, drawn from few words: most pairs lie around the threshold."""
+    import random
+
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(160):
+        words = list(base)
+        for _ in range(rng.randrange(6)):
+            words[rng.randrange(120)] = rng.choice("xy")
+        rows.append((i, " ".join(words)))
+    sets = [neardup.shingles(t)[0] for _, t in rows]
+    up = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if up[i] != up[j] and neardup.jaccard(sets[i], sets[j]) >= 0.8:
+                up = [min(up[i], up[j]) if u in (up[i], up[j]) else u for u in up]
+    got = neardup.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert {r.doc_id: r.class_id for r in got.collect()} == dict(enumerate(up))
+    assert len(set(up)) > 5
+
+
 def test_planes_count_equal_coordinates(spark):
     from pyspark.sql import functions as F
 
