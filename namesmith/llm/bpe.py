@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,35 +20,36 @@ from namesmith.llm.common import table
 
 WORDS = 1 << 15  # distinct words in a query
 KNOWN = 600_000  # words a worker remembers; more are encoded again
-STEP = 512
+STEP = 1024
 _coders: dict[str, "Coder"] = {}
 
+# A row is a token with its follower. A merged token takes the place of its right part, whose
+# follower stays right; the row before gets a new follower, and the left part's row ends.
 ENCODE = """
-WITH RECURSIVE state(word, step, pos, token) AS (
-  SELECT word, 0, pos, token FROM start
+WITH RECURSIVE state(word, step, pos, token, after, follows) AS (
+  SELECT word, 0, pos, token, lead(pos) OVER w, lead(token) OVER w FROM start WINDOW w AS (PARTITION BY word ORDER BY pos)
   UNION ALL
-  SELECT c.word, c.step + 1, c.pos, CASE WHEN c.pos = b.best % 4294967296 THEN b.best // 4294967296 ELSE c.token END
+  SELECT c.word, c.step + 1, c.pos,
+    CASE WHEN c.pos = b."right" THEN b.best // 4294967296 ELSE c.token END,
+    CASE WHEN c.after = b.best % 4294967296 THEN b."right" ELSE c.after END,
+    CASE WHEN c.after = b.best % 4294967296 THEN b.best // 4294967296 ELSE c.follows END
   FROM state c
   JOIN (
-    SELECT p.word, min(m.merged * 4294967296 + p.pos) AS best, arg_min(p.after, m.merged * 4294967296 + p.pos) AS gone
-    FROM (
-      SELECT word, pos, token, lead(token) OVER w AS follows, lead(pos) OVER w AS after
-      FROM state WINDOW w AS (PARTITION BY word ORDER BY pos)
-    ) p
-    JOIN merges m ON m.a = p.token AND m.b = p.follows
+    SELECT p.word, min(m.merged * 4294967296 + p.pos) AS best, arg_min(p.after, m.merged * 4294967296 + p.pos) AS "right"
+    FROM state p JOIN merges m ON m.a = p.token AND m.b = p.follows
     GROUP BY p.word
   ) b ON b.word = c.word
-  WHERE c.pos <> b.gone
+  WHERE c.pos <> b.best % 4294967296
 ),
 ends AS (SELECT word, max(step) AS step FROM state GROUP BY word)
-SELECT s.word, count(*) AS n, string_agg(s.token::VARCHAR, ' ' ORDER BY s.pos) AS ids, string_agg(v.hex, '' ORDER BY s.pos) AS hex
+SELECT s.word, string_agg(v.id, ' ' ORDER BY s.pos) AS ids, string_agg(v.hex, '' ORDER BY s.pos) AS hex
 FROM state s JOIN ends USING (word, step) JOIN vocab v ON v.token = s.token
 GROUP BY s.word
 """
 
 
 class Coder:
-    """Words to (number of ids, ids as text, decoded bytes) by a rank file."""
+    """Words to ids as text and to decoded bytes, by a rank file."""
 
     def __init__(self, path: str, pattern: str) -> None:
         import duckdb
@@ -56,48 +58,49 @@ class Coder:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.split = regex.compile(pattern).findall
-        self.known: dict[str, tuple[int, str, bytes]] = {}
+        self.ids: dict[str, str] = {}
+        self.decoded: dict[str, bytes] = {}
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
         merges = [
             (self.ranks[w[:k]], self.ranks[w[k:]], r)
             for w, r in self.ranks.items() for k in range(1, len(w)) if w[:k] in self.ranks and w[k:] in self.ranks
         ]
-        given = {"merges": pd.DataFrame(merges, columns=["a", "b", "merged"]), "vocab": pd.DataFrame([(r, w.hex()) for w, r in self.ranks.items()], columns=["token", "hex"])}
+        given = {"merges": pd.DataFrame(merges, columns=["a", "b", "merged"]), "vocab": pd.DataFrame([(r, str(r), w.hex()) for w, r in self.ranks.items()], columns=["token", "id", "hex"])}
         for name, frame in given.items():
             self.con.register("given", frame)
             self.con.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.con.unregister("given")
-        self.bytes = [self.ranks[bytes([i])] for i in range(256)]
+        self.bytes = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
 
     def learn(self, words: list[str]) -> None:
         """Words that are a token themselves stay whole; the others start as single bytes."""
-        at: list[int] = []
-        pos: list[int] = []
-        token: list[int] = []
-        for k, word in enumerate(words):
-            raw = word.encode("utf-8", "surrogatepass")
-            whole = self.ranks.get(raw)
-            ids = [self.bytes[c] for c in raw] if whole is None else [whole]
-            at += [k] * len(ids)
-            pos += range(len(ids))
-            token += ids
-        self.con.register("start", pd.DataFrame({"word": at, "pos": pos, "token": token}))
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        whole = np.array([self.ranks.get(r, -1) for r in raw], np.int64)
+        length = np.where(whole < 0, [len(r) for r in raw], 1)
+        first = np.cumsum(length) - length
+        token = self.bytes[np.frombuffer(b"".join([r if t < 0 else r[:1] for r, t in zip(raw, whole.tolist())]), np.uint8)]
+        token[first[whole >= 0]] = whole[whole >= 0]
+        at = np.repeat(np.arange(len(words)), length)
+        self.con.register("start", pd.DataFrame({"word": at, "pos": np.arange(len(at)) - first[at], "token": token}))
         got = self.con.execute(ENCODE).fetchall()
         self.con.unregister("start")
-        self.known.update((words[k], (n, ids, bytes.fromhex(h))) for k, n, ids, h in got)
+        for k, ids, h in got:
+            self.ids[words[k]] = ids
+            self.decoded[words[k]] = bytes.fromhex(h)
 
     def encode(self, texts: list[str]) -> list[tuple[int, str, bytes]]:
         split = [self.split(t) for t in texts]
-        new = list(set().union(*split) - self.known.keys())
-        if len(self.known) + len(new) > KNOWN:
-            self.known.clear()
+        new = list(set().union(*split) - self.ids.keys())
+        if len(self.ids) + len(new) > KNOWN:
+            self.ids.clear()
+            self.decoded.clear()
             new = list(set().union(*split))
         for k in range(0, len(new), WORDS):
             self.learn(new[k : k + WORDS])
         out = []
         for words in split:
-            got = [self.known[w] for w in words]
-            out.append((sum(g[0] for g in got), " ".join([g[1] for g in got]), b"".join([g[2] for g in got])))
+            ids = " ".join(map(self.ids.__getitem__, words))
+            out.append((ids.count(" ") + 1 if words else 0, ids, b"".join(map(self.decoded.__getitem__, words))))
         return out
 
 
