@@ -7,9 +7,10 @@ stays. Two documents agree in a coordinate with the probability of their weighte
 similarity, and only about k log k darts are thrown, however many elements there are.
 
 Equal signatures in a band put documents into a bucket. Within a bucket pairs are not
-enumerated: all are compared with one hub, exactly, on their shingle sets; then, in buckets
-whose documents are not in one group yet, with a second hub; then those of different groups
-with each other, unless the shingles that they share with any other are too few for a pair or
+enumerated: each document is compared with one hub, the least of its buckets', exactly, on
+shingle sets. Then, in buckets whose documents are not in one group yet, each of another group
+than its hub's meets one more hub, then all hubs of its buckets, then a second hub of each; then
+those of different groups meet each other, unless the shingles that they share with any other are too few for a pair or
 their rarest shingles are disjoint (both exact bounds). So a large group of near copies costs a multiple of its size, and no link
 between groups is left out. Exact copies are one node from the start.
 
@@ -253,9 +254,10 @@ def ordered(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def torn(named: DataFrame) -> DataFrame:
-    """Rows of the buckets whose nodes have several labels, with another hub of the bucket."""
-    ends = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by("node", F.xxhash64("node", "bucket")).alias("hub"))
+def torn(named: DataFrame, second: bool) -> DataFrame:
+    """Rows of the buckets whose nodes have several labels, with the least node as hub, or a second hub."""
+    hub = F.min_by("node", F.xxhash64("node", "bucket")) if second else F.min("node")
+    ends = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), hub.alias("hub"))
     return named.join(ends.filter(F.col("lo") != F.col("hi")).select("bucket", "hub"), "bucket")
 
 
@@ -273,16 +275,18 @@ def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: f
     shared = checkpointed(seats.join(ends.select("bucket", "hub"), "bucket"))
     signs = checkpointed(hashed.join(shared.select("node").distinct(), "node"))
     enough = least_agreeing(similar)
-    tested = likely(shared.filter(F.col("node") != F.col("hub")).select(*ordered("node", "hub")).distinct(), signs, enough)
+    least_hub = shared.filter(F.col("node") != F.col("hub")).groupBy("node").agg(F.min("hub").alias("hub"))
+    tested = likely(least_hub.select(*ordered("node", "hub")), signs, enough)
     texts = texts_of(docs, shared.select("node").distinct())
     edges = verified(tested, texts, similar)
     labels = components(edges)
-    for last in (False, True):
+    for step in ("one more", "all hubs", "second hub", "last"):
+        last = step == "last"
         named = shared.drop("hub").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         if last:  # a node with too few shingles that any other has is in no pair
-            may = prefixes(checkpointed(torn(named)).select("node").distinct(), texts, similar)
+            may = prefixes(checkpointed(torn(named, True)).select("node").distinct(), texts, similar)
             named = named.join(may.select("node"), "node", "left_semi")
-        named = checkpointed(torn(named))
+        named = checkpointed(torn(named, step in ("second hub", "last")))
         if named.isEmpty():
             break
         if last:
@@ -298,7 +302,10 @@ def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: f
         else:
             y = y.filter(F.col("y_node") == F.col("y_hub"))
             other = F.col("x_label") != F.col("y_label")
-        pairs = x.join(y, (x["bucket"] == y["bucket"]) & other).select(*ordered("x_node", "y_node"))
+        pairs = x.join(y, (x["bucket"] == y["bucket"]) & other)
+        if step == "one more":
+            pairs = pairs.groupBy("x_node").agg(F.max("y_node").alias("y_node"))
+        pairs = pairs.select(*ordered("x_node", "y_node"))
         pairs = pairs if last else likely(pairs.distinct(), signs, enough)
         pairs = checkpointed(pairs.join(tested, ["a", "b"], "left_anti"))
         tested = tested.unionByName(pairs)
