@@ -42,8 +42,8 @@ def character_facts(answers: DataFrame, answer_id: str, text: str, dictionary: D
 
 
 def dictionary_of(profiles: DataFrame, value: str, order: str) -> DataFrame:
-    """Last known value per character."""
-    usable = profiles.filter(F.col(value).isNotNull()).select("hanja", order, value)
+    """Last known value per character; a count of 0 and a blank reading are not known."""
+    usable = profiles.filter(~F.col(value).cast("string").isin("", "0")).select("hanja", order, value)
     return first_per_key(usable, ["hanja"], [order], last=True).select("hanja", value)
 
 
