@@ -3,8 +3,10 @@
 Every text is reduced to counts in its own row. Documents that pass the fixed rules get a
 vector of transformed statistics; per (language, source) the minimum covariance determinant
 estimate is found by concentration steps: take the half of the rows that lie nearest, refit
-mean and covariance, repeat. A document far from that estimate is rejected. All steps are
-aggregates over small vectors, so a hot source combines in each task before the shuffle.
+mean and covariance, repeat. The half's covariance is scaled to that of a normal cloud and
+shrunk towards its language: the language's robust variances are added to it. Statistics that
+are alike in more than half of a language's texts have no robust spread; they alone take a
+fixed one. A document far from the estimate is rejected. All steps are aggregates over small vectors, so a hot source combines in each task before the shuffle.
 """
 
 from __future__ import annotations
@@ -17,10 +19,11 @@ from namesmith.llm.common import SPACE, row_key, table, text_of, words_of
 from namesmith.session import checkpointed
 
 FEATURES = ("log_words", "mean_chars", "symbols", "dup_lines", "repeats", "upper")
-# Least standard deviations: what is no sign of poor text, however alike a group's texts are.
+# Deviations of statistics whose median deviation in the language is zero: no half of its rows gives a scale.
 FLOOR = (0.8, 0.5, 0.04, 0.12, 0.12, 0.08)
 STEPS = 3
 SHARE = 0.5
+CONSISTENT = 1.786  # covariance of a normal cloud in six dimensions over that of its nearest half
 FEW = 16
 LEAST = 30  # rows a group needs for an estimate of its own; smaller ones share one a language
 CUT = 45.0  # squared distance; beyond all but about one in ten million rows of a normal cloud in six dimensions
@@ -96,17 +99,17 @@ def vector() -> list[Column]:
     ]
 
 
-def _fit(rows: DataFrame, keys: list[str], floor: tuple[float, ...]) -> DataFrame:
-    """Mean and Cholesky factor of each group's covariance, raised by the floor: columns m0.., c00.."""
-    d = range(len(floor))
+def _fit(rows: DataFrame, keys: list[str], floors: DataFrame) -> DataFrame:
+    """Mean and Cholesky factor of each group's consistent covariance, raised by its floors f0..: columns m0.., c00.."""
+    d = range(len(FEATURES))
     x = [F.col(c) for c in FEATURES]
     out = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), *[F.avg(x[i]).alias(f"m{i}") for i in d],
         *[F.coalesce(F.covar_pop(x[i], x[j]), F.lit(0.0)).alias(f"s{i}{j}") for i in d for j in d if j <= i],
-    )
+    ).join(floors, keys)
     for i in d:
         for j in range(i + 1):
-            s = F.col(f"s{i}{j}") + (F.lit(floor[i] ** 2) if i == j else F.lit(0.0))
+            s = CONSISTENT * F.col(f"s{i}{j}") + (F.col(f"f{i}") ** 2 if i == j else F.lit(0.0))
             for k in range(j):
                 s = s - F.col(f"c{i}{k}") * F.col(f"c{j}{k}")
             out = out.withColumn(f"c{i}{j}", F.sqrt(F.greatest(s, F.lit(1e-9))) if i == j else s / F.col(f"c{j}{j}"))
@@ -126,6 +129,13 @@ def _distance(rows: DataFrame, fit: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*own, sum((F.col(f"z{i}") ** 2 for i in d), F.lit(0.0)).alias("_d"))
 
 
+def _spread(rows: DataFrame, key: str) -> DataFrame:
+    """Medians m0.. and scaled median deviations a0.. of each key, coordinate by coordinate."""
+    centre = rows.groupBy(key).agg(*[F.percentile_approx(c, 0.5, 1000).alias(f"m{i}") for i, c in enumerate(FEATURES)])
+    off = rows.join(centre, key).select(key, *[F.abs(F.col(c) - F.col(f"m{i}")).alias(c) for i, c in enumerate(FEATURES)])
+    return centre.join(off.groupBy(key).agg(*[(1.4826 * F.percentile_approx(c, 0.5, 1000)).alias(f"a{i}") for i, c in enumerate(FEATURES)]), key)
+
+
 def judge(
     df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", steps: int = STEPS, cut: float = CUT,
 ) -> DataFrame:
@@ -142,19 +152,19 @@ def judge(
     at = F.when(F.col("_rows") >= LEAST, F.concat_ws("\u0001", F.col("_lang"), F.col("_source"))).otherwise(F.col("_lang")).alias("_group")
     named = sizes.select("_lang", "_source", at)
     vec = [v.alias(n) for v, n in zip(vector(), FEATURES)]
-    points = checkpointed(good.select(doc_id, *BASE, "base_failed", "_lang", "_source", *vec).join(named, ["_lang", "_source"]).drop("_lang", "_source"))
+    points = checkpointed(good.select(doc_id, *BASE, "base_failed", "_lang", "_source", *vec).join(named, ["_lang", "_source"]).drop("_source"))
     only = points.select("_group", *FEATURES)
-    # start: medians and scaled median deviations, coordinate by coordinate
-    centre = only.groupBy("_group").agg(*[F.percentile_approx(c, 0.5, 1000).alias(f"m{i}") for i, c in enumerate(FEATURES)])
-    off = only.join(centre, "_group").select("_group", *[F.abs(F.col(c) - F.col(f"m{i}")).alias(c) for i, c in enumerate(FEATURES)])
-    spread = off.groupBy("_group").agg(*[F.percentile_approx(c, 0.5, 1000).alias(f"a{i}") for i, c in enumerate(FEATURES)])
+    floor = [F.when(F.col(f"a{i}") > 0, F.col(f"a{i}")).otherwise(FLOOR[i]).alias(f"f{i}") for i in range(len(FEATURES))]
+    groups = named.select("_lang", "_group").distinct()
+    floors = checkpointed(groups.join(_spread(points.select("_lang", *FEATURES), "_lang"), "_lang").select("_group", *floor))
+    # start: medians and scaled median deviations
     zero = [F.lit(0.0).alias(f"c{i}{j}") for i in range(len(FEATURES)) for j in range(i)]
-    scale = [F.sqrt((1.4826 * F.col(f"a{i}")) ** 2 + FLOOR[i] ** 2).alias(f"c{i}{i}") for i in range(len(FEATURES))]
-    fit = centre.join(spread, "_group").select("_group", *[f"m{i}" for i in range(len(FEATURES))], *scale, *zero)
+    scale = [F.sqrt(F.col(f"a{i}") ** 2 + F.col(f"f{i}") ** 2).alias(f"c{i}{i}") for i in range(len(FEATURES))]
+    fit = _spread(only, "_group").join(floors, "_group").select("_group", *[f"m{i}" for i in range(len(FEATURES))], *scale, *zero)
     for _ in range(steps):
         near = _distance(only, fit, ["_group"])
         half = near.groupBy("_group").agg(F.percentile_approx("_d", SHARE, 1000).alias("_h"))
-        fit = checkpointed(_fit(near.join(half, "_group").filter(F.col("_d") <= F.col("_h")), ["_group"], FLOOR))
+        fit = checkpointed(_fit(near.join(half, "_group").filter(F.col("_d") <= F.col("_h")), ["_group"], floors))
     far = _distance(points, fit.drop("_n"), ["_group"]).select(doc_id, *BASE, "base_failed", F.col("_d").alias("distance"))
     failed = rows.filter("base_failed").select(doc_id, *BASE, "base_failed", F.lit(None).cast("double").alias("distance"))
     return far.unionByName(failed).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cut, F.lit(True)))

@@ -212,6 +212,39 @@ def test_quality_rejects_labelled_junk_only(spark):
     assert all(r.kept == (r.quality == 1) for r in got)
 
 
+def test_quality_follows_the_spread_of_the_rows(spark):
+    """Distances are those of a brute-force estimate; many capitals are far from texts that have few."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(9)
+    rows = []
+    for i in range(160):
+        words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(rng.randrange(60, 240))]
+        words = [w.capitalize() if rng.random() < 0.1 else w for w in words]
+        if i < 5:
+            words = [w.upper() if rng.random() < 0.3 else w for w in words]
+        rows.append((i, " ".join(words), "xx", f"s{i % 2}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality.judge(df).collect()}
+    stats = quality.measured(df, "text", ("doc_id",)).select("doc_id", *[v.alias(n) for v, n in zip(quality.vector(), quality.FEATURES)])
+    at = {r[0]: r[1:] for r in stats.collect()}
+    middle = lambda v: np.sort(v, axis=0)[(len(v) + 1) // 2 - 1]
+    spread = lambda v: 1.4826 * middle(abs(v - middle(v)))
+    every = spread(np.array([at[i] for i in range(160)]))
+    floor = np.diag(np.where(every > 0, every, quality.FLOOR) ** 2)
+    for source in (0, 1):
+        x = np.array([at[i] for i in range(source, 160, 2)])
+        mean, cov = middle(x), np.diag(spread(x) ** 2) + floor
+        for step in range(quality.STEPS + 1):
+            d = np.einsum("ij,ij->i", (x - mean) @ np.linalg.inv(cov), x - mean)
+            half = x[d <= middle(d)]
+            mean, cov = half.mean(axis=0), quality.CONSISTENT * np.cov(half.T, bias=True) + floor
+        assert np.allclose([got[i].distance for i in range(source, 160, 2)], d, rtol=1e-6)
+    assert {i for i in got if not got[i].kept} == set(range(5))
+
+
 def test_scores_beat_the_base_on_held_out_texts(spark):
     got = scoring.op5_scores(spark, SF).filter("held_out").collect()
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
