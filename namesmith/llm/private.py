@@ -3,9 +3,9 @@
 Base spans (email, ip, card, phone) are found by patterns in their own row. What they hold is
 the set of protected entities. Over the whole corpus, documents are counted per term, per
 entity and per both; the pointwise mutual information of a term and an entity, as a share of
-the entity's information content, is the part of the entity that the term discloses. In a
-document that holds the entity, a term beyond ``REMOVE`` is removed and one beyond
-``GENERALISE`` is replaced by its general kind. An entity or pair counts only with support:
+the entity's information content, is the part of the entity that the term discloses. In
+every document, with or without the entity, a term that discloses more than ``REMOVE`` of any
+entity is removed and one beyond ``GENERALISE`` is replaced by its general kind. An entity or pair counts only with support:
 ``SUPPORT`` documents, and as many different neighbourhoods of the term there, so that copies
 of one passage are one witness.
 
@@ -98,8 +98,8 @@ def base_spans(df: DataFrame, text: str) -> DataFrame:
 
 
 def revealing(docs: DataFrame, support: int, generalise: float) -> DataFrame:
-    """(entity, term, share) of the terms that disclose at least ``generalise`` of an entity,
-    from documents with ``_id``, ``_h``, ``_text`` and ``_base``."""
+    """(term, share) of the terms that disclose at least ``generalise`` of an entity, the largest
+    share of each, from documents with ``_id``, ``_h``, ``_text`` and ``_base``."""
     hit = docs.filter(F.size("_base") > 0)
     held = hit.select("_id", "_h", F.explode(F.array_distinct(F.transform("_base", lambda s: s["match"]))).alias("entity"))
     entities = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).filter(F.col("n_e") >= support)
@@ -117,7 +117,8 @@ def revealing(docs: DataFrame, support: int, generalise: float) -> DataFrame:
     total = docs.agg(F.count(F.lit(1)).cast("double").alias("n"))  # one row
     share = F.log2(F.col("n_te") * F.col("n") / (F.col("n_t") * F.col("n_e"))) / F.log2(F.col("n") / F.col("n_e"))
     found = pairs.join(terms, "term").crossJoin(F.broadcast(total)).filter(F.col("n_e") < F.col("n"))
-    return found.select("entity", "term", share.alias("share")).filter(F.col("share") >= generalise)
+    found = found.select("term", share.alias("share")).filter(F.col("share") >= generalise)
+    return found.groupBy("term").agg(F.max("share").alias("share"))
 
 
 def find(
@@ -134,27 +135,19 @@ def find(
     keyed = df.select(F.struct(F.lit(0).alias("_"), *rest).alias("_row"), *row_key(doc_id, text_of(text)), text_of(text).alias("_text"), F.col(text).isNull().alias("_null"))
     docs = checkpointed(base_spans(keyed, "_text"))
     distinct = docs.select("_id", "_h", "_text", "_base")
-    terms = revealing(distinct, support, generalise)
-    hit = docs.filter(F.size("_base") > 0)
-    held = hit.select("_id", "_h", F.explode(F.array_distinct(F.transform("_base", lambda s: s["match"]))).alias("entity"))
-    flags = held.join(terms, "entity").groupBy("_id", "_h", "term").agg(F.max("share").alias("share"))
-    flags = flags.groupBy("_id", "_h").agg(F.array_sort(F.collect_list(F.struct("term", "share"))).alias("_terms"))
+    terms = checkpointed(revealing(distinct, support, generalise))  # its size is known below: no shuffle of all words where it is small
+    words = distinct.select("_id", "_h", F.explode(F.array_distinct(F.transform(words_of(F.col("_text")), F.lower))).alias("term"))
+    flags = words.join(terms, "term").groupBy("_id", "_h")
+    flags = checkpointed(flags.agg(F.array_sort(F.collect_set(F.struct("term", "share"))).alias("_terms")))
     quoted = F.transform("_terms", lambda t: F.regexp_replace(t["term"], r"([^\p{L}\p{N}])", r"\\$1"))
     pattern = F.concat(F.lit(rf"(?<![^{SPACE}])(?iu:"), F.array_join(quoted, "|"), F.lit(rf")(?![^{SPACE}])"))
-    flagged = computed_once(hit.join(flags, ["_id", "_h"]), {"_pattern": pattern})
+    flagged = computed_once(docs.join(flags, ["_id", "_h"], "left"), {"_pattern": F.when(F.col("_terms").isNotNull(), pattern)})
     flagged = layered(flagged, placed(F.col("_text"), F.col("_pattern"), "_found"))
     gone = lambda s: F.exists("_terms", lambda t: (t["term"] == F.lower(s["match"])) & (t["share"] >= remove))
     free = F.filter(F.col("_found"), lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     more = F.transform(free, lambda s: F.struct(F.when(gone(s), 5).otherwise(4).alias("k"), s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match")))
     more = F.array_sort(F.coalesce(more, F.array().cast(NO_SPANS)))
-    return _with_spans(docs, flagged.select("_id", "_h", more.alias("_more")), own, text)
-
-
-def _with_spans(docs: DataFrame, more: DataFrame, own: list[str], text: str) -> DataFrame:
-    """Documents without a base span pass by; the others meet the spans of their terms."""
-    hit = docs.filter(F.size("_base") > 0).join(more.dropDuplicates(["_id", "_h"]), ["_id", "_h"], "left")
-    hit = hit.withColumn("_base", F.concat("_base", F.coalesce("_more", F.array().cast(NO_SPANS)))).select(*docs.columns)
-    out = docs.filter(F.size("_base") == 0).unionByName(hit)
+    out = flagged.withColumn("_base", F.concat("_base", more))
     names = F.array(*[F.lit(k) for k in (*KINDS, "term", "removed")])
     spans = F.transform("_base", lambda s: F.struct(F.get(names, s["k"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match")))
     whole = F.when(~F.col("_null"), F.col("_text")).alias(text)

@@ -199,6 +199,17 @@ def test_private_terms_that_reveal(spark):
     assert "codename" in {s.match for s in spans} and "seen" not in {s.match for s in spans}
 
 
+def test_private_terms_are_replaced_in_every_document(spark):
+    rows = [(i, f"mail x@y.zz of captain{'' if i % 2 else ','} seen by person{i} codename walrus near place{i}") for i in range(6)]
+    rows += [(100 + i, f"the harbour was seen by person{i} near place{i}") for i in range(40)]
+    rows += [(200, "Codename heard without the address"), (200, "Codename heard without the address")]
+    got = private.find(frame(spark, rows))
+    spans = [r.spans for r in got.filter("doc_id = 200").collect()]
+    assert [[(s.kind, s.start, s.end, s.match) for s in x] for x in spans] == [[("term", 0, 8, "Codename")]] * 2
+    assert got.filter("doc_id >= 100 AND doc_id < 200 AND size(spans) > 0").count() == 0
+    assert [r.text for r in private.sanitise(frame(spark, rows)).filter("doc_id = 200").collect()] == ["<TERM> heard without the address"] * 2
+
+
 def test_language_held_out(spark):
     df = langid.op2_language(spark, "/root/testdata/sf0.01")
     truth = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
