@@ -30,7 +30,8 @@ class Coder:
     """Ids of texts by a byte-level tokenizer file, as little-endian bytes.
 
     Such a tokenizer encodes each match of its splitting pattern by itself, so the ids of a
-    match are asked for once and remembered. A file of another kind gets whole texts.
+    match are asked for once and remembered. Texts that hold an added token are encoded
+    whole, as these are cut out before the pattern. A file of another kind gets whole texts.
     """
 
     def __init__(self, path: str) -> None:
@@ -43,12 +44,12 @@ class Coder:
         import public_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         split = spec.get("pre_tokenizer") or {}
         plain = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
         self.split = regex.compile(public_tokenizers.PATTERN).findall if plain and not spec.get("normalizer") else None
+        self.added = [a["content"] for a in spec.get("added_tokens") or []]
         self.known: dict[str, bytes] = {}
 
     def fresh(self, texts: list[str]) -> list[bytes]:
@@ -57,6 +58,11 @@ class Coder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.split is None:
             return self.fresh(texts)
+        whole = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
+        if whole:
+            out = dict(zip(whole, self.fresh([texts[i] for i in whole])))
+            rest = iter(self.encode([t for i, t in enumerate(texts) if i not in out]))
+            return [out[i] if i in out else next(rest) for i in range(len(texts))]
         words = [self.split(t) for t in texts]
         new = list(set().union(*words) - self.known.keys())
         if len(self.known) + len(new) > KNOWN:

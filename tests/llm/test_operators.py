@@ -100,6 +100,17 @@ def test_packing_is_gapless_and_whole(spark):
         assert at <= 1024
 
 
+def test_packing_gives_added_tokens_their_id(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.tokenizer_path())
+    rows = ["a <|endoftext|> b", "a <|endoftext b", "<|endoftext|>", "plain words", "x<|endoftext|><|endoftext|>\n y"]
+    got = packing.pack(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), packing.tokenizer_path()).collect()
+    want = {i: [*t.encode(x, add_special_tokens=False).ids, 2] for i, x in enumerate(rows)}
+    assert {r.doc_id: [int.from_bytes(r.ids[k : k + 4], "little") for k in range(0, len(r.ids), 4)] for r in got} == want
+    assert want[0] == [64, 220, 50256, 275, 2]
+
+
 def test_neardup_matches_all_pairs(spark):
     rows = texts(spark)
     sets = {i: (lambda w: {tuple(w[k : k + min(5, len(w))]) for k in range(max(1, len(w) - 4))} if w else set())(WORD.findall(t)) for i, t in rows}
