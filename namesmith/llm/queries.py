@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from namesmith.llm import bpe, langid, lines, neardup, packing, parsing, private, quality, scoring, urls
+from namesmith.llm import bpe, decontam, divergence, langid, lines, neardup, packing, parsing, private, quality, scoring, tries, urls
 from namesmith.plans import Registry
 
 AREA = Registry()
@@ -17,4 +17,7 @@ AREA.add("op7_fingerprints")(parsing.op7_fingerprints)
 AREA.add("op8_bpe")(bpe.op8_bpe)
 AREA.add("op9_quality")(quality.op9_quality)
 AREA.add("op10_urls", urls.SQL)(urls.op10_urls)
+AREA.add("op11_divergence", divergence.SQL)(divergence.op11_divergence)
+AREA.add("op12_prefixes", tries.SQL)(tries.op12_prefixes)
+AREA.add("op13_decontamination", decontam.SQL)(decontam.op13_decontamination)
 AREA.add("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
