@@ -1,13 +1,11 @@
-"""Filtered vector top-k and upkeep of the collections it searches."""
+"""Distances of vectors and upkeep of the collections that are searched (``cells`` searches them)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from namesmith.functions import elements as E
-from namesmith.functions.order import first_per_key, top_per_key
-from namesmith.operators.lookups import MAX_LIMIT, safe_limit
+from namesmith.functions.order import first_per_key
 
 METRICS = ("cosine", "l2")
 
@@ -16,10 +14,6 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def _doubles(c: Column) -> Column:
-    return c.cast("array<double>")
-
-
 def distance(a: Column, b: Column, metric: str = "cosine") -> Column:
     """1 - cosine (1 where a vector is zero), or the squared Euclidean distance."""
     if metric == "cosine":
@@ -29,51 +23,6 @@ def distance(a: Column, b: Column, metric: str = "cosine") -> Column:
     raise ValueError(f"metric must be one of {METRICS}")
 
 
-def search(
-    queries: DataFrame, documents: DataFrame, condition: list[str], n_results: str = "n_results", metric: str = "cosine", columns: tuple[str, ...] = ()
-) -> DataFrame:
-    """Nearest documents of each query within its collection and under its conditions.
-
-    ``queries``: query_id, collection, vector, n_results and one column per condition, null
-    where the query does not ask for it; ``documents``: id, collection, embedding and the
-    condition columns. The collection (and every condition all queries of a group use)
-    is an equality, so only documents that can be answers meet a query, and each task
-    keeps 30 per query before the shuffle.
-
-    Queries are grouped by which conditions they use: one join per used subset.
-    """
-    docs = documents.select("id", "collection", *condition, *columns, _doubles(F.col("embedding")).alias("_d"))
-    asked = queries.withColumn("_q", _doubles(F.col("vector"))).drop("vector")
-    out = None
-    for mask in range(1 << len(condition)):
-        used = [c for i, c in enumerate(condition) if mask >> i & 1]
-        group = asked
-        for i, c in enumerate(condition):
-            group = group.filter(F.col(c).isNotNull() if mask >> i & 1 else F.col(c).isNull())
-        keep = group.select("query_id", "collection", F.col(n_results).alias("_n"), "_q", *used)
-        hits = docs.join(keep, ["collection", *used]).select(
-            "query_id", "_n", "id", *columns, F.round(distance(F.col("_q"), F.col("_d"), metric), 6).alias("distance")
-        )
-        out = hits if out is None else out.unionByName(hits)
-    best = top_per_key(out, ["query_id"], [F.col("distance"), F.col("id")], MAX_LIMIT)
-    return best.filter(F.col("rank") <= safe_limit(F.col("_n"))).drop("_n")
-
-
-def searched_by_chain(queries: DataFrame, documents: DataFrame, element: str, size: str, metric: str = "cosine") -> DataFrame:
-    """Two searches per query, one under each of the next two elements on the generating
-    chain, half the results each."""
-    code = E.code_of(F.col(element))
-    half = F.least(F.floor(F.col(size) / 2).cast("int"), F.lit(MAX_LIMIT))
-    parts = None
-    for step, name in ((1, "first"), (2, "second")):
-        asked = queries.select(
-            F.concat("query_id", F.lit(f":{name}")).alias("query_id"), "collection", "vector", half.alias("n_results"), E.label_of(F.pmod(code + step, F.lit(5))).alias("resource_ohaeng")
-        )
-        found = search(asked, documents, ["resource_ohaeng"], metric=metric)
-        parts = found if parts is None else parts.unionByName(found)
-    return parts.select(F.substring_index("query_id", ":", 1).alias("query_id"), F.substring_index("query_id", ":", -1).alias("part"), "rank", "id", "distance")
-
-
 # -- upkeep ------------------------------------------------------------------------------
 
 def recreate(df: DataFrame, path: str) -> None:

@@ -7,68 +7,81 @@ from pyspark.sql import functions as F
 
 from namesmith.functions import elements as E
 from namesmith.functions.text import char_of
+from namesmith.operators import cells as N
 from namesmith.operators import vectors as V
 from namesmith.plans import Registry
 from namesmith.plans import standins as S
 
 AREA = Registry()
 
-# Each label is a collection; the element is metadata. The first vector of each
-# (label, element) asks, so there are fifty queries at any scale.
+# Each label is a collection; element and strokes are metadata. Every hundredth vector asks.
 _E = S.label_sql("(vec_id + vec_id // 7) % 5")
-S.VIEWS["vectors"] = f"SELECT vec_id AS id, label AS collection, {_E} AS resource_ohaeng, CAST(embedding AS DOUBLE[]) AS v FROM embeddings"
-S.VIEWS["vector_queries"] = """SELECT CAST(collection AS VARCHAR) || '/' || resource_ohaeng AS query_id, collection, CASE WHEN strpos('목화토', resource_ohaeng) > 0 THEN resource_ohaeng END AS cond,
-    resource_ohaeng AS own, CAST(3 + collection * 4 AS INT) AS n_results, v FROM vectors WHERE id IN (SELECT min(id) FROM vectors GROUP BY collection, resource_ohaeng)"""
+S.VIEWS["vectors"] = f"SELECT vec_id AS id, label AS collection, {_E} AS resource_ohaeng, CAST(vec_id // 5 % 3 + 1 AS INT) AS strokes, CAST(embedding AS DOUBLE[]) AS v FROM embeddings"
+S.VIEWS["vector_queries"] = """SELECT id AS query_id, collection, CASE WHEN strpos('목화토', resource_ohaeng) > 0 THEN resource_ohaeng END AS cond, CASE WHEN id // 100 % 2 = 1 THEN strokes END AS lines,
+    CASE WHEN id // 100 % 5 < 4 THEN resource_ohaeng END AS own, id // 100 % 3 = 1 AS single, CAST(3 + id // 100 % 13 * 4 AS INT) AS n_results, v FROM vectors WHERE id % 100 = 0"""
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("vec_id")
     return S.table(spark, sf_dir, "embeddings").select(
-        key.alias("id"), F.col("label").alias("collection"), E.label_of((key + F.floor(key / 7)) % 5).alias("resource_ohaeng"), "embedding"
+        key.alias("id"), F.col("label").alias("collection"), E.label_of((key + F.floor(key / 7)) % 5).alias("resource_ohaeng"), (F.floor(key / 5) % 3 + 1).cast("int").alias("strokes"), "embedding"
     )
 
 
 def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = vectors(spark, sf_dir).groupBy("collection", "resource_ohaeng").agg(F.min_by("embedding", "id").alias("vector"))
-    return first.select(
-        F.concat_ws("/", F.col("collection").cast("string"), "resource_ohaeng").alias("query_id"), "collection", F.col("resource_ohaeng").alias("own"),
-        F.when(F.col("resource_ohaeng").isin("목", "화", "토"), F.col("resource_ohaeng")).alias("resource_ohaeng"), (F.col("collection") * 4 + 3).cast("int").alias("n_results"), "vector",
+    step, own = F.floor(F.col("id") / 100), F.col("resource_ohaeng")
+    return vectors(spark, sf_dir).filter(F.col("id") % 100 == 0).select(
+        F.col("id").cast("string").alias("query_id"), "collection", F.when(step % 5 < 4, own).alias("own"), F.when(own.isin("목", "화", "토"), own).alias("resource_ohaeng"),
+        F.when(step % 2 == 1, F.col("strokes")).alias("strokes"), (step % 3 == 1).alias("single"), (step % 13 * 4 + 3).cast("int").alias("n_results"), F.col("embedding").alias("vector"),
     )
 
 
-_COS = "round(1 - list_dot_product(q.v, d.v) / sqrt(list_dot_product(q.v, q.v) * list_dot_product(d.v, d.v)), 6)"
-_L2 = "round(list_sum(list_transform(list_zip(q.v, d.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 6)"
+_COS = "1 - list_dot_product(q.v, d.v) / sqrt(list_dot_product(q.v, q.v) * list_dot_product(d.v, d.v))"
+_L2 = "list_sum(list_transform(list_zip(q.v, d.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
 
 
 def _search_sql(dist: str) -> str:
     return S.with_views(
         "vectors", "vector_queries",
-        r=f"""SELECT q.query_id, n_results, d.id, {dist} AS distance FROM vector_queries q JOIN vectors d ON d.collection = q.collection AND (q.cond IS NULL OR d.resource_ohaeng = q.cond)""",
+        r=f"""SELECT q.query_id, n_results, d.id, {dist} AS distance FROM vector_queries q JOIN vectors d ON d.collection = q.collection
+          AND (q.cond IS NULL OR d.resource_ohaeng = q.cond) AND (q.lines IS NULL OR d.strokes = q.lines)""",
         k="SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM r",
-        body="SELECT query_id, CAST(rank AS INT) AS rank, id, distance FROM k WHERE rank <= greatest(1, least(n_results, 30))",
+        body="SELECT query_id, CAST(rank AS INT) AS rank, id, round(distance, 6) AS distance FROM k WHERE rank <= greatest(1, least(n_results, 30))",
     )
 
 
+CONDITIONS = ["resource_ohaeng", "strokes"]
+
+
+def _found(spark: SparkSession, sf_dir: str, metric: str) -> DataFrame:
+    found = N.search(vector_queries(spark, sf_dir), vectors(spark, sf_dir), CONDITIONS, metric=metric)
+    return found.select(F.col("query_id").cast("long").alias("query_id"), "rank", "id", F.round("distance", 6).alias("distance"))
+
+
 @AREA.add("v1_filtered_search", _search_sql(_COS))
 def v1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.search(vector_queries(spark, sf_dir), vectors(spark, sf_dir), ["resource_ohaeng"]).select("query_id", "rank", "id", "distance")
+    return _found(spark, sf_dir, "cosine")
 
 
 @AREA.add("v2_euclidean_search", _search_sql(_L2))
 def v2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.search(vector_queries(spark, sf_dir), vectors(spark, sf_dir), ["resource_ohaeng"], metric="l2").select("query_id", "rank", "id", "distance")
+    return _found(spark, sf_dir, "l2")
 
 
 @AREA.add(
     "g8_chain_search",
     S.with_views("vectors", "vector_queries",
-      r=f"""SELECT q.query_id, s, n_results, d.id, {_COS} AS distance FROM vector_queries q, (VALUES (1), (2)) AS t(s) JOIN vectors d ON d.collection = q.collection
-        AND strpos('목화토금수', d.resource_ohaeng) - 1 = (strpos('목화토금수', q.own) - 1 + s) % 5""",
-      k="SELECT *, row_number() OVER (PARTITION BY query_id, s ORDER BY distance, id) AS rank FROM r",
-      body="SELECT query_id, CASE s WHEN 1 THEN 'first' ELSE 'second' END AS part, CAST(rank AS INT) AS rank, id, distance FROM k WHERE rank <= greatest(1, least(n_results // 2, 30))"),
+      parts="""SELECT *, CASE WHEN own IS NULL THEN 'own' WHEN s = 1 THEN 'first' ELSE 'second' END AS part, strpos('목화토금수', own) - 1 AS e, CASE WHEN own IS NULL OR single THEN n_results ELSE n_results // 2 END AS n
+        FROM vector_queries, (VALUES (1), (2)) AS t(s) WHERE s = 1 OR own IS NOT NULL AND NOT single""",
+      r=f"""SELECT q.query_id, part, n, d.id, {_COS} AS distance FROM parts q JOIN vectors d ON d.collection = q.collection AND (lines IS NULL OR d.strokes = lines)
+        AND CASE WHEN own IS NULL THEN cond IS NULL OR d.resource_ohaeng = cond ELSE strpos('목화토금수', d.resource_ohaeng) - 1 = (e + s) % 5 END""",
+      k="SELECT *, row_number() OVER (PARTITION BY query_id, part ORDER BY distance, id) AS rank FROM r",
+      body="SELECT query_id, part, CAST(rank AS INT) AS rank, id, round(distance, 6) AS distance FROM k WHERE rank <= greatest(1, least(n, 30))"),
 )
 def g8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.searched_by_chain(vector_queries(spark, sf_dir), vectors(spark, sf_dir), "own", "n_results")
+    index = N.build_cells(vectors(spark, sf_dir), CONDITIONS)
+    found = N.searched_by_chain(vector_queries(spark, sf_dir), index, "own", "n_results", "single")
+    return found.select(F.col("query_id").cast("long").alias("query_id"), "part", "rank", "id", F.round("distance", 6).alias("distance"))
 
 
 # The text collections: one row per document, page, benchmark item and character.
