@@ -35,46 +35,70 @@ def _key(columns: list[Column]) -> Column:
     return F.concat_ws("\u0001", *[F.coalesce(c.cast("string"), F.lit("\u0002")) for c in columns])
 
 
+def _subset_keys(columns: list[Column]) -> Column:
+    """(mask, key) of a row for each subset of its conditions but the empty one."""
+    keys = [_key([c if m >> i & 1 else F.lit(None) for i, c in enumerate(columns)]) for m in range(1, 1 << len(columns))]
+    return F.array(*[F.struct(F.lit(m).alias("_mask"), k.alias("_key")) for m, k in enumerate(keys, 1)])
+
+
+def _pieces(text: Column, single: bool) -> Column:
+    """Distinct pairs of neighbouring characters; with ``single`` also the characters, without it only where there is no pair."""
+    chars = F.split(text, "")
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(2)))
+    return F.array_distinct(F.concat(chars, pairs) if single else F.when(F.length(text) > 1, pairs).otherwise(chars))
+
+
+def containing(words: DataFrame, word: str, rows: DataFrame, text: str, ids: list[str]) -> DataFrame:
+    """(word, ids) for each distinct word and each row whose text contains it. Words are not empty.
+
+    An inverted index of neighbouring characters, cut to those the words have: a word meets only
+    rows with its rarest pair, and ``contains`` is asked of those alone. Only ids are exploded.
+    """
+    asked = words.select(word).distinct().select(word, F.explode(_pieces(F.col(word), False)).alias("_pair"))
+    texts = rows.select(*ids, text).filter(F.col(text) != "").dropDuplicates(ids)
+    index = texts.select(*ids, F.explode(_pieces(F.col(text), True)).alias("_pair")).join(asked.select("_pair").distinct(), "_pair", "left_semi")
+    sizes = index.groupBy("_pair").agg(F.count(F.lit(1)).alias("_n"))
+    # a word with a pair that no row has is contained in none
+    rarest = asked.join(sizes, "_pair", "left").groupBy(word).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("_n"), "_pair")).alias("_r"))
+    rarest = rarest.filter("_r._n > 0").select(word, F.col("_r._pair").alias("_pair"))
+    return rarest.join(index, "_pair").join(texts, ids).filter(F.col(text).contains(F.col(word))).select(word, *ids)
+
+
 def optional_match(
     requests: DataFrame, rows: DataFrame, conditions: list[str], order: str, limit: str, contains: tuple[str, str] | None = None
 ) -> DataFrame:
     """First rows of each request under those of its conditions that are not null.
 
     ``p IS NULL OR column = p`` for every p would be a nested loop. Instead each row is
-    keyed once per subset of conditions, and requests look up the one key they stand for.
-    Rows are ranked per key before the join and cut to the largest limit there can be, so
-    neither a frequent value nor a frequent request is expanded. ``contains`` names a
-    (request column, row column) substring condition; it is answered once per distinct
-    (key, keyword).
+    keyed once per subset of conditions that is asked for, and requests look up the one key
+    they stand for. Only ids go through that explosion, and they are ranked per key and cut to
+    the largest limit there can be, so neither a frequent value nor a frequent request is
+    expanded. ``contains`` names a (request column, row column) substring condition; rows of a
+    keyword come from ``containing`` and are keyed like the others, if other conditions hold.
 
     Requests without any condition get no rows. Conditions have equal names on both sides.
     """
     asked = [F.col(c) for c in conditions]
     word = F.lit("") if contains is None else F.coalesce(contains[0], F.lit(""))
     keyed_requests = computed_once(requests, {"_mask": _mask(asked), "_key": _key(asked), "_word": word})
-    subsets = F.array(
-        *[
-            F.struct(
-                F.lit(m).alias("_mask"),
-                _key([F.col(c) if m >> i & 1 else F.lit(None) for i, c in enumerate(conditions)]).alias("_key"),
-            )
-            for m in range(1 << len(conditions))
-        ]
-    )
-    keyed_rows = rows.select(F.struct(*rows.columns).alias("_row"), F.col(order).alias("_order"), F.explode(subsets).alias("_s")).select(
-        "_row", "_order", "_s.*"
-    )
-    by = [F.col("_order")]
-    # '' stands for no keyword; the subset without conditions needs one
-    answers = top_per_key(keyed_rows.filter("_mask > 0"), ["_mask", "_key"], by, MAX_LIMIT, "rank").withColumn("_word", F.lit(""))
+    ids = ["_order", "_h"]
+    known = rows.withColumn("_order", F.col(order)).withColumn("_h", F.xxhash64(*rows.columns))
+    wanted = keyed_requests.select("_mask", "_key", "_word").distinct()
+    keyed = known.select(*ids, F.explode(_subset_keys(asked)).alias("_s")).select(*ids, "_s.*")
+    plain = wanted.filter("_word = '' AND _mask > 0").select("_mask", "_key")
+    by = [F.col(c) for c in ids]
+    answers = top_per_key(keyed.join(plain, ["_mask", "_key"], "left_semi"), ["_mask", "_key"], by, MAX_LIMIT, "rank").withColumn("_word", F.lit(""))
     if contains is not None:
-        words = keyed_requests.filter("_word <> ''").select("_mask", "_key", "_word").distinct()
-        found = words.join(keyed_rows, ["_mask", "_key"]).filter(F.col(f"_row.{contains[1]}").contains(F.col("_word")))
-        ranked = top_per_key(found, ["_mask", "_key", "_word"], by, MAX_LIMIT, "rank")
-        answers = answers.unionByName(ranked.select(*answers.columns))
+        found = containing(wanted.filter("_word <> ''"), "_word", known, contains[1], ids)
+        alone = F.array(F.struct(F.lit(0).alias("_mask"), _key([F.lit(None) for _ in conditions]).alias("_key")))
+        own = known.select(*ids, *conditions)
+        found = found.join(own, ids).select(*ids, "_word", F.explode(F.concat(alone, _subset_keys(asked))).alias("_s")).select(*ids, "_word", "_s.*")
+        found = found.join(wanted, ["_mask", "_key", "_word"], "left_semi")
+        answers = answers.unionByName(top_per_key(found, ["_mask", "_key", "_word"], by, MAX_LIMIT, "rank").select(*answers.columns))
     own = [F.col(c) for c in requests.columns if c not in conditions and (contains is None or c != contains[0])]
     hits = keyed_requests.join(answers, ["_mask", "_key", "_word"]).filter(F.col("rank") <= safe_limit(F.col(limit)))
-    return hits.select(*own, "rank", "_row.*")
+    full = known.select(*ids, F.struct(*rows.columns).alias("_row")).dropDuplicates(ids)
+    return hits.join(full, ids).select(*own, "rank", "_row.*")
 
 
 def lookup_characters(requests: DataFrame, profiles: DataFrame) -> DataFrame:

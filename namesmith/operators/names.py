@@ -16,30 +16,26 @@ from namesmith.functions import frames as FR
 from namesmith.functions.order import top_per_key
 from namesmith.session import checkpointed
 
-PER_POOL = 5
 PER_SURNAME = 10
 
 
-def character_pool(chars: DataFrame, per_pool: int = PER_POOL) -> DataFrame:
-    """First ``per_pool`` permitted characters by id per reading and element."""
-    permitted = chars.filter("is_person_name_hanja").withColumn("e", E.code_of(F.col("resource_ohaeng")))
-    return top_per_key(permitted, ["hangul", "e"], [F.col("profile_id")], per_pool, "_r").drop("_r")
+def character_classes(permitted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Classes (e, strokes) with ``n`` members, ``m`` at most of one reading and ``d`` at most of one
+    character; and ``k``, the members of each class by reading."""
+    cls = ["e", "strokes"]
+    readings = checkpointed(permitted.groupBy(*cls, "hangul").agg(F.count(F.lit(1)).alias("k")))
+    repeats = permitted.groupBy(*cls, "hanja").agg(F.count(F.lit(1)).alias("k")).groupBy(*cls).agg(F.max("k").alias("d"))
+    classes = readings.groupBy(*cls).agg(F.sum("k").alias("n"), F.max("k").alias("m")).join(repeats, cls)
+    return checkpointed(classes), readings
 
 
-def _class_pairs(surnames: DataFrame, pool: DataFrame, grades: DataFrame, limit: int) -> DataFrame:
+def _class_pairs(surnames: DataFrame, classes: DataFrame, grades: DataFrame, limit: int) -> DataFrame:
     """Scored (surname class, first class, second class) triples without a clash or a worst
     grade, as far down the ranking as any surname reading can need.
 
-    ``m`` is the most members of a class that share a reading and ``d`` the most that share
-    a character, so a pair surely yields (n1 - m1) * (n2 - m2 - d2) names for any reading.
+    A pair surely yields (n1 - m1) * (n2 - m2 - d2) names for any reading.
     """
-    spark = pool.sparkSession
-    classes = pool.groupBy("e", "strokes").agg(F.count(F.lit(1)).alias("n"))
-    repeats = pool.groupBy("e", "strokes", "hanja").agg(F.count(F.lit(1)).alias("k"))
-    readings = pool.groupBy("e", "strokes", "hangul").agg(F.count(F.lit(1)).alias("k"))
-    for df, name in ((repeats, "d"), (readings, "m")):
-        classes = classes.join(df.groupBy("e", "strokes").agg(F.max("k").alias(name)), ["e", "strokes"])
-    allowed = F.broadcast(E.relation_table(spark).filter("relation <> '상극'").select("src", "dst"))
+    allowed = F.broadcast(E.relation_table(classes.sparkSession).filter("relation <> '상극'").select("src", "dst"))
     first = classes.select(F.col("e").alias("e1"), F.col("strokes").alias("s1"), F.col("n").alias("n1"), F.col("m").alias("m1"))
     second = classes.select(
         F.col("e").alias("e2"), F.col("strokes").alias("s2"), F.col("n").alias("n2"), F.col("d").alias("d2"), F.col("m").alias("m2")
@@ -68,26 +64,24 @@ def _needed(pairs: DataFrame, kind: list[str], limit: int) -> DataFrame:
     return pairs.join(kept.select(*kind, *rank), [*kind, *rank])
 
 
-def best_two_character_names(
-    surnames: DataFrame, chars: DataFrame, grades: DataFrame, limit: int = PER_SURNAME, per_pool: int = PER_POOL
-) -> DataFrame:
-    """``limit`` names per surname: most good frames first, then strokes, then ids.
+def best_two_character_names(surnames: DataFrame, chars: DataFrame, grades: DataFrame, limit: int = PER_SURNAME) -> DataFrame:
+    """``limit`` names per surname out of all permitted characters: most good frames first, then
+    strokes, then ids.
 
     No clash between neighbouring elements, no reading equal to the surname's, never
     the same character twice, no worst grade on the first three frames.
     """
-    # a few rows per reading and element; six steps below read it
-    pool = checkpointed(character_pool(chars, per_pool))
+    permitted = chars.filter("is_person_name_hanja").select("profile_id", "hangul", "hanja", "strokes", E.code_of(F.col("resource_ohaeng")).alias("e"))
+    classes, readings = character_classes(permitted)
     kinds = surnames.select(
         F.col("hangul").alias("r"), E.code_of(F.col("resource_ohaeng")).alias("se"), F.col("strokes").alias("ss")
     ).distinct()
-    pairs = checkpointed(_class_pairs(kinds, pool, grades, limit))
+    pairs = checkpointed(_class_pairs(kinds, classes, grades, limit))
 
     # How many names each class pair surely yields for a surname reading: members with
     # that reading are out, and a first character meets at most d2 copies of itself.
-    by_reading = pool.groupBy("e", "strokes", F.col("hangul").alias("r")).agg(F.count(F.lit(1)).alias("x"))
-    x1 = by_reading.select(F.col("e").alias("e1"), F.col("strokes").alias("s1"), "r", F.col("x").alias("x1"))
-    x2 = by_reading.select(F.col("e").alias("e2"), F.col("strokes").alias("s2"), "r", F.col("x").alias("x2"))
+    x1 = readings.select(F.col("e").alias("e1"), F.col("strokes").alias("s1"), F.col("hangul").alias("r"), F.col("k").alias("x1"))
+    x2 = readings.select(F.col("e").alias("e2"), F.col("strokes").alias("s2"), F.col("hangul").alias("r"), F.col("k").alias("x2"))
     sure = (
         kinds.join(pairs.drop("sure"), ["se", "ss"])
         .join(x1, ["e1", "s1", "r"], "left")
@@ -98,28 +92,26 @@ def best_two_character_names(
         .withColumn("sure", F.col("left1") * F.greatest(F.col("left2") - F.col("d2"), F.lit(0)))
     )
     kind = ["r", "se", "ss"]
-    kept = _needed(sure, kind, limit).select(
-        *kind, "e1", "s1", "e2", "s2", "good", "d2", "won", "won_g", "hyung", "hyung_g", "yi", "yi_g", "jung", "jung_g"
-    )
-
-    # A reading has at most per_pool members in a class, so this many ids always suffice.
-    in_class = Window.partitionBy("e", "strokes").orderBy("profile_id")
-    members = pool.withColumn("_m", F.row_number().over(in_class))
+    kept = checkpointed(_needed(sure, kind, limit).select(
+        *kind, "e1", "s1", "e2", "s2", "good", "won", "won_g", "hyung", "hyung_g", "yi", "yi_g", "jung", "jung_g"
+    ))
+
+    # The members a class pair needs of a class: as many as names are wanted, and as many more as copies of
+    # one character can fall away. They are among the first so many of each reading, whatever reading is out.
+    enough = limit + (classes.agg(F.max("d")).first()[0] or 0)
+    heads = top_per_key(permitted, ["e", "strokes", "hangul"], [F.col("profile_id")], enough, "_m").drop("_m")
+    places = [kept.select("r", F.col(f"e{i}").alias("e"), F.col(f"s{i}").alias("strokes")) for i in (1, 2)]
+    wanted = places[0].unionByName(places[1]).distinct()
+    open_heads = heads.join(wanted, ["e", "strokes"]).filter(F.col("hangul") != F.col("r"))
+    members = checkpointed(top_per_key(open_heads, ["r", "e", "strokes"], [F.col("profile_id")], enough, "_m").drop("_m"))
 
     def side(i: int) -> DataFrame:
         return members.select(
-            F.col("e").alias(f"e{i}"), F.col("strokes").alias(f"s{i}"), F.col("_m").alias(f"m{i}"),
-            F.col("hangul").alias(f"hangul{i}"), F.col("hanja").alias(f"hanja{i}"),
+            "r", F.col("e").alias(f"e{i}"), F.col("strokes").alias(f"s{i}"), F.col("hangul").alias(f"hangul{i}"), F.col("hanja").alias(f"hanja{i}"),
             F.col("profile_id").alias(f"profile{i}"),
         )
 
-    enough = F.lit(limit + per_pool)
-    names = (
-        kept.join(side(1).filter(F.col("m1") <= enough), ["e1", "s1"])
-        .filter(F.col("hangul1") != F.col("r"))
-        .join(side(2), ["e2", "s2"])
-        .filter((F.col("m2") <= enough + F.col("d2")) & (F.col("hangul2") != F.col("r")) & (F.col("hanja1") != F.col("hanja2")))
-    )
+    names = kept.join(side(1), ["r", "e1", "s1"]).join(side(2), ["r", "e2", "s2"]).filter(F.col("hanja1") != F.col("hanja2"))
     best = top_per_key(
         names, kind, [F.desc("good"), F.col("s1"), F.col("s2"), F.col("profile1"), F.col("profile2")], limit
     )
