@@ -28,14 +28,17 @@ def four_frames(surname: Column, first: Column, second: Column) -> dict[str, Col
     }
 
 
-def with_grades(df: DataFrame, grades: DataFrame, sums: dict[str, Column], missing: str = UNKNOWN) -> DataFrame:
-    """Add ``<name>`` and ``<name>_g`` per sum. ``grades`` has at most 81 numbers; they travel as one row, an array
-    that is looked up by place, so any number of sums costs one join with that row."""
+def grade_list(grades: DataFrame) -> DataFrame:
+    """One row: ``_grades``, the grades of 1 to 81 by place. Where a number is given twice the smaller label holds."""
     known = F.map_from_entries(F.collect_list(F.struct("num", "_grade")))
     table = grades.filter(F.col("num").between(1, 81)).groupBy("num").agg(F.min("grade").alias("_grade")).agg(known.alias("_known"))
-    row = table.select(F.transform(F.sequence(F.lit(1), F.lit(81)), lambda n: F.try_element_at("_known", n)).alias("_grades"))
+    return table.select(F.transform(F.sequence(F.lit(1), F.lit(81)), lambda n: F.try_element_at("_known", n)).alias("_grades"))
+
+
+def with_grades(df: DataFrame, grades: DataFrame, sums: dict[str, Column], missing: str = UNKNOWN) -> DataFrame:
+    """Add ``<name>`` and ``<name>_g`` per sum. The grades travel as one row, so any number of sums costs one join."""
     added = [c for n, total in sums.items() for c in (total.alias(n), F.coalesce(F.get("_grades", wrapped(total) - 1), F.lit(missing)).alias(f"{n}_g"))]
-    return df.crossJoin(F.broadcast(row)).select(*df.columns, *added)
+    return df.crossJoin(F.broadcast(grade_list(grades))).select(*df.columns, *added)
 
 
 def count_in(names: tuple[str, ...], values: tuple[str, ...]) -> Column:

@@ -49,15 +49,19 @@ def dictionary_of(profiles: DataFrame, value: str, order: str) -> DataFrame:
 
 # -- facts in the text ------------------------------------------------------------------
 
-def strokes_corrected(answers: DataFrame, answer_id: str, text: str, dictionary: DataFrame) -> DataFrame:
-    """On lines about a character, every ``N획`` becomes the dictionary's count."""
-    with_facts = character_facts(answers, answer_id, text, dictionary.filter("strokes > 0"), "strokes")
-
+def stroke_lines(text: Column, facts: Column) -> Column:
+    """On lines about a character, every ``N획`` becomes the count of ``facts``, a map by character."""
     def line(t: Column) -> Column:
-        right = F.try_element_at("facts", extract(t, CHAR_LINE))
+        right = F.try_element_at(facts, extract(t, CHAR_LINE))
         return F.when(right.isNotNull(), F.regexp_replace(t, F.lit(r"\d+획"), F.concat(right.cast("string"), F.lit("획")))).otherwise(t)
 
-    return with_facts.withColumn(text, F.array_join(F.transform(F.split(text, "\n"), line), "\n")).drop("facts")
+    return F.array_join(F.transform(F.split(text, "\n"), line), "\n")
+
+
+def strokes_corrected(answers: DataFrame, answer_id: str, text: str, dictionary: DataFrame) -> DataFrame:
+    """Stroke counts of a dictionary in place of those printed."""
+    with_facts = character_facts(answers, answer_id, text, dictionary.filter("strokes > 0"), "strokes")
+    return with_facts.withColumn(text, stroke_lines(F.col(text), F.col("facts"))).drop("facts")
 
 
 _ONE = f"[{E.LABELS}]"
@@ -103,24 +107,28 @@ def frames_injected(text: Column, surname_strokes: Column, grade_map: Column) ->
         grade = F.coalesce(F.try_element_at(grade_map, FR.wrapped(n).cast("int")), F.lit("?"))
         return F.concat(F.lit(name), n, F.lit("("), grade, F.lit(")"))
 
-    def line_of(s: Column) -> Column:
-        s1, s2, single = number(s, "첫째"), number(s, "둘째"), number(s, "이름")
+    def counted(b: Column) -> Column:
+        return F.struct(b.alias("b"), number(b, "첫째").alias("s1"), number(b, "둘째").alias("s2"), number(b, "이름").alias("one"))
+
+    def lined(x: Column) -> Column:
+        s1, s2, single = x["s1"], x["s2"], x["one"]
         short = F.concat_ws(", ", shown("원격", single), shown("형격", surname_strokes + single))
         full = F.concat_ws(
             ", ", shown("원격", s1 + s2), shown("형격", surname_strokes + s1), shown("이격", surname_strokes + s2), shown("정격", surname_strokes + s1 + s2)
         )
-        return F.concat(F.lit("**수리**: "), F.when(single.isNotNull(), short).when(s1.isNotNull() & s2.isNotNull(), full))
+        line = F.concat(F.lit("**수리**: "), F.when(single.isNotNull(), short).when(s1.isNotNull() & s2.isNotNull(), full))
+        return F.struct(x["b"].alias("b"), line.alias("line"))
 
-    def fixed(block: Column) -> Column:
-        line = line_of(block)
+    def fixed(x: Column) -> Column:
+        block, line = x["b"], x["line"]
         replaced = F.regexp_replace(block, F.lit(r"\*\*수리\*\*:.*"), line)
         inserted = F.regexp_replace(block, F.lit(r"(\*\*오행 흐름\*\*:[^\n]+)"), F.concat(F.lit("$1\n"), line))
         changed = F.when(block.contains("**수리**:"), replaced).otherwise(inserted)
         usable = block.startswith("## [이름") & ~block.contains(DONE) & line.isNotNull()
         return F.when(usable, changed).otherwise(block)
 
-    out = F.array_join(F.transform(F.split(text, _BLOCKS), fixed), "")
-    return F.when(surname_strokes > 0, out).otherwise(text)
+    blocks = F.transform(F.transform(F.split(text, _BLOCKS), counted), lined)
+    return F.when(surname_strokes > 0, F.array_join(F.transform(blocks, fixed), "")).otherwise(text)
 
 
 # -- drops --------------------------------------------------------------------------------
@@ -262,22 +270,26 @@ def replacements(answers: DataFrame, answer_id: str, text: str, surname_element:
     return best.select(answer_id, "name_idx", "_b.target", "_b.reading", "_b.fix", F.array_join(F.slice("_b.chars", 1, 5), ",").alias("candidates"))
 
 
-def character_headers_fixed(answers: DataFrame, answer_id: str, text: str, surname: str, readings: DataFrame) -> DataFrame:
-    """Headers that spell the name in characters get its reading, if every character is known."""
-    with_facts = character_facts(answers, answer_id, text, readings, "hangul")
+def reading_headers(text: Column, surname: Column, facts: Column) -> Column:
+    """Headers that spell the name in characters get its reading from ``facts``, if every character is known."""
     pattern = rf"##\s*\[이름\s*\d+\]\s*[{HANGUL}{HANJA}]{{2,8}}\s*\([{HANJA}]{{1,4}}\)"
 
     def fix(m: Column, _i: Column) -> Column:
         n = F.regexp_extract(m, r"\[이름\s*(\d+)\]", 1)
         name = F.regexp_extract(m, rf"\]\s*([{HANGUL}{HANJA}]{{2,8}})\s*\(", 1)
         inside = F.regexp_extract(m, rf"\(([{HANJA}]{{1,4}})\)$", 1)
-        read = F.transform(F.filter(F.split(inside, ""), lambda c: c != ""), lambda c: F.try_element_at("facts", c))
-        known = ~F.exists(read, lambda r: r.isNull()) & F.col("facts").isNotNull()
-        header = F.concat(F.lit("## [이름 "), n, F.lit("] "), F.col(surname), F.array_join(read, ""), F.lit(" ("), inside, F.lit(")"))
+        read = F.transform(F.filter(F.split(inside, ""), lambda c: c != ""), lambda c: F.try_element_at(facts, c))
+        known = ~F.exists(read, lambda r: r.isNull()) & facts.isNotNull()
+        header = F.concat(F.lit("## [이름 "), n, F.lit("] "), surname, F.array_join(read, ""), F.lit(" ("), inside, F.lit(")"))
         return F.when(name.rlike(f"[{HANJA}]") & known, header).otherwise(m)
 
-    fixed = F.when(F.col(surname) == "", F.col(text)).otherwise(rewritten(F.col(text), pattern, fix))
-    return with_facts.withColumn(text, fixed).drop("facts")
+    return F.when(F.coalesce(surname, F.lit("")) == "", text).otherwise(rewritten(text, pattern, fix))
+
+
+def character_headers_fixed(answers: DataFrame, answer_id: str, text: str, surname: str, readings: DataFrame) -> DataFrame:
+    """Readings of a dictionary in headers that spell the name in characters."""
+    with_facts = character_facts(answers, answer_id, text, readings, "hangul")
+    return with_facts.withColumn(text, reading_headers(F.col(text), F.col(surname), F.col("facts"))).drop("facts")
 
 
 def broken_headers_fixed(text: Column) -> Column:
@@ -297,7 +309,7 @@ DISCLAIMER = "\n\n---\n\n⚠️ 면책 고지: 추천 이름의 출생신고 가
 
 def finished(text: Column, query: Column) -> Column:
     """A note where fewer names came than were asked for, and the disclaimer once."""
-    asked = extract(query, r"(\d+)\s*개").try_cast("int")
+    asked = extract(query, r"(\d+)\s*개").try_cast("decimal(38,0)")
     given = F.regexp_count(text, F.lit(r"## \[이름 \d+\]"))
     note = F.concat(F.lit("요청하신 "), asked, F.lit("개 중 수리·오행 조건에 부합하는 이름 "), given, F.lit("개를 추천드립니다.\n\n"))
     out = F.when((given > 0) & (given < asked), F.concat(note, text)).otherwise(text)

@@ -103,7 +103,9 @@ def outside_boxes(objects: DataFrame, boxes: DataFrame, object_id: list[str], ti
 def sections_of(text: Column) -> Column:
     """Preamble first, then one element per numbered name section."""
     normalized = F.when(text.startswith("\n"), text).otherwise(F.concat(F.lit("\n"), text))
-    return F.split(normalized, SECTION)
+    parts = F.split(normalized, SECTION)
+    # a split at the very start leaves no empty piece before it
+    return F.when(normalized.rlike(rf"^{SECTION}"), F.concat(F.array(F.lit("")), parts)).otherwise(parts)
 
 
 def name_sections(df: DataFrame, text: str, keep: list[str]) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from namesmith.operators import audit as A
+from namesmith.operators import chain as CH
+from namesmith.functions import text as X
 from namesmith.plans import Registry
 from namesmith.plans import candidates as CD
 from namesmith.plans import segments as SG
@@ -221,3 +223,76 @@ def r12(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = CD.sounds(spark, sf_dir).groupBy("surname_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pair_no", one.alias("t")))), lambda x: x["t"]), ",").alias("t"))
     raw = F.when(F.col("surname_id") % 7 == 3, "no list").otherwise(F.concat(F.lit("<think>[1]</think> ["), "t", F.lit("] end")))
     return lists.select("surname_id", F.posexplode(A.sound_lists(raw)).alias("pos", "s")).select("surname_id", "pos", F.array_join("s", "").alias("sounds"))
+
+
+# -- the whole chain ------------------------------------------------------------------------
+
+def raw_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Composed answers as a model may return them: thoughts, leaked context, lost or broken headers,
+    the surname's character in brackets, names spelled in characters, answers of native words."""
+    k, text = F.col("answer_id"), F.col("text")
+    sur = X.char_of(F.lit(S.FIRST_CHAR + 9000) + k % 100)
+    text = F.when(k % 4 == 1, F.regexp_replace(text, F.lit(r"(\] [가-힣]+ \()"), F.concat(F.lit("$1"), sur))).otherwise(text)
+    text = F.when(k % 7 == 3, F.regexp_replace(text, r"## \[이름 \d+\] ([가-힣]{3}) \(", "## [$1] 이름 (")).when(
+        k % 11 == 4, F.regexp_replace(text, r"(\] )[가-힣]{3} \(([一-鿿]?)([一-鿿]{2})\)", "$1$3 ($2$3)")
+    ).otherwise(text)
+    text = F.when((k % 3 == 0) & (k % 7 != 3), F.replace(text, F.lit("## [이름"), F.lit("[이름"))).otherwise(text)
+    text = F.concat(F.when(k % 2 == 0, F.lit("<think>[이름 9] 갑\n</think>\n")).otherwise(F.lit("")), text, F.when(k % 5 == 2, F.lit("\n\n[참고 정보]\n## [이름 99] 가나다 (一一)")).otherwise(F.lit("")))
+    return answers(spark, sf_dir).select("answer_id", "surname", sur.alias("surname_hanja"), "surname_strokes", (k % 6 == 5).alias("native"), text.alias("raw"))
+
+
+def _chained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = flagged(spark, sf_dir)
+    strokes, readings = A.dictionary_of(known, "strokes", "seq"), A.dictionary_of(known, "hangul", "seq")
+    return CH.audited(raw_replies(spark, sf_dir), "answer_id", "raw", strokes, readings, S.grades(spark))
+
+
+_CHAIN_STEPS = {
+    "raw_answers": S.VIEWS["answers"],
+    "answer_lines": S.VIEWS["answer_lines"].replace("FROM answers", "FROM raw_answers"),
+    "last_chars": S.VIEWS["last_chars"],
+    "struck": "SELECT answer_id, n, CASE WHEN c.strokes IS NOT NULL THEN regexp_replace(line, '\\d+획', c.strokes || '획', 'g') ELSE line END AS line FROM answer_lines a LEFT JOIN last_chars c ON c.hanja = regexp_extract(line, '글자\\(([一-鿿])\\)', 1)",
+    "flows": f"SELECT answer_id, n, line, regexp_extract(line, {_FLOW}, 1) AS p, {S.relation_sql(_flow_code(2), _flow_code(3))} AS r1, {S.relation_sql(_flow_code(3), _flow_code(4))} AS r2 FROM struck",
+    "lined": "SELECT answer_id, n, CASE WHEN p = '' THEN line ELSE p || CASE WHEN r1 = '상극' OR r2 = '상극' THEN '상극' WHEN r1 = '상생' AND r2 = '상생' THEN '상생' ELSE '중립' END END AS x FROM flows",
+    "answers": f"SELECT * REPLACE (rtrim((SELECT string_agg(x, {_NL} ORDER BY n) FROM lined l WHERE l.answer_id = raw_answers.answer_id), {_NL}) AS text) FROM raw_answers",
+    "answer_sections": S.VIEWS["answer_sections"],
+    "framed": S.VIEWS["framed"],
+    "own": f"""SELECT a.answer_id, a.surname, s.section_no AS n, a.answer_id % 6 = 5 AS native, regexp_replace(CASE WHEN a.answer_id % 6 = 5 THEN s.section ELSE section_of.section END, '^\\n## \\[이름 \\d+\\]', '') AS body,
+      a.answer_id % 11 = 4 AND a.answer_id % 7 <> 3 AS spelled, {_PAIR.replace('section', 's.section')} AS cc FROM answer_sections s JOIN framed section_of USING (answer_id, section_no) JOIN answers a USING (answer_id) WHERE s.section_no > 0""",
+    "named": """SELECT o.* EXCLUDE (body, cc), cc, NOT spelled OR x.hangul IS NOT NULL AND y.hangul IS NOT NULL AS readable,
+      CASE WHEN NOT spelled THEN body WHEN x.hangul IS NOT NULL AND y.hangul IS NOT NULL THEN regexp_replace(body, '^ [가-힣]+ ', ' ' || surname || x.hangul || y.hangul || ' ') ELSE regexp_replace(body, '^ [가-힣]+ ', ' ' || cc || ' ') END AS body
+      FROM own o LEFT JOIN last_chars x ON x.hanja = cc[1] LEFT JOIN last_chars y ON y.hanja = cc[2]""",
+    "p0": f"""SELECT * REPLACE (CASE WHEN readable THEN cc ELSE '' END AS cc), CASE WHEN readable THEN regexp_extract(body, '^ ([가-힣]{{2,5}})', 1) ELSE '' END AS name, NOT native AND ({_WORST.replace('section', 'body')}) AS worst FROM named""",
+    "p1": f"""SELECT * EXCLUDE (body), CASE WHEN any_kept AND last_lost AND n = last_kept THEN body || {_NL} ELSE body END AS body FROM (SELECT *, count_if(NOT worst) OVER w > 0 AS any_kept,
+      arg_max(worst, n) OVER w AS last_lost, max(CASE WHEN NOT worst THEN n END) OVER w AS last_kept FROM p0 WINDOW w AS (PARTITION BY answer_id)) WHERE NOT (worst AND any_kept)""",
+    "p2": "SELECT * FROM (SELECT *, contains(body, '— 상극') AS clash, count_if(NOT contains(body, '— 상극')) OVER (PARTITION BY answer_id) AS good, count(*) OVER (PARTITION BY answer_id) AS n1 FROM p1) WHERE NOT (clash AND good > 0)",
+    "p3": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY answer_id, CASE WHEN name = '' THEN '#' || n ELSE substr(name, 2) END ORDER BY n) AS nth FROM p2) WHERE nth = 1",
+    "g": """SELECT answer_id, list_reduce(list_prepend({'x': '', 'seen': '', 'k': [0]}, list({'x': cc, 'seen': '', 'k': [n]} ORDER BY n)),
+      lambda a, b: {'x': '', 'seen': CASE WHEN b.x <> '' AND (contains(a.seen, b.x[1]) OR contains(a.seen, b.x[2])) THEN a.seen ELSE a.seen || b.x END,
+        'k': CASE WHEN b.x <> '' AND (contains(a.seen, b.x[1]) OR contains(a.seen, b.x[2])) THEN a.k ELSE list_append(a.k, b.k[1]) END}).k AS ks FROM p3 GROUP BY 1""",
+    "p4": "SELECT p3.* FROM p3 JOIN g USING (answer_id) WHERE native OR list_contains(ks, n)",
+    "p5": "SELECT * FROM (SELECT *, name <> '' AND suffix(name, surname) AS same, count_if(NOT (name <> '' AND suffix(name, surname))) OVER (PARTITION BY answer_id) AS fine FROM p4) WHERE NOT (same AND fine > 0)",
+    "done": f"""SELECT answer_id, count(*) < any_value(n1) AS touched, string_agg({_NL} || '## [이름 ' || rn || ']' || body, '' ORDER BY n) AS body, count(*) AS names
+      FROM (SELECT *, row_number() OVER (PARTITION BY answer_id ORDER BY n) AS rn FROM p5) GROUP BY 1""",
+    "chained": """SELECT a.answer_id, coalesce(d.names, 0) AS names, p.section || coalesce(d.body, '') AS text FROM answers a LEFT JOIN done d USING (answer_id) JOIN answer_sections p ON p.answer_id = a.answer_id AND p.section_no = 0""",
+}
+_CHAIN = S.with_views("chars", **_CHAIN_STEPS, body="")
+
+
+@AREA.add("r0_audited_answers", _CHAIN.rstrip() + f"""
+    SELECT answer_id, CASE WHEN names > 0 AND names < answer_id % 9 THEN '요청하신 ' || answer_id % 9 || '개 중 수리·오행 조건에 부합하는 이름 ' || names || '개를 추천드립니다.' || {_NL} || {_NL} ELSE '' END
+      || text || '{A.DISCLAIMER}' AS text FROM chained""")
+def r0(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit of raw replies, all rules in their order, with the closing note."""
+    query = F.concat(F.lit("이름 "), F.col("answer_id") % 9, F.lit("개 추천"))
+    return _chained(spark, sf_dir).select("answer_id", A.finished(F.col("text"), query).alias("text"))
+
+
+@AREA.add("r0_both_kinds", _CHAIN.rstrip() + f""", kinds AS (SELECT c.answer_id // 6 AS request, c.answer_id % 6 = 5 AS native, text FROM chained c WHERE c.answer_id % 6 IN (0, 5))
+    SELECT h.request, '{CH.BOTH[0]}' || rtrim(h.text, ' ' || {_NL}) || '{CH.BOTH[1]}' || n.text || '{A.DISCLAIMER}' AS text FROM kinds h JOIN kinds n USING (request) WHERE NOT h.native AND n.native""")
+def r0_both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests answered by a reply of each kind: one audited answer with two parts."""
+    k = F.col("answer_id")
+    parts = _chained(spark, sf_dir).filter((k % 6).isin(0, 5)).select(F.floor(k / 6).alias("request"), "native", "text")
+    two = parts.filter("NOT native").select("request", F.col("text").alias("h")).join(parts.filter("native").select("request", F.col("text").alias("n")), "request")
+    return two.select("request", A.finished(CH.both_kinds(F.col("h"), F.col("n")), F.lit("")).alias("text"))
