@@ -63,6 +63,12 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda v: v if v is None or v.isascii() else unicodedata.normalize("NFKC", v))
 
 
+def counted(digits: Column, most: int = 999_999_999) -> Column:
+    """A count written in digits, however many; above ``most`` it is ``most``. Null without digits."""
+    plain = F.regexp_replace(digits, "^0+(?=.)", "")
+    return F.when(F.length(plain) > len(str(most)), F.lit(most)).when(plain.isNotNull(), F.least(plain.try_cast("bigint"), F.lit(most))).cast("int")
+
+
 def tail_context(c: Column, size: int = 8000, marker: str = "...(앞부분 생략)...\n") -> Column:
     """Keep the last ``size`` characters behind a marker; shorter text is unchanged."""
     return F.when(F.length(c) > size, F.concat(F.lit(marker), F.substring(c, -size, size))).otherwise(c)

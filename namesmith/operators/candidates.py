@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from namesmith.functions import elements as E
 from namesmith.functions import frames as FR
 from namesmith.functions.order import top_per_key
-from namesmith.functions.text import extract
+from namesmith.functions.text import counted, extract
 
 LISTED, SHOWN = 10, 30
 
@@ -186,7 +186,7 @@ def verified_single_pools(sounds: DataFrame, pools: DataFrame) -> DataFrame:
 # -- samples ---------------------------------------------------------------------------------
 
 def requested_count(query: Column, default: int = 3) -> Column:
-    return F.coalesce(extract(query, r"(\d+)\s*개").try_cast("int"), F.lit(default))
+    return F.coalesce(counted(extract(query, r"(\d+)\s*개"), 10_000), F.lit(default))
 
 
 def character_sample_size(query: Column) -> Column:
@@ -197,22 +197,27 @@ def word_sample_size(query: Column) -> Column:
     return F.least(F.greatest(F.lit(30), requested_count(query) * 6), F.lit(60))
 
 
-def sampled(requests: DataFrame, permuted_pool: DataFrame, kinds: list[str], request_id: str, size: str) -> DataFrame:
-    """``size`` rows per request without replacement, all of them if there are fewer.
+def sampled(requests: DataFrame, numbered_pool: DataFrame, kinds: list[str], request_id: str, size: str) -> DataFrame:
+    """``size`` rows per request without replacement, all of them if there are fewer. Every subset is as likely as any other.
 
-    The pool is in one random order (``order.permuted``); a request takes the run of that
-    order that starts at its own hash, around the end if need be. A sample costs as many
-    joined rows as it returns: the pool is never scanned per request.
+    The pool is numbered per kind (``rank`` from 1, ``size``). A request draws places by Floyd's rule: for
+    j = N - n .. N - 1 a keyed digest gives a place up to j, and j itself is taken where that place is taken
+    already. A sample costs as many joined rows as it returns: the pool is never scanned per request.
     """
-    sizes = permuted_pool.select(*kinds, "size").distinct()  # one row per kind
-    start = F.conv(F.substring(F.md5(F.concat(F.lit("start"), F.col(request_id).cast("string"))), 1, 15), 16, 10).cast("bigint") % F.col("_n")
-    steps = F.sequence(F.lit(0), F.least(F.col(size).cast("bigint"), F.col("_n")) - 1)
-    wanted = (
-        requests.join(sizes.withColumnRenamed("size", "_n"), kinds)
-        .select(*requests.columns, "_n", F.explode(steps).alias("_i"))
-        .withColumn("rank", (start + F.col("_i")) % F.col("_n") + 1)
+    sizes = numbered_pool.select(*kinds, "size").distinct().withColumnRenamed("size", "_n")  # one row per kind
+    most = F.least(F.col(size).cast("bigint"), F.col("_n"))
+
+    def draw(j: Column) -> Column:
+        digest = F.md5(F.concat_ws(":", F.lit("draw"), F.col(request_id).cast("string"), j.cast("string")))
+        return F.struct(j.alias("j"), (F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint") % (j + 1)).alias("t"))
+
+    draws = F.when(most > 0, F.transform(F.sequence(F.col("_n") - most, F.col("_n") - 1), draw))
+    taken = F.aggregate(
+        draws, F.array().cast("array<bigint>"), lambda got, d: F.array_append(got, F.when(F.array_contains(got, d["t"]), d["j"]).otherwise(d["t"]))
     )
-    return wanted.join(permuted_pool, [*kinds, "rank"]).select(request_id, (F.col("_i") + 1).alias("pick"), *[c for c in permuted_pool.columns if c not in (*kinds, "rank", "size")])
+    wanted = requests.join(sizes, kinds).select(*requests.columns, F.posexplode(taken).alias("_i", "_place")).withColumn("rank", F.col("_place") + 1)
+    rest = [c for c in numbered_pool.columns if c not in (*kinds, "rank", "size")]
+    return wanted.join(numbered_pool, [*kinds, "rank"]).select(request_id, (F.col("_i") + 1).cast("bigint").alias("pick"), *rest)
 
 
 def triple_lookup(requests: DataFrame, triples: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,21 +62,30 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda t: t != "")
 
 
-def _ngrams(words: Column, n: int) -> Column:
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(words, i, n), " ").alias("gram")))
+def _overlaps(max_n: int):
+    kind = "array<struct<n: int, matches: bigint, predicted: bigint, referred: bigint>>"
 
+    @F.pandas_udf(kind)
+    def overlaps(p: pd.Series, r: pd.Series) -> pd.Series:
+        def rows(x, y) -> list[dict]:
+            out = []
+            for n in range(1, max_n + 1):
+                a, b = (Counter(zip(*[w[i:] for i in range(n)])) for w in (x, y))
+                small, large = (a, b) if len(a) < len(b) else (b, a)
+                matches = sum(min(k, large[g]) for g, k in small.items() if g in large)
+                out.append({"n": n, "matches": matches, "predicted": max(len(x) - n + 1, 0), "referred": max(len(y) - n + 1, 0)})
+            return out
 
-def ngram_overlap(pairs: DataFrame, pair_id: str, prediction: str, reference: str, max_n: int) -> DataFrame:
-    """Clipped matches and totals per pair and n: one count per (pair, gram), then a sum."""
-    def side(words: str, p: int) -> Column:
-        grams = F.concat(*[_ngrams(F.col(words), n) for n in range(1, max_n + 1)])
-        return F.transform(grams, lambda g: F.struct(g["n"].alias("n"), g["gram"].alias("gram"), F.lit(p).alias("in_prediction"), F.lit(1 - p).alias("in_reference")))
+        return pd.Series([rows(list(x), list(y)) for x, y in zip(p, r)])
 
-    words = computed_once(pairs.select(pair_id, prediction, reference), {"_p": tokens(F.col(prediction)), "_r": tokens(F.col(reference))})
-    grams = words.select(pair_id, F.explode(F.concat(side("_p", 1), side("_r", 0))).alias("_g")).select(pair_id, "_g.*")
-    counts = grams.groupBy(pair_id, "n", "gram").agg(F.sum("in_prediction").alias("p"), F.sum("in_reference").alias("r"))
-    return counts.groupBy(pair_id, "n").agg(F.sum(F.least("p", "r")).alias("matches"), F.sum("p").alias("predicted"), F.sum("r").alias("referred"))
+    return overlaps
+
+
+def ngram_overlap(pairs: DataFrame, pair_id: str, prediction: str, reference: str, max_n: int) -> DataFrame:
+    """Clipped matches and totals per pair and n, counted inside the row: no n-gram is shuffled. A pair without
+    an n-gram has a row of zeros; null texts are empty."""
+    p, r = (tokens(F.coalesce(F.col(c), F.lit(""))) for c in (prediction, reference))
+    return pairs.select(pair_id, F.inline(_overlaps(max_n)(p, r)))
 
 
 def rouge(overlap: DataFrame) -> DataFrame:
@@ -125,7 +136,12 @@ def common_subsequence(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def rouge_l(pairs: DataFrame, pair_id: str, prediction: str, reference: str) -> DataFrame:
     """F-measure over the longest common subsequence per pair."""
-    p, r = tokens(F.col(prediction)), tokens(F.col(reference))
+    p, r = (tokens(F.coalesce(F.col(c), F.lit(""))) for c in (prediction, reference))
     sized = pairs.select(pair_id, common_subsequence(p, r).alias("lcs"), F.size(p).alias("predicted"), F.size(r).alias("referred"))
     f = F.when(F.col("lcs") > 0, 2.0 * F.col("lcs") / (F.col("predicted") + F.col("referred"))).otherwise(F.lit(0.0))
     return sized.withColumn("f", f)
+
+
+def corpus_rouge(overlap: DataFrame) -> DataFrame:
+    """Mean F-measure over all pairs per n, and the number of pairs."""
+    return rouge(overlap).groupBy("n").agg(F.avg("f").alias("mean_f"), F.count(F.lit(1)).alias("pairs"))

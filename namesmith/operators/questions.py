@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from namesmith.functions import elements as E
 from namesmith.functions.once import computed_once
-from namesmith.functions.text import contains_any, extract, first_contained, strip
+from namesmith.functions.text import contains_any, counted, extract, first_contained, strip
 from namesmith.operators import graph as G
 from namesmith.operators import lookups as L
 from namesmith.session import checkpointed
@@ -213,7 +213,7 @@ def traits(query: Column) -> dict[str, Column]:
     return {
         "element": stated_element(query), "surname_element": stated_surname_element(query), "single": contains_any(query, SINGLE),
         "both": native & chinese, "native": native & ~chinese, "girl": girl, "boy": boy,
-        "requested": F.coalesce(extract(query, r"([0-9]+)\s*개").try_cast("int"), F.lit(0)),
+        "requested": F.coalesce(counted(extract(query, r"([0-9]+)\s*개")), F.lit(0)),
         "paper_query": F.concat(F.lit("최근 2010~2020년대 "), gender, F.lit(" 이름 선호 경향 트렌드 특징 받침 음절 패턴")),
     }
 

@@ -30,20 +30,21 @@ def recreate(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("collection").parquet(path)
 
 
-def new_rows(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """Incoming rows whose key is not there yet, each key once."""
-    return first_per_key(incoming.join(existing.select(*keys), keys, "left_anti"), keys, [c for c in incoming.columns if c not in keys])
+def new_rows(existing: DataFrame, incoming: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """Incoming rows whose key is not there yet; of rows with one key the first by ``order`` (without it the smallest)."""
+    return first_per_key(incoming.join(existing.select(*keys), keys, "left_anti"), keys, order or [c for c in incoming.columns if c not in keys])
 
 
-def append_new(spark: SparkSession, incoming: DataFrame, path: str, keys: list[str]) -> None:
+def append_new(spark: SparkSession, incoming: DataFrame, path: str, keys: list[str], order: list[str] | None = None) -> None:
     """Append only unknown keys; safe to repeat."""
     existing = spark.read.schema(incoming.schema).parquet(path)
-    new_rows(existing, incoming, keys).write.mode("append").parquet(path)
+    new_rows(existing, incoming, keys, order).write.mode("append").parquet(path)
 
 
-def upserted(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """Existing rows with those of the same key replaced. Incoming keys are unique."""
-    return existing.join(incoming.select(*keys), keys, "left_anti").unionByName(incoming)
+def upserted(existing: DataFrame, incoming: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """Existing rows with those of the same key replaced; of incoming rows with one key the last by ``order`` holds."""
+    latest = first_per_key(incoming, keys, order or [c for c in incoming.columns if c not in keys], last=True)
+    return existing.join(latest.select(*keys), keys, "left_anti").unionByName(latest.select(*existing.columns))
 
 
 def collection_counts(documents: DataFrame, expected: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from namesmith.functions import elements as E
 from namesmith.functions.order import first_per_key, permuted
 from namesmith.operators import candidates as G
 from namesmith.operators import lookups as L
+from namesmith.operators.questions import SINGLE
 from namesmith.plans import Registry
 from namesmith.plans import corpora as CP
 from namesmith.plans import lookups as LP
@@ -145,9 +146,10 @@ def g4_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.verified_single_pools(sounds(spark, sf_dir), reading_pools(spark, sf_dir))
 
 
-_START = "CAST('0x' || substr(md5('start' || question_id), 1, 15) AS BIGINT)"
-_CHARS_N = "least(greatest(50, 8 * coalesce(TRY_CAST(regexp_extract(query, '(\\d+)\\s*개', 1) AS INT), 3)), 80)"
-_WORDS_N = "least(greatest(30, 6 * coalesce(TRY_CAST(regexp_extract(query, '(\\d+)\\s*개', 1) AS INT), 3)), 60)"
+_DRAWS = """list_reduce(list_prepend(CAST([] AS BIGINT[]), list_transform(range(size - least(n, size), size), lambda j: [j, CAST('0x' || substr(md5('draw:' || question_id || ':' || j), 1, 15) AS BIGINT) % (j + 1)])),
+    lambda got, d: CASE WHEN list_contains(got, d[2]) THEN list_append(got, d[1]) ELSE list_append(got, d[2]) END)"""
+_CHARS_N = "least(greatest(50, 8 * CAST(least(coalesce(TRY_CAST(regexp_extract(query, '(\\d+)\\s*개', 1) AS HUGEINT), 3), 10000) AS BIGINT)), 80)"
+_WORDS_N = "least(greatest(30, 6 * CAST(least(coalesce(TRY_CAST(regexp_extract(query, '(\\d+)\\s*개', 1) AS HUGEINT), 3), 10000) AS BIGINT)), 60)"
 _NAME_WORDS = ("이름", "추천", "작명", "짓", "씨")
 
 
@@ -162,8 +164,8 @@ def g7(spark: SparkSession, sf_dir: str) -> DataFrame:
     S.with_views("chars", "questions",
       p="SELECT *, row_number() OVER (PARTITION BY e ORDER BY substr(md5('pool' || seq), 1, 15), seq) AS rank, count(*) OVER (PARTITION BY e) AS size FROM (SELECT seq, hanja, resource_ohaeng AS e FROM chars WHERE is_person_name_hanja UNION ALL SELECT seq, hanja, '*' FROM chars WHERE is_person_name_hanja)",
       q=f"SELECT question_id, {_CHARS_N} AS n, coalesce({LP._ELEMENT}, '*') AS e FROM questions WHERE {S.tag_sql('query', _NAME_WORDS)}",
-      w=f"SELECT q.*, s.size, unnest(range(least(n, s.size))) AS i, {_START} % s.size AS st FROM q JOIN (SELECT DISTINCT e, size FROM p) s USING (e)",
-      body="SELECT question_id, i + 1 AS pick, p.seq, p.hanja FROM w JOIN p ON p.e = w.e AND p.rank = (st + i) % w.size + 1"),
+      w=f"SELECT question_id, e, unnest(d) AS place, unnest(range(len(d))) AS i FROM (SELECT q.*, {_DRAWS} AS d FROM q JOIN (SELECT DISTINCT e, size FROM p) s USING (e))",
+      body="SELECT question_id, i + 1 AS pick, p.seq, p.hanja FROM w JOIN p ON p.e = w.e AND p.rank = place + 1"),
 )
 def g6_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = permitted(spark, sf_dir).select("seq", "hanja", F.explode(F.array(F.col("resource_ohaeng"), F.lit("*"))).alias("kind"))
@@ -180,15 +182,15 @@ def g6_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
       k="""SELECT word_id, name, g.pool, s.single FROM words, (VALUES ('all'), ('girl'), ('boy')) AS g(pool), (VALUES (true), (false)) AS s(single)
         WHERE (g.pool = 'all' OR g.pool = 'girl' AND NOT contains(gender, '남자에게') OR g.pool = 'boy' AND NOT contains(gender, '여자에게')) AND (NOT s.single OR length(name) = 1)""",
       p="SELECT *, row_number() OVER (PARTITION BY pool, single ORDER BY substr(md5('words' || word_id), 1, 15), word_id) AS rank, count(*) OVER (PARTITION BY pool, single) AS size FROM k",
-      q=f"SELECT question_id, {_WORDS_N} AS n, CASE WHEN {S.tag_sql('query', L.GIRL_WORDS)} THEN 'girl' WHEN {S.tag_sql('query', L.BOY_WORDS)} THEN 'boy' ELSE 'all' END AS pool, contains(query, '외자') AS single FROM questions WHERE contains(query, '순우리말')",
-      w=f"SELECT q.*, s.size, unnest(range(least(n, s.size))) AS i, {_START} % s.size AS st FROM q JOIN (SELECT DISTINCT pool, single, size FROM p) s USING (pool, single)",
-      body="SELECT question_id, i + 1 AS pick, p.word_id, p.name FROM w JOIN p ON p.pool = w.pool AND p.single = w.single AND p.rank = (st + i) % w.size + 1"),
+      q=f"SELECT question_id, {_WORDS_N} AS n, CASE WHEN {S.tag_sql('query', L.GIRL_WORDS)} THEN 'girl' WHEN {S.tag_sql('query', L.BOY_WORDS)} THEN 'boy' ELSE 'all' END AS pool, {S.tag_sql('query', SINGLE)} AS single FROM questions WHERE contains(query, '순우리말')",
+      w=f"SELECT question_id, pool, single, unnest(d) AS place, unnest(range(len(d))) AS i FROM (SELECT q.*, {_DRAWS} AS d FROM q JOIN (SELECT DISTINCT pool, single, size FROM p) s USING (pool, single))",
+      body="SELECT question_id, i + 1 AS pick, p.word_id, p.name FROM w JOIN p ON p.pool = w.pool AND p.single = w.single AND p.rank = place + 1"),
 )
 def g6_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     pools = L.word_pools(LP.words(spark, sf_dir), "name", "gender").select("word_id", "name", "pool", "single")
     q = F.col("query")
     asked = S.questions(spark, sf_dir).filter(q.contains("순우리말")).select(
-        "question_id", L.wanted_pool(q).alias("want_pool"), q.contains("외자").alias("want_single"), G.word_sample_size(q).alias("n")
+        "question_id", L.wanted_pool(q).alias("want_pool"), L.contains_any(q, SINGLE).alias("want_single"), G.word_sample_size(q).alias("n")
     )
     asked = asked.join(F.broadcast(L.effective_pools(pools)), ["want_pool", "want_single"]).drop("want_pool", "want_single")
     return G.sampled(asked, permuted(pools, ["pool", "single"], "word_id", "words"), ["pool", "single"], "question_id", "n")

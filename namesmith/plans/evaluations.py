@@ -82,21 +82,36 @@ def e3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document against its successor of the same language."""
-    docs = S.table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), "lang", F.col("text").alias("reference"))
-    return docs.withColumnRenamed("text", "prediction").join(after, ["doc_id", "lang"])
+    """Each document against its successor by id, an empty text where there is none."""
+    docs = S.table(spark, sf_dir, "documents").select("doc_id", "text")
+    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("reference"))
+    return docs.withColumnRenamed("text", "prediction").join(after, "doc_id", "left")
 
 
-_OVERLAP = """WITH p AS (SELECT a.doc_id, a.text AS prediction, b.text AS reference FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 AND b.lang = a.lang),
+_OVERLAP = """WITH p AS (SELECT a.doc_id, a.text AS prediction, coalesce(b.text, '') AS reference FROM documents a LEFT JOIN documents b ON b.doc_id = a.doc_id + 1),
     t AS (SELECT doc_id, 1 AS side, list_filter(regexp_split_to_array(prediction, '\\s+'), lambda x: x <> '') AS w FROM p UNION ALL SELECT doc_id, 0, list_filter(regexp_split_to_array(reference, '\\s+'), lambda x: x <> '') FROM p),
     u AS (SELECT doc_id, side, unnest(w) AS t1, generate_subscripts(w, 1) AS i FROM t),
     l AS (SELECT *, lead(t1, 1) OVER k AS t2, lead(t1, 2) OVER k AS t3, lead(t1, 3) OVER k AS t4 FROM u WINDOW k AS (PARTITION BY doc_id, side ORDER BY i)),
     g AS (SELECT doc_id, side, n, CASE n WHEN 1 THEN t1 WHEN 2 THEN t1 || ' ' || t2 WHEN 3 THEN t1 || ' ' || t2 || ' ' || t3 ELSE t1 || ' ' || t2 || ' ' || t3 || ' ' || t4 END AS gram FROM l, range(1, 5) AS r(n)
       WHERE CASE n WHEN 1 THEN t1 WHEN 2 THEN t2 WHEN 3 THEN t3 ELSE t4 END IS NOT NULL),
     c AS (SELECT doc_id, n, gram, CAST(sum(side) AS BIGINT) AS p, CAST(sum(1 - side) AS BIGINT) AS r FROM g GROUP BY 1, 2, 3),
-    o AS (SELECT doc_id, n, CAST(sum(least(p, r)) AS BIGINT) AS matches, CAST(sum(p) AS BIGINT) AS predicted, CAST(sum(r) AS BIGINT) AS referred FROM c GROUP BY 1, 2)
+    o AS (SELECT doc_id, n, coalesce(matches, 0) AS matches, coalesce(predicted, 0) AS predicted, coalesce(referred, 0) AS referred FROM (SELECT doc_id, n FROM p, range(1, 5) AS r(n)) LEFT JOIN
+      (SELECT doc_id, n, CAST(sum(least(p, r)) AS BIGINT) AS matches, CAST(sum(p) AS BIGINT) AS predicted, CAST(sum(r) AS BIGINT) AS referred FROM c GROUP BY 1, 2) USING (doc_id, n))
     """
+_F = "CASE WHEN matches > 0 THEN 2.0::DOUBLE * matches / (predicted + referred) ELSE 0.0::DOUBLE END"
+
+
+@AREA.add("e4_corpus_means", _OVERLAP + f"SELECT CAST(n AS INT) AS n, round(avg({_F}), 6) AS mean_f, count(*) AS pairs FROM o WHERE n <= 2 GROUP BY n")
+def e4_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ROUGE-1 and ROUGE-2 of the whole corpus."""
+    means = V.corpus_rouge(V.ngram_overlap(text_pairs(spark, sf_dir), "doc_id", "prediction", "reference", 2))
+    return means.select("n", F.round("mean_f", 6).alias("mean_f"), "pairs")
+
+
+@AREA.add("e4_corpus_rouge_l")
+def e4_rouge_l_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ROUGE-L of the whole corpus."""
+    return V.rouge_l(text_pairs(spark, sf_dir), "doc_id", "prediction", "reference").agg(F.round(F.avg("f"), 6).alias("mean_f"), F.count(F.lit(1)).alias("pairs"))
 
 
 @AREA.add(
@@ -123,15 +138,18 @@ def e4_rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.rouge_l(text_pairs(spark, sf_dir), "doc_id", "prediction", "reference").withColumn("f", F.round("f", 6))
 
 
-def _as_records(df: DataFrame) -> DataFrame:
-    return df.select(F.lit("doc").alias("collection"), F.concat(F.lit("doc_"), "doc_id").alias("id"), F.md5("text").alias("body"))
+_RECORD = [F.lit("doc").alias("collection"), F.concat(F.lit("doc_"), "doc_id").alias("id"), F.md5("text").alias("body")]
 
 
-@AREA.add("i1_incremental_load", "SELECT 'doc' AS collection, 'doc_' || doc_id AS id, md5(text) AS body FROM documents")
+@AREA.add("i1_incremental_load", """WITH n AS (SELECT 'doc_' || doc_id * 2 AS id, md5(text || 'x') AS body FROM documents)
+    SELECT 'doc' AS collection, 'doc_' || doc_id AS id, md5(text) AS body FROM documents UNION ALL SELECT 'doc', id, body FROM n WHERE id NOT IN (SELECT 'doc_' || doc_id FROM documents)""")
 def i1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two runs of the load: the second finds nothing new."""
+    """Two sources that share ids, each loaded twice: known ids stay as they are, the second runs find nothing new."""
     base = f"{shared_dir(spark)}/load-{uuid.uuid4().hex}"
-    schema = S.table(spark, sf_dir, "documents").schema
-    for _ in range(2):
-        load_new(spark, sf_dir, schema, f"{base}/target", f"{base}/progress", ["collection", "id"], _as_records, "documents.parquet")
-    return existing(spark, f"{base}/target", _as_records(S.table(spark, sf_dir, "documents")).schema).drop("batch")
+    docs = S.table(spark, sf_dir, "documents")
+    later = docs.withColumn("doc_id", F.col("doc_id") * 2).withColumn("text", F.concat("text", F.lit("x")))
+    later.write.parquet(f"{base}/later")
+    for name, source, glob in (("first", sf_dir, "documents.parquet"), ("second", f"{base}/later", "*.parquet")):
+        for _ in range(2):
+            load_new(spark, source, docs.schema, f"{base}/target", f"{base}/progress-{name}", ["collection", "id"], _RECORD, glob, buckets=16, name=name)
+    return existing(spark, f"{base}/target", docs.select(*_RECORD).schema).drop("bucket", "batch")

@@ -136,7 +136,7 @@ _NATIVE = f"({S.tag_sql('query', Q.NATIVE)} OR contains(query, '우리말'))"
     "q6_question_traits",
     S.with_views("questions", body=f"""SELECT question_id, {_stated('')} AS element, {_stated('성에[ ]*')} AS surname_element, {S.tag_sql('query', Q.SINGLE)} AS single,
       {_NATIVE} AND contains(query, '한자') AS "both", {_NATIVE} AND NOT contains(query, '한자') AS native, {S.tag_sql('query', Q.GIRL)} AS girl, {S.tag_sql('query', Q.BOY)} AS boy,
-      coalesce(TRY_CAST(regexp_extract(query, '([0-9]+)[ ]*개', 1) AS INT), 0) AS requested, '최근 2010~2020년대 ' || CASE WHEN {S.tag_sql('query', Q.GIRL)} THEN '여성' WHEN {S.tag_sql('query', Q.BOY)} THEN '남성' ELSE '남녀' END
+      CAST(least(coalesce(TRY_CAST(regexp_extract(query, '([0-9]+)[ ]*개', 1) AS HUGEINT), 0), 999999999) AS INT) AS requested, '최근 2010~2020년대 ' || CASE WHEN {S.tag_sql('query', Q.GIRL)} THEN '여성' WHEN {S.tag_sql('query', Q.BOY)} THEN '남성' ELSE '남녀' END
       || ' 이름 선호 경향 트렌드 특징 받침 음절 패턴' AS paper_query FROM questions"""),
 )
 def q6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -176,6 +176,7 @@ QUESTIONS = (
     "정씨 성에 {c}오행 말고 {c}{c}{c}, 또 {c}{c} 이름 지어줘",
     "획수 {n} 에 맞는 길한 획수",
     "성에 火오행 이름, 여아 외자",
+    "순우리말 한 글자 이름 123456789012개 추천해줘",
 )
 
 

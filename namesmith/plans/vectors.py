@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from namesmith.operators import cells as N
 from namesmith.operators import vectors as V
 from namesmith.plans import Registry
 from namesmith.plans import standins as S
+from namesmith.session import shared_dir
 
 AREA = Registry()
 
@@ -101,36 +104,41 @@ def collections(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# A second load of documents: half of the ids are known, half are new, bodies differ.
-S.VIEWS["second_load"] = "SELECT 'doc' AS collection, 'doc_' || doc_id * 2 AS id, md5(text || 'x') AS body FROM documents"
+# A second load of documents: half of the ids are known, half are new, each comes twice with different bodies.
+S.VIEWS["second_load"] = """SELECT 'doc' AS collection, 'doc_' || doc_id * 2 AS id, md5(text || k) AS body, doc_id * 2 + k AS seq FROM documents, (VALUES (0), (1)) AS t(k)"""
 
 
 def second_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.table(spark, sf_dir, "documents").select(
-        F.lit("doc").alias("collection"), F.concat(F.lit("doc_"), F.col("doc_id") * 2).alias("id"), F.md5(F.concat("text", F.lit("x"))).alias("body")
+    twice = S.table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
+    return twice.select(
+        F.lit("doc").alias("collection"), F.concat(F.lit("doc_"), F.col("doc_id") * 2).alias("id"), F.md5(F.concat("text", F.col("k").cast("string"))).alias("body"), (F.col("doc_id") * 2 + F.col("k")).alias("seq")
     )
 
 
 @AREA.add("v3_collections", S.with_views("chars", "collections", body="SELECT * FROM collections"))
 def v3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return collections(spark, sf_dir)
+    """The collections after they were replaced once."""
+    path, rows = f"{shared_dir(spark)}/collections-{uuid.uuid4().hex}", collections(spark, sf_dir)
+    for part in (rows.filter("collection = 'bench'"), rows):
+        V.recreate(part, path)
+    return spark.read.schema(rows.schema).parquet(path).select(*rows.columns)
 
 
 @AREA.add(
     "v4_appended_rows",
-    S.with_views("chars", "collections", "second_load", body="SELECT * FROM collections UNION ALL SELECT * FROM second_load WHERE id NOT IN (SELECT id FROM collections)"),
+    S.with_views("chars", "collections", "second_load", body="SELECT * FROM collections UNION ALL SELECT collection, id, arg_min(body, seq) FROM second_load WHERE id NOT IN (SELECT id FROM collections) GROUP BY ALL"),
 )
 def v4(spark: SparkSession, sf_dir: str) -> DataFrame:
     there = collections(spark, sf_dir)
-    return there.unionByName(V.new_rows(there, second_load(spark, sf_dir), ["collection", "id"]))
+    return there.unionByName(V.new_rows(there, second_load(spark, sf_dir), ["collection", "id"], ["seq"]).drop("seq"))
 
 
 @AREA.add(
     "v5_upserted_rows",
-    S.with_views("chars", "collections", "second_load", body="SELECT * FROM collections WHERE id NOT IN (SELECT id FROM second_load) UNION ALL SELECT * FROM second_load"),
+    S.with_views("chars", "collections", "second_load", body="SELECT * FROM collections WHERE id NOT IN (SELECT id FROM second_load) UNION ALL SELECT collection, id, arg_max(body, seq) FROM second_load GROUP BY ALL"),
 )
 def v5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.upserted(collections(spark, sf_dir), second_load(spark, sf_dir), ["collection", "id"])
+    return V.upserted(collections(spark, sf_dir), second_load(spark, sf_dir), ["collection", "id"], ["seq"])
 
 
 @AREA.add(

@@ -9,7 +9,7 @@ from namesmith.operators import quality as DQ
 from namesmith.operators import vectors as V
 from namesmith.sources import payloads as P
 from namesmith.sources import readers as R
-from namesmith.streaming.loads import existing, load_new
+from namesmith.streaming.loads import existing, known_keys, load_new
 
 
 def test_commented_json(spark, tmp_path):
@@ -87,3 +87,24 @@ def test_incremental_load_reads_new_files_once(spark, tmp_path):
         load_new(spark, source, files, target, progress, ["id"])
     got = {r["id"]: r["body"] for r in existing(spark, target, files).collect()}
     assert got == {"1": "a", "2": "b", "3": "c"}
+
+
+def test_load_takes_the_first_of_a_key_and_reads_touched_buckets(spark, tmp_path):
+    source, target, progress = (str(tmp_path / d) for d in ("in", "out", "progress"))
+    schema = "id string, body string"
+    spark.createDataFrame([(str(i), "z") for i in range(40)] + [("7", "a"), ("99", "y"), ("99", "b")], schema).coalesce(1).write.parquet(source)
+    files = spark.read.parquet(source).schema
+    load_new(spark, source, files, target, progress, ["id"], buckets=8)
+    spark.createDataFrame([("7", "late"), ("100", "new")], schema).coalesce(1).write.mode("append").parquet(source)
+    load_new(spark, source, files, target, progress, ["id"], buckets=8)
+    got = {r["id"]: r["body"] for r in existing(spark, target, files).collect()}
+    assert got["7"] == "z" and got["99"] == "y" and got["100"] == "new" and len(got) == 42
+    plan = known_keys(spark, target, files, ["id"], [3], "load-1")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters")[1] and "body" not in plan
+
+
+def test_upsert_keeps_the_last_of_a_key(spark):
+    there = spark.createDataFrame([("1", "a"), ("2", "b")], "id string, body string")
+    more = spark.createDataFrame([("2", "x", 2), ("2", "y", 1), ("3", "z", 1)], "id string, body string, seq int")
+    assert sorted(map(tuple, V.upserted(there, more, ["id"], ["seq"]).collect())) == [("1", "a"), ("2", "x"), ("3", "z")]
+    assert sorted(map(tuple, V.new_rows(there, more, ["id"], ["seq"]).collect())) == [("3", "z", 1)]
