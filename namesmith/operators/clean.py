@@ -21,8 +21,10 @@ Lines = Callable[[Column], Column]
 OPEN_SYLLABLES = "".join(chr(0xAC00 + 28 * i) for i in range(399))
 CLOSED = f"[가-힣&&[^{OPEN_SYLLABLES}]]"
 
+# Blanks of any script, as members of a class.
+BLANK = r"\s\x1C-\x1F\x85\p{Z}"
 # Page headers of the scanned book.
-HEADERS = (r"^아름답고\s+정겨운\s+우리말\s*\d+\s*$", r"^색\s+인\s*\d+\s*$", r"^\d+\s*$")
+HEADERS = (rf"^아름답고[{BLANK}]+정겨운[{BLANK}]+우리말[{BLANK}]*\p{{Nd}}+[{BLANK}]*$", rf"^색[{BLANK}]+인[{BLANK}]*\p{{Nd}}+[{BLANK}]*$", rf"^\p{{Nd}}+[{BLANK}]*$")
 SEPARATOR = "=== PAGE"
 
 # Misread forms of one verb and their corrections, in order.
@@ -41,15 +43,15 @@ POS_TAG = r"['\[「『]?\s*(명의|의존명사|접사|명|동|형|부|관|수|
 # the rare syllable is matched first, the costly class is only tried behind it
 PARTICLE = rf"[올흘](?<={CLOSED}[올흘])(?=[ \t\n.,;:!?」』)>'가-힣]|\z)"
 ENDING = rf"없(?<={CLOSED}없)(?=다)"
-EXAMPLE = r"(?<!\d)끼(?=[가-힣\s])"
-EXAMPLE_NINE = r"(^|\s)9(\s+[가-힣])"
-AFTER_QUOTE = r"(?<=['\"‘’])\s*[논눈](?=\s)"
-BOUNDARY = r"(?=[\s\]\)\.,;:'\"<>])"
-# Syllables that make a word of their own with the one that follows.
-KEPT_REUL = "(?<=[이나아거고노오보구지부모사])름|(?<=[기씨베발이])틀"
-KEPT_NEUN = "(?<=[군곁외왼])눈"
-REUL = rf"([가-힣]{{2}})(?!{KEPT_REUL})[틀름률]{BOUNDARY}"
-NEUN = rf"([가-힣]{{2}})(?!{KEPT_NEUN})[논눈]{BOUNDARY}"
+EXAMPLE = rf"(?<!\p{{Nd}})끼(?=[가-힣{BLANK}])"
+EXAMPLE_NINE = rf"(^|[{BLANK}])9([{BLANK}]+[가-힣])"
+AFTER_QUOTE = rf"(?<=['\"‘’])[{BLANK}]*[논눈](?=[{BLANK}])"
+BOUNDARY = rf"(?=[{BLANK}\]\)\.,;:'\"<>])"
+# Words that end in one of the misread syllables and stay.
+KEPT_REUL = ("이름", "나름", "아름", "거름", "고름", "노름", "오름", "보름", "구름", "지름", "부름", "모름", "사름", "기틀", "씨틀", "베틀", "발틀", "이틀")
+KEPT_NEUN = ("군눈", "곁눈", "외눈", "왼눈")
+REUL = rf"([가-힣]{{2}})[틀름률](?<!{'|'.join(KEPT_REUL)}){BOUNDARY}"
+NEUN = rf"([가-힣]{{2}})[논눈](?<!{'|'.join(KEPT_NEUN)}){BOUNDARY}"
 ANY_REUL = rf"[가-힣]{{2}}[틀름률]{BOUNDARY}"
 ANY_NEUN = rf"[가-힣]{{2}}[논눈]{BOUNDARY}"
 NOISE_BRACKET = r"\[[^가-힣\]]{0,8}\]"

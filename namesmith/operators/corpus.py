@@ -18,6 +18,7 @@ def number_documents(rows: DataFrame) -> DataFrame:
         "num", "grade", "description", gyeok_ko.alias("gyeok_ko"), gyeok_hanja.alias("gyeok_hanja"),
         fortune_ko.alias("fortune_ko"), fortune_hanja.alias("fortune_hanja"),
     )
+    # Fixed value: template of the document.
     text = F.format_string(
         "%d수 %s(%s) %s(%s) [%s] — %s", "num", "gyeok_ko", "gyeok_hanja", "fortune_ko", "fortune_hanja", "grade", "description"
     )
@@ -40,6 +41,7 @@ def triple_documents(rows: DataFrame, seq: str) -> DataFrame:
     a, b, c = (E.code_of(x) for x in e)
     return placed.filter(F.col("description") != "").select(
         F.format_string("ohaeng_%d", "idx").alias("id"),
+        # Fixed value: template of the document.
         F.format_string("오행 조합 %s (%s→%s→%s) — %s", "combo", *e, "description").alias("document"),
         F.struct(
             F.lit("yinyang").alias("type"), "combo", e[0].alias("element1"), e[1].alias("element2"), e[2].alias("element3"),
@@ -50,6 +52,7 @@ def triple_documents(rows: DataFrame, seq: str) -> DataFrame:
 
 
 def character_text(kind: Column, meaning: Column, strokes: Column, sound: Column) -> Column:
+    # Fixed value: template of the document.
     return F.format_string(
         "한자 %s(%s)은 뜻이 '%s'인 %s 한자이다. 유니코드는 %s, 획수는 %d획, 발음오행은 %s, 자원오행은 %s이다.",
         "hanja", "hangul", meaning, kind, "unicode", strokes, sound, "resource_ohaeng",
@@ -105,6 +108,7 @@ def law_documents(articles: DataFrame, seq: str) -> DataFrame:
     text = F.coalesce(F.nullif("normalized_text", F.lit("")), "raw_text")
     return first.select(
         F.concat(F.lit("law_"), "source", F.lit("_"), "article_num").alias("id"),
+        # Parts of the title line.
         F.concat(F.lit("["), "source", F.lit("] 제"), "article_num", F.lit("조("), "title", F.lit(")\n"), text).alias("document"),
         F.struct("source", "article_num", "title", F.lit("law").alias("type")).alias("metadata"),
     )
@@ -116,6 +120,7 @@ def word_documents(words: DataFrame, seq: str) -> DataFrame:
     return first.select(
         F.concat(F.lit("urimalsam_"), "name").alias("id"),
         F.concat_ws(
+            # Labels of the four lines.
             "\n", F.concat(F.lit("[순우리말 이름] "), "name"), F.concat(F.lit("뜻: "), "meaning"),
             F.concat(F.lit("성별 경향: "), "gender"), F.concat(F.lit("최근 추세: "), "trend"),
         ).alias("document"),
@@ -124,14 +129,13 @@ def word_documents(words: DataFrame, seq: str) -> DataFrame:
 
 
 def paper_documents(chunks: DataFrame, seq: str) -> DataFrame:
-    """Chunks with a running number in the id; null metadata becomes ''."""
+    """Chunks with a running number in the id. Every column but the content and the position is metadata, as text; null becomes ''."""
     placed = running_index(chunks, seq, "_i")
-    source = F.coalesce("source", F.lit(""))
-    page = F.coalesce(F.col("page_number").cast("string"), F.lit(""))
+    meta = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in chunks.columns if c not in ("content", seq)}
     return placed.select(
-        F.concat(F.lit("paper_"), source, F.lit("_"), page, F.lit("_"), F.col("_i") - 1).alias("id"),
+        F.concat(F.lit("paper_"), meta["source"], F.lit("_"), meta["page_number"], F.lit("_"), F.col("_i") - 1).alias("id"),
         F.coalesce("content", F.lit("")).alias("document"),
-        F.struct(source.alias("source"), page.alias("page_number"), F.coalesce("chunk_type", F.lit("")).alias("chunk_type")).alias("metadata"),
+        F.struct(*[v.alias(c) for c, v in meta.items()]).alias("metadata"),
     )
 
 

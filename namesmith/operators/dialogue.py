@@ -64,6 +64,7 @@ def resolved_requests(turns: DataFrame, conv: str, turn: str, role: str, text: s
         F.col("first_context").isNotNull() & (F.col("first_context") != F.col("prev_user")), F.concat_ws(" ", "first_context", "prev_user", text)
     ).otherwise(F.concat_ws(" ", "prev_user", text))
 
+    # The patterns and phrases of the rules below.
     kinds = r"(한자\s*이름|순우리말\s*이름|우리말\s*이름|한글\s*이름)"
     base = strip(F.regexp_replace(F.coalesce("surname_base", F.lit("이름")), kinds, ""))
     char = F.coalesce(F.concat(F.lit(" 성씨 한자: "), "last_char"), F.lit(""))
@@ -91,6 +92,7 @@ def resolved_requests(turns: DataFrame, conv: str, turn: str, role: str, text: s
 
 def cleaned_output(text: Column) -> Column:
     """Leaked context cut out of a model answer."""
+    # Marks of leaked context.
     marker = "[원본 추천 결과]"
     out = F.replace(F.replace(text, F.lit(marker + "\n"), F.lit("")), F.lit(marker), F.lit(""))
     return strip(F.regexp_replace(out, r"(?s)\[참고 정보\].*?(?=---|\z)", ""))
@@ -98,6 +100,7 @@ def cleaned_output(text: Column) -> Column:
 
 def deduplicated(pairs: DataFrame, seq: str, output: str) -> DataFrame:
     """First pair per first recommended name; pairs without a name all stay."""
+    # Fixed value: header of the first name.
     name = extract(F.col(output), rf"## \[이름 1\]\s*([{HANGUL}]+)")
     named = computed_once(pairs, {"_name": name})
     first = first_per_key(named.filter("_name IS NOT NULL"), ["_name"], [seq])
@@ -143,6 +146,7 @@ def name_prompts(rows: DataFrame, key: str, seed: str = "prompt") -> DataFrame:
         edge -= w
         kind = F.when(weight < edge + w, F.when(weight >= edge, F.lit(name)).otherwise(kind)).otherwise(kind)
     gender = pick(["남자아이", "여자아이"], _bucket(seed + ":gender:", k, 2))
+    # The phrases of the prompt.
     text = F.concat(
         pick(list(SURNAMES), surname), F.lit("씨 성을 가진 "), gender, F.lit(" "), kind, F.lit(" 이름 1개를 추천해줘. 성은 "), pick(list(SURNAMES.values()), surname), F.lit("야")
     )

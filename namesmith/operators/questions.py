@@ -50,6 +50,7 @@ def strokes_in(query: Column) -> Column:
 
 def sound_in(query: Column) -> Column:
     clean = query
+    # Words about elements that hide a reading.
     for word in ("발음오행", "자원오행", "오행"):
         clean = F.replace(clean, F.lit(word), F.lit(" "))
     return F.coalesce(extract(clean, SOUND_AFTER), extract(clean, SOUND_BEFORE))

@@ -94,13 +94,20 @@ def marker_sql(x: str) -> str:
 _END = r"""([\s\]\)\.,;:'"<>])"""
 
 
+def masked_sql(x: str, words: tuple[str, ...], marks: dict[str, int]) -> str:
+    """Words that stay, their last syllable behind a mark."""
+    for w in words:
+        x = f"replace({x}, '{w}', '{w[:-1]}' || chr({marks[w[-1]]}))"
+    return x
+
+
 def reul_sql(x: str) -> str:
-    masked = rep(rep(x, "([이나아거고노오보구지부모사])름", "\\1\x01"), "([기씨베발이])틀", "\\1\x02")
+    masked = masked_sql(x, C.KEPT_REUL, {"름": 1, "틀": 2})
     return f"replace(replace({rep(masked, '([가-힣]{2})[틀름률]' + _END, chr(92) + '1를' + chr(92) + '2')}, chr(1), '름'), chr(2), '틀')"
 
 
 def space_sql(x: str) -> str:
-    masked = rep(reul_sql(x), "([군곁외왼])눈", "\\1\x01")
+    masked = masked_sql(reul_sql(x), C.KEPT_NEUN, {"눈": 1})
     return f"replace({rep(masked, '([가-힣]{2})[논눈]' + _END, chr(92) + '1는' + chr(92) + '2')}, chr(1), '눈')"
 
 

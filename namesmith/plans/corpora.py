@@ -148,14 +148,17 @@ def p7(spark: SparkSession, sf_dir: str) -> DataFrame:
     "p8_paper_documents",
     """SELECT 'paper_' || source || '_' || CASE WHEN doc_id % 4 = 0 THEN '' ELSE CAST(doc_id % 30 AS VARCHAR) END || '_'
       || (row_number() OVER (ORDER BY doc_id) - 1) AS id, text AS document, source,
-      CASE WHEN doc_id % 4 = 0 THEN '' ELSE CAST(doc_id % 30 AS VARCHAR) END AS page_number, CASE lang WHEN 'en' THEN '' ELSE lang END AS chunk_type FROM documents""",
+      CASE WHEN doc_id % 4 = 0 THEN '' ELSE CAST(doc_id % 30 AS VARCHAR) END AS page_number, CASE lang WHEN 'en' THEN '' ELSE lang END AS chunk_type,
+      'title ' || doc_id AS title, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'author ' || doc_id % 7 END AS author, CAST(1990 + doc_id % 30 AS VARCHAR) AS year, 'paper' AS type FROM documents""",
 )
 def p8(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = S.table(spark, sf_dir, "documents").select(
         "doc_id", "source", F.when(F.col("doc_id") % 4 != 0, F.col("doc_id") % 30).alias("page_number"),
         F.when(F.col("lang") != "en", F.col("lang")).alias("chunk_type"), F.col("text").alias("content"),
+        F.concat(F.lit("title "), "doc_id").alias("title"), F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("author "), F.col("doc_id") % 7)).alias("author"),
+        (F.col("doc_id") % 30 + 1990).cast("string").alias("year"), F.lit("paper").alias("type"),
     )
-    return flat(C.paper_documents(chunks, "doc_id"), "source", "page_number", "chunk_type")
+    return flat(C.paper_documents(chunks, "doc_id"), "source", "page_number", "chunk_type", "title", "author", "year", "type")
 
 
 _SYL = "chr(CAST(44032 + (c_custkey * 97) % 11172 AS INT))"

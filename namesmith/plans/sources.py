@@ -186,6 +186,21 @@ def s8(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Lists inside lists: the page stands in a row of its own list, and its lists stay whole rows of their element.
+@AREA.add(
+    "s8_all_list_rows",
+    f"""WITH lists AS (SELECT page_id, unnest(l) AS ul, generate_subscripts(l, 1) AS n FROM (SELECT page_id, regexp_extract_all(html, '(?s)<ul(?:>|\\s[^>]*>)(.*?)</ul>', 1) AS l FROM pages)),
+    t AS (SELECT page_id, n, list_transform(regexp_extract_all(ul, '{_LI}', 1), lambda x: trim(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&amp;', '&'))) AS v FROM lists)
+    SELECT page_id, CAST(n - 1 AS INT) AS row_no, len(v) AS n_cells, v[1] AS first, array_to_string(v, '|') AS cells FROM t WHERE len(v) >= 2 AND v[1] <> ''""",
+)
+def s8_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = F.concat(F.lit('<div class="page"><div>'), "html", F.lit("</div></div><div>open"))
+    pages = S.table(spark, sf_dir, "pages").select("page_id", whole.alias("html"))
+    # scope: the outer div, rows: lists anywhere in it, cells: list items
+    rows = P.listed_rows(pages.withColumn("html", F.regexp_replace("html", r"</?(?:nav|body|html)[^>]*>", "")), "html", ["page_id"], "div", "ul", "li", 2)
+    return rows.select("page_id", "row_no", F.size("cells").cast("bigint").alias("n_cells"), F.get("cells", F.lit(0)).alias("first"), F.array_join("cells", "|").alias("cells"))
+
+
 def _law_payload() -> F.Column:
     k = F.get_json_object("props", "$.k")
     one = F.concat(F.lit('{"법령명한글":"'), F.col("event_type"), F.lit('","법령일련번호":"'), F.col("event_id"), F.lit('"}'))

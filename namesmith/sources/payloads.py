@@ -117,3 +117,40 @@ def table_rows(
         .select(*keep, "row_no", *[F.get("_c", F.lit(i)).alias(n) for i, n in enumerate(("name", "meaning", "gender", "trend"))])
         .filter(F.col("name") != "")
     )
+
+
+def balanced(html: Column, tag: str) -> Column:
+    """Outermost elements of a tag, elements of the same tag inside them included.
+
+    The text is cut before each opening and behind each closing tag; the running depth of the pieces says where an
+    element ends. What is never closed is no element.
+    """
+    opening, closing = rf"<{tag}(?=[\s>/])", f"</{tag}>"
+    pieces = F.split(html, rf"(?={opening})|(?<={closing})")
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("open"), F.array().cast("array<string>").alias("done"))
+
+    def step(state: Column, piece: Column) -> Column:
+        opens, closes = piece.rlike(f"^{opening}"), piece.endswith(closing)
+        inside = (state["depth"] > 0) | opens
+        depth = F.when(inside, state["depth"] + opens.cast("int") - closes.cast("int")).otherwise(0)
+        text = F.when(inside, F.concat(state["open"], piece)).otherwise("")
+        ended = inside & (depth == 0)
+        return F.struct(
+            depth.alias("depth"), F.when(ended, "").otherwise(text).alias("open"), F.when(ended, F.array_append(state["done"], text)).otherwise(state["done"]).alias("done")
+        )
+
+    return F.aggregate(pieces, start, step)["done"]
+
+
+def inner(element: Column) -> Column:
+    """What stands between an element's own tags."""
+    return F.regexp_extract(element, r"(?s)^<[^>]*>(.*)</[^>]*>$", 1)
+
+
+def listed_rows(df: DataFrame, html: str, keep: list[str], scope: str, row: str, cell: str, min_cells: int = 4) -> DataFrame:
+    """Rows of all outermost ``scope`` elements of a page: (scope_no, row_no, cells). Nested elements stay part of
+    their cell. Rows with fewer cells or an empty first cell are left out."""
+    scopes = df.select(*keep, F.posexplode(balanced(F.col(html), scope)).alias("scope_no", "_e"))
+    rows = scopes.select(*keep, "scope_no", F.posexplode(balanced(inner(F.col("_e")), row)).alias("row_no", "_r"))
+    cells = rows.select(*keep, "scope_no", "row_no", F.transform(balanced(inner(F.col("_r")), cell), lambda c: strip(element_text(inner(c)))).alias("cells"))
+    return cells.filter((F.size("cells") >= min_cells) & (F.get("cells", F.lit(0)) != ""))

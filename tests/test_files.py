@@ -108,3 +108,12 @@ def test_upsert_keeps_the_last_of_a_key(spark):
     more = spark.createDataFrame([("2", "x", 2), ("2", "y", 1), ("3", "z", 1)], "id string, body string, seq int")
     assert sorted(map(tuple, V.upserted(there, more, ["id"], ["seq"]).collect())) == [("1", "a"), ("2", "x"), ("3", "z")]
     assert sorted(map(tuple, V.new_rows(there, more, ["id"], ["seq"]).collect())) == [("3", "z", 1)]
+
+
+def test_balanced_elements(spark):
+    html = "<ul><li>a<ul><li>b</li></ul></li><li>c</li></ul>x</ul><ul class='n'></ul><ulx>no</ulx><ul><li>open"
+    df = spark.createDataFrame([(1, html), (2, None), (3, "")], "id int, html string")
+    got = {r.id: r.b for r in df.select("id", P.balanced(F.col("html"), "ul").alias("b")).collect()}
+    assert got[1] == ["<ul><li>a<ul><li>b</li></ul></li><li>c</li></ul>", "<ul class='n'></ul>"] and not got[2] and got[3] == []
+    rows = P.listed_rows(df, "html", ["id"], "ul", "li", "ul", 1).collect()
+    assert [(r.id, r.scope_no, r.row_no, r.cells) for r in rows] == [(1, 0, 0, ["b"])]
