@@ -75,7 +75,7 @@ def test_law_text(spark):
         ("만들없다", "만들었다"), ("가없다", "가없다"), ("꾸중올", "꾸중을"), ("올해", "올해"), ("손흘 잡다", "손을 잡다"), ("가올", "가올"), ("끼가", "¶가"), ("3끼 먹다", "3끼 먹다"), ("9 하늘", "¶ 하늘"),
         ("'말' 논 뜻", "'말'는 뜻"), ("하늘틀 본다", "하늘를 본다"), ("그이름 좋다", "그이름 좋다"), ("엿기름 올", "엿기름을"), ("농고서 갔다", "놓고서 갔다"), ("'명] 말", "[명] 말"), ("[_] 말", "말"),
         ("[[미] 말", "[비] 말"), ("[명]@가", "[명] ¶가"), ("=== PAGE 3 [본문] ===", "=== PAGE 3 [본문] ==="), ("  12 ", None), ("[_]", None), ("  ", ""),
-        ("\u300012\u00a0", "\u300012\u00a0"), ("12\u3000", None), ("색\u3000인 3", None), ("9\u3000하늘", "¶\u3000하늘"), ("'말'\u3000논\u00a0뜻", "'말'는\u00a0뜻"), ("하늘틀\u3000본다", "하늘를\u3000본다"), ("그이름\u3000좋다", "그이름\u3000좋다"), ("끼\u00a0가", "¶\u00a0가"),
+        ("\u300012\u00a0", None), ("12\u3000", None), ("색\u3000인 3", None), ("9\u3000하늘", "¶\u3000하늘"), ("'말'\u3000논\u00a0뜻", "'말'는\u00a0뜻"), ("하늘틀\u3000본다", "하늘를\u3000본다"), ("그이름\u3000좋다", "그이름\u3000좋다"), ("끼\u00a0가", "¶\u00a0가"),
     ],
 )
 def test_clean_lines(spark, line, want):
