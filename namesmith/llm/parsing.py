@@ -107,8 +107,8 @@ def likeness(a: np.ndarray, b: np.ndarray, size: int = SIZE) -> float:
     return float(np.isin(both, np.intersect1d(a, b, assume_unique=True), assume_unique=True).mean())
 
 
-def written(a: np.ndarray) -> str:
-    return a.astype(">u4").tobytes().hex()
+def packed(a: np.ndarray) -> bytes:
+    return a.astype(">u4").tobytes()
 
 
 def fingerprint(df: DataFrame, text: str = "text", levels: int = LEVELS, size: int = SIZE) -> DataFrame:
@@ -117,12 +117,14 @@ def fingerprint(df: DataFrame, text: str = "text", levels: int = LEVELS, size: i
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
-        return pd.Series([written(a) for a in fingerprints([t or "" for t in s], levels, size)])
+        return pd.Series([packed(a).hex() for a in fingerprints([t or "" for t in s], levels, size)])
 
     return df.withColumn("fingerprint", run(F.col(text)))
 
 
-SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+# Digests and names travel as bytes and are spelled in the last projection.
+SCHEMA = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+SPELLED = ("edited_sha256", "fingerprint", "edited_fingerprint")
 
 
 def compared(rows: list[tuple[int, str]]) -> list[tuple]:
@@ -133,7 +135,7 @@ def compared(rows: list[tuple[int, str]]) -> list[tuple]:
     edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for t, n in zip(texts, texts[1:])]
     own, other = fingerprints(texts), fingerprints(edited)
     return [
-        (i, len(t), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), written(a), written(b), likeness(a, b), likeness(a, n))
+        (i, len(t), hashlib.sha256(e.encode("utf-8", "surrogatepass")).digest(), packed(a), packed(b), likeness(a, b), likeness(a, n))
         for (i, t), e, a, b, n in zip(rows, edited, own, other, own[1:])
     ]
 
@@ -200,7 +202,7 @@ def with_edits(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     starts = first.select(F.col("_block").alias("_to"), F.col("_text").alias("_next"))
     ends = found.filter("_edge = 2").select("doc_id", "_block", "_text").join(next_block(first.select("_block")), "_block").join(starts, "_to")
     out = found.filter("_edge = 0").drop("_block", "_edge", "_text").unionByName(ends.select("doc_id", "_text", "_next").mapInPandas(close, SCHEMA))
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != LOWEST, F.col("doc_id")))
+    return out.withColumns({"doc_id": F.when(F.col("doc_id") != LOWEST, F.col("doc_id")), **{c: F.lower(F.hex(c)) for c in SPELLED}})
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,3 +100,21 @@ def test_long_conversations_cross_blocks(spark):
         run[c] = run.get(c, 0) + len(x)
         want[c, t + 1] = run[c]
     assert {(r.c, r.r): r.total for r in got} == want
+
+
+def test_fingerprints_of_edited_texts(spark):
+    """Texts, edits and digests of every document against a plain loop."""
+    import hashlib
+
+    from namesmith.llm import parsing
+
+    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()]
+    got = {r.doc_id: r for r in parsing.op7_fingerprints(spark, SF).collect()}
+    texts = [t for _, t in rows]
+    edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for t, n in zip(texts, texts[1:] + texts[:1])]
+    own, other = parsing.fingerprints(texts), parsing.fingerprints(edited)
+    for (i, t), e, a, b in zip(rows, edited, own, other):
+        r = got[i]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(e.encode()).hexdigest())
+        assert (r.fingerprint, r.edited_fingerprint) == (parsing.packed(a).hex(), parsing.packed(b).hex())
+        assert r.near_edited == parsing.likeness(a, b)
