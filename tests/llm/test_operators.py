@@ -275,5 +275,5 @@ def test_scores_beat_the_base_on_held_out_texts(spark):
 def test_equal_texts_have_equal_fingerprints_and_parts_are_shared():
     a, b = ("The quick brown fox number %d jumps. " * 40) % tuple(range(40)), "Wholly other text about ships. " * 30
     f = parsing.fingerprints([a, a, a[7:], b])
-    assert parsing.written(f[0]) == parsing.written(f[1])
+    assert parsing.packed(f[0]) == parsing.packed(f[1])
     assert parsing.likeness(f[0], f[2]) > 0.8 > 0.1 > parsing.likeness(f[0], f[3])
