@@ -83,20 +83,27 @@ def packed_chunks(df: DataFrame, paragraphs: Column, keep: list[str], size: int
     )
 
 
-def outside_boxes(objects: DataFrame, boxes: DataFrame, object_id: list[str], tile: float = 8.0) -> DataFrame:
+def outside_boxes(objects: DataFrame, boxes: DataFrame, object_id: list[str], tile: tuple[float, float] = (32.0, 32.0)) -> DataFrame:
     """Objects that overlap no box on their page; touching edges do not overlap.
 
-    Both sides carry page, x0, top, x1, bottom. Pages are cut into bands, objects and
-    boxes enter every band they reach, and the join runs per (page, band): a page with
-    very many objects spreads over its bands instead of meeting all its boxes at once.
+    Both sides carry page, x0, top, x1, bottom. Pages are cut into a grid, objects and boxes enter every cell they
+    reach, and the join runs per (page, cell): a crowded page spreads over its cells in both directions. A pair that
+    shares several cells is looked at in one of them, that of the corner where the overlap begins.
     """
-    def banded(df: DataFrame) -> DataFrame:
-        return df.withColumn("_band", F.explode(F.sequence(F.floor(F.col("top") / tile), F.floor(F.col("bottom") / tile))))
-
-    b = banded(boxes).select("page", "_band", *[F.col(c).alias(f"_b_{c}") for c in ("x0", "top", "x1", "bottom")])
-    overlap = (F.col("x1") > F.col("_b_x0")) & (F.col("x0") < F.col("_b_x1")) & (F.col("bottom") > F.col("_b_top")) & (F.col("top") < F.col("_b_bottom"))
-    o = banded(objects)
-    hit = o.join(b, (o["page"] == b["page"]) & (o["_band"] == b["_band"]) & overlap, "left_semi").select(*object_id).distinct()
+    wide, high = tile
+    edges = ("x0", "top", "x1", "bottom")
+
+    def spread(df: DataFrame) -> DataFrame:
+        across = F.explode(F.sequence(F.floor(F.col("x0") / wide), F.floor(F.col("x1") / wide))).alias("_cx")
+        return df.select("*", across).select("*", F.explode(F.sequence(F.floor(F.col("top") / high), F.floor(F.col("bottom") / high))).alias("_cy"))
+
+    o = spread(objects.select("page", *edges, *[c for c in object_id if c not in ("page", *edges)])).alias("o")
+    b = spread(boxes.select("page", *edges)).alias("b")
+    of = lambda side, c: F.col(f"{side}.{c}")
+    overlap = (of("o", "x1") > of("b", "x0")) & (of("o", "x0") < of("b", "x1")) & (of("o", "bottom") > of("b", "top")) & (of("o", "top") < of("b", "bottom"))
+    here = (F.floor(F.greatest(of("o", "x0"), of("b", "x0")) / wide) == of("o", "_cx")) & (F.floor(F.greatest(of("o", "top"), of("b", "top")) / high) == of("o", "_cy"))
+    same = (of("o", "page") == of("b", "page")) & (of("o", "_cx") == of("b", "_cx")) & (of("o", "_cy") == of("b", "_cy"))
+    hit = o.join(b, same & overlap & here, "left_semi").select(*object_id)
     return objects.join(hit, object_id, "left_anti")
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from namesmith.functions.text import char_of
 from namesmith.plans import Registry
 from namesmith.plans import standins as S
+from namesmith.session import shared_dir
 from namesmith.sources import payloads as P
 from namesmith.sources import readers as R
 
@@ -201,6 +204,23 @@ def s8_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "row_no", F.size("cells").cast("bigint").alias("n_cells"), F.get("cells", F.lit(0)).alias("first"), F.array_join("cells", "|").alias("cells"))
 
 
+@AREA.add(
+    "s11_written_records",
+    """SELECT 'doc_' || doc_id AS id, text AS document, lang, 'ok' AS status, (SELECT count(*) FROM documents) AS records FROM documents""",
+)
+def s11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records and their report written to the shared folder and read back."""
+    base = f"{shared_dir(spark)}/records-{uuid.uuid4().hex}"
+    docs = S.table(spark, sf_dir, "documents")
+    records = docs.select(F.concat(F.lit("doc_"), "doc_id").alias("id"), F.col("text").alias("document"), F.create_map(F.lit("lang"), "lang").alias("metadata"))
+    report = docs.agg(F.lit("ok").alias("status"), F.count(F.lit(1)).alias("records"))
+    R.write_documents(records, f"{base}/records")
+    R.write_report(report, f"{base}/report")
+    back = spark.read.schema(R.DOCUMENT_SCHEMA).json(f"{base}/records")
+    one = R.read_report(spark, f"{base}/report", "status string, records bigint")
+    return back.crossJoin(F.broadcast(one)).select("id", "document", F.col("metadata")["lang"].alias("lang"), "status", "records")
+
+
 def _law_payload() -> F.Column:
     k = F.get_json_object("props", "$.k")
     one = F.concat(F.lit('{"법령명한글":"'), F.col("event_type"), F.lit('","법령일련번호":"'), F.col("event_id"), F.lit('"}'))

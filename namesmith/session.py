@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -29,11 +30,14 @@ def local_session(cpus: str | int = "*", app: str = "namesmith") -> SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests on one machine) a fresh temporary
-    folder is made and remembered in the session.
+    Only where that setting is absent on one machine (tests) a fresh temporary folder is made and
+    remembered in the session; a cluster without it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
+        master = spark.conf.get("spark.master", "local")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -48,3 +52,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard_stages(spark: SparkSession) -> int:
+    """Delete what ``checkpointed`` has written in the shared folder; for when the results that read it are written.
+
+    Gives the number of folders. Other jobs that share the folder lose theirs as well, so call it once they are done.
+    """
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = files.globStatus(jvm.org.apache.hadoop.fs.Path(root, "stage-*")) or []
+    for status in found:
+        files.delete(status.getPath(), True)
+    return len(found)

@@ -98,10 +98,15 @@ def people_rows(df: DataFrame, raw: str, seq: str) -> DataFrame:
 
 
 def read_surname_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Surname CSV; the reader drops a byte order mark."""
+    """Surname CSV files; the reader drops a byte order mark.
+
+    ``seq`` orders rows by file name and place in the file: a task reads one stretch of a file after another, each
+    from its start, so the running number only has to order the rows of one stretch.
+    """
     rows = spark.read.csv(path, header=True, schema=SURNAME_CSV, enforceSchema=False)
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
     return rows.select(
-        F.monotonically_increasing_id().alias("seq"), F.col("성씨 한자명").alias("hanja"), F.col("성씨 한글명").alias("hangul")
+        place.alias("seq"), F.col("성씨 한자명").alias("hanja"), F.col("성씨 한글명").alias("hangul")
     )
 
 
@@ -120,17 +125,18 @@ def page_lines(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """
     mark = r"^=== PAGE (\d+) \[([^\]\n]*)\] ===$"
     blocks = F.split(F.col(text), r"(?m)(?=^=== PAGE \d+ \[[^\]\n]*\] ===$)")
+    heads = F.transform(blocks, lambda b: F.struct(b.alias("b"), F.substring_index(b, "\n", 1).alias("head")))
+    headed = F.transform(
+        heads,
+        lambda x: F.struct(
+            F.coalesce(extract(x["head"], mark, 1), F.lit("0")).try_cast("int").alias("page"), F.coalesce(extract(x["head"], mark, 2), F.lit("")).alias("section"),
+            F.split(F.regexp_replace(x["b"], "\n$", ""), "\n").alias("lines"),
+        ),
+    )
     lines = F.flatten(
         F.transform(
-            blocks,
-            lambda b: F.transform(
-                F.split(F.regexp_replace(b, "\n$", ""), "\n"),
-                lambda line: F.struct(
-                    F.coalesce(extract(F.get(F.split(b, "\n"), F.lit(0)), mark, 1), F.lit("0")).try_cast("int").alias("page"),
-                    F.coalesce(extract(F.get(F.split(b, "\n"), F.lit(0)), mark, 2), F.lit("")).alias("section"),
-                    line.alias("line"),
-                ),
-            ),
+            headed,
+            lambda b: F.transform(b["lines"], lambda line: F.struct(b["page"].alias("page"), b["section"].alias("section"), line.alias("line"))),
         )
     )
     return (
@@ -154,3 +160,8 @@ def write_documents(df: DataFrame, path: str, mode: str = "errorifexists") -> No
 def write_report(report: DataFrame, path: str) -> None:
     """One-row validation report as JSON."""
     report.write.mode("overwrite").json(path)
+
+
+def read_report(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A report written before."""
+    return spark.read.schema(schema).json(path)

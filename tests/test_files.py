@@ -117,3 +117,23 @@ def test_balanced_elements(spark):
     assert got[1] == ["<ul><li>a<ul><li>b</li></ul></li><li>c</li></ul>", "<ul class='n'></ul>"] and not got[2] and got[3] == []
     rows = P.listed_rows(df, "html", ["id"], "ul", "li", "ul", 1).collect()
     assert [(r.id, r.scope_no, r.row_no, r.cells) for r in rows] == [(1, 0, 0, ["b"])]
+
+
+def test_csv_order_is_file_order(spark, tmp_path):
+    head = "﻿" + ",".join(f.name for f in R.SURNAME_CSV.fields) if not isinstance(R.SURNAME_CSV, str) else None
+    names = [c.split(" STRING")[0].strip().strip("`") for c in R.SURNAME_CSV.split(", ")] if head is None else [f.name for f in R.SURNAME_CSV.fields]
+    at = {n: i for i, n in enumerate(names)}
+
+    def lines(rows):
+        out = []
+        for hanja, hangul in rows:
+            cells = [""] * len(names)
+            cells[at["성씨 한자명"]], cells[at["성씨 한글명"]] = hanja, hangul
+            out.append(",".join(cells))
+        return "﻿" + ",".join(names) + "\n" + "\n".join(out) + "\n"
+
+    (tmp_path / "csv").mkdir()
+    (tmp_path / "csv" / "a.csv").write_text(lines([("林", ""), ("林", "임"), ("金", "김")]), encoding="utf-8")
+    (tmp_path / "csv" / "b.csv").write_text(lines([("金", "금"), ("林", "림"), ("朴", "박")] + [("吳", f"오{i}") for i in range(50)]), encoding="utf-8")
+    rows = R.first_readings(R.read_surname_csv(spark, str(tmp_path / "csv")), "hanja", "hangul", "seq").collect()
+    assert {r.hanja: r.hangul for r in rows} == {"林": "임", "金": "김", "朴": "박", "吳": "오0"}

@@ -256,3 +256,20 @@ def test_bleu_of_equal_texts(spark):
 def test_judge_replies(spark, reply, want):
     df = V.judged(spark.createDataFrame([(reply,)], "raw string"), "raw", ("a", "b", "c"))
     assert tuple(df.select("a", "b", "c", "reason").first()) == want
+
+
+def test_boxes_on_a_grid_against_brute_force(spark):
+    rng = random.Random(5)
+
+    def some(n):
+        out = []
+        for i in range(n):
+            x, y = rng.randint(-20, 90), rng.randint(40, 44)
+            out.append((i, rng.randint(1, 2), float(x), float(y), float(x + rng.randint(0, 30)), float(y + rng.randint(0, 3))))
+        return out
+
+    objects, boxes = some(300), some(40)
+    schema = "id int, page int, x0 double, top double, x1 double, bottom double"
+    kept = K.outside_boxes(spark.createDataFrame(objects, schema), spark.createDataFrame(boxes, schema), ["id"], (8.0, 2.0))
+    want = {o[0] for o in objects if not any(o[1] == b[1] and o[4] > b[2] and o[2] < b[4] and o[5] > b[3] and o[3] < b[5] for b in boxes)}
+    assert {r.id for r in kept.collect()} == want and 0 < len(want) < 300
