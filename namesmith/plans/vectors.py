@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from namesmith.functions import elements as E
 from namesmith.functions.text import char_of
 from namesmith.operators import cells as N
+from namesmith.operators import retrieval as RT
 from namesmith.operators import vectors as V
+from namesmith.operators.retrieval import COLLECTIONS, INVALID, MISSING, NOTHING
 from namesmith.plans import Registry
 from namesmith.plans import standins as S
 from namesmith.session import shared_dir
@@ -160,3 +162,63 @@ def v6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def v7(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = S.table(spark, sf_dir, "orders").select("o_orderkey", char_of(F.lit(S.FIRST_CHAR) + F.col("o_custkey") * 2).alias("asked"))
     return V.metadata_of(asked, "asked", S.chars(spark, sf_dir), "seq")
+
+
+# -- questions asked of collections ----------------------------------------------------------
+
+_NAMES = ("suri_col", "ohaeng_col", "hanja_col", "law_col", "hanja_col", "paper_col", "hanja_col", "paper_col")
+_SHORT = ("밝은 뜻의 木오행 한자 2획", "이름 통계 표", "본문 내용만", "수리 81획", "3 획 이고 토오행", "법령", "")
+S.VIEWS["library"] = f"""SELECT vec_id AS id, {S.sql_list(_NAMES)}[CAST(label % 8 AS INT) + 1] AS collection, repeat('글 ' || vec_id || ' ', CAST(vec_id % 90 AS INT)) AS document, CAST(vec_id // 5 % 3 + 1 AS INT) AS strokes,
+    {S.label_sql("(vec_id + vec_id // 7) % 5")} AS e, CASE WHEN vec_id % 3 = 0 THEN 'table' ELSE 'text' END AS chunk_type, 'title ' || vec_id % 11 AS title, CAST(1990 + vec_id % 30 AS VARCHAR) AS year, CAST(embedding AS DOUBLE[]) AS v FROM embeddings"""
+S.VIEWS["asked"] = f"""SELECT vec_id AS request_id, {S.sql_list(_SHORT)}[CAST(vec_id // 20 % {len(_SHORT)} AS INT) + 1] AS query, v,
+    {S.sql_list((*COLLECTIONS, "nope_col"))}[CAST(vec_id // 20 % 13 % 7 AS INT) + 1] AS collection, CAST(vec_id // 20 % 12 * 5 - 2 AS INT) AS n FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) WHERE vec_id % 20 = 0"""
+
+
+def library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("vec_id")
+    strokes, element, chunk = (F.floor(key / 5) % 3 + 1).cast("int"), E.label_of((key + F.floor(key / 7)) % 5), F.when(key % 3 == 0, "table").otherwise("text")
+    pairs = {
+        "hanja": char_of(F.lit(S.FIRST_CHAR) + key), "strokes": strokes.cast("string"), "resource_ohaeng": element, "chunk_type": chunk, "title": F.concat(F.lit("title "), key % 11),
+        "year": (key % 30 + 1990).cast("string"), "source": F.lit("hidden"), "is_person_name_hanja": (key % 2 == 0).cast("string"),
+    }
+    return S.table(spark, sf_dir, "embeddings").select(
+        key.alias("id"), S.picked(_NAMES, F.col("label") % 8).alias("collection"), F.expr("repeat(concat('글 ', vec_id, ' '), cast(vec_id % 90 as int))").alias("document"), strokes.alias("strokes"),
+        element.alias("resource_ohaeng"), chunk.alias("chunk_type"), F.create_map(*[x for k, v in pairs.items() for x in (F.lit(k), v)]).alias("metadata"), "embedding",
+    )
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    step = F.floor(F.col("vec_id") / 20)
+    return S.table(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0").select(
+        F.col("vec_id").alias("request_id"), S.picked(_SHORT, step % len(_SHORT)).alias("query"), S.picked((*COLLECTIONS, "nope_col"), step % 13 % 7).alias("collection"),
+        (step % 12 * 5 - 2).cast("int").alias("n_results"), F.col("embedding").alias("vector"),
+    )
+
+
+_Q = "'[검색 결과] ''' || query || ''' — hanja_col ('"
+_LIKE = "regexp_replace(regexp_replace(printf('%.4f', round(1 - distance, 4)), '0+$', ''), '\\.$', '.0')"
+_CUT = "substr(document, 1, {n}) || CASE WHEN length(document) > {n} THEN '...' ELSE '' END"
+_PERMITTED = "CASE WHEN id % 2 = 0 THEN '예' ELSE '아니오' END"
+
+
+@AREA.add(
+    "v8_searched_questions",
+    S.with_views("library", "asked",
+      a=f"""SELECT *, CASE WHEN collection = 'hanja_col' THEN TRY_CAST(regexp_extract(query, '(\\d+)\\s*획', 1) AS INT) END AS s, CASE WHEN collection = 'hanja_col' THEN nullif(translate(regexp_extract(query, '([木火土金水목화토금수])오행', 1), '木火土金水', '목화토금수'), '') END AS el,
+        CASE WHEN collection = 'paper_col' THEN CASE WHEN contains(query, '표') OR contains(query, '통계') THEN 'table' WHEN contains(query, '본문') THEN 'text' END END AS ct FROM asked""",
+      r=f"""SELECT a.request_id, a.query, a.collection, n, s, el, ct, d.id, document, d.strokes, d.e, d.chunk_type, title, year, {_COS.replace('q.v', 'a.v')} AS distance FROM a JOIN library d ON d.collection = a.collection AND (s IS NULL OR d.strokes = s) AND (el IS NULL OR d.e = el) AND (ct IS NULL OR d.chunk_type = ct)""",
+      k="SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY distance, id) AS rank FROM r) WHERE rank <= greatest(1, least(n, 30))",
+      l=f"""SELECT request_id, rank, CASE collection WHEN 'hanja_col' THEN '[' || rank || '] ' || chr(CAST({S.FIRST_CHAR} + id AS INT)) || '() | 획수: ' || strokes || '획 | 자원오행: ' || e || ' | 발음오행: ? | 뜻:  | 인명용: ' || {_PERMITTED} || chr(10) || '    [한자: 자원오행표 ' || e || '오행]'
+        WHEN 'paper_col' THEN '  [' || rank || '] 유사도: ' || {_LIKE} || ' | ' || chunk_type || chr(10) || '      ' || title || '(' || year || ') —  | p.?' || chr(10) || '      ' || CASE chunk_type WHEN 'table' THEN {_CUT.format(n=500)} ELSE {_CUT.format(n=300)} END
+        ELSE '  [' || rank || '] 유사도: ' || {_LIKE} || chr(10) || '      메타: chunk_type: ' || chunk_type || ' | hanja: ' || chr(CAST({S.FIRST_CHAR} + id AS INT)) || ' | is_person_name_hanja: ' || CASE WHEN id % 2 = 0 THEN 'true' ELSE 'false' END
+          || ' | resource_ohaeng: ' || e || ' | strokes: ' || strokes || ' | title: ' || title || ' | year: ' || year || chr(10) || '      내용: ' || {_CUT.format(n=200)} || chr(10) || '      [출처: ' || collection || ']' END AS line FROM k""",
+      g="SELECT request_id, count(*) AS n, string_agg(line, chr(10) ORDER BY rank) AS lines FROM l GROUP BY 1",
+      t=f"""SELECT a.request_id, query, collection, coalesce(g.n, 0) AS n, lines, concat_ws(', ', '획수 ' || s || '획', '자원오행 ' || el, 'chunk_type=' || ct) AS described,
+        CASE WHEN collection = 'nope_col' THEN 'error' WHEN collection NOT IN (SELECT collection FROM library) THEN 'missing' WHEN g.n IS NULL THEN 'none' ELSE 'ok' END AS status FROM a LEFT JOIN g USING (request_id)""",
+      body=f"""SELECT request_id, status, n, CASE status WHEN 'error' THEN '{INVALID[0].replace("'", "''")}' || collection || '{INVALID[1].replace("'", "''")}{", ".join(COLLECTIONS)}' WHEN 'missing' THEN '{MISSING[0].replace("'", "''")}' || collection || '{MISSING[1].replace("'", "''")}'
+        WHEN 'none' THEN '{NOTHING[0].replace("'", "''")}' || query || '{NOTHING[1].replace("'", "''")}' ELSE CASE collection WHEN 'hanja_col' THEN {_Q} || n || '건)' || CASE WHEN described <> '' THEN ' [조건 필터: ' || described || ']' ELSE '' END
+        ELSE '[' || collection || '] ''' || query || ''' 검색 결과 ' || n || '건' || CASE WHEN collection = 'paper_col' AND described <> '' THEN ' [필터: ' || described || ']' ELSE '' END END || chr(10) || chr(10) || lines END AS text FROM t"""),
+)
+def v8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions answered from their collection, with error and no-result answers."""
+    return RT.searched(asked(spark, sf_dir), library(spark, sf_dir))
