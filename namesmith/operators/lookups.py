@@ -10,6 +10,7 @@ from namesmith.functions import frames as FR
 from namesmith.functions.once import computed_once
 from namesmith.functions.order import first_per_key, top_per_key
 from namesmith.functions.text import HANGUL, HANJA, contains_any, extract, first_contained, strip
+from namesmith.session import checkpointed
 
 MAX_LIMIT = 30
 
@@ -80,7 +81,8 @@ def optional_match(
     """
     asked = [F.col(c) for c in conditions]
     word = F.lit("") if contains is None else F.coalesce(contains[0], F.lit(""))
-    keyed_requests = computed_once(requests, {"_mask": _mask(asked), "_key": _key(asked), "_word": word})
+    # read by every step below; what requests are made of (rules over questions) is evaluated once
+    keyed_requests = checkpointed(computed_once(requests, {"_mask": _mask(asked), "_key": _key(asked), "_word": word}))
     ids = ["_order", "_h"]
     known = rows.withColumn("_order", F.col(order)).withColumn("_h", F.xxhash64(*rows.columns))
     wanted = keyed_requests.select("_mask", "_key", "_word").distinct()
@@ -96,9 +98,11 @@ def optional_match(
         found = found.join(wanted, ["_mask", "_key", "_word"], "left_semi")
         answers = answers.unionByName(top_per_key(found, ["_mask", "_key", "_word"], by, MAX_LIMIT, "rank").select(*answers.columns))
     own = [F.col(c) for c in requests.columns if c not in conditions and (contains is None or c != contains[0])]
-    hits = keyed_requests.join(answers, ["_mask", "_key", "_word"]).filter(F.col("rank") <= safe_limit(F.col(limit)))
+    # rows come back to the few answers of a key before the many requests meet them
     full = known.select(*ids, F.struct(*rows.columns).alias("_row")).dropDuplicates(ids)
-    return hits.join(full, ids).select(*own, "rank", "_row.*")
+    rich = answers.join(full, ids).select("_mask", "_key", "_word", "rank", "_row")
+    hits = keyed_requests.join(rich, ["_mask", "_key", "_word"]).filter(F.col("rank") <= safe_limit(F.col(limit)))
+    return hits.select(*own, "rank", "_row.*")
 
 
 def lookup_characters(requests: DataFrame, profiles: DataFrame) -> DataFrame:
