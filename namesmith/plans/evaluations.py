@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from namesmith.operators import evaluation as V
@@ -138,7 +138,8 @@ def e4_rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.rouge_l(text_pairs(spark, sf_dir), "doc_id", "prediction", "reference").withColumn("f", F.round("f", 6))
 
 
-_RECORD = [F.lit("doc").alias("collection"), F.concat(F.lit("doc_"), "doc_id").alias("id"), F.md5("text").alias("body")]
+def _record() -> list[Column]:
+    return [F.lit("doc").alias("collection"), F.concat(F.lit("doc_"), "doc_id").alias("id"), F.md5("text").alias("body")]
 
 
 @AREA.add("i1_incremental_load", """WITH n AS (SELECT 'doc_' || doc_id * 2 AS id, md5(text || 'x') AS body FROM documents)
@@ -151,5 +152,5 @@ def i1(spark: SparkSession, sf_dir: str) -> DataFrame:
     later.write.parquet(f"{base}/later")
     for name, source, glob in (("first", sf_dir, "documents.parquet"), ("second", f"{base}/later", "*.parquet")):
         for _ in range(2):
-            load_new(spark, source, docs.schema, f"{base}/target", f"{base}/progress-{name}", ["collection", "id"], _RECORD, glob, buckets=16, name=name)
-    return existing(spark, f"{base}/target", docs.select(*_RECORD).schema).drop("bucket", "batch")
+            load_new(spark, source, docs.schema, f"{base}/target", f"{base}/progress-{name}", ["collection", "id"], _record(), glob, buckets=16, name=name)
+    return existing(spark, f"{base}/target", docs.select(*_record()).schema).drop("bucket", "batch")
