@@ -34,6 +34,8 @@ BLOCK, TILE = 1 << 10, 32
 UNIT = 1_000_000_000  # shares are counted in parts of it
 # A task hands on its counts when it holds so many terms or bytes of them.
 HELD_TERMS, HELD_BYTES = 200_000, 1 << 24
+# Sources of all languages up to this number (some 10 MB) are sent to every task.
+SENT = 100_000
 
 
 def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -85,12 +87,15 @@ def vocabulary(counts: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
 
 
 def groups_of(counts: DataFrame, kept: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Every (lang, source): its number ``sid`` in the language, ``own_n`` kept occurrences and the language's ``V``."""
+    """Every (lang, source): its number ``sid`` in the language, ``own_n`` kept occurrences, and of the language
+    ``V`` kept terms, ``all_n`` occurrences of them and the last tile of sources. One row a source."""
     own = kept.groupBy("lang", "source").agg(F.sum("n").alias("own_n"))
     zero = F.lit(0).cast("long")
-    out = counts.select("lang", "source").distinct().join(own, ["lang", "source"], "left").join(sizes.select("lang", "V"), "lang", "left")
-    sid = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1
-    return out.select("lang", "source", sid.alias("sid"), F.coalesce("own_n", zero).alias("own_n"), F.coalesce("V", zero).alias("V"))
+    out = counts.select("lang", "source").distinct().join(own, ["lang", "source"], "left").join(sizes, "lang", "left")
+    of = Window.partitionBy("lang")
+    out = out.withColumn("sid", F.row_number().over(of.orderBy("source")) - 1)
+    tiles = F.shiftright(F.max("sid").over(of), 5).alias("tiles")
+    return out.select("lang", "source", "sid", F.coalesce("own_n", zero).alias("own_n"), F.coalesce("V", zero).alias("V"), F.coalesce("all_n", zero).alias("all_n"), tiles)
 
 
 def _whole(x: Column, m: Column) -> Column:
@@ -166,18 +171,22 @@ def block_prices(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out)
 
 
+def sent(groups: DataFrame, most: int = SENT) -> DataFrame:
+    """The groups for a join with all terms: sent to every task where there are few, else joined as they are."""
+    return F.broadcast(groups) if groups.count() <= most else groups
+
+
 def pair_prices(kept: DataFrame, groups: DataFrame) -> DataFrame:
     """``lang``, ``sid``, ``other``, ``value`` for each ordered pair of groups of a language."""
     block = F.shiftright("id", 10)
-    cells = kept.join(groups.select("lang", "source", "sid"), ["lang", "source"])
+    cells = kept.join(sent(groups.select("lang", "source", "sid")), ["lang", "source"])
     cells = cells.groupBy("lang", "sid", block.alias("block")).agg(F.collect_list(F.struct((F.col("id") % BLOCK).cast("int").alias("pos"), "n")).alias("cells"))
     last = F.greatest(F.shiftright(F.col("V") - 1, 10), F.lit(0).cast("long"))
     grid = groups.drop("source").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     grid = grid.withColumn("width", F.least(F.col("V") - F.col("block") * BLOCK, F.lit(BLOCK).cast("long")))
     grid = grid.join(cells, ["lang", "sid", "block"], "left")
     tile = F.shiftright("sid", 5)
-    tiles = groups.groupBy("lang").agg(F.max(F.shiftright("sid", 5)).alias("tiles"))
-    grid = grid.join(tiles, "lang").withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("tiles"))))
+    grid = grid.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("tiles"))))
     grid = grid.select(
         "lang", "block", F.least(tile, F.col("_o")).alias("ti"), F.greatest(tile, F.col("_o")).alias("tj"), "sid", "own_n", "V", "width", F.col("cells.pos").alias("pos"), F.col("cells.n").alias("n")
     )
@@ -202,7 +211,7 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     by = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     ranked = lambda df, part: df.select("lang", "source", F.lit(part).alias("part"), "item", "value", F.row_number().over(by).alias("rank"))
     p, q = F.col("p"), F.col("q")
-    terms = kept.join(groups, ["lang", "source"]).join(sizes.select("lang", "all_n"), "lang")
+    terms = kept.join(sent(groups), ["lang", "source"])
     terms = terms.select("lang", "source", F.col("term").alias("item"), share(F.col("n"), F.col("own_n") + F.col("V")).alias("p"), share(F.col("total"), F.col("all_n") + F.col("V")).alias("q"))
     terms = terms.filter(p > q).select("lang", "source", "item", _whole((p - q) * (p - q), q).alias("value"))
     return ranked(pairs, "pair").unionByName(ranked(terms, "term").filter(F.col("rank") <= top))
