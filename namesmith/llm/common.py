@@ -2,12 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACE = r"\x20\x09-\x0D"
 BLANKS = " \t\n\x0b\x0c\r"
 LOWEST = -(1 << 63)
+_memory: dict[str, dict] = {}
+
+
+def memory(owner: str) -> dict:
+    """What this worker remembers for one operator. Workers outlive stages, so what another one remembered is dropped."""
+    if owner not in _memory:
+        _memory.clear()
+        _memory[owner] = {}
+    return _memory[owner]
+
+
+class Recent:
+    """Values of keys met lately, in two generations of ``most`` keys; a key of the older one that is asked for moves on."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.old, self.young = most, {}, {}
+
+    def holding(self, keys: set, make: Callable[[list], Iterable]) -> dict:
+        """A mapping that has all of ``keys``; ``make`` gives the values of those not met."""
+        missing = keys - self.young.keys()
+        if len(self.young) + len(missing) > self.most:
+            self.old, self.young, missing = self.young, {}, keys
+        again = missing & self.old.keys()
+        self.young.update((k, self.old[k]) for k in again)
+        new = list(missing - again)
+        if new:
+            self.young.update(zip(new, make(new)))
+        return self.young
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

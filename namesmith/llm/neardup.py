@@ -1,6 +1,6 @@
 """Near-duplicate groups by DartMinHash signatures and banded joining.
 
-A document is a weighted set of word shingles. Darts fall on the plane of (weight, rank) of
+A document is a set of word shingles, each weighing as often as it occurs. Darts fall on the plane of (weight, rank) of
 each element, one a unit of area on average, at places that a hash fixes. Those below the
 element's weight hit; of the hits in each of ``COORDINATES`` coordinates the earliest by rank
 stays. Two documents agree in a coordinate with the probability of their weighted Jaccard
@@ -9,9 +9,9 @@ similarity, and only about k log k darts are thrown, however many elements there
 Equal signatures in a band put documents into a bucket. Within a bucket pairs are not
 enumerated: all are compared with one hub, exactly, on their shingle sets; then, in buckets
 whose documents are not in one group yet, with a second hub; then those of different groups
-with each other, unless the shingles that they share with any other are too few for a pair or
-their rarest shingles are disjoint (both exact bounds). So a large group of near copies costs a multiple of its size, and no link
-between groups is left out. Exact copies are one node from the start.
+with each other, where the join's condition counts the shingles of both, so that it puts out links
+alone. So a large group of near copies costs a multiple of its size, and no link between groups is
+left out. Exact copies are one node from the start.
 
 Four bits of every coordinate are kept beside the bands. Candidates that agree in so few
 coordinates that a pair at the threshold would do so once in ``RARE`` are not fetched. A pair
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from namesmith.llm.common import LOWEST, table, text_of
+from namesmith.llm.common import LOWEST, memory, table, text_of
 from namesmith.llm.components import components
 from namesmith.llm.parsing import M1, M3, mix
 from namesmith.session import checkpointed
@@ -43,20 +43,20 @@ RARE = 1e-7
 KNOWN = 300_000
 CELLS = 1 << 19
 POISSON = np.cumsum([np.exp(-1.0) / f for f in (1, 1, 2, 6, 24, 120, 720, 5040, 40320, 362880, 3628800, 39916800)])
-_known: dict[bytes, int] = {}
 
 
 def word_hashes(text: str) -> np.ndarray:
     import xxhash
 
     words = text.encode("utf-8", "surrogatepass").split()  # ASCII blanks
-    if len(_known) > KNOWN:
-        _known.clear()
+    known = memory("neardup")
+    if len(known) > KNOWN:
+        known.clear()
     out = []
     for w in words:
-        h = _known.get(w)
+        h = known.get(w)
         if h is None:
-            h = _known[w] = xxhash.xxh3_64_intdigest(w)
+            h = known[w] = xxhash.xxh3_64_intdigest(w)
         out.append(h)
     return np.array(out, np.uint64)
 
@@ -73,6 +73,15 @@ def shingles(text: str, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(mix(s), return_counts=True)
 
 
+def occurrences(s: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A name for each occurrence: the shingle for its first, a hash of shingle and number for the others.
+    The weighted similarity of two texts is the Jaccard similarity of these sets."""
+    many = n > 1
+    again = np.repeat(s[many], n[many] - 1)
+    nth = np.arange(len(again)) - np.repeat(np.cumsum(n[many] - 1) - (n[many] - 1), n[many] - 1) + 1
+    return np.concatenate((s, mix(again ^ mix(nth.astype(np.uint64) * M1))))
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(11)) * 2.0**-53
 
@@ -90,7 +99,7 @@ def throw(h: np.ndarray, x: np.ndarray, doc: np.ndarray, reach: np.ndarray, k: i
         slabs = np.ceil(reach[doc[own]] * width).astype(np.int64)
         at = np.repeat(own, slabs)
         slab = np.arange(len(at)) - np.repeat(np.cumsum(slabs) - slabs, slabs)
-        cell = mix(mix(h[at] + np.uint64(level + 1) * M3) + slab.astype(np.uint64) * M1)
+        cell = mix(mix(h[at] + np.array([level + 1], np.uint64) * M3) + slab.astype(np.uint64) * M1)
         n = np.searchsorted(POISSON, unit(cell), side="right")
         c = np.repeat(np.arange(len(at)), n)
         j = np.arange(len(c)) - np.repeat(np.cumsum(n) - n, n)
@@ -152,10 +161,9 @@ def agreeing(x: Column, y: Column) -> Column:
     return F.lit(COORDINATES) - differ[0] - differ[1]
 
 
-def bands(texts: list[str], weighted: bool = False) -> tuple[list[list[int]], list[list[int]]]:
-    """Bucket of each band, and the planes; none for a wordless text. Without ``weighted`` each shingle weighs one."""
+def bands(texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+    """Bucket of each band, and the planes; none for a wordless text."""
     sets = [shingles(t) for t in texts]
-    sets = [(s, n if weighted else np.ones(len(s))) for s, n in sets]
     full = [i for i, (s, _) in enumerate(sets) if len(s)]
     out: list[list[int]] = [[] for _ in texts]
     kept: list[list[int]] = [[] for _ in texts]
@@ -200,14 +208,14 @@ def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets are alike enough."""
+    """The pairs (a, b) of nodes whose weighted shingles are alike enough."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sets: dict[bytes, np.ndarray] = {}
             for node, text in zip([*pdf["a"], *pdf["b"]], [*pdf["text_a"], *pdf["text_b"]]):
                 if node not in sets:
-                    sets[node] = shingles(text)[0]
+                    sets[node] = occurrences(*shingles(text))
             alike = [jaccard(sets[a], sets[b]) >= similar for a, b in zip(pdf["a"], pdf["b"])]
             yield pdf.loc[alike, ["a", "b"]]
 
@@ -216,30 +224,25 @@ def verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
     return checkpointed(rows.mapInPandas(run, "a binary, b binary"))
 
 
-def prefixes(nodes: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
-    """(node, size, common, prefix) of the nodes that can be in a pair with another of ``nodes``.
+def in_common(nodes: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+    """(node, size, common) of the nodes that can be in a pair with another of ``nodes``.
 
-    ``common`` counts the shingles that another node has too: no pair has more in common. With
-    shingles in order of rarity, two sets that are alike enough meet in the first
-    size - least + 1 of both, where ``least`` is what a partner of any size must share; ``prefix``
-    holds those of them that another node has. A document's shingles come together, as its text does.
+    ``common`` holds the occurrences of shingles that another node has too: all that a pair can
+    share. A node with fewer of them than the smallest partner needs is in no pair.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for k in range(0, len(pdf), 64):
                 part = pdf.iloc[k : k + 64]
-                sets = [shingles(t)[0] for t in part["text"]]
+                sets = [occurrences(*shingles(t)) for t in part["text"]]
                 n = [len(s) for s in sets]
                 yield pd.DataFrame({"node": np.repeat(part["node"].to_numpy(), n), "size": np.repeat(n, n), "shingle": np.concatenate(sets).view(np.int64)})
 
     cells = texts.join(nodes, "node", "left_semi").mapInPandas(run, "node binary, size int, shingle long")
     often = cells.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    rows = cells.join(often, "shingle").groupBy("node", "size").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("c"))
-    least = F.ceil(similar * F.col("size") - 1e-6).cast("int")
-    first = F.slice("c", F.lit(1), F.size("c") - least + 1)
-    rows = rows.filter(F.size("c") >= least).select("node", "size", F.size("c").alias("common"), F.transform(first, lambda x: x["shingle"]).alias("prefix"))
-    return checkpointed(rows)
+    rows = cells.join(often, "shingle").groupBy("node", "size").agg(F.collect_list("shingle").alias("common"))
+    return checkpointed(rows.filter(F.size("common") >= F.ceil(similar * F.col("size") - 1e-6)))
 
 
 def likely(pairs: DataFrame, signs: DataFrame, enough: int) -> DataFrame:
@@ -253,10 +256,29 @@ def ordered(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def torn(named: DataFrame) -> DataFrame:
+def torn(seats: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of the buckets whose nodes have several labels, with another hub of the bucket."""
-    ends = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by("node", F.xxhash64("node", "bucket")).alias("hub"))
-    return named.join(ends.filter(F.col("lo") != F.col("hi")).select("bucket", "hub"), "bucket")
+    named = checkpointed(seats.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    hub = F.min_by(F.struct("node", "label"), F.xxhash64("node", "bucket"))
+    ends = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), hub.alias("hub"))
+    ends = ends.filter(F.col("lo") != F.col("hi")).select("bucket", F.col("hub.node").alias("hub"), F.col("hub.label").alias("hub_label"))
+    return named.join(ends, "bucket")
+
+
+def between(rows: DataFrame, similar: float, enough: int) -> DataFrame:
+    """The links (a, b) between nodes of different labels that share a bucket; each is put out in their least one.
+
+    The last condition, after cheap bounds, counts what both hold: no pair leaves the join but a link.
+    """
+    side = lambda x: rows.select("bucket", *[F.col(c).alias(f"{x}_{c}") for c in rows.columns if c != "bucket"])
+    x, y = side("x"), side("y")
+    least = (similar * (F.col("x_size") + F.col("y_size")) - 1e-6) / (1 + similar)
+    link = (x["bucket"] == y["bucket"]) & (F.col("x_label") < F.col("y_label"))
+    link = link & (F.least(F.size("x_common"), F.size("y_common")) >= least)
+    link = link & (agreeing(F.col("x_planes"), F.col("y_planes")) >= enough)
+    link = link & (x["bucket"] == F.array_min(F.array_intersect("x_bands", "y_bands")))
+    link = link & (F.size(F.array_intersect("x_common", "y_common")) >= least)
+    return x.join(y, link).select(*ordered("x_node", "y_node"))
 
 
 def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
@@ -277,33 +299,15 @@ def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: f
     texts = texts_of(docs, shared.select("node").distinct())
     edges = verified(tested, texts, similar)
     labels = components(edges)
-    for last in (False, True):
-        named = shared.drop("hub").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        if last:  # a node with too few shingles that any other has is in no pair
-            may = prefixes(checkpointed(torn(named)).select("node").distinct(), texts, similar)
-            named = named.join(may.select("node"), "node", "left_semi")
-        named = checkpointed(torn(named))
-        if named.isEmpty():
-            break
-        if last:
-            named = named.join(signs.join(may, "node"), "node")
-        x = named.select("bucket", *[F.col(c).alias(f"x_{c}") for c in named.columns if c != "bucket"])
-        y = named.select("bucket", *[F.col(c).alias(f"y_{c}") for c in named.columns if c != "bucket"])
-        if last:
-            least = similar / (1 + similar) * (F.col("x_size") + F.col("y_size")) - 1e-6
-            other = (F.col("x_label") < F.col("y_label")) & (F.least("x_common", "y_common") >= least)
-            other = other & (agreeing(x["x_planes"], y["y_planes"]) >= enough)
-            other = other & F.arrays_overlap("x_prefix", "y_prefix")
-            other = other & (x["bucket"] == F.array_min(F.array_intersect("x_bands", "y_bands")))
-        else:
-            y = y.filter(F.col("y_node") == F.col("y_hub"))
-            other = F.col("x_label") != F.col("y_label")
-        pairs = x.join(y, (x["bucket"] == y["bucket"]) & other).select(*ordered("x_node", "y_node"))
-        pairs = pairs if last else likely(pairs.distinct(), signs, enough)
-        pairs = checkpointed(pairs.join(tested, ["a", "b"], "left_anti"))
-        tested = tested.unionByName(pairs)
-        edges = checkpointed(edges.unionByName(verified(pairs, texts, similar)))
-        labels = components(edges)
+    hubs = torn(shared.drop("hub"), labels)
+    pairs = hubs.filter(F.col("label") != F.col("hub_label")).select(*ordered("node", "hub")).distinct()
+    pairs = likely(pairs.join(tested, ["a", "b"], "left_anti"), signs, enough)
+    edges = checkpointed(edges.unionByName(verified(pairs, texts, similar)))
+    labels = components(edges)
+    rest = checkpointed(torn(shared.drop("hub"), labels).select("bucket", "node", "label"))
+    may = in_common(rest.select("node").distinct(), texts, similar)
+    links = between(rest.join(may, "node").join(signs, "node"), similar, enough)
+    labels = components(checkpointed(edges.unionByName(links)))
     keys = docs.select("_id", node_of(F.col("_text")).alias("node"))
     return keys.join(labels, "node", "left").select("_id", "node", F.coalesce("label", "node").alias("label"))
 
@@ -317,15 +321,16 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similar:
 
 
 def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """One row of each group, that of the least id (then the least text digest); all columns stay."""
+    """One row of each group, that of the least id (then the least text digest); all columns stay, whatever their names.
+    Repeated rows are one; wordless texts (null as empty) are one group for each text."""
     found = groups(df, doc_id, text, similar)
     first = found.groupBy("label").agg(F.min(F.struct("_id", "node")).alias("f"), F.count(F.lit(1)).alias("n"))
-    first = checkpointed(first.select(F.col("f._id").alias("__id"), F.col("f.node").alias("__node"), F.col("n").alias("__n")))
-    rows = df.withColumns({"__id": F.coalesce(F.col(doc_id).cast("long"), F.lit(LOWEST)), "__node": node_of(text_of(text))})
-    rows = rows.join(first, ["__id", "__node"])
+    first = checkpointed(first.select("f.*", "n"))
+    rows = df.select(F.struct(F.lit(0).alias("_"), *df.columns).alias("row"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LOWEST)).alias("_id"), node_of(text_of(text)).alias("node"))
+    rows = rows.join(first, ["_id", "node"])
     # of rows that repeat id and text one stays; only groups of several rows are looked at
-    single = rows.filter("__n = 1").unionByName(rows.filter("__n > 1").dropDuplicates(["__id", "__node"]))
-    return single.select(*df.columns)
+    single = rows.filter("n = 1").unionByName(rows.filter("n > 1").dropDuplicates(["_id", "node"]))
+    return single.select(*[F.col("row")[c].alias(c) for c in df.columns])
 
 
 def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
