@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from namesmith.functions.order import top_per_key
-from namesmith.llm.common import held_out, table, text_of
+from namesmith.llm.common import held_out, memory, table, text_of
 
 TOP = 400
-CHUNK = 1 << 21
+CHUNK = 1 << 19  # letters counted at once
 
 
 @lru_cache(maxsize=1)
@@ -56,6 +56,7 @@ def ranked(codes: np.ndarray, top: int) -> np.ndarray:
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    memory("language")
     for pdf in batches:
         for lang, texts in pdf.groupby("lang")["text"]:
             part: list[str] = []
@@ -84,8 +85,8 @@ def profiles(df: DataFrame, text: str = "text", lang: str = "lang", top: int = T
 def identify(df: DataFrame, learned: dict[str, list[int]], text: str = "text", top: int = TOP) -> DataFrame:
     """Add (or replace) ``lang_pred`` and ``score``.
 
-    Null, empty and letterless texts get ``und`` and score 0, as does every text if nothing
-    was learned. Of equally near languages the first by name wins. ``score`` is one less the
+    Null, empty and letterless texts get ``und`` and score 0. If nothing was learned, a text with
+    letters gets null and score 0. Other columns stay, whatever their names; repeated rows are judged alike. Of equally near languages the first by name wins. ``score`` is one less the
     out-of-place distance, as a share of the largest possible one.
     """
     names = sorted(learned)
@@ -94,10 +95,12 @@ def identify(df: DataFrame, learned: dict[str, list[int]], text: str = "text", t
     for k, name in enumerate(names):
         ranks[k, np.searchsorted(vocab, np.array(learned[name], np.int64))] = np.arange(len(learned[name]))
 
-    def judge(text: str | None) -> tuple[str, float]:
-        codes = ranked(grams(text), top) if text and names else ()
+    def judge(text: str | None) -> tuple[str | None, float]:
+        codes = ranked(grams(text), top) if text else ()
         if not len(codes) or codes.max() == 1:
             return "und", 0.0
+        if not names:
+            return None, 0.0
         at = np.searchsorted(vocab, codes)
         at[vocab[np.minimum(at, len(vocab) - 1)] != codes] = len(vocab)
         found = ranks[:, at]
@@ -107,10 +110,12 @@ def identify(df: DataFrame, learned: dict[str, list[int]], text: str = "text", t
 
     @F.pandas_udf("lang_pred string, score double")
     def guess(texts: pd.Series) -> pd.DataFrame:
+        memory("language")
         return pd.DataFrame([judge(t) for t in texts], columns=["lang_pred", "score"])
 
     rest = [c for c in df.columns if c not in ("lang_pred", "score")]
-    return df.select(*rest, guess(F.col(text)).alias("_guess")).select(*rest, "_guess.*")
+    out = df.select(F.struct(F.lit(0).alias("_"), *rest).alias("row"), guess(F.col(text)).alias("guess"))
+    return out.select(*[F.col("row")[c].alias(c) for c in rest], "guess.*")
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,10 +126,14 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any letter have no language and go. A missing language is filled in."""
-    out = identify(docs, profiles(docs))
-    lang = F.coalesce(F.col("lang"), F.col("lang_pred"))
-    return out.filter(F.col("lang_pred") != "und").withColumn("lang", lang).select(*docs.columns)
+    """Documents without any letter have no language and go. A missing language is filled in; a given
+    one is taken as given. If no row has a language, nothing is learned and nothing filled in. Nulls,
+    repeated rows and other columns stay as they are."""
+    learned = profiles(docs)
+    out = identify(docs.select(F.struct(F.lit(0).alias("_"), *docs.columns).alias("row"), "text"), learned)
+    out = out.filter(F.coalesce("lang_pred", F.lit("")) != "und")
+    filled = {"lang": F.coalesce(F.col("row.lang"), F.col("lang_pred"))}
+    return out.select(*[filled.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 __all__ = ["identify", "op2_language", "profiles", "stage", "text_of"]

@@ -18,12 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from namesmith.llm.common import table
+from namesmith.llm.common import Recent, memory, table
 
 SIZE, OPEN, EOS = 1024, 1024, 2
-KNOWN = 1_000_000  # words whose ids a worker remembers; more are encoded again
+KNOWN = 200_000  # words in each of two generations whose ids a worker remembers; others are encoded again
 STEP = 256
-_coders: dict[str, "Coder"] = {}
 
 
 class Coder:
@@ -50,7 +49,7 @@ class Coder:
         plain = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
         self.split = regex.compile(public_tokenizers.PATTERN).findall if plain and not spec.get("normalizer") else None
         self.added = [a["content"] for a in spec.get("added_tokens") or []]
-        self.known: dict[str, bytes] = {}
+        self.known = Recent(KNOWN)
 
     def fresh(self, texts: list[str]) -> list[bytes]:
         return [pack_ids(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -64,19 +63,15 @@ class Coder:
             rest = iter(self.encode([t for i, t in enumerate(texts) if i not in out]))
             return [out[i] if i in out else next(rest) for i in range(len(texts))]
         words = [self.split(t) for t in texts]
-        new = list(set().union(*words) - self.known.keys())
-        if len(self.known) + len(new) > KNOWN:
-            self.known.clear()
-            new = list(set().union(*words))
-        self.known.update(zip(new, self.fresh(new)))
-        get = self.known.__getitem__
+        get = self.known.holding(set().union(*words), self.fresh).__getitem__
         return [b"".join(map(get, w)) for w in words]
 
 
 def coder(path: str) -> Coder:
-    if path not in _coders:
-        _coders[path] = Coder(path)
-    return _coders[path]
+    coders = memory("packing")
+    if path not in coders:
+        coders[path] = Coder(path)
+    return coders[path]
 
 
 class Packer:
