@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from namesmith.llm.common import table
+from namesmith.llm.common import packed_row, table
 
 WORDS = 1 << 15  # distinct words in a query
 KNOWN = 600_000  # words a worker remembers; more are encoded again
@@ -114,7 +114,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFr
     """Add (or replace) ``n_tokens``, ``ids`` (decimal, one space between) and ``decoded`` (bytes).
 
     Null and empty texts have no id. Special tokens' names are ordinary text. No shuffle; other
-    columns stay; repeated rows are encoded alike.
+    columns stay, whatever their names; repeated rows are encoded alike.
     """
 
     @F.pandas_udf("n_tokens long, ids string, decoded binary")
@@ -126,7 +126,8 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFr
             yield pd.DataFrame(out, columns=["n_tokens", "ids", "decoded"])
 
     rest = [c for c in df.columns if c not in ("n_tokens", "ids", "decoded")]
-    return df.select(*rest, run(F.col(text)).alias("_bpe")).select(*rest, "_bpe.*")
+    out = df.select(packed_row(rest).alias("row"), run(F.col(text)).alias("bpe"))
+    return out.select(*[F.col("row")[c].alias(c) for c in rest], "bpe.*")
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,6 +53,11 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def packed_row(columns: list[str]) -> Column:
+    """A caller's columns as one struct, so that none meets a name of ours."""
+    return F.struct(*(columns or [F.lit(0).alias("none")]))
+
+
 def words_of(text: Column) -> Column:
     """Words between ASCII blanks; an empty array where there is none."""
     inner = F.btrim(text, F.lit(BLANKS))

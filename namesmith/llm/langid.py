@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from namesmith.functions.order import top_per_key
-from namesmith.llm.common import held_out, memory, table, text_of
+from namesmith.llm.common import held_out, memory, packed_row, table, text_of
 
 TOP = 400
 CHUNK = 1 << 19  # letters counted at once
@@ -114,7 +114,7 @@ def identify(df: DataFrame, learned: dict[str, list[int]], text: str = "text", t
         return pd.DataFrame([judge(t) for t in texts], columns=["lang_pred", "score"])
 
     rest = [c for c in df.columns if c not in ("lang_pred", "score")]
-    out = df.select(F.struct(F.lit(0).alias("_"), *rest).alias("row"), guess(F.col(text)).alias("guess"))
+    out = df.select(packed_row(rest).alias("row"), guess(F.col(text)).alias("guess"))
     return out.select(*[F.col("row")[c].alias(c) for c in rest], "guess.*")
 
 
@@ -130,7 +130,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     one is taken as given. If no row has a language, nothing is learned and nothing filled in. Nulls,
     repeated rows and other columns stay as they are."""
     learned = profiles(docs)
-    out = identify(docs.select(F.struct(F.lit(0).alias("_"), *docs.columns).alias("row"), "text"), learned)
+    out = identify(docs.select(packed_row(docs.columns).alias("row"), "text"), learned)
     out = out.filter(F.coalesce("lang_pred", F.lit("")) != "und")
     filled = {"lang": F.coalesce(F.col("row.lang"), F.col("lang_pred"))}
     return out.select(*[filled.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

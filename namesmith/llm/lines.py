@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from namesmith.llm.common import SPACE, row_key, table, text_of
+from namesmith.llm.common import SPACE, packed_row, row_key, table, text_of
 from namesmith.session import checkpointed
 
 LEAST = 50
@@ -74,22 +74,24 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int
 
     Null texts stay null and empty ones empty; lines without a word are no part of a run but go
     with one that spans them. Rows that repeat id and text are one document and change alike.
-    A text that loses every line becomes empty; its row stays. Other columns stay.
+    A text that loses every line becomes empty; its row stays. Other columns stay, whatever their
+    names, but for one named ``n_removed``, which is replaced.
     """
     runs = repeated_runs(df, doc_id, text, least)
     key = row_key(doc_id, text_of(text))
     own = [c for c in df.columns if c != "n_removed"]
-    docs = df.select(*own, key[0].alias("__id"), key[1].alias("__h"))
-    out = docs.join(runs.select(F.col("_id").alias("__id"), F.col("_h").alias("__h"), F.col("runs").alias("__runs")), ["__id", "__h"], "left")
-    lines, cut = F.split(F.col(text), "\n"), F.col("__runs")
+    docs = df.select(packed_row(own).alias("row"), *key)
+    out = docs.join(runs, ["_id", "_h"], "left")
+    whole, cut = F.col("row")[text], F.col("runs")
+    lines = F.split(whole, "\n")
     gap = lambda i: F.slice(
         lines, F.coalesce(F.get(cut, i - 1)["last"] + 2, F.lit(1)),
         F.coalesce(F.get(cut, i)["first"], F.size(lines)) - F.coalesce(F.get(cut, i - 1)["last"] + 1, F.lit(0)),
     )
     kept = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(cut)), gap)), "\n")
     gone = F.aggregate(cut, F.lit(0).cast("long"), lambda s, r: s + r["last"] - r["first"] + 1)
-    new = {text: F.when(cut.isNull(), F.col(text)).otherwise(kept)}
-    return out.select(*[new.get(c, F.col(c)).alias(c) for c in own], F.coalesce(gone, F.lit(0)).cast("long").alias("n_removed"))
+    new = {text: F.when(cut.isNull(), whole).otherwise(kept)}
+    return out.select(*[new.get(c, F.col("row")[c]).alias(c) for c in own], F.coalesce(gone, F.lit(0)).cast("long").alias("n_removed"))
 
 
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,8 +100,10 @@ def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with such runs taken out, ``n_chars`` anew where it was given."""
-    out = dedup(docs)
+    """Documents with such runs taken out, ``n_chars`` anew where it was given. Nulls, repeated rows and
+    texts without a line left are treated as in ``dedup``; other columns stay, whatever their names."""
+    out = dedup(docs.select(packed_row(docs.columns).alias("doc"), "doc_id", "text"))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("doc.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from namesmith.llm.common import LOWEST, memory, table, text_of
+from namesmith.llm.common import LOWEST, memory, packed_row, table, text_of
 from namesmith.llm.components import components
 from namesmith.llm.parsing import M1, M3, mix
 from namesmith.session import checkpointed
@@ -326,7 +326,7 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: fl
     found = groups(df, doc_id, text, similar)
     first = found.groupBy("label").agg(F.min(F.struct("_id", "node")).alias("f"), F.count(F.lit(1)).alias("n"))
     first = checkpointed(first.select("f.*", "n"))
-    rows = df.select(F.struct(F.lit(0).alias("_"), *df.columns).alias("row"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LOWEST)).alias("_id"), node_of(text_of(text)).alias("node"))
+    rows = df.select(packed_row(df.columns).alias("row"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LOWEST)).alias("_id"), node_of(text_of(text)).alias("node"))
     rows = rows.join(first, ["_id", "node"])
     # of rows that repeat id and text one stays; only groups of several rows are looked at
     single = rows.filter("n = 1").unionByName(rows.filter("n > 1").dropDuplicates(["_id", "node"]))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from namesmith.functions.once import computed_once
-from namesmith.llm.common import SPACE, row_key, table, text_of, words_of
+from namesmith.llm.common import SPACE, packed_row, row_key, table, text_of, words_of
 from namesmith.session import checkpointed
 
 # The kinds and their patterns. Possessive repeats and the start conditions
@@ -132,7 +132,7 @@ def find(
     """
     own = [c for c in df.columns if c != "spans"]
     rest = [c for c in own if c != text]  # the text is written once
-    keyed = df.select(F.struct(F.lit(0).alias("_"), *rest).alias("_row"), *row_key(doc_id, text_of(text)), text_of(text).alias("_text"), F.col(text).isNull().alias("_null"))
+    keyed = df.select(packed_row(rest).alias("_row"), *row_key(doc_id, text_of(text)), text_of(text).alias("_text"), F.col(text).isNull().alias("_null"))
     docs = checkpointed(base_spans(keyed, "_text"))
     distinct = docs.select("_id", "_h", "_text", "_base")
     terms = checkpointed(revealing(distinct, support, generalise))  # its size is known below: no shuffle of all words where it is small
@@ -156,15 +156,17 @@ def find(
 
 def sanitise(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """All rows with each span of ``text`` replaced by its kind in angle brackets, or by nothing
-    where the term is to be removed. Of overlapping spans the first names the whole; a null text stays null."""
-    found = find(df, doc_id, text)
-    own = [c for c in found.columns if c != "spans"]
+    where the term is to be removed. Of overlapping spans the first names the whole; a null text stays
+    null. Repeated rows change alike; other columns stay, whatever their names."""
+    rest = [c for c in df.columns if c != text]
+    found = find(df.select(packed_row(rest).alias("doc"), F.col(doc_id).alias("id"), F.col(text).alias("text")), "id", "text")
+    shown = lambda new: [F.col(new).alias(c) if c == text else F.col("doc")[c].alias(c) for c in df.columns]
     s, top, at = F.col("_s"), F.col("_top"), F.col("_at")
     begin = lambda j: F.get(s, F.get(at, j))["start"]
     stop = lambda j: F.get(top, F.coalesce(F.get(at, j + 1), F.size(s)) - 1)
     name = lambda j: F.get(s, F.get(at, j))["kind"]
     piece = lambda j: F.concat(
-        F.substring(F.col(text), F.coalesce(stop(j - 1), F.lit(0)) + 1, F.coalesce(begin(j), F.length(text)) - F.coalesce(stop(j - 1), F.lit(0))),
+        F.substring(F.col("text"), F.coalesce(stop(j - 1), F.lit(0)) + 1, F.coalesce(begin(j), F.length("text")) - F.coalesce(stop(j - 1), F.lit(0))),
         F.when(name(j).isNull() | (name(j) == "removed"), "").otherwise(F.concat(F.lit("<"), F.upper(name(j)), F.lit(">"))),
     )
     hit = layered(found.filter(F.size("spans") > 0), [
@@ -173,7 +175,7 @@ def sanitise(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
         {"_at": F.filter(F.sequence(F.lit(0), F.size("_s") - 1), lambda i: (i == 0) | (F.get(s, i)["start"] >= F.get(top, i - 1)))},
         {"_new": F.array_join(F.transform(F.sequence(F.lit(0), F.size("_at")), piece), "")},
     ])
-    return found.filter(F.size("spans") == 0).select(*own).unionByName(hit.select(*[F.col("_new").alias(c) if c == text else F.col(c) for c in own]))
+    return found.filter(F.size("spans") == 0).select(*shown("text")).unionByName(hit.select(*shown("_new")))
 
 
 def op6_private(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,7 +188,7 @@ def op6_private(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced, ``n_chars`` anew where it was given."""
+    """Documents with personal data replaced, ``n_chars`` anew (0 for null) where it was given; else as ``sanitise``."""
     out = sanitise(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))

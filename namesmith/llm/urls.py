@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from namesmith.llm.common import table
+from namesmith.llm.common import packed_row, table
 
 # Terms of the vocabulary, each a word of its own in a URL.
 STRICT = ("adult", "casino", "escort", "gambling", "hentai", "jackpot", "malware", "nude", "phishing", "porn", "porno", "pornhub", "roulette", "sex", "viagra", "warez", "xnxx", "xvideos", "xxx")
@@ -75,11 +75,11 @@ def judge(df: DataFrame, url: str = "url", limit: int = SOFT_LIMIT) -> DataFrame
     """Add (or replace) host, path, rule, strict, soft and verdict. A null URL has empty parts and is
     allowed; columns of those names are replaced, others stay; repeated rows are judged alike."""
     added = ("host", "path", "rule", "strict", "soft", "verdict")
-    rest = [F.col(c) for c in df.columns if c not in added]
-    out = df.select(*rest, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), vocabulary_hits(F.col(url)).alias("_hits"))
+    rest = [c for c in df.columns if c not in added]
+    out = df.select(packed_row(rest).alias("row"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), vocabulary_hits(F.col(url)).alias("hits"))
     rule, verdict = rule_of(F.col("host"), F.col("path"))
-    own = F.when((F.col("_hits.strict") > 0) | (F.col("_hits.soft") >= limit), "block").otherwise("allow")
-    return out.select(*rest, "host", "path", rule.alias("rule"), "_hits.*", F.coalesce(verdict, own).alias("verdict"))
+    own = F.when((F.col("hits.strict") > 0) | (F.col("hits.soft") >= limit), "block").otherwise("allow")
+    return out.select(*[F.col("row")[c].alias(c) for c in rest], "host", "path", rule.alias("rule"), "hits.*", F.coalesce(verdict, own).alias("verdict"))
 
 
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

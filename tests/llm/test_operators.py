@@ -6,10 +6,11 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers
-from namesmith.llm import bpe, langid, lines, neardup, packing, parsing, private, quality, scoring, urls
+from namesmith.llm import bpe, common, langid, lines, neardup, packing, parsing, private, quality, scoring, urls
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _id long, node string, spans string, kept boolean"
@@ -62,6 +63,67 @@ def test_stages_keep_columns(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
 
 
+CLASHING = (
+    "_", "row", "doc", "id", "guess", "_guess", "lang_pred", "score", "_id", "_h", "__id", "__h", "runs", "__runs", "n_removed", "node", "n", "__n", "label",
+    "_text", "_row", "_base", "spans", "_s", "_top", "_at", "_new", "_terms", "_found", "hits", "_hits", "bpe", "_bpe",
+)
+
+
+@pytest.mark.parametrize("name", ["language", "lines", "neardup", "private"])
+def test_stages_carry_columns_of_any_name_and_odd_rows(spark, name):
+    plain = odd(spark).select("doc_id", "text", "lang", "source", "n_chars")
+    docs = plain.select("*", *[F.concat(F.lit(f"{c}:"), F.coalesce(F.col("text"), F.lit("null"))).alias(c) for c in CLASHING])
+    stage = dict(corpus_pipeline.STAGES)[name]
+    got, want = stage(spark, docs, SF), stage(spark, plain, SF)
+    assert got.columns == docs.columns
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.text or "")
+    assert sorted((tuple(r) for r in got.select(plain.columns).collect()), key=repr) == sorted((tuple(r) for r in want.collect()), key=repr)
+    given = {(r.doc_id, r.row) for r in docs.select("doc_id", "row").collect()}
+    for r in sorted(got.collect(), key=key):
+        assert all(r[c][len(c) + 1 :] == r.row[4:] for c in CLASHING) and (r.doc_id, r.row) in given
+
+
+def test_encoding_and_urls_carry_columns_of_any_name(spark):
+    own = list(CLASHING)
+    docs = spark.createDataFrame([(1, "https://a.org/x casino")], "doc_id long, text string").select("*", *[F.lit(c).alias(c) for c in own])
+    rank = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).first()
+    page = urls.judge(docs, "text").first()
+    assert all(rank[c] == c and page[c] == c for c in own)
+    assert rank.decoded.decode() == docs.first().text and (page.host, page.verdict) == ("a.org", "allow")
+
+
+def test_language_stage_without_any_language(spark):
+    """Nothing can be learned: texts with a letter stay without a language, others go."""
+    docs = spark.createDataFrame([(1, "some text", None), (2, "12 34", None), (3, None, None), (4, "x", None), (4, "x", None)], "doc_id long, text string, lang string")
+    got = [tuple(r) for r in langid.stage(spark, docs, SF).orderBy("doc_id").collect()]
+    assert got == [(1, "some text", None), (4, "x", None), (4, "x", None)]
+
+
+def test_recent_keeps_two_generations():
+    made = []
+
+    def make(keys):
+        made.extend(keys)
+        return [k.upper() for k in keys]
+
+    recent = common.Recent(3)
+    for keys in ({"a", "b"}, {"a", "c"}, {"d", "e"}, {"a", "d"}, {"b"}, set("vwxyz")):
+        got = recent.holding(set(keys), make)
+        assert all(got[k] == k.upper() for k in keys)
+    assert len(recent.young) <= 5 and made.count("a") == 1 and made.count("d") == 1
+
+
+def test_weights_are_occurrences():
+    import random
+
+    rng = random.Random(3)
+    a, b = (" ".join(rng.choice("xyz") for _ in range(200)) for _ in range(2))
+    grams = [collections.Counter(tuple(t.split()[k : k + 5]) for k in range(196)) for t in (a, b)]
+    sets = [neardup.occurrences(*neardup.shingles(t)) for t in (a, b)]
+    assert [len(s) for s in sets] == [196, 196]
+    assert neardup.jaccard(*sets) == (grams[0] & grams[1]).total() / (grams[0] | grams[1]).total()
+
+
 def texts(spark):
     return [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()]
 
@@ -160,8 +222,6 @@ def test_neardup_in_a_group_of_unequal_copies(spark):
 
 
 def test_planes_count_equal_coordinates(spark):
-    from pyspark.sql import functions as F
-
     words = [f"w{i}" for i in range(400)]
     near = [w if i % 45 else "x" for i, w in enumerate(words)]
     _, kept = neardup.bands([" ".join(words), " ".join(near), "", " ".join(words)])
