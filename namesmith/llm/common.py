@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,9 +20,18 @@ def memory(owner: str) -> dict:
     if owner not in _memory:
         _memory.clear()
         _memory[owner] = {}
+        give_back()
     return _memory[owner]
 
 
+def give_back() -> None:
+    """Hand what this worker has freed back to the system; the C library would keep it for this process."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 class Recent:
     """Values of keys met lately, in two generations of ``most`` keys; a key of the older one that is asked for moves on."""
 

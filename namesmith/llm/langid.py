@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from namesmith.functions.order import top_per_key
-from namesmith.llm.common import held_out, memory, packed_row, table, text_of
+from namesmith.llm.common import give_back, held_out, memory, packed_row, table, text_of
 
 TOP = 400
 CHUNK = 1 << 19  # letters counted at once
@@ -68,6 +68,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     code, n = np.unique(np.concatenate([grams(t) for t in part]), return_counts=True)
                     yield pd.DataFrame({"lang": lang, "code": code, "n": n})
                     part, size = [], 0
+    give_back()
 
 
 def profiles(df: DataFrame, text: str = "text", lang: str = "lang", top: int = TOP) -> dict[str, list[int]]:
@@ -109,9 +110,11 @@ def identify(df: DataFrame, learned: dict[str, list[int]], text: str = "text", t
         return names[k], 1.0 - float(far[k]) / (top * len(codes))
 
     @F.pandas_udf("lang_pred string, score double")
-    def guess(texts: pd.Series) -> pd.DataFrame:
+    def guess(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         memory("language")
-        return pd.DataFrame([judge(t) for t in texts], columns=["lang_pred", "score"])
+        for texts in parts:
+            yield pd.DataFrame([judge(t) for t in texts], columns=["lang_pred", "score"])
+        give_back()
 
     rest = [c for c in df.columns if c not in ("lang_pred", "score")]
     out = df.select(packed_row(rest).alias("row"), guess(F.col(text)).alias("guess"))

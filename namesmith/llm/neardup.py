@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from namesmith.llm.common import LOWEST, memory, packed_row, table, text_of
+from namesmith.llm.common import LOWEST, give_back, memory, packed_row, table, text_of
 from namesmith.llm.components import components
 from namesmith.llm.parsing import M1, M3, mix
 from namesmith.session import checkpointed
@@ -192,9 +192,11 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 @F.pandas_udf(T.StructType([T.StructField(c, T.ArrayType(T.LongType())) for c in ("bands", "planes")]))
-def bands_of(texts: pd.Series) -> pd.DataFrame:
-    parts = [bands(list(texts[k : k + 512])) for k in range(0, len(texts), 512)]
-    return pd.DataFrame({name: [x for part in parts for x in part[k]] for k, name in enumerate(("bands", "planes"))})
+def bands_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for texts in batches:
+        parts = [bands(list(texts[k : k + 512])) for k in range(0, len(texts), 512)]
+        yield pd.DataFrame({name: [x for part in parts for x in part[k]] for k, name in enumerate(("bands", "planes"))})
+    give_back()
 
 
 def node_of(text: Column) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from namesmith.llm.common import Recent, memory, table
+from namesmith.llm.common import Recent, give_back, memory, table
 
 SIZE, OPEN, EOS = 1024, 1024, 2
 KNOWN = 200_000  # words in each of two generations whose ids a worker remembers; others are encoded again
@@ -134,6 +134,7 @@ def pack(
                     part.column(0).take(pa.array(at)), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()),
                     pa.array(cols[3], pa.binary()), pa.array([base + b for b in cols[4]], pa.int64()), pa.array(cols[5], pa.int64()),
                 ], names=names)
+        give_back()
 
     rows = df.select(F.col(doc_id), F.col(text).cast("string").alias("_text"))
     names = [doc_id, "piece", "start", "length", "ids", "sequence_id", "offset"]
