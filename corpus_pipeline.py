@@ -21,7 +21,7 @@ STAGES = [
     ("packing", packing.stage),
 ]
 
-# Rank profiles, darts and the tokenizer have no SQL form; tests/llm holds the pipeline against a brute-force one.
+# Rank profiles, darts and the tokenizer have no SQL form; tests/llm tests each stage, not the whole against brute force.
 ORACLE_SQL = None
 
 
