@@ -6,6 +6,7 @@ import ctypes
 import gc
 from collections.abc import Callable, Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,13 +26,24 @@ def memory(owner: str) -> dict:
 
 
 def give_back() -> None:
-    """Hand what this worker has freed back to the system; the C library would keep it for this process."""
+    """Hand what this worker has freed back to the system; Arrow and the C library would keep it for this process."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)
 
 
+def short_batches(spark: SparkSession, rows: int = 1000, size: str = "4m") -> None:
+    """Hand Python tasks at most ``rows`` rows or ``size`` of whole texts at once, whichever comes first.
+
+    By default a batch is 10,000 texts, which both the executor and its workers hold, some as pandas
+    objects too. Plans read the setting when they run, so it stays set in the session.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 class Recent:
     """Values of keys met lately, in two generations of ``most`` keys; a key of the older one that is asked for moves on."""
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from namesmith.llm.common import LOWEST, give_back, memory, packed_row, table, text_of
+from namesmith.llm.common import LOWEST, give_back, memory, packed_row, short_batches, table, text_of
 from namesmith.llm.components import components
 from namesmith.llm.parsing import M1, M3, mix
 from namesmith.session import checkpointed
@@ -341,4 +341,5 @@ def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     return dedup(docs)

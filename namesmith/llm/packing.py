@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from namesmith.llm.common import Recent, give_back, memory, table
+from namesmith.llm.common import Recent, give_back, memory, short_batches, table
 
 SIZE, OPEN, EOS = 1024, 1024, 2
 KNOWN = 200_000  # words in each of two generations whose ids a worker remembers; others are encoded again
@@ -156,4 +156,5 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     return pack(docs, tokenizer_path())
