@@ -337,3 +337,23 @@ def test_equal_texts_have_equal_fingerprints_and_parts_are_shared():
     f = parsing.fingerprints([a, a, a[7:], b])
     assert parsing.packed(f[0]) == parsing.packed(f[1])
     assert parsing.likeness(f[0], f[2]) > 0.8 > 0.1 > parsing.likeness(f[0], f[3])
+
+
+def test_short_batches_bound_rows_and_bytes(spark):
+    names = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    before = {n: spark.conf.get(n) for n in names}
+
+    def sizes(batches):
+        for pdf in batches:
+            yield pdf.iloc[:1].assign(id=len(pdf), text="")
+
+    rows = spark.range(0, 2500, 1, 1).withColumn("text", F.lit("x"))
+    long = spark.range(0, 40, 1, 1).withColumn("text", F.repeat(F.lit("x"), 1 << 20))
+    try:
+        common.short_batches(spark)
+        assert [r.id for r in rows.mapInPandas(sizes, "id long, text string").collect()] == [1000, 1000, 500]
+        got = [r.id for r in long.mapInPandas(sizes, "id long, text string").collect()]
+        assert sum(got) == 40 and max(got) <= 5
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
