@@ -150,7 +150,8 @@ def i1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = S.table(spark, sf_dir, "documents")
     later = docs.withColumn("doc_id", F.col("doc_id") * 2).withColumn("text", F.concat("text", F.lit("x")))
     later.write.parquet(f"{base}/later")
-    for name, source, glob in (("first", sf_dir, "documents.parquet"), ("second", f"{base}/later", "*.parquet")):
+    # the table may be one file or a folder of files; only a pattern may name either
+    for name, source in (("first", f"{sf_dir}/{{documents}}.parquet"), ("second", f"{base}/later")):
         for _ in range(2):
-            load_new(spark, source, docs.schema, f"{base}/target", f"{base}/progress-{name}", ["collection", "id"], _record(), glob, buckets=16, name=name)
+            load_new(spark, source, docs.schema, f"{base}/target", f"{base}/progress-{name}", ["collection", "id"], _record(), buckets=16, name=name)
     return existing(spark, f"{base}/target", docs.select(*_record()).schema).drop("bucket", "batch")

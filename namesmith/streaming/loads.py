@@ -29,7 +29,7 @@ def load_new(
 ) -> None:
     """Append the records of files not seen before to ``target``, then stop.
 
-    The file source remembers what it has read in ``checkpoint``. Records are the columns ``shape`` of the file
+    ``source`` is a folder, or a pattern of folders and files. The file source remembers what it has read in ``checkpoint``. Records are the columns ``shape`` of the file
     rows. Of several records with one key in a batch the first holds, by file time, file name and place in the
     file. The target is partitioned by key bucket and batch; a batch replaces its own partitions, so one that
     is run again after a failure leaves no second copy. All paths are shared folders. ``buckets`` must

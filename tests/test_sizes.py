@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from namesmith.functions.text import char_of
+from namesmith.plans import evaluations as EV
 from namesmith.plans import lookups as LP
 from namesmith.plans import standins as S
 from namesmith.plans import vectors as VC
@@ -35,3 +36,11 @@ def large_keys(spark, tmp_path_factory):
 @pytest.mark.parametrize("query", [LP.j3, LP.j5, LP.j10, VC.v7, VC.v8])
 def test_large_keys(spark, large_keys, query):
     assert query(spark, large_keys).count() > 0
+
+
+def test_load_of_a_folder(spark, tmp_path):
+    docs = S.table(spark, SF, "documents")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    want = sorted(map(tuple, EV.i1(spark, SF).select("collection", "id", "body").collect()))
+    got = sorted(map(tuple, EV.i1(spark, str(tmp_path)).select("collection", "id", "body").collect()))
+    assert len(want) > docs.count() and got == want
