@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from namesmith.functions import elements as E
 from namesmith.functions import frames as FR
+from namesmith.functions.once import computed_once
 from namesmith.functions.order import top_per_key
 from namesmith.functions.text import counted, extract
 
@@ -151,18 +152,21 @@ def verified_pools(sounds: DataFrame, pools: DataFrame, grades: DataFrame) -> Da
     own = F.col("element")
     others = F.filter(F.array(*[F.lit(i) for i in range(5)]), lambda o: ~E.distance(own, o).isin(0, 1, 2, 3))
     firsts = F.concat(F.array(E.generated_by(own), own), others)
-    rows = (
-        sounds.filter(F.col("sound1") != F.col("surname"))
-        .select("*", F.posexplode(firsts).alias("_p1", "e1"))
-        .select("*", F.posexplode(F.array(E.generated_by(F.col("e1")), F.col("e1"))).alias("_p2", "e2"))
-    )
+    # A pool is a reading: its elements as a map. There are no more syllables than that, so they travel to the sounds;
+    # what is exploded stays in its row's task.
+    by_sound = pools.groupBy("sound").agg(F.map_from_entries(F.collect_list(F.struct("element", "chars"))).alias("_of"))
+    rows = sounds.filter(F.col("sound1") != F.col("surname"))
     for i in (1, 2):
-        side = pools.select(F.col("sound").alias(f"sound{i}"), F.col("element").alias(f"e{i}"), F.col("chars").alias(f"_c{i}"))
-        rows = rows.join(side, [f"sound{i}", f"e{i}"])
-    # both windows run over one surname's own list of sound pairs
-    in_pair = Window.partitionBy("surname_id", "pair_no").orderBy("_p1", "_p2")
-    few = rows.withColumn("order", F.row_number().over(in_pair)).filter(F.col("order") <= PAIRS_PER_SOUND)
-    capped = few.withColumn("_d", F.dense_rank().over(Window.partitionBy("surname_id").orderBy("pair_no"))).filter(F.col("_d") <= SOUNDS_PER_SURNAME)
+        rows = rows.join(F.broadcast(by_sound.select(F.col("sound").alias(f"sound{i}"), F.col("_of").alias(f"_of{i}"))), f"sound{i}")
+    pairs = F.flatten(F.transform(firsts, lambda a: F.transform(F.array(E.generated_by(a), a), lambda b: F.struct(a.alias("e1"), b.alias("e2")))))
+    there = F.filter(pairs, lambda p: F.map_contains_key("_of1", p["e1"]) & F.map_contains_key("_of2", p["e2"]))
+    rows = computed_once(rows, {"_pairs": F.slice(there, 1, PAIRS_PER_SOUND)}).filter(F.size("_pairs") > 0)
+    # the window runs over one surname's own list of sound pairs
+    capped = top_per_key(rows, ["surname_id"], [F.col("pair_no")], SOUNDS_PER_SURNAME, "_d").select("*", F.posexplode("_pairs").alias("_at", "_p"))
+    capped = capped.select(
+        "surname_id", "pair_no", "strokes", "sound1", "sound2", (F.col("_at") + 1).alias("order"), F.col("_p.e1").alias("e1"), F.col("_p.e2").alias("e2"),
+        F.try_element_at("_of1", F.col("_p.e1")).alias("_c1"), F.try_element_at("_of2", F.col("_p.e2")).alias("_c2"),
+    )
     graded = capped.withColumn("_one", F.lit(1)).join(_grade_map(grades), "_one")
     return graded.select(
         "surname_id", "pair_no", "order", F.concat("sound1", "sound2").alias("sounds"), E.label_of(F.col("e1")).alias("element1"), E.label_of(F.col("e2")).alias("element2"),
@@ -176,7 +180,7 @@ def verified_single_pools(sounds: DataFrame, pools: DataFrame) -> DataFrame:
     rows = sounds.filter(F.col("sound1") != F.col("surname"))
     for name, element in (("generated", E.generated_by(F.col("element"))), ("own", F.col("element"))):
         side = pools.select(F.col("sound").alias("_s"), F.col("element").alias("_e"), F.col("chars").alias(name))
-        rows = rows.join(side, (F.col("sound1") == F.col("_s")) & (element == F.col("_e")), "left").drop("_s", "_e")
+        rows = rows.join(F.broadcast(side), (F.col("sound1") == F.col("_s")) & (element == F.col("_e")), "left").drop("_s", "_e")
     found = rows.filter(F.col("generated").isNotNull() | F.col("own").isNotNull())
     capped = found.withColumn("_d", F.row_number().over(Window.partitionBy("surname_id").orderBy("pair_no"))).filter(F.col("_d") <= SOUNDS_PER_SURNAME)
     shown = [F.coalesce(_shown(F.col(c), n), F.lit("")).alias(c) for c, n in (("generated", 3), ("own", 2))]

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from namesmith.functions.text import char_of
+from namesmith.plans import candidates as CD
 from namesmith.plans import evaluations as EV
 from namesmith.plans import lookups as LP
 from namesmith.plans import standins as S
@@ -44,3 +45,28 @@ def test_load_of_a_folder(spark, tmp_path):
     want = sorted(map(tuple, EV.i1(spark, SF).select("collection", "id", "body").collect()))
     got = sorted(map(tuple, EV.i1(spark, str(tmp_path)).select("collection", "id", "body").collect()))
     assert len(want) > docs.count() and got == want
+
+
+def broadcast_rows(df):
+    """Runs the plan as one job; the largest number of rows that any broadcast in it held."""
+    spark = df.sparkSession
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    df.write.format("noop").mode("overwrite").save()
+    most, runs = 0, store.executionsList()
+    for i in range(before, runs.size()):
+        run = runs.apply(i).executionId()
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for k in range(nodes.size()):
+            if nodes.apply(k).name() == "BroadcastExchange":
+                for j in range(nodes.apply(k).metrics().size()):
+                    metric = nodes.apply(k).metrics().apply(j)
+                    value = values.get(metric.accumulatorId())
+                    if metric.name() == "number of output rows" and value.isDefined():
+                        most = max(most, int(str(value.get()).replace(",", "")))
+    return most
+
+
+def test_pools_are_what_is_broadcast(spark):
+    # 10 surnames have 25 sound pairs each, there are 8 readings of 5 elements
+    assert 0 < broadcast_rows(CD.g4(spark, SF)) <= 40
