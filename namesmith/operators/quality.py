@@ -85,7 +85,8 @@ def document_issues(sources: DataFrame, documents: DataFrame, seq: str) -> DataF
         F.lit(0).cast("bigint").alias("idx"), F.lit("").alias("profile_id"), F.lit("document_count_mismatch").alias("issue"),
         F.concat_ws(":", "a", "b").alias("detail"),
     )
-    both = _repeats(rows.join(docs, "idx"), "doc_id", "idx", "repeated")
+    # maps make rows far larger than their files let Spark expect, so they are merged, not broadcast
+    both = _repeats(rows.join(docs.hint("merge"), "idx"), "doc_id", "idx", "repeated")
     expected = F.concat(F.lit("hanja_"), "profile_id")
     terms = [F.col(c).cast("string") for c in ("hanja", "hangul", "sound_meaning", "unicode", "strokes", "sound_ohaeng", "resource_ohaeng")]
     text = F.coalesce("document", F.lit(""))

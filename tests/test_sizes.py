@@ -7,6 +7,7 @@ from namesmith.functions.text import char_of
 from namesmith.plans import candidates as CD
 from namesmith.plans import evaluations as EV
 from namesmith.plans import lookups as LP
+from namesmith.plans import quality as QP
 from namesmith.plans import standins as S
 from namesmith.plans import vectors as VC
 
@@ -70,3 +71,7 @@ def broadcast_rows(df):
 def test_pools_are_what_is_broadcast(spark):
     # 10 surnames have 25 sound pairs each, there are 8 readings of 5 elements
     assert 0 < broadcast_rows(CD.g4(spark, SF)) <= 40
+
+
+def test_documents_are_not_broadcast(spark):
+    assert broadcast_rows(QP.d8(spark, SF)) < S.table(spark, SF, "part").count()
