@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from namesmith.functions.text import char_of
+from namesmith.operators import lookups as L
 from namesmith.plans import candidates as CD
 from namesmith.plans import evaluations as EV
 from namesmith.plans import lookups as LP
@@ -75,3 +76,21 @@ def test_pools_are_what_is_broadcast(spark):
 
 def test_documents_are_not_broadcast(spark):
     assert broadcast_rows(QP.d8(spark, SF)) < S.table(spark, SF, "part").count()
+
+
+def test_fallback_is_dealt(spark):
+    """Requests of one key without a permitted character meet every flagged one, in several tasks."""
+    keys = "hangul string, resource_ohaeng string"
+    asked = spark.range(500).selectExpr("id AS request_id", "'나' AS hangul", "'목' AS resource_ohaeng")
+    flagged = spark.createDataFrame([("나", "목", f"p{i}") for i in range(7)] + [("가", "목", "q")], f"{keys}, profile_id string")
+    plan = L.characters_of(asked, flagged.filter("hangul = '가'"), flagged)
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        rows = plan.withColumn("task", F.spark_partition_id()).select("request_id", "profile_id", "origin", "task").collect()
+    finally:
+        spark.conf.set(key, before)
+    assert {(r.request_id, r.profile_id) for r in rows} == {(i, f"p{j}") for i in range(500) for j in range(7)} and len(rows) == 3500
+    assert {r.origin for r in rows} == {"flagged"} and len({r.task for r in rows}) > 3
+    assert "_deal" not in plan.columns
