@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from namesmith.functions import elements as E
 from namesmith.functions import frames as FR
-from namesmith.functions.once import computed_once
+from namesmith.functions.once import bound, computed_once
 from namesmith.functions.order import first_per_key, top_per_key
 from namesmith.functions.text import HANGUL, HANJA, extract, strip
 from namesmith.operators.chunk import sections_of
@@ -28,9 +28,11 @@ DONE = "[수리 계산 완료]"
 
 def rewritten(text: Column, pattern: str, fix: Callable[[Column, Column], Column]) -> Column:
     """Replace every match by ``fix(match, index)``: pieces and matches are zipped again."""
-    matches = F.transform(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), lambda m, i: fix(m, i))
-    pieces = F.split(text, pattern)
-    return F.array_join(F.zip_with(pieces, matches, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
+    def whole(t: Column) -> Column:
+        matches = F.transform(F.regexp_extract_all(t, F.lit(f"({pattern})"), F.lit(1)), lambda m, i: fix(m, i))
+        return F.array_join(F.zip_with(F.split(t, pattern), matches, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
+
+    return bound(text, whole)
 
 
 def character_facts(answers: DataFrame, answer_id: str, text: str, dictionary: DataFrame, value: str) -> DataFrame:
@@ -52,8 +54,10 @@ def dictionary_of(profiles: DataFrame, value: str, order: str) -> DataFrame:
 def stroke_lines(text: Column, facts: Column) -> Column:
     """On lines about a character, every ``N획`` becomes the count of ``facts``, a map by character."""
     def line(t: Column) -> Column:
-        right = F.try_element_at(facts, extract(t, CHAR_LINE))
-        return F.when(right.isNotNull(), F.regexp_replace(t, F.lit(r"\d+획"), F.concat(right.cast("string"), F.lit("획")))).otherwise(t)
+        def struck(right: Column) -> Column:
+            return F.when(right.isNotNull(), F.regexp_replace(t, F.lit(r"\d+획"), F.concat(right.cast("string"), F.lit("획")))).otherwise(t)
+
+        return bound(F.try_element_at(facts, extract(t, CHAR_LINE)), struck)
 
     return F.array_join(F.transform(F.split(text, "\n"), line), "\n")
 
@@ -71,20 +75,25 @@ FLOW_TWO = rf"[{HANGUL}]{{1,4}}씨\({_ONE}\)\s*→\s*이름\({_ONE}\)\s*—\s*[^
 
 def verdicts_corrected(text: Column) -> Column:
     """Recompute the verdict of every printed element flow."""
-    def labels(m: Column, n: int) -> list[Column]:
-        found = F.regexp_extract_all(m, F.lit(rf"\(({_ONE})\)"), F.lit(1))
-        return [F.get(found, F.lit(i)) for i in range(n)]
+    def read(m: Column, shown: Callable[[Column, Column, Column], Column]) -> Column:
+        """``shown`` of the surname in front, the labels and the relation of each label to the next."""
+        prefix = F.regexp_extract(m, rf"^([{HANGUL}]{{1,4}}씨)", 1)
+
+        def related(labels: Column) -> Column:
+            codes = F.transform(labels, E.code_of)
+            steps = F.transform(F.arrays_zip(F.slice(codes, 1, 2).alias("a"), F.slice(codes, 2, 2).alias("b")), lambda p: bound(E.distance(p["a"], p["b"]), E.relation_of))
+            return bound(steps, lambda r: shown(prefix, labels, r))
+
+        return bound(F.regexp_extract_all(m, F.lit(rf"\(({_ONE})\)"), F.lit(1)), related)
+
+    def at(items: Column, i: int) -> Column:
+        return F.get(items, F.lit(i))
 
     def three(m: Column, _i: Column) -> Column:
-        a, b, c = labels(m, 3)
-        verdict = E.overall_relation(E.name_relation(E.code_of(a), E.code_of(b)), E.name_relation(E.code_of(b), E.code_of(c)))
-        prefix = F.regexp_extract(m, rf"^([{HANGUL}]{{1,4}}씨)", 1)
-        return F.concat(prefix, F.lit("("), a, F.lit(") → 첫째("), b, F.lit(") → 둘째("), c, F.lit(") — "), verdict)
+        return read(m, lambda p, x, r: F.concat(p, F.lit("("), at(x, 0), F.lit(") → 첫째("), at(x, 1), F.lit(") → 둘째("), at(x, 2), F.lit(") — "), E.overall_relation(at(r, 0), at(r, 1))))
 
     def two(m: Column, _i: Column) -> Column:
-        a, b = labels(m, 2)
-        prefix = F.regexp_extract(m, rf"^([{HANGUL}]{{1,4}}씨)", 1)
-        return F.concat(prefix, F.lit("("), a, F.lit(") → 이름("), b, F.lit(") — "), E.name_relation(E.code_of(a), E.code_of(b)))
+        return read(m, lambda p, x, r: F.concat(p, F.lit("("), at(x, 0), F.lit(") → 이름("), at(x, 1), F.lit(") — "), at(r, 0)))
 
     return rewritten(rewritten(text, FLOW_THREE, three), FLOW_TWO, two)
 
@@ -140,8 +149,8 @@ def _numbered(sections: Column) -> Column:
 
 
 def _sections(text: Column) -> Column:
-    parts = sections_of(text)
-    return F.filter(F.slice(parts, F.lit(2), F.greatest(F.size(parts), F.lit(1))), lambda s: s.contains("## [이름"))
+    behind = lambda parts: F.slice(parts, F.lit(2), F.greatest(F.size(parts), F.lit(1)))
+    return F.filter(bound(sections_of(text), behind), lambda s: s.contains("## [이름"))
 
 
 def _rendered(df: DataFrame, text: str, always: bool) -> DataFrame:
@@ -278,10 +287,14 @@ def reading_headers(text: Column, surname: Column, facts: Column) -> Column:
         n = F.regexp_extract(m, r"\[이름\s*(\d+)\]", 1)
         name = F.regexp_extract(m, rf"\]\s*([{HANGUL}{HANJA}]{{2,8}})\s*\(", 1)
         inside = F.regexp_extract(m, rf"\(([{HANJA}]{{1,4}})\)$", 1)
+
+        def headed(read: Column) -> Column:
+            known = ~F.exists(read, lambda r: r.isNull()) & facts.isNotNull()
+            header = F.concat(F.lit("## [이름 "), n, F.lit("] "), surname, F.array_join(read, ""), F.lit(" ("), inside, F.lit(")"))
+            return F.when(known, header).otherwise(m)
+
         read = F.transform(F.filter(F.split(inside, ""), lambda c: c != ""), lambda c: F.try_element_at(facts, c))
-        known = ~F.exists(read, lambda r: r.isNull()) & facts.isNotNull()
-        header = F.concat(F.lit("## [이름 "), n, F.lit("] "), surname, F.array_join(read, ""), F.lit(" ("), inside, F.lit(")"))
-        return F.when(name.rlike(f"[{HANJA}]") & known, header).otherwise(m)
+        return F.when(name.rlike(f"[{HANJA}]"), bound(read, headed)).otherwise(m)
 
     return F.when(F.coalesce(surname, F.lit("")) == "", text).otherwise(rewritten(text, pattern, fix))
 

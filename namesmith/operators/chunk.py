@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from namesmith.functions.once import computed_once
+from namesmith.functions.once import bound, computed_once
 from namesmith.functions.text import strip
 
 MARK = "\u0001"
@@ -109,10 +109,12 @@ def outside_boxes(objects: DataFrame, boxes: DataFrame, object_id: list[str], ti
 
 def sections_of(text: Column) -> Column:
     """Preamble first, then one element per numbered name section."""
-    normalized = F.when(text.startswith("\n"), text).otherwise(F.concat(F.lit("\n"), text))
-    parts = F.split(normalized, SECTION)
-    # a split at the very start leaves no empty piece before it
-    return F.when(normalized.rlike(rf"^{SECTION}"), F.concat(F.array(F.lit("")), parts)).otherwise(parts)
+    def cut(normalized: Column) -> Column:
+        parts = F.split(normalized, SECTION)
+        # a split at the very start leaves no empty piece before it
+        return F.when(normalized.rlike(rf"^{SECTION}"), F.concat(F.array(F.lit("")), parts)).otherwise(parts)
+
+    return bound(bound(text, lambda t: F.when(t.startswith("\n"), t).otherwise(F.concat(F.lit("\n"), t))), cut)
 
 
 def name_sections(df: DataFrame, text: str, keep: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from namesmith.functions.once import bound
 from namesmith.operators import chunk as K
 from namesmith.plans import Registry
 from namesmith.plans import standins as S
@@ -117,7 +118,9 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.when(k % 17 == 0, 0).otherwise(1 + k % 6).cast("int")
 
     def section(i):
-        c1, c2 = char_of(F.lit(S.FIRST_CHAR) + (k * 7 + i * 13) % _TEMPLATE_CHARS), char_of(F.lit(S.FIRST_CHAR) + (k * 11 + i * (F.lit(3) + k % 3)) % 40)
+        return bound(F.struct(char_of(F.lit(S.FIRST_CHAR) + (k * 7 + i * 13) % _TEMPLATE_CHARS).alias("c1"), char_of(F.lit(S.FIRST_CHAR) + (k * 11 + i * (F.lit(3) + k % 3)) % 40).alias("c2")), lambda c: written(i, c["c1"], c["c2"]))
+
+    def written(i, c1, c2):
         h1, h2 = S.picked(S.SYLLABLES, (k + i) % 8), S.picked(S.SYLLABLES, (k + i * 3) % 8)
         e1, e2 = E.label_of((k + i) % 5), E.label_of((k + i * i) % 5)
         return F.concat(
@@ -130,7 +133,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     numbers = F.filter(F.sequence(F.lit(1), F.lit(7)), lambda i: i <= names)
     text = F.concat(F.lit("추천 이름입니다.\n"), F.array_join(F.transform(numbers, section), ""))
-    return S.table(spark, sf_dir, "customer").select(
+    return S.dealt(S.table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey").select(
         k.alias("answer_id"), k.alias("k"), surname.alias("surname"), element.alias("surname_ohaeng"), (k % 26).cast("int").alias("surname_strokes"),
         names.alias("names"), text.alias("text"),
     )

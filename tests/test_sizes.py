@@ -4,11 +4,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from namesmith.functions.text import char_of
+from namesmith.operators import audit as A
 from namesmith.operators import lookups as L
 from namesmith.plans import candidates as CD
 from namesmith.plans import evaluations as EV
 from namesmith.plans import lookups as LP
 from namesmith.plans import quality as QP
+from namesmith.plans import segments as SG
 from namesmith.plans import standins as S
 from namesmith.plans import vectors as VC
 
@@ -94,3 +96,15 @@ def test_fallback_is_dealt(spark):
     assert {(r.request_id, r.profile_id) for r in rows} == {(i, f"p{j}") for i in range(500) for j in range(7)} and len(rows) == 3500
     assert {r.origin for r in rows} == {"flagged"} and len({r.task for r in rows}) > 3
     assert "_deal" not in plan.columns
+
+
+def test_answers_are_dealt(spark):
+    """A file of few bytes is one task, whatever is done with its rows."""
+    assert SG.answers(spark, SF).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_flows_are_read_once(spark):
+    df = spark.createDataFrame([("김씨(목) → 첫째(화) → 둘째(수) — 상생\n박씨(목) → 이름(화) — 상극",)], "text string").select(A.verdicts_corrected(F.col("text")).alias("text"))
+    assert df.first().text == "김씨(목) → 첫째(화) → 둘째(수) — 상극\n박씨(목) → 이름(화) — 상생"
+    # two patterns of flows, in each the matches and the labels of a match
+    assert df._jdf.queryExecution().analyzed().toString().count("regexp_extract_all(") == 4
