@@ -108,3 +108,15 @@ def test_flows_are_read_once(spark):
     assert df.first().text == "김씨(목) → 첫째(화) → 둘째(수) — 상극\n박씨(목) → 이름(화) — 상생"
     # two patterns of flows, in each the matches and the labels of a match
     assert df._jdf.queryExecution().analyzed().toString().count("regexp_extract_all(") == 4
+
+
+def test_same_reading_without_own_character(spark):
+    """A character with more rows than the limit hides none of the others."""
+    keys = "hangul string, hanja string, profile_id string"
+    flagged = spark.createDataFrame([("가", "甲", f"a{i:02}") for i in range(40)] + [("가", chr(0x4E00 + i), f"b{i:02}") for i in range(12)], keys)
+    issues = spark.createDataFrame([(1, "가", "甲"), (2, "가", "乙")], "issue_id int, hangul string, hanja string")
+    plan = L.same_reading(issues, flagged, 10)
+    got = sorted((r.issue_id, r["rank"], r.profile_id) for r in plan.collect())
+    assert got == [(1, i + 1, f"b{i:02}") for i in range(10)] + [(2, i + 1, f"a{i:02}") for i in range(10)]
+    # 20 rows of a reading are ranked anew, not all of it
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("_near") > 0
