@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from namesmith.functions.order import BLOCK, running_index
 from namesmith.functions.text import char_of
 from namesmith.operators import audit as A
 from namesmith.operators import lookups as L
@@ -120,3 +121,9 @@ def test_same_reading_without_own_character(spark):
     assert got == [(1, i + 1, f"b{i:02}") for i in range(10)] + [(2, i + 1, f"a{i:02}") for i in range(10)]
     # 20 rows of a reading are ranked anew, not all of it
     assert plan._jdf.queryExecution().optimizedPlan().toString().count("_near") > 0
+
+
+def test_blocks_of_documents(spark):
+    """Texts of one block meet in one task: 2 ** 18 of them were most of the memory there is."""
+    index = running_index(spark.range(70_000), "id").withColumn("task", F.spark_partition_id())
+    assert index.filter("idx <> id + 1").isEmpty() and BLOCK * 2000 < 1 << 26
