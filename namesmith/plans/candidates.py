@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from namesmith.functions import elements as E
+from namesmith.functions.once import computed_once
 from namesmith.functions.order import first_per_key, permuted
 from namesmith.operators import candidates as G
 from namesmith.operators import lookups as L
@@ -170,9 +171,8 @@ def g7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def g6_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = permitted(spark, sf_dir).select("seq", "hanja", F.explode(F.array(F.col("resource_ohaeng"), F.lit("*"))).alias("kind"))
     q = F.col("query")
-    asked = S.questions(spark, sf_dir).filter(L.contains_any(q, _NAME_WORDS)).select(
-        "question_id", F.coalesce(L.character_conditions(q)[1], F.lit("*")).alias("kind"), G.character_sample_size(q).alias("n")
-    )
+    asked = S.questions(spark, sf_dir).filter(L.contains_any(q, _NAME_WORDS))
+    asked = computed_once(asked, {"kind": F.coalesce(L.character_conditions(q)[1], F.lit("*")), "n": G.character_sample_size(q)}).drop("query")
     return G.sampled(asked, permuted(kinds, ["kind"], "seq", "pool"), ["kind"], "question_id", "n")
 
 
@@ -189,9 +189,8 @@ def g6_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
 def g6_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     pools = L.word_pools(LP.words(spark, sf_dir), "name", "gender").select("word_id", "name", "pool", "single")
     q = F.col("query")
-    asked = S.questions(spark, sf_dir).filter(q.contains("순우리말")).select(
-        "question_id", L.wanted_pool(q).alias("want_pool"), L.contains_any(q, SINGLE).alias("want_single"), G.word_sample_size(q).alias("n")
-    )
+    asked = S.questions(spark, sf_dir).filter(q.contains("순우리말"))
+    asked = computed_once(asked, {"want_pool": L.wanted_pool(q), "want_single": L.contains_any(q, SINGLE), "n": G.word_sample_size(q)}).drop("query")
     asked = asked.join(F.broadcast(L.effective_pools(pools)), ["want_pool", "want_single"]).drop("want_pool", "want_single")
     return G.sampled(asked, permuted(pools, ["pool", "single"], "word_id", "words"), ["pool", "single"], "question_id", "n")
 

@@ -127,3 +127,10 @@ def test_blocks_of_documents(spark):
     """Texts of one block meet in one task: 2 ** 18 of them were most of the memory there is."""
     index = running_index(spark.range(70_000), "id").withColumn("task", F.spark_partition_id())
     assert index.filter("idx <> id + 1").isEmpty() and BLOCK * 2000 < 1 << 26
+
+
+def test_questions_are_written_once(spark):
+    """Conditions on a question do not each compose its text anew."""
+    q = F.col("query")
+    plan = S.questions(spark, SF).filter(q.contains("이름") & q.contains("추천") & q.isNotNull())
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("get_json_object(") == 2  # {n} and {p}
