@@ -1,17 +1,27 @@
 """Language-model scores by a hierarchical Pitman-Yor model.
 
-Words sit in one restaurant; a new table there draws its word from a model of symbols, whose
-restaurants are the contexts of up to three symbols before. Contexts that end alike share a
-parent, down to the context without symbols and the even distribution below it. Seating is
+Words sit in restaurants of the two words before them, whose parents are those of the one word
+before, whose parent is the restaurant without context; a new table there draws its word from a
+model of symbols, whose restaurants are the contexts of up to three symbols before, down to the
+even distribution. The tables of a restaurant are the customers of its parent. Seating is
 sampled by Gibbs steps that reseat all customers of one dish, given the tables of the others
 as the sweep before left them; so dishes are independent within a sweep and Spark deals them
 out. Long rows of customers are seated in doubling blocks with a Poisson number of new
-tables. After a burn-in the predictive probabilities of the samples are averaged.
-
-What is counted is every token of every training text. Symbols are 64 by rule, so that
-contexts are 64 ** 3 at most and the symbol model 64 MB at most, which is what tasks get as a
-broadcast. Of words they get the ``TOP`` most frequent; all rarer ones meet their count and
-probability in a join, a row per document and distinct word, and sum per document.
+tables. After a burn-in the seatings of word contexts, and the predictive probabilities of
+words and symbols, are averaged.
+
+What is counted is every token of every training text. In word contexts the ``TOP`` most
+frequent words have numbers of their own. A rarer word is there one dish, "rare", and, as a
+context, one of ``RARE`` classes by its crc32; which rare word it is costs its share of the
+rare mass in the restaurant without context, and a word not met its spelling. So probabilities
+of all words add up to one. Three numbers make a long. Cells (two words before, word) are
+dealt into slices of about ``SLICE`` tokens by the word before; a very frequent word before
+has several slices, by the word before it, and each is a restaurant of its own. All
+cells of a slice are seated together, and what texts ask of a slice meets it in a cogroup.
+
+Symbols are 64 by rule, so that contexts are 64 ** 3 at most and the symbol model 64 MB at
+most, which is what tasks get as a broadcast. Of words they get the ``TOP`` most frequent; all
+rarer ones meet their count and probability in a join, a row per document and distinct word.
 """
 
 from __future__ import annotations
@@ -19,6 +29,8 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -34,24 +46,52 @@ HELD = 1 << 19  # distinct words a task holds before it hands on their counts
 SWEEPS, BURN_IN = 3, 1
 INNER = 3
 STRENGTH, DISCOUNT = 1.0, 0.5
+# of word contexts; on sf0.001 by a fold of the training texts (remainder 3) learned from the others
+CONTEXT_STRENGTH, CONTEXT_DISCOUNT = 0.1, 0.75
+RARE = 1 << 15
+BITS = 17
+MASK = (1 << BITS) - 1
+SLICE = 1 << 21
 END = b"\t"  # the end of a text as a word; no word holds a blank
 
 
 @lru_cache(maxsize=1)
 def alphabet() -> tuple[np.ndarray, np.ndarray]:
-    """Symbol of each code point, and log10 of how many code points share it: 0 the end of a word,
+    """Symbol of each code point, and how many code points share each symbol: 0 the end of a word,
     a-z, U+00DF-U+00FF, full stop, comma, the rest of ASCII, all others."""
     of = np.full(0x110000, 63, np.int64)
     of[:128] = 62
     of[ord("a") : ord("z") + 1] = np.arange(1, 27)
     of[0xDF:0x100] = np.arange(27, 60)
     of[ord(".")], of[ord(",")], of[ord("\n")] = 60, 61, 0
-    return of, np.log10(np.bincount(of, minlength=64))
+    return of, np.bincount(of, minlength=64)
+
+
+def code_points(words: list[bytes]) -> np.ndarray:
+    return np.frombuffer((b"\n".join(words) + b"\n").decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+
+
+def shares(words: DataFrame) -> np.ndarray:
+    """log10 of each code point's share of its symbol, by how often distinct words hold it.
+    At most as many rows reach the driver as there are code points."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, size = alphabet()
+        for pdf in batches:
+            x, n = np.unique(code_points(list(pdf["word"])), return_counts=True)
+            on = size[of[x]] > 1
+            yield pd.DataFrame({"x": x[on].astype(np.int64), "n": n[on]})
+
+    of, size = alphabet()
+    met = np.zeros(0x110000)
+    for r in words.select("word").mapInPandas(count, "x long, n long").groupBy("x").agg(F.sum("n").alias("n")).collect():
+        met[r["x"]] = r["n"]
+    return np.log10((met + 1 / size[of]) / (np.bincount(of, met, 64)[of] + 1)).astype(np.float32)
 
 
 def symbols(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Codes of all symbols of the words with three symbols of context, and where each word begins."""
-    x = np.frombuffer((b"\n".join(words) + b"\n").decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    x = code_points(words)
     s = alphabet()[0][x]
     ends = np.flatnonzero(s == 0)
     p = np.concatenate(([0, 0, 0], s))
@@ -64,7 +104,8 @@ def symbols(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 class SymbolModel:
     """Predictive log10 probabilities: a row of 64 for each context met, and the row of every context."""
 
-    def __init__(self, rows: list[tuple[int, int, bytes]], root: np.ndarray) -> None:
+    def __init__(self, rows: list[tuple[int, int, bytes]], root: np.ndarray, share: np.ndarray) -> None:
+        self.share = share
         probs = [root]
         at = np.zeros(64**3, np.int64)
         for level in (1, 2, 3):
@@ -82,7 +123,7 @@ class SymbolModel:
             return np.empty(0)
         code, first = symbols(words)
         s = code & 63
-        return np.add.reduceat(self.log[self.at[code >> 6], s].astype(np.float64) - alphabet()[1][s], first)
+        return np.add.reduceat(self.log[self.at[code >> 6], s].astype(np.float64) + self.share[code_points(words)], first)
 
 
 def seat(rng: np.random.Generator, c: np.ndarray, p: np.ndarray, others: np.ndarray, d: float, strength: float) -> np.ndarray:
@@ -139,7 +180,7 @@ def seated(pdf: pd.DataFrame, root: np.ndarray, seed: int, inner: int = INNER) -
     return [*out, (0, 0, np.bincount(w2, t2, 64).astype(np.float32).tobytes())]
 
 
-def symbol_model(tables: DataFrame, root: np.ndarray, seed: int) -> tuple[SymbolModel, np.ndarray]:
+def symbol_model(tables: DataFrame, root: np.ndarray, share: np.ndarray, seed: int) -> tuple[SymbolModel, np.ndarray]:
     """The symbol model of words with ``t`` tables each, and the root for the next sweep.
     At most 64 groups of at most 64 ** 3 cells; the rows that reach the driver are 64 MB at most."""
 
@@ -166,7 +207,7 @@ def symbol_model(tables: DataFrame, root: np.ndarray, seed: int) -> tuple[Symbol
     t1 = np.zeros(64)
     t1[dishes] = seat(np.random.default_rng(seed), n1[dishes], np.full(len(dishes), 1 / 64), np.full(len(dishes), len(dishes) - 1.0), DISCOUNT, STRENGTH)
     new = (n1 - DISCOUNT * t1 + (STRENGTH + DISCOUNT * t1.sum()) / 64) / (STRENGTH + n1.sum())
-    return SymbolModel([(r["level"], r["context"], bytes(r["row"])) for r in rows if r["level"]], root), new
+    return SymbolModel([(r["level"], r["context"], bytes(r["row"])) for r in rows if r["level"]], root, share), new
 
 
 def tokens(text: str) -> list[bytes]:
@@ -190,40 +231,198 @@ def word_counts(df: DataFrame, text: str) -> DataFrame:
     return df.select(text_of(text).alias("t")).mapInPandas(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Numbers as planes of bytes, which a shuffle compresses well where they are small."""
+    return np.ascontiguousarray(x, "<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+def steps(keys: np.ndarray) -> np.ndarray:
+    """Ascending keys as their differences."""
+    return np.diff(keys, prepend=np.int64(0))
+
+
+class Vocabulary:
+    """Numbers of words in word contexts, and the slices of cells: what a task needs to deal out a text."""
+
+    def __init__(self, listed: list[tuple[bytes, int]], n: int) -> None:
+        self.ids = {w: i for i, (w, _) in enumerate(listed, 1)}
+        self.slices = 1 + n // SLICE
+        counts = np.zeros(MASK + 1, np.int64)
+        counts[1 : len(listed) + 1] = [c for _, c in listed]
+        self.split = 1 + 2 * counts // SLICE
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        x = np.fromiter(map(self.ids.get, words, repeat(0)), np.int64, len(words))
+        for i in np.flatnonzero(x == 0):
+            x[i] = len(self.ids) + 1 + crc32(words[i]) % RARE
+        return x
+
+    def cells(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """For each token of all texts its cell, and the text it is of. Before a text there are two ends."""
+        x = self.numbers([w for t in texts for w in t])
+        size = [len(t) for t in texts]
+        end = self.numbers([END])
+        one, two = np.concatenate((end, x[:-1])), np.concatenate((end, end, x[:-2]))[: len(x)]
+        two[np.cumsum(size) - size] = end  # what is before a text in ``one`` is the end of another
+        return two << 2 * BITS | one << BITS | np.where(x > len(self.ids), 0, x), np.repeat(np.arange(len(texts)), size)
+
+    def dealt(self, cells: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Each slice that ascending cells meet, and where they are."""
+        one, two = cells >> BITS & MASK, cells >> 2 * BITS
+        at = ((one * 0x9E3779B1 + two % self.split[one] * 0x85EBCA6B & 0xFFFFFFFF) >> 8) % self.slices
+        order = np.argsort(at, kind="stable")
+        first = np.flatnonzero(np.diff(at[order], prepend=-1))
+        for lo, hi in zip(first, [*first[1:], len(order)]):
+            yield int(at[order[lo]]), order[lo:hi]
+
+
+def cell_counts(df: DataFrame, text: str, sent) -> DataFrame:
+    """(slice, cells, c): a row per slice with its ascending cells and how often each occurs."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+
+        def out() -> pd.DataFrame:
+            cells, c = np.unique(np.concatenate(held), return_counts=True)
+            rows = [(s, packed(steps(cells[at])), packed(c[at])) for s, at in sent.value.dealt(cells)]
+            return pd.DataFrame(rows, columns=["slice", "cells", "c"])
+
+        for pdf in batches:
+            for k in range(0, len(pdf), 256):
+                cells, _ = sent.value.cells([tokens(t) for t in pdf["t"].iloc[k : k + 256]])
+                held.append(cells)
+                size += len(cells)
+                if size > SLICE:
+                    yield out()
+                    held, size = [], 0
+        if size:
+            yield out()
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        cells, at = np.unique(np.concatenate([np.cumsum(unpacked(x)) for x in pdf["cells"]]), return_inverse=True)
+        c = np.bincount(at, np.concatenate([unpacked(x) for x in pdf["c"]])).astype(np.int64)
+        return pd.DataFrame([(pdf["slice"].iloc[0], packed(steps(cells)), packed(c))], columns=["slice", "cells", "c"])
+
+    schema = "slice int, cells binary, c binary"
+    return df.select(text_of(text).alias("t")).mapInPandas(count, schema).groupBy("slice").applyInPandas(merge, schema)
+
+
+class Seating:
+    """Averaged seating of the word contexts of a slice, given the probabilities ``root`` of words without context."""
+
+    def __init__(self, cells: np.ndarray, c: np.ndarray, root: np.ndarray, seed: int, inner: int = INNER) -> None:
+        rng, d, s = np.random.default_rng([seed, 7]), CONTEXT_DISCOUNT, CONTEXT_STRENGTH
+        self.cells, self.root = cells, root
+        self.two, in_two = np.unique(cells >> BITS, return_inverse=True)
+        self.pairs, in_pair = np.unique(cells & (1 << 2 * BITS) - 1, return_inverse=True)
+        self.one, in_one = np.unique(self.pairs >> BITS, return_inverse=True)
+        p0 = root[self.pairs & MASK]
+        t2, t1 = np.ones(len(cells)), np.ones(len(self.pairs))
+        sums, self.tables, n1 = np.zeros(len(cells)), np.zeros(len(self.pairs)), np.bincount(in_pair, t2, len(self.pairs))
+        more = np.flatnonzero(c > 1)  # a single customer has one table
+        for sweep in range(inner):
+            all1 = np.bincount(in_one, t1, len(self.one))
+            p1 = n1 - d * t1 + (s + d * all1)[in_one] * p0
+            p1 /= (s + np.bincount(in_one, n1, len(self.one)))[in_one]
+            all2 = np.bincount(in_two, t2, len(self.two))
+            t2[more] = seat(rng, c[more], p1[in_pair[more]], all2[in_two[more]] - t2[more], d, s)
+            n1 = np.bincount(in_pair, t2, len(self.pairs))
+            on = np.flatnonzero(n1 > 1)
+            new = seat(rng, n1[on], p0[on], all1[in_one[on]] - t1[on], d, s)
+            t1 = np.ones(len(self.pairs))
+            t1[on] = new
+            if sweep >= inner // 2:
+                sums += t2 / (inner - inner // 2)
+                self.tables += t1 / (inner - inner // 2)
+        n2, n1 = np.bincount(in_two, c, len(self.two)), np.bincount(in_pair, sums, len(self.pairs))
+        all1 = np.bincount(in_one, n1, len(self.one))
+        self.own2 = (c - d * sums) / (s + n2)[in_two]
+        self.on2 = (s + d * np.bincount(in_two, sums, len(self.two))) / (s + n2)
+        self.own1 = (n1 - d * self.tables) / (s + all1)[in_one]
+        self.on1 = (s + d * np.bincount(in_one, self.tables, len(self.one))) / (s + all1)
+
+    def probabilities(self, cells: np.ndarray) -> np.ndarray:
+        def found(keys: np.ndarray, values: np.ndarray, asked: np.ndarray, other: float) -> np.ndarray:
+            if not len(keys):
+                return np.full(len(asked), other)
+            at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+            return np.where(keys[at] == asked, values[at], other)
+
+        pair = cells & (1 << 2 * BITS) - 1
+        one = found(self.pairs, self.own1, pair, 0.0) + found(self.one, self.on1, pair >> BITS, 1.0) * self.root[cells & MASK]
+        return found(self.cells, self.own2, cells, 0.0) + found(self.two, self.on2, cells >> BITS, 1.0) * one
+
+
+def context_tables(cells: DataFrame, root) -> dict[int, float]:
+    """Tables of each numbered word in the restaurants of one word before: its customers without context."""
+
+    def tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                seating = Seating(np.cumsum(unpacked(r.cells)), unpacked(r.c).astype(float), root.value, r.slice)
+                t = np.bincount(seating.pairs & MASK, seating.tables)
+                yield pd.DataFrame({"w": np.flatnonzero(t), "t": t[t > 0]})
+
+    rows = cells.mapInPandas(tables, "w long, t double").groupBy("w").agg(F.sum("t").alias("t")).collect()
+    return {r["w"]: r["t"] for r in rows}
+
+
 class Model:
-    """What scoring needs: totals, the samples' symbol models with their weight, the table of words with probabilities."""
+    """What scoring needs: totals, the cells of word contexts, the samples' symbol models with their weight, the
+    table of words with probabilities, and the probabilities of numbered words without context, 0 all rare and new ones."""
 
     def __init__(self, spark: SparkSession, train: DataFrame, text: str = "text", sweeps: int = SWEEPS, burn_in: int = BURN_IN) -> None:
+        sc = spark.sparkContext
         words = checkpointed(word_counts(train, text))
-        r = words.agg(F.sum("c"), F.count(F.lit(1)), F.sum((F.col("c") == 1).cast("long")), F.sum((F.col("c") == 2).cast("long"))).first()
-        self.n, self.v, once, twice = (x or 0 for x in r)
+        self.n, self.v = (x or 0 for x in words.agg(F.sum("c"), F.count(F.lit(1))).first())
+        top = words.orderBy(F.desc(F.col("word") == F.lit(END)), F.desc("c"), "word").limit(TOP).collect()
+        listed = [(bytes(r["word"]), r["c"]) for r in top]
+        self.vocabulary = sc.broadcast(Vocabulary(listed, self.n))
+        self.cells = checkpointed(cell_counts(train, text, self.vocabulary))
+        first = np.array([0, *(c for _, c in listed)]) / max(1, self.n + self.v)
+        first[0] = 1 - first.sum()
+        tables = context_tables(self.cells, sc.broadcast(first))
+        customers = spark.createDataFrame([(w, max(1, round(tables[i]))) for i, (w, _) in enumerate(listed, 1)], "word binary, k long")
+        words = words.join(F.broadcast(customers), "word", "left").select("word", "c", F.coalesce("k", "c").alias("k"))
+        words = checkpointed(words)
+        r = words.agg(F.sum("k"), F.sum((F.col("k") == 1).cast("long")), F.sum((F.col("k") == 2).cast("long"))).first()
+        all_k, once, twice = (x or 0 for x in r)
         self.discount = d = min(0.9, max(0.1, once / (once + 2 * twice))) if once else 0.5
-        seats = words.select("word", "c", F.lit(1.0).alias("t"), F.lit(0.0).alias("p"))
+        seats = words.select("*", F.lit(1.0).alias("t"), F.lit(0.0).alias("p"))
+        share = shares(words)
         root, total, self.samples = np.full(64, 1 / 64), float(self.v), []
         kept = max(1, sweeps - burn_in)
         for sweep in range(sweeps):
-            model, root = symbol_model(seats, root, sweep)
-            sent, others = spark.sparkContext.broadcast(model), total
+            model, root = symbol_model(seats, root, share, sweep)
+            sent, others = sc.broadcast(model), total
 
             def reseat(batches: Iterator[pd.DataFrame], sent=sent, others=others, sweep=sweep) -> Iterator[pd.DataFrame]:
                 rng = np.random.default_rng([sweep, TaskContext.get().partitionId()])
                 for pdf in batches:
                     p0 = 10.0 ** sent.value.words(list(pdf["word"]))
-                    t = seat(rng, pdf["c"].to_numpy(float), p0, others - pdf["t"].to_numpy(), d, STRENGTH)
+                    t = seat(rng, pdf["k"].to_numpy(float), p0, others - pdf["t"].to_numpy(), d, STRENGTH)
                     yield pdf.assign(t=t, p0=p0)
 
-            new = checkpointed(seats.mapInPandas(reseat, "word binary, c long, t double, p double, p0 double"))
+            new = checkpointed(seats.mapInPandas(reseat, "word binary, c long, k long, t double, p double, p0 double"))
             total = float(new.agg(F.sum("t")).first()[0] or 0.0)
-            base = (STRENGTH + d * total) / (STRENGTH + self.n)
-            here = (F.col("c") - d * F.col("t")) / (STRENGTH + self.n) + base * F.col("p0")
+            base = (STRENGTH + d * total) / (STRENGTH + all_k)
+            here = (F.col("k") - d * F.col("t")) / (STRENGTH + all_k) + base * F.col("p0")
             if sweep >= burn_in or sweep == sweeps - 1:
                 self.samples.append((sent, np.log10(base / kept)))
                 new = new.withColumn("p", F.col("p") + here / kept)
             seats = new.drop("p0")
-        known = seats.agg(F.sum("p")).first()[0] or 0.0
-        self.new_word = float(np.log10(max(1.0 - known, 1e-12)))  # what seating leaves to all words not met
         self.words = seats.select("word", "c", F.log10("p").alias("lp"))
-        self.top = {bytes(r["word"]): (r["c"], r["lp"]) for r in self.words.orderBy(F.desc("c"), "word").limit(TOP).collect()}
+        found = self.words.join(F.broadcast(customers.select("word")), "word").collect()
+        self.top = {bytes(r["word"]): r["c"] for r in found}
+        known = np.zeros(len(listed) + 1)
+        for r in found:
+            known[self.vocabulary.value.ids[bytes(r["word"])]] = 10.0 ** r["lp"]
+        known[0] = max(1.0 - known.sum(), 1e-12)
+        self.root = sc.broadcast(known)
 
 
 def unseen(samples, words: list[bytes]) -> np.ndarray:
@@ -231,55 +430,104 @@ def unseen(samples, words: list[bytes]) -> np.ndarray:
     return np.logaddexp.reduce([np.log(10) * (sent.value.words(words) + w) for sent, w in samples], axis=0) / np.log(10)
 
 
-def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), spelled: bool = False) -> DataFrame:
+def in_contexts(rows: DataFrame, model: Model) -> DataFrame:
+    """(_row, ctx) for all rows: log10 of the probabilities of all tokens after the words before them, rare words as one."""
+    vocabulary, root = model.vocabulary, model.root
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chunk = TaskContext.get().partitionId() << 36
+        for pdf in batches:
+            texts, ids, size = [], [], 0
+            for i, (row, t) in enumerate(zip(pdf["_row"], pdf["_t"]), 1):
+                texts.append(tokens(t))
+                ids.append(row)
+                size += len(texts[-1])
+                if size < SLICE // 2 and len(texts) < 2048 and i < len(pdf):
+                    continue
+                cells, of = vocabulary.value.cells(texts)
+                order = np.argsort(cells)
+                cells, of = cells[order], of[order]
+                out = [(s, chunk, len(ids), packed(steps(cells[at])), of[at].astype(np.uint16).tobytes(), None) for s, at in vocabulary.value.dealt(cells)]
+                out[0] = (*out[0][:-1], np.array(ids, np.int64).tobytes())
+                yield pd.DataFrame(out, columns=["slice", "chunk", "size", "cells", "texts", "ids"])
+                texts, ids, size, chunk = [], [], 0, chunk + 1
+
+    def answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if len(left):
+            cells, c, seed = np.cumsum(unpacked(left["cells"].iloc[0])), unpacked(left["c"].iloc[0]).astype(float), left["slice"].iloc[0]
+        else:
+            cells, c, seed = np.empty(0, np.int64), np.empty(0), 0
+        seating = Seating(cells, c, root.value, int(seed)) if len(right) else None
+        out = []
+        for r in right.itertuples(index=False):
+            lp = np.log10(seating.probabilities(np.cumsum(unpacked(r.cells))))
+            out.append((r.chunk, np.bincount(np.frombuffer(r.texts, np.uint16), lp, r.size).tobytes(), r.ids))
+        return pd.DataFrame(out, columns=["chunk", "lp", "ids"])
+
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = next(x for x in pdf["ids"] if x is not None)
+        return pd.DataFrame({"_row": np.frombuffer(ids, np.int64), "ctx": np.sum([np.frombuffer(x) for x in pdf["lp"]], axis=0)})
+
+    asked = rows.select("_row", "_t").mapInPandas(ask, "slice int, chunk long, size int, cells binary, texts binary, ids binary")
+    answers = model.cells.groupBy("slice").cogroup(asked.groupBy("slice")).applyInPandas(answer, "chunk long, lp binary, ids binary")
+    return answers.groupBy("chunk").applyInPandas(total, "_row long, ctx double")
+
+
+def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns and n_tokens, n_known, train_tokens, base_score, score for each row of ``df``.
 
-    A word that no training text holds is one event, a new word, as in the base score, where all
-    such words share one count; with ``spelled`` it also costs its symbols. Null and empty texts have the end alone. Repeated rows are scored each; other columns are not read.
+    A word that no training text holds costs what its restaurants leave to new words and its symbols. Null and empty
+    texts have the end alone. Rows that repeat both text and ``keep`` are put together by a hash and come as often
+    as they occur; other columns are not read.
     """
-    spark, samples, new_word = df.sparkSession, model.samples, model.new_word
-    top = spark.sparkContext.broadcast(model.top)
-    rows = df.select(F.struct(*keep).alias("_keep"), text_of(text).alias("_t"))
+    samples, top = model.samples, df.sparkSession.sparkContext.broadcast(model.top)
+    rows = df.select(F.struct(*keep).alias("_keep"), text_of(text).alias("_t")).withColumn("_row", F.xxhash64("_keep", "_t"))
     schema = f"_row long, _keep {rows.schema['_keep'].dataType.simpleString()}, word binary, n int, lp double, lc double, known long"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        row = TaskContext.get().partitionId() << 36
-        have = top.value
-        logs = {w: (np.log10(c + 1.0), lp) for w, (c, lp) in have.items()}
+        logs = {w: np.log10(c + 1.0) for w, c in top.value.items()}
         for whole in batches:
             for k in range(0, len(whole), 512):
                 out: list[tuple] = []
-                for kept, t in zip(whole["_keep"].iloc[k : k + 512], whole["_t"].iloc[k : k + 512]):
+                part = whole.iloc[k : k + 512]
+                for row, kept, t in zip(part["_row"], part["_keep"], part["_t"]):
                     found = Counter(tokens(t))
-                    lc = lp = 0.0
-                    known = n_all = 0
+                    lc, known, n_all = 0.0, 0, 0
                     for w, n in found.items():
                         n_all += n
                         got = logs.get(w)
                         if got is None:
-                            out.append((row, None, w, n, new_word, 0.0, 0))
+                            out.append((row, None, w, n, 0.0, 0.0, 0))
                         else:
-                            lc, lp, known = lc + n * got[0], lp + n * got[1], known + n
-                    out.append((row, kept, None, n_all, lp, lc, known))
-                    row += 1
+                            lc, known = lc + n * got, known + n
+                    out.append((row, kept, None, n_all, 0.0, lc, known))
                 pdf = pd.DataFrame(out, columns=["_row", "_keep", "word", "n", "lp", "lc", "known"])
-                rare = pdf["word"].notna().to_numpy()
-                if spelled and rare.any():
-                    pdf.loc[rare, "lp"] = unseen(samples, list(pdf["word"][rare]))
+                rare = list(dict.fromkeys(pdf["word"].dropna()))
+                if rare:
+                    pdf["lp"] = pdf["word"].map(dict(zip(rare, unseen(samples, rare)))).fillna(0.0)
                 yield pdf
 
-    found = rows.mapInPandas(run, schema).join(model.words.select("word", "c", F.col("lp").alias("own")), "word", "left")
-    whole = F.col("word").isNull()
+    found = rows.mapInPandas(run, schema).join(model.words.select("word", F.col("c").alias("c"), F.col("lp").alias("own")), "word", "left")
+    whole = F.col("word").isNull() & F.col("ctx").isNull()
     seen = F.coalesce("c", F.lit(0))
-    out = found.groupBy("_row").agg(
+    of_rare = F.col("n") * (F.coalesce("own", "lp") - F.lit(float(np.log10(model.root.value[0]))))
+    word = F.col("word").isNotNull()
+    both = found.withColumn("ctx", F.lit(None).cast("double")).unionByName(in_contexts(rows, model), allowMissingColumns=True)
+    sums = both.groupBy("_row").agg(
         F.max_by("_keep", whole).alias("_keep"),
-        F.sum(F.when(whole, F.col("n"))).cast("long").alias("n_tokens"),
-        F.sum(F.when(whole, F.col("known")).when(seen > 0, F.col("n")).otherwise(0)).cast("long").alias("n_known"),
-        F.sum(F.when(whole, F.col("lc")).otherwise(F.col("n") * F.log10(seen + 1.0))).alias("_lc"),
-        F.sum(F.when(whole, F.col("lp")).otherwise(F.col("n") * F.coalesce("own", "lp"))).alias("score"),
+        F.sum(whole.cast("long")).alias("_times"),
+        F.sum(F.when(whole, F.col("n"))).alias("n_tokens"),
+        F.sum(F.when(whole, F.col("known")).when(word & (seen > 0), F.col("n")).otherwise(0)).alias("n_known"),
+        F.sum(F.when(whole, F.col("lc")).when(word, F.col("n") * F.log10(seen + 1.0))).alias("_lc"),
+        F.sum(F.when(word, of_rare).otherwise(F.coalesce("ctx", F.lit(0.0)))).alias("score"),
+    )
+    out = sums.select("*", F.explode(F.array_repeat(F.lit(0), F.col("_times").cast("int"))).alias("_copy"))
+    once = {c: F.col(c) / F.col("_times") for c in ("n_tokens", "n_known", "_lc", "score")}
+    base = once["_lc"] - once["n_tokens"] * F.log10(F.lit(float(model.n + model.v + 1)))
+    return out.select(
+        "_keep.*", once["n_tokens"].cast("long").alias("n_tokens"), once["n_known"].cast("long").alias("n_known"),
+        F.lit(model.n).cast("long").alias("train_tokens"), base.alias("base_score"), once["score"].alias("score"),
     )
-    base = F.col("_lc") - F.col("n_tokens") * F.log10(F.lit(float(model.n + model.v + 1)))
-    return out.select("_keep.*", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
 def op5_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import collections
 import hashlib
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -357,3 +358,36 @@ def test_short_batches_bound_rows_and_bytes(spark):
     finally:
         for n, v in before.items():
             spark.conf.set(n, v)
+
+
+def test_scores_use_the_words_before_and_price_new_words(spark):
+    train = [(i, "alpha beta gamma delta") for i in range(20)] + [(20 + i, "delta gamma beta alpha " + w) for i, w in enumerate(("omega", "omicron"))]
+    model = scoring.Model(spark, spark.createDataFrame(train, "doc_id long, text string"))
+    texts = ["alpha beta gamma delta", "beta alpha delta gamma", "alpha xjqzkv", "alpha alpho", "alpha beta gamma delta", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(0, texts[0])], "doc_id long, text string")
+    got = scoring.score(rows, model).collect()
+    by = {r.doc_id: r.score for r in got}
+    assert sorted(r.doc_id for r in got) == [0, 0, 1, 2, 3, 4, 5]  # repeated rows come as often as they occur
+    assert by[0] == pytest.approx(by[4])
+    assert by[0] > by[1] + 1  # the same words in an order not met
+    assert by[3] > by[2] + 1  # new words by their spelling
+    assert by[2] < by[0] - 3
+
+
+def test_probabilities_of_word_contexts_add_up_to_one():
+    rng = np.random.default_rng(3)
+    root = rng.dirichlet(np.ones(50))
+    tokens = rng.zipf(1.5, 4000) % 50
+    cells, c = np.unique(tokens[:-2] << 2 * scoring.BITS | tokens[1:-1] << scoring.BITS | tokens[2:], return_counts=True)
+    seating = scoring.Seating(cells, c.astype(float), root, 0)
+    for two, one in ((1, 1), (1, 2), (49, 1), (60, 1), (60, 61)):  # met, and not met
+        asked = two << 2 * scoring.BITS | one << scoring.BITS | np.arange(50)
+        p = seating.probabilities(asked)
+        assert p.min() > 0 and p.sum() == pytest.approx(1)
+    assert (seating.tables >= 1).all()
+    vocabulary = scoring.Vocabulary([(scoring.END, 9), (b"a", 5)], 3 * scoring.SLICE)
+    found = np.concatenate([at for _, at in vocabulary.dealt(cells)])
+    assert sorted(found) == list(range(len(cells)))
+    x, of = vocabulary.cells([[b"a", b"b", scoring.END], [b"a", scoring.END]])
+    assert [int(v) & scoring.MASK for v in x] == [2, 0, 1, 2, 1] and list(of) == [0, 0, 0, 1, 1]
+    assert [int(v) >> 2 * scoring.BITS for v in x] == [1, 1, 2, 1, 1] and int(x[4]) >> scoring.BITS & scoring.MASK == 2
