@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from namesmith.llm.common import held_out, table, text_of
+from namesmith.llm.common import give_back, held_out, short_batches, table, text_of
 from namesmith.session import checkpointed
 
 TOP = 1 << 16
@@ -51,7 +51,7 @@ CONTEXT_STRENGTH, CONTEXT_DISCOUNT = 0.1, 0.75
 RARE = 1 << 15
 BITS = 17
 MASK = (1 << BITS) - 1
-SLICE = 1 << 21
+SLICE, CHUNK = 1 << 19, 1 << 20  # tokens of a slice, tokens that a task deals out at once
 END = b"\t"  # the end of a text as a word; no word holds a blank
 
 
@@ -296,7 +296,7 @@ def cell_counts(df: DataFrame, text: str, sent) -> DataFrame:
                 cells, _ = sent.value.cells([tokens(t) for t in pdf["t"].iloc[k : k + 256]])
                 held.append(cells)
                 size += len(cells)
-                if size > SLICE:
+                if size > CHUNK:
                     yield out()
                     held, size = [], 0
         if size:
@@ -305,6 +305,7 @@ def cell_counts(df: DataFrame, text: str, sent) -> DataFrame:
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         cells, at = np.unique(np.concatenate([np.cumsum(unpacked(x)) for x in pdf["cells"]]), return_inverse=True)
         c = np.bincount(at, np.concatenate([unpacked(x) for x in pdf["c"]])).astype(np.int64)
+        give_back()
         return pd.DataFrame([(pdf["slice"].iloc[0], packed(steps(cells)), packed(c))], columns=["slice", "cells", "c"])
 
     schema = "slice int, cells binary, c binary"
@@ -442,7 +443,7 @@ def in_contexts(rows: DataFrame, model: Model) -> DataFrame:
                 texts.append(tokens(t))
                 ids.append(row)
                 size += len(texts[-1])
-                if size < SLICE // 2 and len(texts) < 2048 and i < len(pdf):
+                if size < CHUNK and len(texts) < 2048 and i < len(pdf):
                     continue
                 cells, of = vocabulary.value.cells(texts)
                 order = np.argsort(cells)
@@ -462,6 +463,8 @@ def in_contexts(rows: DataFrame, model: Model) -> DataFrame:
         for r in right.itertuples(index=False):
             lp = np.log10(seating.probabilities(np.cumsum(unpacked(r.cells))))
             out.append((r.chunk, np.bincount(np.frombuffer(r.texts, np.uint16), lp, r.size).tobytes(), r.ids))
+        del seating
+        give_back()
         return pd.DataFrame(out, columns=["chunk", "lp", "ids"])
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -532,5 +535,6 @@ def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...]
 
 def op5_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of every document by a model of those that are not held out."""
+    short_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out("doc_id", 7).alias("held_out"))
     return score(docs, Model(spark, docs.filter(~F.col("held_out"))), keep=("doc_id", "held_out"))
