@@ -16,6 +16,7 @@ from namesmith.operators import dialogue as D
 from namesmith.operators import evaluation as V
 from namesmith.operators import lookups as L
 from namesmith.operators import questions as Q
+from namesmith.plans.cleaning import NOISE
 
 
 def one(spark, column, **values):
@@ -273,3 +274,23 @@ def test_boxes_on_a_grid_against_brute_force(spark):
     kept = K.outside_boxes(spark.createDataFrame(objects, schema), spark.createDataFrame(boxes, schema), ["id"], (8.0, 2.0))
     want = {o[0] for o in objects if not any(o[1] == b[1] and o[4] > b[2] and o[2] < b[4] and o[5] > b[3] and o[3] < b[5] for b in boxes)}
     assert {r.id for r in kept.collect()} == want and 0 < len(want) < 300
+
+
+def test_rules_behind_literals_change_what_their_patterns_change(spark):
+    patterns = {
+        "pos_fixed": C.POS_TAG, "particle_fixed": C.PARTICLE, "eotda_fixed": C.ENDING, "quote_particle_fixed": C.AFTER_QUOTE,
+        "noise_bracket_fixed": C.NOISE_BRACKET, "double_mi_fixed": r"\[\[미\]", "def_marker_at_fixed": C.DEFINITION_MARK,
+    }
+    tags = [f"{tag}!" for tag in ("명의", "의존명사", "접사", "명", "동", "형", "부", "관", "수", "대", "감")]
+    lines = spark.createDataFrame([(t,) for t in [*NOISE, *tags, "끼가", "3끼 가", "9 가", "하늘틀 ", "하늘름.", "하늘률]", "하늘논 ", "", None]], "line string")
+    for rule in C.RULES:
+        row = lines.select("line", rule.apply(F.col("line")).alias("to"), rule.count(F.col("line")).alias("n"))
+        if rule.name in patterns:
+            same = F.col("n") == F.regexp_count("line", F.lit(patterns[rule.name]))
+            assert row.filter(~same & ~F.lit(rule.name in ("eotda_fixed", "double_mi_fixed"))).count() == 0, rule.name
+            assert row.filter((F.col("to") != F.col("line")) & ~F.col("line").rlike(patterns[rule.name])).count() == 0, rule.name
+            assert row.filter(F.col("line").rlike(patterns[rule.name]) & (F.col("n") == 0)).count() == 0, rule.name
+        assert row.filter("line is null and (to is not null)").count() == 0
+    plan = C.rule_counts(lines, "line")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1  # the counts themselves; cleaned lines are not made
+    assert "Contains" in plan or "CONTAINS" in plan.upper()
