@@ -29,8 +29,10 @@ class Coder:
     """Ids of texts by a byte-level tokenizer file, as little-endian bytes.
 
     Such a tokenizer encodes each match of its splitting pattern by itself, so the ids of a
-    match are asked for once and remembered. Texts that hold an added token are encoded
-    whole, as these are cut out before the pattern. A file of another kind gets whole texts.
+    match are asked for once and remembered. The file's model gets a match's bytes as the
+    characters that stand for them, without the work done around a whole text. Texts that
+    hold an added token are encoded whole, as these are cut out before the pattern. A file
+    of another kind gets whole texts.
     """
 
     def __init__(self, path: str) -> None:
@@ -48,12 +50,21 @@ class Coder:
         split = spec.get("pre_tokenizer") or {}
         plain = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
         self.split = regex.compile(public_tokenizers.PATTERN).findall if plain and not spec.get("normalizer") else None
+        self.tokenize = self.tokenizer.model.tokenize
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256
+        self.letter = dict(zip([*shown, *(b for b in range(256) if b not in shown)], map(chr, [*shown, *range(256, 324)])))
         self.added = [a["content"] for a in spec.get("added_tokens") or []]
         self.known = Recent(KNOWN)
 
     def fresh(self, texts: list[str]) -> list[bytes]:
         return [pack_ids(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def matches(self, words: list[str]) -> Iterator[bytes]:
+        letter, tokenize = self.letter.__getitem__, self.tokenize
+        for word in words:
+            ids = [t.id for t in tokenize("".join(map(letter, word.encode())))]
+            yield pack_ids(f"<{len(ids)}I", *ids)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.split is None:
             return self.fresh(texts)
@@ -63,7 +74,7 @@ class Coder:
             rest = iter(self.encode([t for i, t in enumerate(texts) if i not in out]))
             return [out[i] if i in out else next(rest) for i in range(len(texts))]
         words = [self.split(t) for t in texts]
-        get = self.known.holding(set().union(*words), self.fresh).__getitem__
+        get = self.known.holding(set().union(*words), self.matches).__getitem__
         return [b"".join(map(get, w)) for w in words]
 
 

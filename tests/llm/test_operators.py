@@ -163,6 +163,13 @@ def test_packing_is_gapless_and_whole(spark):
         assert at <= 1024
 
 
+def test_matches_get_the_ids_of_whole_texts():
+    coder = packing.Coder(packing.tokenizer_path())
+    texts = ["".join(map(chr, range(0xD800))), "".join(map(chr, range(0xE000, 0x11000))), " a  b\n\n c\t\u00a0d's  we'LL 12 345 ...  ", "a\n \nb", " x", "x ", "a \u3000b c\n d\n\n e\x1c f \x1cg", "a\u2028 b \u2028c", "\U0001f600 e\u0301 \x00\x7f\x80\xad"]
+    assert list(coder.encode(texts)) == coder.fresh(texts)
+    assert list(coder.matches([" na\u00efve", "\xad", "\x00"])) == coder.fresh([" na\u00efve", "\xad", "\x00"])
+
+
 def test_packing_gives_added_tokens_their_id(spark):
     from tokenizers import Tokenizer
 
