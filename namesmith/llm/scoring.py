@@ -46,7 +46,7 @@ HELD = 1 << 19  # distinct words a task holds before it hands on their counts
 SWEEPS, BURN_IN = 3, 1
 INNER = 3
 STRENGTH, DISCOUNT = 1.0, 0.5
-# of word contexts; on sf0.001 by a fold of the training texts (remainder 3) learned from the others
+# of word contexts; by a fold of the training texts of sf0.001 (remainder 3), README says what was seen before
 CONTEXT_STRENGTH, CONTEXT_DISCOUNT = 0.1, 0.75
 RARE = 1 << 15
 BITS = 17
