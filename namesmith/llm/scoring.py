@@ -17,16 +17,16 @@ rare mass in the restaurant without context, and a word not met its spelling. So
 of all words add up to one. Three numbers make a long. Cells (two words before, word) are
 dealt into slices of about ``SLICE`` tokens by the word before; a very frequent word before
 has several slices, by the word before it, and each is a restaurant of its own. All
-cells of a slice are seated together, and what texts ask of a slice meets it in a cogroup.
+cells of a slice are seated together. Scoring deals the texts out once: what is learned from
+and what is asked meet in one group of a slice, as compressed runs of ascending cells.
 
 Symbols are 64 by rule, so that contexts are 64 ** 3 at most and the symbol model 64 MB at
-most, which is what tasks get as a broadcast. Of words they get the ``TOP`` most frequent; all
-rarer ones meet their count and probability in a join, a row per document and distinct word.
+most, which is what tasks get as a broadcast. Rarer words are dealt into buckets by their
+crc32, where they meet their counts and probabilities; only those not met there are spelled.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import repeat
@@ -34,6 +34,8 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +45,7 @@ from namesmith.session import checkpointed
 
 TOP = 1 << 16
 HELD = 1 << 19  # distinct words a task holds before it hands on their counts
+PART = 1 << 17  # words whose symbols are counted at once
 SWEEPS, BURN_IN = 3, 1
 INNER = 3
 STRENGTH, DISCOUNT = 1.0, 0.5
@@ -51,7 +54,8 @@ CONTEXT_STRENGTH, CONTEXT_DISCOUNT = 0.1, 0.75
 RARE = 1 << 15
 BITS = 17
 MASK = (1 << BITS) - 1
-SLICE, CHUNK = 1 << 19, 1 << 20  # tokens of a slice, tokens that a task deals out at once
+SLICE = 1 << 20  # tokens of a slice
+TEXTS = 12 << 20  # bytes of the texts that a task deals out at once
 END = b"\t"  # the end of a text as a word; no word holds a blank
 
 
@@ -186,13 +190,24 @@ def symbol_model(tables: DataFrame, root: np.ndarray, share: np.ndarray, seed: i
 
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         code, n = np.empty(0, np.int64), np.empty(0)
+        words, t = [], []
+
+        def count() -> None:
+            nonlocal code, n
+            new, first = symbols(words)
+            weight = np.repeat(np.concatenate(t), np.diff(first, append=len(new)))
+            code, at = np.unique(np.concatenate((code, new)), return_inverse=True)
+            n = np.bincount(at, np.concatenate((n, weight)), len(code))
+            words.clear()
+            t.clear()
+
         for pdf in batches:
-            for k in range(0, len(pdf), 1 << 17):
-                part = pdf.iloc[k : k + (1 << 17)]
-                new, first = symbols(list(part["word"]))
-                weight = np.repeat(part["t"].to_numpy(float), np.diff(first, append=len(new)))
-                code, at = np.unique(np.concatenate((code, new)), return_inverse=True)
-                n = np.bincount(at, np.concatenate((n, weight)), len(code))
+            words.extend(pdf["word"])
+            t.append(pdf["t"].to_numpy(float))
+            if len(words) >= PART:
+                count()
+        if words:
+            count()
         if len(code):
             yield pd.DataFrame({"code": code, "n": n.astype(np.int64)})
 
@@ -210,25 +225,58 @@ def symbol_model(tables: DataFrame, root: np.ndarray, share: np.ndarray, seed: i
     return SymbolModel([(r["level"], r["context"], bytes(r["row"])) for r in rows if r["level"]], root, share), new
 
 
-def tokens(text: str) -> list[bytes]:
-    """Words of a text with A-Z lower-cased, then its end; bytes split at ASCII blanks alone."""
-    return [*text.encode("utf-8", "surrogatepass").lower().split(), END]
+class Split:
+    """Words of many texts in a row, as numbers into the list of distinct ones, and how many each text has."""
+
+    def __init__(self, texts: pa.Array) -> None:
+        found = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        words, whole = found.flatten(), pc.list_value_length(found).to_numpy(zero_copy_only=False)
+        there = pc.greater(pc.binary_length(words), 0)
+        of = np.repeat(np.arange(len(texts)), whole)[there.to_numpy(zero_copy_only=False)]
+        self.size = np.bincount(of, minlength=len(texts))
+        listed = words.filter(there).dictionary_encode()
+        self.distinct = listed.dictionary.cast(pa.binary())
+        self.at, self.of = listed.indices.to_numpy(), of
 
 
 def word_counts(df: DataFrame, text: str) -> DataFrame:
     """(word, c) over all rows; tasks sum before the shuffle."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: Counter[bytes] = Counter()
-        for pdf in batches:
-            for t in pdf["t"]:
-                found.update(tokens(t))
-                if len(found) > HELD:
-                    yield pd.DataFrame({"word": list(found), "c": list(found.values())})
-                    found.clear()
-        yield pd.DataFrame({"word": list(found), "c": list(found.values())})
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+
+        def summed() -> pa.Table:
+            return pa.concat_tables(held).group_by("word").aggregate([("c", "sum")]).select(["word", "c_sum"]).rename_columns(["word", "c"])
+
+        for texts in gathered(batches, 1):
+            split = Split(texts.column(0).combine_chunks())
+            c = np.bincount(split.at, minlength=len(split.distinct))
+            held.append(pa.table({"word": pa.concat_arrays([split.distinct, pa.array([END])]), "c": np.append(c, len(split.size))}))
+            if len(held) == 8:
+                held = [summed()]
+                if len(held[0]) > HELD:
+                    yield from held.pop().to_batches(1 << 16)
+        if held:
+            yield from summed().to_batches(1 << 16)
+        give_back()
+
+    return df.select(text_of(text).alias("t")).mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+
 
-    return df.select(text_of(text).alias("t")).mapInPandas(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+def gathered(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.Table]:
+    """Batches put together until their texts have ``TEXTS`` bytes or rows are as many as two bytes can number."""
+    held, rows, size = [], 0, 0
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 1000):
+            part = batch.slice(lo, 1000)
+            if held and (rows + part.num_rows > 1 << 16 or size + part.column(text - 1).nbytes > TEXTS):
+                yield pa.Table.from_batches(held)
+                held, rows, size = [], 0, 0
+            held.append(part)
+            rows += part.num_rows
+            size += part.column(text - 1).nbytes
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -240,6 +288,14 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").ravel()
 
 
+def pressed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unpressed(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
 def steps(keys: np.ndarray) -> np.ndarray:
     """Ascending keys as their differences."""
     return np.diff(keys, prepend=np.int64(0))
@@ -251,9 +307,11 @@ class Vocabulary:
     def __init__(self, listed: list[tuple[bytes, int]], n: int) -> None:
         self.ids = {w: i for i, (w, _) in enumerate(listed, 1)}
         self.slices = 1 + n // SLICE
+        self.buckets = 1 + n // (8 * SLICE)  # of rarer words
         counts = np.zeros(MASK + 1, np.int64)
         counts[1 : len(listed) + 1] = [c for _, c in listed]
         self.split = 1 + 2 * counts // SLICE
+        self.log = np.log10(counts + 1.0)
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         x = np.fromiter(map(self.ids.get, words, repeat(0)), np.int64, len(words))
@@ -263,53 +321,123 @@ class Vocabulary:
 
     def cells(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """For each token of all texts its cell, and the text it is of. Before a text there are two ends."""
-        x = self.numbers([w for t in texts for w in t])
-        size = [len(t) for t in texts]
+        return self.following(self.numbers([w for t in texts for w in t]), np.array([len(t) for t in texts]))
+
+    def following(self, x: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same from the tokens' numbers."""
         end = self.numbers([END])
         one, two = np.concatenate((end, x[:-1])), np.concatenate((end, end, x[:-2]))[: len(x)]
         two[np.cumsum(size) - size] = end  # what is before a text in ``one`` is the end of another
-        return two << 2 * BITS | one << BITS | np.where(x > len(self.ids), 0, x), np.repeat(np.arange(len(texts)), size)
+        return two << 2 * BITS | one << BITS | np.where(x > len(self.ids), 0, x), np.repeat(np.arange(len(size)), size)
 
     def dealt(self, cells: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """Each slice that ascending cells meet, and where they are."""
         one, two = cells >> BITS & MASK, cells >> 2 * BITS
         at = ((one * 0x9E3779B1 + two % self.split[one] * 0x85EBCA6B & 0xFFFFFFFF) >> 8) % self.slices
-        order = np.argsort(at, kind="stable")
+        order = np.argsort(at.astype(np.uint16) if self.slices <= 1 << 16 else at, kind="stable")
         first = np.flatnonzero(np.diff(at[order], prepend=-1))
         for lo, hi in zip(first, [*first[1:], len(order)]):
             yield int(at[order[lo]]), order[lo:hi]
 
 
-def cell_counts(df: DataFrame, text: str, sent) -> DataFrame:
-    """(slice, cells, c): a row per slice with its ascending cells and how often each occurs."""
+DEALT = "slice int, chunk long, size int, learned int, keys binary, c binary, texts binary, about binary"
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
 
-        def out() -> pd.DataFrame:
-            cells, c = np.unique(np.concatenate(held), return_counts=True)
-            rows = [(s, packed(steps(cells[at])), packed(c[at])) for s, at in sent.value.dealt(cells)]
-            return pd.DataFrame(rows, columns=["slice", "cells", "c"])
+def dealt(rows: DataFrame, sent) -> DataFrame:
+    """Texts of (_row, _t, _learn) dealt out: rows of a slice with a chunk's cells there, and of a bucket (-1 and less) with its rarer words.
 
-        for pdf in batches:
-            for k in range(0, len(pdf), 256):
-                cells, _ = sent.value.cells([tokens(t) for t in pdf["t"].iloc[k : k + 256]])
-                held.append(cells)
-                size += len(cells)
-                if size > CHUNK:
-                    yield out()
-                    held, size = [], 0
-        if size:
-            yield out()
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        cells, at = np.unique(np.concatenate([np.cumsum(unpacked(x)) for x in pdf["cells"]]), return_inverse=True)
-        c = np.bincount(at, np.concatenate([unpacked(x) for x in pdf["c"]])).astype(np.int64)
+    A row without ``_row`` is only learned from. In a chunk texts stand in this order: those only learned from, those learned
+    from and asked for, those only asked for; the first ``learned`` count. ``keys`` ascend, ``texts`` has the text of each; a
+    chunk that asks for nothing has each key once, with its count ``c``. One row of a chunk has ``about``: ids, numbers of
+    tokens, of known tokens among the listed, and their log10 (count + 1) summed.
+    """
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, chunk = sent.value, TaskContext.get().partitionId() << 36
+        for part in gathered(batches, 2):
+            row, learn = part.column(0).combine_chunks(), part.column(2).to_numpy()
+            asked = row.is_valid().to_numpy(zero_copy_only=False)
+            order = np.argsort(np.where(asked, np.where(learn, 1, 2), 0), kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            yield pa.RecordBatch.from_pylist(list(rows_of(vocabulary, Split(part.column(1).combine_chunks()), place, chunk, asked, learn, row)), SCHEMA)
+            chunk += 1
         give_back()
-        return pd.DataFrame([(pdf["slice"].iloc[0], packed(steps(cells)), packed(c))], columns=["slice", "cells", "c"])
 
-    schema = "slice int, cells binary, c binary"
-    return df.select(text_of(text).alias("t")).mapInPandas(count, schema).groupBy("slice").applyInPandas(merge, schema)
+    return rows.select("_row", "_t", "_learn").mapInArrow(deal, DEALT)
+
+
+SCHEMA = pa.schema([("slice", pa.int32()), ("chunk", pa.int64()), ("size", pa.int32()), ("learned", pa.int32()), *((c, pa.binary()) for c in ("keys", "c", "texts", "about"))])
+
+
+def rows_of(vocabulary: Vocabulary, split: Split, place: np.ndarray, chunk: int, asked: np.ndarray, learn: np.ndarray, row: pa.Array) -> Iterator[dict]:
+    """The rows of one chunk; ``place`` is each text's place in it."""
+    base = {"chunk": chunk, "size": len(place), "learned": int(learn.sum())}
+    distinct = split.distinct.to_pylist()
+    number, size = vocabulary.numbers(distinct), split.size + 1
+    x = np.full(size.sum(), vocabulary.numbers([END])[0])
+    inner = np.ones(len(x), bool)
+    inner[np.cumsum(size) - 1] = False
+    x[inner] = number[split.at]
+    cells, of = vocabulary.following(x, size)
+    if not asked.any():
+        cells, c = np.unique(cells, return_counts=True)
+        for s, at in vocabulary.dealt(cells):
+            yield {**base, "slice": s, "keys": pressed(packed(steps(cells[at]))), "c": pressed(packed(c[at]))}
+        return
+    of = place[of]
+    w = cells & MASK
+    ids = np.empty(len(place), np.int64)
+    ids[place] = row.fill_null(0).to_numpy(zero_copy_only=False)
+    n, log = np.empty(len(place), np.int64), np.bincount(of, vocabulary.log[w], len(place))
+    n[place] = size
+    known = np.bincount(of, vocabulary.log[w] > 0, len(place)).astype(np.int64)
+    first = len(place) - int(asked.sum())
+    about = b"".join(x[first:].tobytes() for x in (ids, n, known, log))
+    order = np.argsort(cells)
+    cells, of = cells[order], of[order]
+    for s, at in vocabulary.dealt(cells):
+        texts = pressed(of[at].astype(np.uint16).tobytes())
+        yield {**base, "slice": s, "keys": pressed(packed(steps(cells[at]))), "texts": texts, "about": about}
+        about = None
+    rarer = np.flatnonzero(number > len(vocabulary.ids))
+    rank = np.full(len(distinct), -1)
+    words = [distinct[i] for i in rarer]
+    bucket = np.fromiter(map(crc32, words), np.int64, len(words)) % vocabulary.buckets
+    order = np.argsort(bucket, kind="stable")
+    rank[rarer[order]] = np.arange(len(rarer))
+    words, bucket = [words[i] for i in order], bucket[order]
+    at, of = rank[split.at], place[split.of]
+    if END not in vocabulary.ids:  # nothing was learned
+        words, bucket = [*words, END], np.append(bucket, bucket.max(initial=0))
+        at, of = np.append(at, np.full(len(place), len(words) - 1)), np.append(of, place)
+    on = (at >= 0) & (of >= first)
+    at, of = at[on], of[on]
+    order = np.argsort(at, kind="stable")
+    of, c = of[order], np.bincount(at, minlength=len(words))
+    ends, start = np.cumsum(c), np.flatnonzero(np.diff(bucket, prepend=-1))
+    for lo, hi in zip(start, [*start[1:], len(bucket)]):
+        texts = of[ends[lo] - c[lo] : ends[hi - 1]].astype(np.uint16)
+        keys, counts = pressed(b"\n".join(words[lo:hi])), pressed(packed(c[lo:hi]))
+        yield {**base, "slice": -1 - int(bucket[lo]), "keys": keys, "c": counts, "texts": pressed(texts.tobytes())}
+
+
+def learned(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray | None]]]:
+    """Cells of a slice that are learned from and how often each occurs; and the cells and texts of each row."""
+    held, counts, asked = [], [], []
+    for keys, c, texts, n in zip(*(rows.column(x).to_pylist() for x in ("keys", "c", "texts", "learned"))):
+        cells, of = np.cumsum(unpacked(unpressed(keys))), None
+        if texts is None:
+            held.append(cells)
+            counts.append(unpacked(unpressed(c)))
+        else:
+            of = np.frombuffer(unpressed(texts), np.uint16)
+            mine, c = np.unique(cells[of < n], return_counts=True)
+            held.append(mine)
+            counts.append(c)
+        asked.append((cells, of))
+    cells, at = np.unique(np.concatenate(held), return_inverse=True)
+    return cells, np.bincount(at, np.concatenate(counts), len(cells)), asked
 
 
 class Seating:
@@ -358,22 +486,24 @@ class Seating:
         return found(self.cells, self.own2, cells, 0.0) + found(self.two, self.on2, cells >> BITS, 1.0) * one
 
 
-def context_tables(cells: DataFrame, root) -> dict[int, float]:
+def context_tables(train: DataFrame, sent, root) -> dict[int, float]:
     """Tables of each numbered word in the restaurants of one word before: its customers without context."""
 
-    def tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                seating = Seating(np.cumsum(unpacked(r.cells)), unpacked(r.c).astype(float), root.value, r.slice)
-                t = np.bincount(seating.pairs & MASK, seating.tables)
-                yield pd.DataFrame({"w": np.flatnonzero(t), "t": t[t > 0]})
+    def tables(rows: pa.Table) -> pa.Table:
+        cells, c, _ = learned(rows)
+        seating = Seating(cells, c, root.value, rows.column("slice")[0].as_py())
+        t = np.bincount(seating.pairs & MASK, seating.tables)
+        del seating
+        give_back()
+        return pa.table({"w": np.flatnonzero(t), "t": t[t > 0]})
 
-    rows = cells.mapInPandas(tables, "w long, t double").groupBy("w").agg(F.sum("t").alias("t")).collect()
+    only = train.select(F.lit(None).cast("long").alias("_row"), "_t", F.lit(True).alias("_learn"))
+    rows = dealt(only, sent).groupBy("slice").applyInArrow(tables, "w long, t double").groupBy("w").agg(F.sum("t").alias("t")).collect()
     return {r["w"]: r["t"] for r in rows}
 
 
 class Model:
-    """What scoring needs: totals, the cells of word contexts, the samples' symbol models with their weight, the
+    """What scoring needs: totals, the training texts, the samples' symbol models with their weight, the
     table of words with probabilities, and the probabilities of numbered words without context, 0 all rare and new ones."""
 
     def __init__(self, spark: SparkSession, train: DataFrame, text: str = "text", sweeps: int = SWEEPS, burn_in: int = BURN_IN) -> None:
@@ -383,10 +513,10 @@ class Model:
         top = words.orderBy(F.desc(F.col("word") == F.lit(END)), F.desc("c"), "word").limit(TOP).collect()
         listed = [(bytes(r["word"]), r["c"]) for r in top]
         self.vocabulary = sc.broadcast(Vocabulary(listed, self.n))
-        self.cells = checkpointed(cell_counts(train, text, self.vocabulary))
+        self.train = train.select(text_of(text).alias("_t"))
         first = np.array([0, *(c for _, c in listed)]) / max(1, self.n + self.v)
         first[0] = 1 - first.sum()
-        tables = context_tables(self.cells, sc.broadcast(first))
+        tables = context_tables(self.train, self.vocabulary, sc.broadcast(first))
         customers = spark.createDataFrame([(w, max(1, round(tables[i]))) for i, (w, _) in enumerate(listed, 1)], "word binary, k long")
         words = words.join(F.broadcast(customers), "word", "left").select("word", "c", F.coalesce("k", "c").alias("k"))
         words = checkpointed(words)
@@ -418,7 +548,6 @@ class Model:
             seats = new.drop("p0")
         self.words = seats.select("word", "c", F.log10("p").alias("lp"))
         found = self.words.join(F.broadcast(customers.select("word")), "word").collect()
-        self.top = {bytes(r["word"]): r["c"] for r in found}
         known = np.zeros(len(listed) + 1)
         for r in found:
             known[self.vocabulary.value.ids[bytes(r["word"])]] = 10.0 ** r["lp"]
@@ -431,110 +560,84 @@ def unseen(samples, words: list[bytes]) -> np.ndarray:
     return np.logaddexp.reduce([np.log(10) * (sent.value.words(words) + w) for sent, w in samples], axis=0) / np.log(10)
 
 
-def in_contexts(rows: DataFrame, model: Model) -> DataFrame:
-    """(_row, ctx) for all rows: log10 of the probabilities of all tokens after the words before them, rare words as one."""
-    vocabulary, root = model.vocabulary, model.root
-
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chunk = TaskContext.get().partitionId() << 36
-        for pdf in batches:
-            texts, ids, size = [], [], 0
-            for i, (row, t) in enumerate(zip(pdf["_row"], pdf["_t"]), 1):
-                texts.append(tokens(t))
-                ids.append(row)
-                size += len(texts[-1])
-                if size < CHUNK and len(texts) < 2048 and i < len(pdf):
-                    continue
-                cells, of = vocabulary.value.cells(texts)
-                order = np.argsort(cells)
-                cells, of = cells[order], of[order]
-                out = [(s, chunk, len(ids), packed(steps(cells[at])), of[at].astype(np.uint16).tobytes(), None) for s, at in vocabulary.value.dealt(cells)]
-                out[0] = (*out[0][:-1], np.array(ids, np.int64).tobytes())
-                yield pd.DataFrame(out, columns=["slice", "chunk", "size", "cells", "texts", "ids"])
-                texts, ids, size, chunk = [], [], 0, chunk + 1
-
-    def answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if len(left):
-            cells, c, seed = np.cumsum(unpacked(left["cells"].iloc[0])), unpacked(left["c"].iloc[0]).astype(float), left["slice"].iloc[0]
-        else:
-            cells, c, seed = np.empty(0, np.int64), np.empty(0), 0
-        seating = Seating(cells, c, root.value, int(seed)) if len(right) else None
-        out = []
-        for r in right.itertuples(index=False):
-            lp = np.log10(seating.probabilities(np.cumsum(unpacked(r.cells))))
-            out.append((r.chunk, np.bincount(np.frombuffer(r.texts, np.uint16), lp, r.size).tobytes(), r.ids))
-        del seating
+def answered(asked: DataFrame, model: Model) -> DataFrame:
+    """(_row, n_tokens, n_known, _lc, score) of the dealt rows that have a ``_row``."""
+    samples, root, buckets = model.samples, model.root, model.vocabulary.value.buckets
+    answers = pa.schema([("chunk", pa.int64()), ("score", pa.binary()), ("rarer", pa.binary()), ("about", pa.binary())])
+
+    def in_contexts(rows: pa.Table) -> Iterator[tuple[bytes, None]]:
+        cells, c, asked = learned(rows)
+        seating = Seating(cells, c, root.value, rows.column("slice")[0].as_py())
+        for (cells, of), size in zip(asked, rows.column("size").to_pylist()):
+            score = None if of is None else np.bincount(of, np.log10(seating.probabilities(cells)), size)
+            yield None if score is None else pressed(score.astype(np.float32).tobytes()), None
+
+    def rarer(words: pa.Table, rows: pa.Table) -> Iterator[tuple[bytes, bytes]]:
+        """Rarer words share the mass of the rare ones; those not met are spelled."""
+        lists = [unpressed(x).split(b"\n") for x in rows.column("keys").to_pylist()]
+        asked = pa.array([w for x in lists for w in x], pa.binary()).dictionary_encode()
+        at = pc.index_in(asked.dictionary, value_set=words.column("word").combine_chunks())
+        met = at.is_valid().to_numpy(zero_copy_only=False)
+        c, lp = np.zeros(len(met)), np.zeros(len(met))
+        found = at.drop_null().to_numpy()
+        c[met], lp[met] = words.column("c").to_numpy()[found], words.column("lp").to_numpy()[found]
+        new = asked.dictionary.filter(pc.invert(at.is_valid())).to_pylist()
+        lp[~met] = np.concatenate([np.empty(0), *(unseen(samples, new[k : k + PART]) for k in range(0, len(new), PART))])
+        lp -= np.log10(root.value[0])
+        word, lo = asked.indices.to_numpy(), 0
+        for x, n, texts, size in zip(lists, *(rows.column(k).to_pylist() for k in ("c", "texts", "size"))):
+            of, w = np.frombuffer(unpressed(texts), np.uint16), np.repeat(word[lo : lo + len(x)], unpacked(unpressed(n)))
+            score, known, log = (np.bincount(of, v[w], size) for v in (lp, met, np.log10(c + 1)))
+            yield pressed(score.astype(np.float32).tobytes()), pressed(known.tobytes() + log.tobytes())
+            lo += len(x)
+
+    def answer(words: pa.Table, rows: pa.Table) -> pa.Table:
+        found = [] if not rows.num_rows else [*(rarer(words, rows) if rows.column("slice")[0].as_py() < 0 else in_contexts(rows))]
         give_back()
-        return pd.DataFrame(out, columns=["chunk", "lp", "ids"])
-
-    def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = next(x for x in pdf["ids"] if x is not None)
-        return pd.DataFrame({"_row": np.frombuffer(ids, np.int64), "ctx": np.sum([np.frombuffer(x) for x in pdf["lp"]], axis=0)})
-
-    asked = rows.select("_row", "_t").mapInPandas(ask, "slice int, chunk long, size int, cells binary, texts binary, ids binary")
-    answers = model.cells.groupBy("slice").cogroup(asked.groupBy("slice")).applyInPandas(answer, "chunk long, lp binary, ids binary")
-    return answers.groupBy("chunk").applyInPandas(total, "_row long, ctx double")
-
-
-def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+        score, rare = zip(*found) if found else ((), ())
+        chunk, about = (rows.column(c).combine_chunks() for c in ("chunk", "about"))
+        return pa.table([chunk, pa.array(score, pa.binary()), pa.array(rare, pa.binary()), about], schema=answers)
+
+    def total(rows: pa.Table) -> pa.Table:
+        ids, n, known, log = np.frombuffer(next((x for x in rows.column("about").to_pylist() if x is not None), b""), np.int64).reshape(4, -1)
+        log, known, score = log.view(float).copy(), known.astype(float), np.zeros(len(ids))
+        if len(ids):
+            for s, r in zip(rows.column("score").to_pylist(), rows.column("rarer").to_pylist()):
+                score += np.frombuffer(unpressed(s), np.float32)[-len(ids) :]
+                if r is not None:
+                    more = np.frombuffer(unpressed(r)).reshape(2, -1)[:, -len(ids) :]
+                    known, log = known + more[0], log + more[1]
+        return pa.table({"_row": ids, "n_tokens": n, "n_known": known.round().astype(np.int64), "_lc": log, "score": score})
+
+    words = model.words.select((-1 - F.crc32("word") % buckets).cast("int").alias("slice"), "word", "c", "lp")
+    rows = dealt(asked, model.vocabulary).groupBy("slice")
+    found = words.groupBy("slice").cogroup(rows).applyInArrow(answer, "chunk long, score binary, rarer binary, about binary")
+    return found.filter("score is not null").groupBy("chunk").applyInArrow(total, "_row long, n_tokens long, n_known long, _lc double, score double")
+
+
+def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), learn: str | None = None) -> DataFrame:
     """``keep`` columns and n_tokens, n_known, train_tokens, base_score, score for each row of ``df``.
 
     A word that no training text holds costs what its restaurants leave to new words and its symbols. Null and empty
     texts have the end alone. Rows that repeat both text and ``keep`` are put together by a hash and come as often
-    as they occur; other columns are not read.
+    as they occur; other columns are not read. If ``df`` holds the very rows that the model has learned from, ``learn``
+    names the boolean column that tells them, and their texts are dealt out once.
     """
-    samples, top = model.samples, df.sparkSession.sparkContext.broadcast(model.top)
-    rows = df.select(F.struct(*keep).alias("_keep"), text_of(text).alias("_t")).withColumn("_row", F.xxhash64("_keep", "_t"))
-    schema = f"_row long, _keep {rows.schema['_keep'].dataType.simpleString()}, word binary, n int, lp double, lc double, known long"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        logs = {w: np.log10(c + 1.0) for w, c in top.value.items()}
-        for whole in batches:
-            for k in range(0, len(whole), 512):
-                out: list[tuple] = []
-                part = whole.iloc[k : k + 512]
-                for row, kept, t in zip(part["_row"], part["_keep"], part["_t"]):
-                    found = Counter(tokens(t))
-                    lc, known, n_all = 0.0, 0, 0
-                    for w, n in found.items():
-                        n_all += n
-                        got = logs.get(w)
-                        if got is None:
-                            out.append((row, None, w, n, 0.0, 0.0, 0))
-                        else:
-                            lc, known = lc + n * got, known + n
-                    out.append((row, kept, None, n_all, 0.0, lc, known))
-                pdf = pd.DataFrame(out, columns=["_row", "_keep", "word", "n", "lp", "lc", "known"])
-                rare = list(dict.fromkeys(pdf["word"].dropna()))
-                if rare:
-                    pdf["lp"] = pdf["word"].map(dict(zip(rare, unseen(samples, rare)))).fillna(0.0)
-                yield pdf
-
-    found = rows.mapInPandas(run, schema).join(model.words.select("word", F.col("c").alias("c"), F.col("lp").alias("own")), "word", "left")
-    whole = F.col("word").isNull() & F.col("ctx").isNull()
-    seen = F.coalesce("c", F.lit(0))
-    of_rare = F.col("n") * (F.coalesce("own", "lp") - F.lit(float(np.log10(model.root.value[0]))))
-    word = F.col("word").isNotNull()
-    both = found.withColumn("ctx", F.lit(None).cast("double")).unionByName(in_contexts(rows, model), allowMissingColumns=True)
-    sums = both.groupBy("_row").agg(
-        F.max_by("_keep", whole).alias("_keep"),
-        F.sum(whole.cast("long")).alias("_times"),
-        F.sum(F.when(whole, F.col("n"))).alias("n_tokens"),
-        F.sum(F.when(whole, F.col("known")).when(word & (seen > 0), F.col("n")).otherwise(0)).alias("n_known"),
-        F.sum(F.when(whole, F.col("lc")).when(word, F.col("n") * F.log10(seen + 1.0))).alias("_lc"),
-        F.sum(F.when(word, of_rare).otherwise(F.coalesce("ctx", F.lit(0.0)))).alias("score"),
-    )
-    out = sums.select("*", F.explode(F.array_repeat(F.lit(0), F.col("_times").cast("int"))).alias("_copy"))
-    once = {c: F.col(c) / F.col("_times") for c in ("n_tokens", "n_known", "_lc", "score")}
-    base = once["_lc"] - once["n_tokens"] * F.log10(F.lit(float(model.n + model.v + 1)))
+    given = F.coalesce(F.col(learn), F.lit(False)) if learn else F.lit(False)
+    rows = df.select(F.struct(*keep).alias("_keep"), text_of(text).alias("_t"), given.alias("_learn")).withColumn("_row", F.xxhash64("_keep", "_t"))
+    asked = rows.select("_row", "_t", "_learn")
+    if not learn:
+        asked = asked.unionByName(model.train.select(F.lit(None).cast("long").alias("_row"), "_t", F.lit(True).alias("_learn")))
+    out = rows.select("_row", "_keep").join(answered(asked, model).dropDuplicates(["_row"]), "_row")
+    base = F.col("_lc") - F.col("n_tokens") * F.log10(F.lit(float(model.n + model.v + 1)))
     return out.select(
-        "_keep.*", once["n_tokens"].cast("long").alias("n_tokens"), once["n_known"].cast("long").alias("n_known"),
-        F.lit(model.n).cast("long").alias("train_tokens"), base.alias("base_score"), once["score"].alias("score"),
+        "_keep.*", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), base.alias("base_score"), "score",
     )
 
 
 def op5_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of every document by a model of those that are not held out."""
-    short_batches(spark)
+    short_batches(spark, 10_000)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out("doc_id", 7).alias("held_out"))
-    return score(docs, Model(spark, docs.filter(~F.col("held_out"))), keep=("doc_id", "held_out"))
+    docs = docs.withColumn("_learned", ~F.col("held_out"))
+    return score(docs, Model(spark, docs.filter("_learned")), keep=("doc_id", "held_out"), learn="_learned")

@@ -3,6 +3,8 @@
 import base64
 import collections
 import hashlib
+import math
+import math
 import re
 
 import numpy as np
@@ -398,3 +400,26 @@ def test_probabilities_of_word_contexts_add_up_to_one():
     x, of = vocabulary.cells([[b"a", b"b", scoring.END], [b"a", scoring.END]])
     assert [int(v) & scoring.MASK for v in x] == [2, 0, 1, 2, 1] and list(of) == [0, 0, 0, 1, 1]
     assert [int(v) >> 2 * scoring.BITS for v in x] == [1, 1, 2, 1, 1] and int(x[4]) >> scoring.BITS & scoring.MASK == 2
+
+
+def test_scores_deal_texts_out_once_and_compactly(spark):
+    odd = ["Alpha\x0bbeta\x1cgamma  alpha x\r\n", "", None, " \t\n", "alpha\x00 bÄ new", "beta alpha alpha"]
+    docs = spark.createDataFrame([(i, t, i % 2 == 0) for i, t in enumerate(odd * 3)], "doc_id long, text string, learned boolean")
+    model = scoring.Model(spark, docs.filter("learned"))
+    once = {r.doc_id: r for r in scoring.score(docs, model, learn="learned").collect()}
+    twice = {r.doc_id: r for r in scoring.score(docs, model).collect()}
+    words = [[*(t or "").encode().lower().split(), b"\t"] for t in odd * 3]
+    c = collections.Counter(w for i, t in enumerate(words) if i % 2 == 0 for w in t)
+    for i, t in enumerate(words):
+        base = sum(math.log10((c[w] + 1) / (c.total() + 1 * (len(c) + 1))) for w in t)
+        for got in (once[i], twice[i]):
+            assert (got.n_tokens, got.n_known, got.train_tokens) == (len(t), sum(w in c for w in t), c.total())
+            assert got.base_score == pytest.approx(base)
+        assert once[i].score == pytest.approx(twice[i].score, abs=1e-3)
+    texts = spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id").alias("_row"), F.coalesce("text", F.lit("")).alias("_t"), F.lit(True).alias("_learn"))
+    listed = scoring.word_counts(texts, "_t").orderBy(F.desc(F.col("word") == F.lit(scoring.END)), F.desc("c")).collect()
+    n = sum(r.c for r in listed)
+    vocabulary = spark.sparkContext.broadcast(scoring.Vocabulary([(bytes(r.word), r.c) for r in listed[: len(listed) // 2]], n))
+    rows = scoring.dealt(texts.coalesce(1), vocabulary).collect()
+    assert {r.slice < 0 for r in rows} == {True, False}
+    assert sum(len(x) for r in rows for x in (r.keys, r.c, r.texts) if x is not None) < 8 * n
