@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 from namesmith.llm.common import Recent, give_back, memory, short_batches, table
 
 SIZE, OPEN, EOS = 1024, 1024, 2
-KNOWN = 200_000  # words in each of two generations whose ids a worker remembers; others are encoded again
-STEP = 256
+KNOWN = 500_000  # words in each of two generations whose ids a worker remembers; others are encoded again
+STEP, STEP_BYTES = 1000, 4 << 20  # texts encoded at once, and about the most bytes of them
 
 
 class Coder:
@@ -53,6 +53,7 @@ class Coder:
         self.tokenize = self.tokenizer.model.tokenize
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256
         self.letter = dict(zip([*shown, *(b for b in range(256) if b not in shown)], map(chr, [*shown, *range(256, 324)])))
+        self.space = self.letter[32]
         self.added = [a["content"] for a in spec.get("added_tokens") or []]
         self.known = Recent(KNOWN)
 
@@ -62,7 +63,8 @@ class Coder:
     def matches(self, words: list[str]) -> Iterator[bytes]:
         letter, tokenize = self.letter.__getitem__, self.tokenize
         for word in words:
-            ids = [t.id for t in tokenize("".join(map(letter, word.encode())))]
+            shown = word.replace(" ", self.space) if word.isascii() and word.isprintable() else "".join(map(letter, word.encode()))
+            ids = [t.id for t in tokenize(shown)]
             yield pack_ids(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -130,8 +132,9 @@ def pack(
         code, packer, end = coder(path), Packer(size, most), eos.to_bytes(4, "little")
         base = TaskContext.get().partitionId() << 36
         for batch in batches:
-            for lo in range(0, batch.num_rows, STEP):
-                part = batch.slice(lo, STEP)
+            step = max(1, min(STEP, STEP_BYTES * batch.num_rows // max(1, batch.nbytes)))
+            for lo in range(0, batch.num_rows, step):
+                part = batch.slice(lo, step)
                 rows: list[tuple] = []
                 for row, ids in enumerate(code.encode([t or "" for t in part.column(1).to_pylist()])):
                     ids += end

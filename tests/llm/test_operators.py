@@ -4,7 +4,6 @@ import base64
 import collections
 import hashlib
 import math
-import math
 import re
 
 import numpy as np
@@ -423,3 +422,15 @@ def test_scores_deal_texts_out_once_and_compactly(spark):
     rows = scoring.dealt(texts.coalesce(1), vocabulary).collect()
     assert {r.slice < 0 for r in rows} == {True, False}
     assert sum(len(x) for r in rows for x in (r.keys, r.c, r.texts) if x is not None) < 8 * n
+
+
+def test_packing_encodes_a_word_met_lately_once():
+    coder, asked = packing.Coder(packing.tokenizer_path()), []
+    make = coder.matches
+    coder.matches = lambda words: asked.append(len(words)) or make(words)
+    words = ["".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(26**4)]
+    texts = [" ".join(words[k : k + 5000]) for k in range(0, 440_000, 5000)]
+    first = [coder.encode([t]) for t in texts]
+    n = sum(asked)
+    assert [coder.encode([t]) for t in texts] == first and sum(asked) == n
+    assert first[0] == coder.fresh(texts[:1])
