@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 BLANKS = " \t\n\x0b\x0c\r"
 LOWEST = -(1 << 63)
+STAGE_BATCH = (250, "1m")  # rows and size of a batch in the pipeline, whose executors keep what its stages before have grown to
 _memory: dict[str, dict] = {}
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from namesmith.functions.order import top_per_key
-from namesmith.llm.common import give_back, held_out, memory, packed_row, short_batches, table, text_of
+from namesmith.llm.common import STAGE_BATCH, give_back, held_out, memory, packed_row, short_batches, table, text_of
 
 TOP = 400
 CHUNK = 1 << 19  # letters counted at once
@@ -132,7 +132,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any letter have no language and go. A missing language is filled in; a given
     one is taken as given. If no row has a language, nothing is learned and nothing filled in. Nulls,
     repeated rows and other columns stay as they are."""
-    short_batches(spark)
+    short_batches(spark, *STAGE_BATCH)
     learned = profiles(docs)
     out = identify(docs.select(packed_row(docs.columns).alias("row"), "text"), learned)
     out = out.filter(F.coalesce("lang_pred", F.lit("")) != "und")

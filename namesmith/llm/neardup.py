@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from namesmith.llm.common import LOWEST, give_back, memory, packed_row, short_batches, table, text_of
+from namesmith.llm.common import LOWEST, STAGE_BATCH, give_back, memory, packed_row, short_batches, table, text_of
 from namesmith.llm.components import components
 from namesmith.llm.parsing import M1, M3, mix
 from namesmith.session import checkpointed
@@ -40,8 +40,7 @@ BANDS, ROWS = 25, 5
 COORDINATES = BANDS * ROWS
 PLANES = 4  # bits kept of a coordinate
 RARE = 1e-7
-KNOWN = 300_000
-CELLS = 1 << 19
+CELLS = 1 << 16  # cells of darts thrown at once; a dozen arrays of that length are held
 POISSON = np.cumsum([np.exp(-1.0) / f for f in (1, 1, 2, 6, 24, 120, 720, 5040, 40320, 362880, 3628800, 39916800)])
 
 
@@ -49,16 +48,7 @@ def word_hashes(text: str) -> np.ndarray:
     import xxhash
 
     words = text.encode("utf-8", "surrogatepass").split()  # ASCII blanks
-    known = memory("neardup")
-    if len(known) > KNOWN:
-        known.clear()
-    out = []
-    for w in words:
-        h = known.get(w)
-        if h is None:
-            h = known[w] = xxhash.xxh3_64_intdigest(w)
-        out.append(h)
-    return np.array(out, np.uint64)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def shingles(text: str, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -193,6 +183,7 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 @F.pandas_udf(T.StructType([T.StructField(c, T.ArrayType(T.LongType())) for c in ("bands", "planes")]))
 def bands_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    memory("neardup")
     for texts in batches:
         parts = [bands(list(texts[k : k + 512])) for k in range(0, len(texts), 512)]
         yield pd.DataFrame({name: [x for part in parts for x in part[k]] for k, name in enumerate(("bands", "planes"))})
@@ -341,5 +332,5 @@ def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    short_batches(spark)
+    short_batches(spark, *STAGE_BATCH)
     return dedup(docs)

@@ -18,10 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from namesmith.llm.common import Recent, give_back, memory, short_batches, table
+from namesmith.llm.common import STAGE_BATCH, Recent, give_back, memory, short_batches, table
 
 SIZE, OPEN, EOS = 1024, 1024, 2
 KNOWN = 500_000  # words in each of two generations whose ids a worker remembers; others are encoded again
+FEW = 100_000  # the same in the pipeline
 STEP, STEP_BYTES = 1000, 4 << 20  # texts encoded at once, and about the most bytes of them
 
 
@@ -35,7 +36,7 @@ class Coder:
     of another kind gets whole texts.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, known: int = KNOWN) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import json
 
@@ -55,7 +56,7 @@ class Coder:
         self.letter = dict(zip([*shown, *(b for b in range(256) if b not in shown)], map(chr, [*shown, *range(256, 324)])))
         self.space = self.letter[32]
         self.added = [a["content"] for a in spec.get("added_tokens") or []]
-        self.known = Recent(KNOWN)
+        self.known = Recent(known)
 
     def fresh(self, texts: list[str]) -> list[bytes]:
         return [pack_ids(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -80,11 +81,12 @@ class Coder:
         return [b"".join(map(get, w)) for w in words]
 
 
-def coder(path: str) -> Coder:
+def coder(path: str, known: int = KNOWN) -> Coder:
     coders = memory("packing")
-    if path not in coders:
-        coders[path] = Coder(path)
-    return coders[path]
+    if (path, known) not in coders:
+        coders.clear()
+        coders[path, known] = Coder(path, known)
+    return coders[path, known]
 
 
 class Packer:
@@ -119,17 +121,18 @@ class Packer:
 
 
 def pack(
-    df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, most: int = OPEN, eos: int = EOS,
+    df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, most: int = OPEN, eos: int = EOS, known: int = KNOWN,
 ) -> DataFrame:
     """Pieces of all documents with their place: id, piece, start, length, ids, sequence_id, offset.
 
     ``ids`` are little-endian unsigned 32-bit ids. A null or empty text is the end id alone.
     Longer documents than ``size`` are cut so that all pieces but the first are full. Repeated
     rows are packed as often as they come; a null id stays null. Other columns are not read.
+    A worker remembers the ids of ``known`` words in each of two generations.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, packer, end = coder(path), Packer(size, most), eos.to_bytes(4, "little")
+        code, packer, end = coder(path, known), Packer(size, most), eos.to_bytes(4, "little")
         base = TaskContext.get().partitionId() << 36
         for batch in batches:
             step = max(1, min(STEP, STEP_BYTES * batch.num_rows // max(1, batch.nbytes)))
@@ -170,5 +173,5 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    short_batches(spark)
-    return pack(docs, tokenizer_path())
+    short_batches(spark, *STAGE_BATCH)
+    return pack(docs, tokenizer_path(), known=FEW)

@@ -434,3 +434,30 @@ def test_packing_encodes_a_word_met_lately_once():
     n = sum(asked)
     assert [coder.encode([t]) for t in texts] == first and sum(asked) == n
     assert first[0] == coder.fresh(texts[:1])
+
+
+def test_bands_hold_little_at_once():
+    import tracemalloc
+
+    texts = [" ".join(f"w{i * 400 + k}" for k in range(400)) for i in range(512)]
+    neardup.bands(texts[:1])
+    tracemalloc.start()
+    got = neardup.bands(texts)
+    now, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 24e6 and now < 4e6
+    assert got[0][7] == neardup.bands(texts[7:8])[0][0] and got[1][7] == neardup.bands(texts[7:8])[1][0]
+
+
+def test_packing_stage_remembers_few_words(monkeypatch):
+    asked = {}
+    monkeypatch.setattr(packing, "short_batches", lambda *a: None)
+    monkeypatch.setattr(packing, "pack", lambda *a, **more: asked.update(more))
+    packing.stage(None, None, SF)
+    coder = packing.Coder(packing.tokenizer_path())
+    coder.known = common.Recent(asked.get("known", packing.KNOWN))
+    words = ["".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(26**4)]
+    texts = [" ".join(words[k : k + 5000]) for k in range(0, 400_000, 5000)]
+    last = [coder.encode([t]) for t in texts][-1]
+    assert len(coder.known.old) + len(coder.known.young) <= 210_000
+    assert last == coder.fresh(texts[-1:])
