@@ -99,6 +99,20 @@ def test_fallback_is_dealt(spark):
     assert "_deal" not in plan.columns
 
 
+def test_fallback_takes_little_disk(spark, tmp_path):
+    """Requests times characters are written as runs that repeat, far below a byte a row; copies and keys stay apart."""
+    keys = "hangul string, resource_ohaeng string"
+    asked = spark.range(1200).selectExpr("id AS request_id", "'나' AS hangul", "IF(id < 1000, '목', '화') AS resource_ohaeng")
+    known = spark.range(4000).selectExpr("'나' AS hangul", "'목' AS resource_ohaeng", "format_string('OHE-%05d', id) AS profile_id")
+    copies = spark.createDataFrame([("나", "화", "p")] * 3 + [("가", "목", "q"), (None, "목", "r")], f"{keys}, profile_id string")
+    flagged = known.unionByName(copies)
+    out = f"{tmp_path}/out"
+    L.characters_of(asked, flagged.filter("hangul = '가'"), flagged).select("request_id", "profile_id", "origin").write.parquet(out)
+    got = {r.request_id: (r.n, r.d) for r in spark.read.parquet(out).groupBy("request_id").agg(F.count("*").alias("n"), F.countDistinct("profile_id").alias("d")).collect()}
+    assert got == {i: (4000, 4000) if i < 1000 else (3, 1) for i in range(1200)}
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < 0.35 * 1000 * 4000
+
+
 def test_answers_are_dealt(spark):
     """A file of few bytes is one task, whatever is done with its rows."""
     assert SG.answers(spark, SF).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
