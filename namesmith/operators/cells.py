@@ -1,12 +1,16 @@
 """Exact filtered vector top-k over cells.
 
 Each collection is cut into cells around a few of its own vectors. Rows are stored by
-(collection, cell) with their distance from the cell's centre, and per cell and condition
-values with their number and the largest such distance. A query looks first into the
-nearest cells that hold enough rows; the distance of its last answer there bounds what any
-other cell must offer. By the triangle inequality a cell whose centre lies further than that
-bound and its radius together cannot, nor can a row whose distance from the centre differs
-from the query's by more than the bound. Results are those of comparing everything.
+(collection, cell), and per cell and condition values their number and largest distance from
+the cell's centre. Cells make up sheets of a bounded size: small ones share a sheet, a
+large one has several. A query looks first into the sheet of its nearest cell; the distance of
+its last answer there bounds what any other cell must offer. By the triangle inequality a cell
+whose centre lies further than that bound and its radius together cannot, and only sheets with
+other cells are looked into. Results are those of comparing everything.
+
+Where vectors of many dimensions are spread evenly nearly all sheets are left, so a sheet and its
+queries are compared as one product of matrices. That only finds who may be among the nearest, with
+some slack; their distances are then summed up in order, so equal vectors have equal distances.
 
 Cosine distance is pruned as the Euclidean distance of unit vectors, of which it is half the
 square. Distances are ranked as computed; rounding is left to whoever prints them.
@@ -19,6 +23,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,16 +37,19 @@ from namesmith.session import checkpointed, shared_dir
 # Cells of a collection, numbers in all centres together (they pass the driver: 32 MB), rows below which a collection is one cell.
 CELLS, NUMBERS, LEAST = 256, 1 << 22, 1000
 SLACK = 1e-6
+# Numbers in the rows of a sheet (about), in the queries that meet it at once, and in the distances that are held at once.
+SHEET, TILE = 1 << 19, 1 << 21
 
 
 @dataclass(frozen=True)
 class Cells:
-    """``rows`` and ``cells`` of an index, its metric and the condition columns it counts by."""
+    """``rows`` and ``cells`` of an index, its metric, the condition columns it counts by and the centres of large collections."""
 
     rows: DataFrame
     cells: DataFrame
     metric: str
     condition: tuple[str, ...]
+    centres: dict[object, np.ndarray]
 
 
 def _position(v: Column, square: Column, metric: str) -> Column:
@@ -50,10 +59,6 @@ def _position(v: Column, square: Column, metric: str) -> Column:
     return F.when(square > 0, F.transform(v, lambda x: x / F.sqrt(square))).otherwise(v)
 
 
-def _apart(a: Column, b: Column) -> Column:
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-
-
 def _nearest(centres: dict[object, np.ndarray]):
     @F.pandas_udf("cell int, away double")
     def nearest(collection: pd.Series, position: pd.Series) -> pd.DataFrame:
@@ -71,6 +76,26 @@ def _nearest(centres: dict[object, np.ndarray]):
     return nearest
 
 
+def _apart(centres: dict[object, np.ndarray]):
+    """Distances from all centres of the collection; without a centre the one cell lies around the origin."""
+
+    @F.pandas_udf("array<double>")
+    def apart(collection: pd.Series, position: pd.Series) -> pd.Series:
+        out = np.empty(len(position), object)
+        for name, at in collection.groupby(collection, dropna=False).indices.items():
+            c = centres.get(name)
+            if c is None:
+                for i in at:
+                    out[i] = [float(np.linalg.norm(np.asarray(position.iloc[i], float)))]
+                continue
+            x = np.stack([np.asarray(p, float) for p in position.iloc[at]])
+            for i, row in zip(at, np.stack([np.linalg.norm(x - y, axis=1) for y in c], axis=1)):
+                out[i] = row
+        return pd.Series(out)
+
+    return apart
+
+
 def build_cells(documents: DataFrame, condition: list[str], metric: str = "cosine", columns: tuple[str, ...] = (), cells: int = CELLS, least: int = LEAST) -> Cells:
     """Index ``documents`` (id, collection, embedding, condition columns) in the shared folder.
 
@@ -94,20 +119,101 @@ def build_cells(documents: DataFrame, condition: list[str], metric: str = "cosin
         found = centres.orderBy("collection", "cell").toPandas()  # at most ``NUMBERS`` numbers
         by_name = {k: np.stack([np.asarray(c, float) for c in g]) for k, g in found.groupby("collection")["centre"]}
     alone = F.struct(F.lit(0).alias("cell"), F.sqrt(dot(F.col("_p"), F.col("_p"))).alias("away"))
-    placed = rows.withColumn("_c", _nearest(by_name)("collection", "_p") if by_name else alone).select("id", *condition, *columns, "_d", "_dd", F.col("_c.away").alias("_away"), "collection", F.col("_c.cell").alias("cell"))
+    placed = rows.withColumn("_c", _nearest(by_name)("collection", "_p") if by_name else alone).select("id", *condition, *columns, "_d", "_dd", F.col("_c.away").alias("_away"), F.monotonically_increasing_id().alias("_row"), "collection", F.col("_c.cell").alias("cell"))
     path = f"{shared_dir(documents.sparkSession)}/cells-{uuid.uuid4().hex}"
     # rebalanced: small cells share a task, a cell of many rows is split over several
     placed.hint("rebalance", "collection", "cell").write.partitionBy("collection", "cell").parquet(path)
     stored = documents.sparkSession.read.schema(placed.schema).parquet(path)
     kinds = stored.groupBy("collection", "cell", *condition).agg(F.count(F.lit(1)).alias("_n"), F.max("_away").alias("_radius"))
-    return Cells(stored, kinds.join(centres, ["collection", "cell"], "left"), metric, tuple(condition))
-
-
-def _distance(metric: str) -> Column:
-    q, d = F.col("_q"), F.col("_d")
-    if metric == "cosine":
-        return 1 - F.coalesce(F.try_divide(dot(q, d), F.sqrt(F.col("_qq") * F.col("_dd"))), F.lit(0.0))
-    return F.aggregate(F.zip_with(q, d, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    return Cells(stored, kinds.join(centres, ["collection", "cell"], "left"), metric, tuple(condition), by_name)
+
+
+def _compared(condition: tuple[str, ...], metric: str):
+    """The nearest rows of a sheet for each of the queries that meet it. All in one: what a worker calls need not be installed there."""
+
+    def matrix(column: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors as rows, filled up with zeros, and their lengths (-1 where a number is missing)."""
+        lists = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+        lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        values = lists.flatten()
+        if not values.null_count and (lengths == width).all():
+            return values.to_numpy(zero_copy_only=False).astype(float).reshape(len(lengths), width), lengths
+        out = np.zeros((len(lengths), width))
+        for i, v in enumerate(lists.to_pylist()):
+            lengths[i] = -1 if None in v else len(v)
+            out[i, : len(v)] = [x or 0.0 for x in v]
+        return out, lengths
+
+    def longest(*columns: pa.ChunkedArray) -> int:
+        return max((pc.max(pc.list_value_length(c)).as_py() or 0 for c in columns), default=0)
+
+    def codes_of(rows: pa.ChunkedArray, queries: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+        """A condition as numbers: -1 where a row has none, -2 where a query has none, -3 where no row has the query's."""
+        number: dict[object, int] = {}
+        own = np.array([-1 if v is None else number.setdefault(v, len(number)) for v in rows.to_pylist()], np.int64)
+        return own, np.array([-2 if v is None else number.get(v, -3) for v in queries.to_pylist()], np.int64)
+
+    def best(q: np.ndarray, x: np.ndarray, q_square: np.ndarray, x_square: np.ndarray, unlike: np.ndarray | None, k: np.ndarray):
+        """(query, row, distance) of the ``k`` nearest rows of each query, earlier rows first where distances are equal.
+
+        ``unlike`` marks pairs without a common length: at distance 1 (cosine), or before all others (-inf).
+        """
+        n = len(x)
+        if metric == "cosine":
+            size = lambda v, square: v / np.where(square > 0, np.sqrt(square), 1.0)[:, None]
+            near, slack = size(q, q_square) @ -size(x, x_square).T, np.full(len(q), 1e-9)
+        else:
+            near, slack = x_square[None, :] - 2 * (q @ x.T), 1e-10 * (q_square + x_square.max())
+        if unlike is not None:
+            near[unlike] = 0.0 if metric == "cosine" else -np.inf
+        last = np.full(len(q), np.inf)
+        some = k < n
+        if some.any():
+            nearest = np.sort(np.partition(near[some], k[some].max() - 1, axis=1)[:, : k[some].max()], axis=1)
+            last[some] = nearest[np.arange(len(nearest)), k[some] - 1]
+        i, j = np.nonzero(~(near > (last + slack)[:, None]))  # what is no number is looked at as well
+        total = np.zeros(len(i))
+        for a, b in zip(np.ascontiguousarray(q.T), np.ascontiguousarray(x.T)):
+            total += a[i] * b[j] if metric == "cosine" else (a[i] - b[j]) * (a[i] - b[j])
+        if metric == "cosine":
+            root = np.sqrt(q_square[i] * x_square[j])
+            total = 1 - np.where(root == 0, 0.0, total / root)
+        if unlike is not None:
+            total[unlike[i, j]] = 1.0 if metric == "cosine" else -np.inf
+        order = np.lexsort((j, total, i))
+        i, j, total = i[order], j[order], total[order]
+        kept = np.arange(len(i)) - np.searchsorted(i, i) < k[i]
+        return i[kept], j[kept], total[kept]
+
+    def compared(rows: pa.Table, queries: pa.Table) -> pa.Table:
+        queries_of, rows_of, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        if len(rows) and len(queries):
+            rows = rows.take(pc.sort_indices(rows["id"], null_placement="at_start"))
+            width = longest(rows["_d"], queries["_q"])
+            (x, x_length), (q, q_length) = matrix(rows["_d"], width), matrix(queries["_q"], width)
+            x_square, q_square = (c.to_numpy().astype(float) for c in (rows["_dd"], queries["_qq"]))
+            ragged = len({*x_length, *q_length}) > 1 or -1 in x_length
+            k = queries["_k"].to_numpy()
+            codes = [codes_of(rows[c], queries[c]) for c in condition]
+            kinds, kind = np.unique(np.array([c for _, c in codes], np.int64).reshape(len(codes), len(q)), axis=1, return_inverse=True)
+            for number, wanted in enumerate(kinds.T):
+                fits = np.ones(len(x), bool)
+                for (own, _), value in zip(codes, wanted):
+                    fits &= (own == value) | (value == -2)
+                at, asking = np.flatnonzero(fits), np.flatnonzero(kind.ravel() == number)
+                step = max(1, TILE // max(1, len(at)))
+                for some in np.split(asking, range(step, len(asking), step)) if len(at) else []:
+                    unlike = (q_length[some, None] != x_length[at]) | (x_length[at] < 0) if ragged else None
+                    with np.errstate(all="ignore"):
+                        i, j, total = best(q[some], x[at], q_square[some], x_square[at], unlike, k[some])
+                    queries_of.append(some[i])
+                    rows_of.append(at[j])
+                    found.append(total)
+        i, j, total = np.concatenate(queries_of), np.concatenate(rows_of), np.concatenate(found)
+        distance = pa.array(total, mask=np.isneginf(total) if metric == "l2" else None)
+        return pa.table([queries["query_id"].take(pa.array(i)), queries["_k"].take(pa.array(i)), rows["id"].take(pa.array(j)), rows["_row"].take(pa.array(j)), distance], ["query_id", "_k", "id", "_row", "distance"])
+
+    return compared
 
 
 def _reach(distance: Column, metric: str) -> Column:
@@ -125,37 +231,45 @@ def search_cells(queries: DataFrame, index: Cells, n_results: str = "n_results",
     asked = queries.filter(F.col("vector").isNotNull()).select(
         "query_id", F.col("collection"), *condition, safe_limit(F.col(n_results), maximum=maximum).alias("_k"), v.alias("_q"), dot(v, v).alias("_qq")
     )
-    asked = asked.withColumn("_at", _position(F.col("_q"), F.col("_qq"), metric))
-    # a query meets the cells, and in them the condition values, that can answer it; from there on all is equality
-    fits = F.col("c.collection") == F.col("a.collection")
-    for c in condition:
-        fits = fits & (F.col(f"a.{c}").isNull() | (F.col(f"a.{c}") == F.col(f"c.{c}")))
-    # without a centre the cell lies around the origin
-    apart = F.when(F.col("centre").isNull(), F.sqrt(dot(F.col("_at"), F.col("_at")))).otherwise(_apart(F.col("_at"), F.col("centre")))
-    met = asked.alias("a").join(index.cells.alias("c"), fits).select("query_id", "c.collection", "cell", *[f"c.{c}" for c in condition], "_n", "_radius", "_k", apart.alias("_apart"))
-    order = Window.partitionBy("query_id").orderBy("_apart", "cell", *condition).rowsBetween(Window.unboundedPreceding, -1)
-    cells = checkpointed(met.withColumn("_first", F.coalesce(F.sum("_n").over(order), F.lit(0)) < F.col("_k")))
-    vectors = asked.select("query_id", "_q", "_qq")
-
-    def compared(wanted: DataFrame, bound: str | None) -> DataFrame:
-        some = wanted.join(vectors, "query_id").alias("w")
-        same = (F.col("r.collection") == F.col("w.collection")) & (F.col("r.cell") == F.col("w.cell"))
-        for c in condition:
-            same = same & F.col(f"r.{c}").eqNullSafe(F.col(f"w.{c}"))
-        if bound is not None:
-            same = same & (F.abs(F.col("_apart") - F.col("_away")) <= F.col(bound))
-        return index.rows.alias("r").join(some, same).select("query_id", "_k", "id", *columns, _distance(metric).alias("distance"))
+    position = _position(F.col("_q"), F.col("_qq"), metric)
+    asked = checkpointed(asked.withColumn("_apart", _apart(index.centres)("collection", position)))
+    # where the rows of a cell are: in sheets of so many rows, small cells together, and once for each slot of queries
+    width = F.greatest(F.max(F.size("_q")), F.lit(1))
+    loads = asked.groupBy("collection").agg(F.ceil(F.count(F.lit(1)) * width / SHEET).alias("_slots"), F.greatest(F.floor(SHEET / width), F.lit(1)).alias("_room"))
+    places = index.cells.groupBy("collection", "cell").agg(F.sum("_n").alias("_n"), F.max("_radius").alias("_radius")).join(loads, "collection")
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("collection").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = checkpointed(places.select("collection", "cell", "_radius", "_slots", (F.floor(before / F.col("_room")) * (1 << 32)).alias("_sheet"), F.ceil(F.col("_n") / F.col("_room")).alias("_parts")))
+    keys = ["collection", "_sheet", "_slot"]
+    part = F.pmod(F.xxhash64("_row"), F.col("_parts"))
+    placed = index.rows.join(places, ["collection", "cell"]).select("collection", (F.col("_sheet") + part).alias("_sheet"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_slots") - 1)).alias("_slot"), "id", "_row", *condition, "_d", "_dd")
+    lists = places.groupBy("collection").agg(F.first("_slots").alias("_slots"), F.collect_list(F.struct("cell", "_sheet", "_parts", "_radius")).alias("_places"))
+    session = asked.sparkSession
+    tasks = max(4 * session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+    schema = "query_id {}, _k int, id {}, _row bigint, distance double".format(*(x.schema[c].dataType.simpleString() for x, c in ((asked, "query_id"), (index.rows, "id"))))
+
+    def located(some: DataFrame) -> DataFrame:
+        away = F.transform("_places", lambda p: F.struct(F.element_at("_apart", p["cell"] + 1).alias("apart"), p["_sheet"].alias("sheet"), p["_parts"].alias("parts"), p["_radius"].alias("radius")))
+        there = some.join(lists, "collection").withColumn("_slot", F.pmod(F.xxhash64("query_id"), F.col("_slots"))).withColumn("_away", away)
+        return there.withColumn("_home", F.array_min("_away")["sheet"])
+
+    def compared(some: DataFrame) -> DataFrame:
+        wanted = some.select(*keys, "query_id", "_k", *condition, "_q", "_qq").repartition(tasks, *keys)
+        return placed.repartition(tasks, *keys).groupBy(*keys).cogroup(wanted.groupBy(*keys)).applyInArrow(_compared(condition, metric), schema)
 
     def best(hits: DataFrame) -> DataFrame:
         return top_per_key(hits, ["query_id"], [F.col("distance"), F.col("id")], maximum).filter(F.col("rank") <= F.col("_k"))
 
-    first = checkpointed(best(compared(cells.filter("_first"), None)).drop("rank"))
+    first = checkpointed(compared(located(asked).withColumn("_sheet", F.col("_home"))))
     bound = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("_found"), F.max("distance").alias("_last"))
-    rest = cells.filter("NOT _first").join(bound, "query_id")
-    reach = F.when(F.col("_found") >= F.col("_k"), _reach(F.col("_last"), metric) * (1 + SLACK) + SLACK * (1 + F.col("_apart"))).otherwise(F.lit(float("inf")))
-    rest = rest.withColumn("_reach", reach).filter(F.col("_apart") - F.col("_radius") <= F.col("_reach")).drop("_found", "_last")
-    more = compared(rest, "_reach")
-    return best(first.select(*more.columns).unionByName(more)).drop("_k")
+    reach = F.when(F.col("_found") >= F.col("_k"), _reach(F.col("_last"), metric) * (1 + SLACK)).otherwise(F.lit(float("inf")))
+    rest = located(asked.join(bound, "query_id", "left").withColumn("_reach", reach))
+    left = F.filter("_away", lambda p: p["apart"] - p["radius"] <= F.col("_reach") + SLACK * (1 + p["apart"]))
+    sheets = F.flatten(F.transform(left, lambda p: F.transform(F.sequence(F.lit(0).cast("bigint"), p["parts"] - 1), lambda i: p["sheet"] + i)))
+    rest = rest.withColumn("_sheet", F.explode(F.array_except(sheets, F.array("_home"))))
+    found = best(first.unionByName(compared(rest))).drop("_k")
+    if columns:
+        found = found.join(index.rows.select("_row", *columns), "_row")
+    return found.select("query_id", "id", *columns, "distance", "rank")
 
 
 def search(queries: DataFrame, documents: DataFrame, condition: list[str], n_results: str = "n_results", metric: str = "cosine", columns: tuple[str, ...] = ()) -> DataFrame:
